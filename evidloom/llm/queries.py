@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .runtime import documents
 
@@ -44,3 +45,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir), size=2, percent=80)
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import remove_repeats
+
+    out = remove_repeats(documents(spark, sf_dir), length=50)
+    removed = F.aggregate(F.zip_with("from_bytes", "to_bytes", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("from_bytes").cast("long").alias("n_spans"), F.sha2("left_bytes", 256).alias("kept_sha256"))
