@@ -184,16 +184,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
 
 def _beside_centres(seen: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a centre of which one at least misses the threshold with it."""
+    """Links between members of a centre of which one at least misses the threshold with it.
+
+    Members a and b of centre r have n_r - lost_a - lost_b + common elements in
+    common, where common counts shared deviations; so they need a known number
+    of those, and share one among the rarest of either side (prefix filter).
+    """
     odd = seen.groupBy("r").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("misses")).where("n > 1 and misses > 0").select("r")
-    seen = seen.join(odd, "r")
     lost = F.transform("lost", lambda v: F.struct(F.lit(0).alias("side"), v.alias("v")))
     extra = F.transform("extra", lambda v: F.struct(F.lit(1).alias("side"), v.alias("v")))
-    dev = seen.select("r", "x", "n_x", "n_r", "linked", F.size("lost").alias("n_lost"), F.explode(F.concat(lost, extra)).alias("d")).select("*", "d.side", "d.v")
-    miss = dev.where("not linked").select("r", "side", "v", F.col("x").alias("a"), F.col("n_x").alias("n_a"), F.col("n_lost").alias("lost_a"))
-    other = dev.select("r", "side", "v", F.col("x").alias("b"), F.col("n_x").alias("n_b"), F.col("n_lost").alias("lost_b"), "n_r", "linked")
+    seen = shared(seen.join(odd, "r").select("r", "x", "n_x", "n_r", "linked", F.size("lost").alias("n_lost"), F.size("extra").alias("n_extra"), F.concat(lost, extra).alias("dev")))
+    each = seen.select("r", "x", F.explode("dev").alias("d")).select("r", "x", "d.side", "d.v")
+    often = each.groupBy("r", "side", "v").agg(F.count("*").alias("c")).where("c > 1")
+    rare = each.join(often, ["r", "side", "v"]).groupBy("r", "x").agg(F.sort_array(F.collect_list(F.struct("c", "side", "v"))).alias("d"))
+    # Deviations that nobody shares come first in the order; they only shift the places.
+    rare = rare.join(seen.select("r", "x", "n_x", "n_r", "linked", "n_lost", F.size("dev").alias("n_dev"), "n_extra"), ["r", "x"])
+    rare = rare.select("r", "x", "n_x", "n_r", "linked", "n_lost", "n_extra", "n_dev", F.posexplode("d").alias("i", "e"), (F.col("n_dev") - F.size("d")).alias("alone"))
+    rare = rare.select("*", (F.col("i") + F.col("alone")).alias("place"), "e.side", "e.v")
+    # A miss needs this many shared deviations, even if the other side has no further ones ...
+    need = F.ceil(F.expr(f"{percent} * (n_r + n_extra) / 100.0D - 1e-9")) - F.col("n_r") + F.col("n_lost")
+    miss = rare.where("not linked").where(F.col("place") <= F.col("n_dev") - need)
+    miss = miss.select("r", "side", "v", F.col("x").alias("a"), F.col("n_x").alias("n_a"), F.col("n_lost").alias("lost_a"), F.col("n_dev").alias("dev_a"), F.col("place").alias("place_a"))
+    # ... and the other side must share more than this part of its own with any miss.
+    part = F.floor(F.expr(f"({percent} * n_extra + 100 * n_lost) / ({100 + percent}.0D) + 1e-9"))
+    other = rare.where(F.col("place") <= F.col("n_dev") - part - 1)
+    other = other.select("r", "side", "v", F.col("x").alias("b"), F.col("n_x").alias("n_b"), F.col("n_lost").alias("lost_b"), F.col("n_dev").alias("dev_b"), F.col("place").alias("place_b"), "n_r", "linked")
+    least = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent} - n_r + lost_a + lost_b")
+    both = miss.join(other, ["r", "side", "v"])
     # A pair of two misses is met once, from its smaller end.
-    both = miss.join(other, ["r", "side", "v"]).where("a <> b and (linked or a < b)")
-    pair = both.groupBy("r", "a", "b", "n_a", "n_b", "n_r", "lost_a", "lost_b").agg(F.count("*").alias("common"))
-    inter = F.expr("n_r - lost_a - lost_b + common")
-    return pair.where(inter * 100 >= (F.col("n_a") + F.col("n_b") - inter) * percent).select("a", "b").distinct()
+    both = both.where("a <> b and (linked or a < b)").where((F.col("place_a") <= F.col("dev_a") - least) & (F.col("place_b") <= F.col("dev_b") - least))
+    pair = both.select("r", "a", "b", "n_a", "n_b", "n_r", "lost_a", "lost_b").distinct()
+    pair = pair.join(seen.select("r", F.col("x").alias("a"), F.col("dev").alias("da")), ["r", "a"]).join(seen.select("r", F.col("x").alias("b"), F.col("dev").alias("db")), ["r", "b"])
+    return pair.where(F.size(F.array_intersect("da", "db")) >= least).select("a", "b").distinct()
