@@ -101,3 +101,34 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = apply_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "failed_rules")
+
+
+def held_out(modulus: int, remainder: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs, out = documents(spark, sf_dir), held_out(5, 0)
+    model = toxicity.train(docs.where(~out), spark.read.parquet(f"{sf_dir}/labels.parquet").where(~out))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs, out = documents(spark, sf_dir), held_out(4, 2)
+    found = langid.classify(docs, langid.train(docs.where(~out)))
+    return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ruleensemble
+
+    docs, out = documents(spark, sf_dir), held_out(4, 2)
+    model = ruleensemble.train(docs.where(~out), spark.read.parquet(f"{sf_dir}/labels.parquet").where(~out))
+    return ruleensemble.score(docs, model).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
