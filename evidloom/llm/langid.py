@@ -9,11 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVEL = 1
+#: Matches of 3 bytes count, or short texts would find nothing in a dictionary.
+PARAMETERS = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 3, "min_match": 3, "target_length": 32, "strategy": 4}
+#: Letters stay (A-Z lower-cased); other ASCII becomes a space, so that layout and junk teach no language.
+_LETTERS_ONLY = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def _plain(raw: bytes) -> bytes:
+    return b" ".join(raw.translate(_LETTERS_ONLY).split())
+
+
 UNKNOWN = "und"
 
 
-def train(docs: DataFrame, dictionary_bytes: int = 100_000, sample: int = 400, text_bytes: int = 8_192, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def train(docs: DataFrame, dictionary_bytes: int = 100_000, sample: int = 400, text_bytes: int = 4_096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Raw-content dictionaries: whole texts of each language, first by hash of the id, up to `dictionary_bytes`.
 
     At most `sample` texts of at most `text_bytes` a language pass through the
@@ -30,8 +39,9 @@ def train(docs: DataFrame, dictionary_bytes: int = 100_000, sample: int = 400, t
     for row in part.orderBy("lang", "r").select("lang", "text").collect():
         held = out.setdefault(row["lang"], [])
         if sum(map(len, held)) < dictionary_bytes:
-            held.append(row["text"].encode())
-    return {k: b"\n".join(v)[:dictionary_bytes] for k, v in out.items()}
+            held.append(_plain(row["text"].encode()))
+    order = [r["lang"] for r in slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    return {k: b" ".join(out[k])[:dictionary_bytes] for k in order}
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,32 +50,33 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.
     The score falls with the runner-up's nearness: 1 - 2 ** -(bits saved per 8
     bytes), 0 to 1.  A text is rejected if the best language saves less than
     `margin` of the runner-up's size; the best is still given.  Null texts and
-    texts without a letter are `und` with score 0; ties go to the first language
-    in alphabetical order.
+    texts without a letter are `und` with score 0; ties go to the first dictionary,
+    which training puts in the order of the languages' document counts.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    names = sorted(dictionaries)
+    names = list(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        setting = zstandard.ZstdCompressionParameters(write_checksum=False, write_content_size=False, write_dict_id=False, **PARAMETERS)
         packers = []
         for k in names:
             d = zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            packers.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False))
+            d.precompute_compress(compression_params=setting)
+            packers.append(zstandard.ZstdCompressor(dict_data=d, compression_params=setting))
         for batch in batches:
             pred, score, reject = [], [], []
             for text, ok in zip(batch.column("text"), batch.column("letters").to_pylist(), strict=True):
                 if not ok or not names:
                     pred.append(UNKNOWN), score.append(0.0), reject.append(True)
                     continue
-                raw = text.as_buffer()
+                raw = _plain(text.as_buffer().to_pybytes())
                 size = np.array([len(p.compress(raw)) for p in packers])
                 order = np.argsort(size, kind="stable")
                 best, next_ = (size[order[0]], size[order[1]]) if len(names) > 1 else (size[0], size[0] + len(raw))
                 pred.append(names[order[0]])
-                score.append(float(1 - 2.0 ** -((next_ - best) * 64 / len(raw))))
+                score.append(float(1 - 2.0 ** -((next_ - best) * 64 / max(1, len(raw)))))
                 reject.append(bool(next_ - best < margin * next_))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 

@@ -132,3 +132,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = documents(spark, sf_dir), held_out(4, 2)
     model = ruleensemble.train(docs.where(~out), spark.read.parquet(f"{sf_dir}/labels.parquet").where(~out))
     return ruleensemble.score(docs, model).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op6_benchmark_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiling import decontaminate
+
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -1,4 +1,4 @@
-"""Toxicity by non-negative positive-unlabelled learning on hashed words.
+"""Toxicity by non-negative positive-unlabelled learning on hashed words and word beginnings.
 
 Only confirmed toxic texts carry a label; all other texts are unlabelled and
 hold toxic ones at the class prior.  The risk of a linear classifier on word
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from . import bytesops as bo
 
 SPACE = 20  # bits of the hashed word space
+BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a word's beginnings, features beside the word
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -29,11 +30,21 @@ class PuModel:
     weight: np.ndarray  # one for each hashed word
 
 
-def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed words (runs of letters, A-Z lower-cased) of each text, sorted by text."""
+def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words (runs of letters, A-Z lower-cased) and their beginnings, with the text of each; may repeat."""
     data = bo.LOWER[data]
     starts, ends, doc = bo.spans_where(_LETTER[data], offsets)
-    h = (bo.span_hashes(data, starts, ends) >> np.uint64(64 - SPACE)).astype(np.int64)
+    h, who = [bo.span_hashes(data, starts, ends)], [doc]
+    for n in BEGINNINGS:
+        longer = ends - starts > n
+        h.append(bo.span_hashes(data, starts[longer], starts[longer] + n, salt=n))
+        who.append(doc[longer])
+    return (np.concatenate(h) >> np.uint64(64 - SPACE)).astype(np.int64), np.concatenate(who)
+
+
+def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of each text, sorted by text."""
+    h, doc = features_of(data, offsets)
     key = np.unique(doc << SPACE | h)
     return key & ((1 << SPACE) - 1), key >> SPACE
 
@@ -45,7 +56,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), bo.list_array(ids, bo.offsets_of(doc, hi - lo), pa.int32())], names=["doc_id", "words"])
 
 
-def nn_pu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, vocabulary: int = 4096, rounds: int = 300, rate: float = 0.05, decay: float = 2e-4) -> PuModel:
+def nn_pu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, vocabulary: int = 2048, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> PuModel:
     """Adam on the non-negative risk prior * R+(pos) + max(0, R-(unl) - prior * R-(pos)), logistic loss.
 
     The vocabulary is the words whose presence among the positives departs most
@@ -119,9 +130,7 @@ def score(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in bo.chunked(batch.column(1)):
-                low = bo.LOWER[data]
-                starts, ends, doc = bo.spans_where(_LETTER[low], offsets)
-                h = (bo.span_hashes(low, starts, ends) >> np.uint64(64 - SPACE)).astype(np.int64)
+                h, doc = features_of(data, offsets)
                 hit = weight[h] != 0
                 key = np.unique(doc[hit] << SPACE | h[hit])
                 z = np.bincount(key >> SPACE, weights=weight[key & ((1 << SPACE) - 1)], minlength=hi - lo) + bias
