@@ -139,3 +139,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tiling import decontaminate
 
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_documents, load_pieces
+
+    docs = documents(spark, sf_dir)
+    out = encode_documents(docs.withColumn("text_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), load_pieces(), keep=("text_crc",))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), (F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc")).alias("round_trip"))
