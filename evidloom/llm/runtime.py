@@ -11,15 +11,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
 
     Only where the session names no folder (tests, one machine) is a temporary one set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="evidloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -39,5 +45,11 @@ def semi_by_id(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFram
     return docs.join(F.broadcast(ids) if fits(ids) else ids, key, "left_semi")
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs whose key is not in ids (null keys stay); the ids are broadcast only if they are few."""
+    ids = shared(ids.select(key).distinct())
+    return docs.join(F.broadcast(ids) if fits(ids) else ids, key, "left_anti").select(*docs.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -418,7 +418,18 @@ def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _SPANS = "from_bytes array<int>, to_bytes array<int>"
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _widened(raw: bytes, lo: list[int], hi: list[int]) -> tuple[list[int], list[int]]:
+    """Runs that end between characters."""
+    for k in range(len(lo)):
+        while lo[k] > 0 and raw[lo[k]] & 0xC0 == 0x80:
+            lo[k] -= 1
+        while hi[k] < len(raw) and raw[hi[k]] & 0xC0 == 0x80:
+            hi[k] += 1
+    a, b = _merge(np.array(lo, np.int64), np.array(hi, np.int64))
+    return a.tolist(), b.tolist()
+
+
+def _apply(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     """Texts and removed pieces -> maximal removed runs and the bytes that are left."""
     for batch in batches:
         text, copy, los, his = (batch.column(k) for k in ("text", "copy", "lo", "hi"))
@@ -431,6 +442,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lo = np.frombuffer(b"".join(los[k].as_py() or ()), np.int32)
                 hi = np.frombuffer(b"".join(his[k].as_py() or ()), np.int32)
                 lo, hi = (x.tolist() for x in _merge(lo, hi)) if len(lo) else ([], [])
+            if whole and lo:
+                lo, hi = _widened(raw, lo, hi)
             keep, at = [], 0
             for x, y in zip(lo, hi, strict=True):
                 keep.append(raw[at:x])
@@ -444,7 +457,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """(doc_id, *keep, text, from_bytes, to_bytes, left_bytes): what each document loses.
 
     A byte is removed if a window of `length` bytes that covers it also starts in
@@ -452,6 +465,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     Null and empty texts lose nothing and have empty bytes; texts shorter than
     `length` lose nothing.  Rows that repeat a doc_id are one document as to each
     other.  Rows with a null doc_id come last of all and are left as they are.
+    With `whole_characters`, a UTF-8 character of which a byte goes, goes whole.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
@@ -475,4 +489,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     out = out.unionByName(base.where("doc_id is null"), allowMissingColumns=True)
     kept = [f.name for f in base.schema if f.name not in ("doc_id", "text")]
     schema = ", ".join([f"`{c}` {base.schema[c].dataType.simpleString()}" for c in ["doc_id", *kept]])
-    return out.select("doc_id", *kept, "text", "copy", "lo", "hi").mapInArrow(_apply, f"{schema}, text binary, {_SPANS}, left_bytes binary")
+    return out.select("doc_id", *kept, "text", "copy", "lo", "hi").mapInArrow(lambda batches: _apply(batches, whole_characters), f"{schema}, text binary, {_SPANS}, left_bytes binary")
