@@ -1,0 +1 @@
+"""Column functions: scalar operations as expressions that stay on the JVM."""

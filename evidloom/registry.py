@@ -1,4 +1,4 @@
-"""Operator registry: query name -> (Spark function, oracle SQL)."""
+"""Operator registry: query name -> Spark function and the SQL that checks it."""
 
 from __future__ import annotations
 
@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: Modules that register queries when imported.
-MODULES: list[str] = []
+#: Modules of evidloom.plans that register queries when imported.
+MODULES: list[str] = ["projections", "joins", "aggregates", "metrics", "windows", "topk", "sets", "functions", "graphs", "simulation", "compounds", "streams"]
 
 
 def query(name: str, sql: str | None = None):
     """Register a query under a name, with the SQL that checks it."""
 
     def add(f):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = f
         if sql:
             ORACLE[name] = sql
