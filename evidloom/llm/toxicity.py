@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as bo
+from .runtime import shared
 
 SPACE = 20  # bits of the hashed word space
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a word's beginnings, features beside the word
@@ -56,32 +57,25 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), bo.list_array(ids, bo.offsets_of(doc, hi - lo), pa.int32())], names=["doc_id", "words"])
 
 
-def nn_pu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, vocabulary: int = 2048, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> PuModel:
+def departing_words(word: np.ndarray, cp: np.ndarray, cu: np.ndarray, n_pos: int, n_unl: int, vocabulary: int) -> np.ndarray:
+    """The words whose presence among the positives departs most from the unlabelled, sorted."""
+    rate = (cu + 1.0) / (n_unl + 2.0)
+    depart = np.abs(cp / max(1, n_pos) - rate) / np.sqrt(rate * (1 - rate) / max(1, n_pos))
+    return np.sort(word[np.lexsort((word, -depart))[:vocabulary]])
+
+
+def nn_pu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, chosen: np.ndarray, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> PuModel:
     """Adam on the non-negative risk prior * R+(pos) + max(0, R-(unl) - prior * R-(pos)), logistic loss.
 
-    The vocabulary is the words whose presence among the positives departs most
-    from the unlabelled.  Without positives or unlabelled texts the score is the prior.
+    Texts are given as the places of their words in `chosen`.  Without positives
+    or unlabelled texts the score is the prior.
     """
     weight = np.zeros(1 << SPACE, np.float32)
     base = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not pos or not unl:
         return PuModel(base, weight)
     np_, nu = len(pos), len(unl)
-    cp = np.bincount(np.concatenate(pos), minlength=1 << SPACE)
-    cu = np.bincount(np.concatenate(unl), minlength=1 << SPACE)
-    rate_u = (cu + 1.0) / (nu + 2.0)
-    depart = np.abs(cp / np_ - rate_u) / np.sqrt(rate_u * (1 - rate_u) / np_)
-    depart[cp + cu < 10] = 0
-    chosen = np.sort(np.argsort(-depart, kind="stable")[:vocabulary])
-    place = np.full(1 << SPACE, -1)
-    place[chosen] = np.arange(len(chosen))
-
-    def rows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        col = place[np.concatenate(texts)]
-        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        return row[col >= 0], col[col >= 0]
-
-    (rp, kp), (ru, ku) = rows(pos), rows(unl)
+    (rp, kp), (ru, ku) = ((np.repeat(np.arange(len(x)), [len(t) for t in x]), np.concatenate(x)) for x in (pos, unl))
     w, b, m, v = np.zeros(len(chosen) + 1), base, 0.0, 0.0
     for t in range(1, rounds + 1):
         sp = 1 / (1 + np.exp(-(np.bincount(rp, weights=w[kp], minlength=np_) + b)))
@@ -103,11 +97,29 @@ def nn_pu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, vocabu
     return PuModel(float(b), weight)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> PuModel:
+def _places(chosen: np.ndarray):
+    """Word lists -> places of the chosen words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            offsets = np.asarray(lists.offsets, np.int64)
+            w = np.asarray(lists.values, np.int64)[offsets[0] : offsets[-1]]
+            at = np.minimum(np.searchsorted(chosen, w), max(0, len(chosen) - 1))
+            hit = chosen[at] == w if len(chosen) else np.zeros(len(w), bool)
+            before = np.concatenate([[0], np.cumsum(hit)])[offsets - offsets[0]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bo.list_array(at[hit], before, pa.int32())], names=["p", "u", "words"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabulary: int = 2048, least: int = 10, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> PuModel:
     """Fit on at most `sample` confirmed toxic and `sample` unlabelled texts, the first by hash of the id.
 
     `docs` and `labels` hold what may be learned from; the class prior is the
     share of toxic among all labelled rows.  Null ids and labels are left out.
+    Spark counts the sample's words; the driver takes the counts of words in at
+    least `least` texts, and of each text the `vocabulary` words at most.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     prior = known.agg(F.avg("y")).first()[0]
@@ -115,11 +127,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, label: str =
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     pos = known.where("y = 1").orderBy(*order).limit(sample).select("doc_id", F.lit(1).alias("p"))
     unl = slim.select("doc_id").orderBy(*order).limit(sample).select("doc_id", F.lit(1).alias("u"))
-    chosen = pos.join(unl, "doc_id", "full")
-    rows = slim.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_words_of, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, words array<int>")  # at most twice `sample` ids
-    rows = rows.dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
-    take = lambda who: [np.asarray(w, np.int64) for w in rows.loc[rows[who] == 1, "words"]]
-    return nn_pu_fit(take("p"), take("u"), float(prior if prior is not None else 0.0))
+    chosen = shared(pos.join(unl, "doc_id", "full").na.fill(0))
+    words = slim.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_words_of, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, words array<int>")  # at most twice `sample` ids
+    rows = shared(words.dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").select("doc_id", "p", "u", "words"))
+    n = rows.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("u"), F.lit(0)).alias("u")).first()
+    counts = rows.select("p", "u", F.explode("words").alias("w")).groupBy("w").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") + F.col("u") >= least).toPandas()
+    vocab = departing_words(counts["w"].to_numpy(np.int64), counts["p"].to_numpy(float), counts["u"].to_numpy(float), n["p"], n["u"], vocabulary)
+    kept = rows.orderBy("doc_id").select("p", "u", "words").mapInArrow(_places(vocab), "p int, u int, words array<int>").toPandas()
+    take = lambda who: [np.asarray(w, np.int64) for w in kept.loc[kept[who] == 1, "words"]]
+    return nn_pu_fit(take("p"), take("u"), float(prior if prior is not None else 0.0), vocab)
 
 
 def score(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
