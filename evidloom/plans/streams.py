@@ -90,6 +90,33 @@ def st6(spark, d):
     return ST.newest_per_trigger(table(spark, d, "events", "user_id", "ts", "event_id"), "user_id", "ts", "day", "event_id")
 
 
+@query("ST7_overload_shedding", "SELECT event_id, avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 15 AS shed FROM events")
+def st7(spark, d):
+    # The rule only: a stream has no queue to look at, so its input rate is bounded by options of the reader.
+    w = Window.partitionBy("user_id").orderBy("ts").rowsBetween(-4, 0)
+    return table(spark, d, "events", "event_id", "user_id", "ts", "value").select("event_id", (F.avg("value").over(w) > 15).alias("shed"))
+
+
+@query("ST8_adaptive_floor", "SELECT event_id, greatest(8.0, round(1.2 * lag(value, 1, 0.0) OVER (PARTITION BY user_id ORDER BY ts), 6)) AS tick FROM events")
+def st8(spark, d):
+    # The rule only: a trigger's interval is fixed while its query runs.
+    before = F.lag("value", 1, 0.0).over(Window.partitionBy("user_id").orderBy("ts"))
+    return table(spark, d, "events", "event_id", "user_id", "ts", "value").select("event_id", F.greatest(F.lit(8.0), F.round(1.2 * before, 6)).alias("tick"))
+
+
+@query("ST9_speculative_result", f"WITH {RUNS} SELECT stream_id, last AS made_at, n >= 3 AS stands FROM runs WHERE NOT speech AND n >= 2")
+def st9(spark, d):
+    """A result made after two silent frames stands if a third follows; otherwise the input has resumed and it is dropped."""
+    r = ST.runs(frames(spark, d), "stream_id", "frame_no", F.col("speech")).where("not flag and n >= 2")
+    return r.select("stream_id", F.col("last").alias("made_at"), (F.col("n") >= 3).alias("stands"))
+
+
+@query("ST10_idle_expiry", """WITH g AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM events) SELECT user_id, ts + INTERVAL 36 HOURS AS expired_at FROM g WHERE next > ts + INTERVAL 36 HOURS""")
+def st10(spark, d):
+    e = table(spark, d, "events", "user_id", "ts").withColumn("next", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts")))
+    return e.withColumn("expired_at", F.expr("ts + interval 36 hours")).where("next > expired_at").select("user_id", "expired_at")
+
+
 @query("ST11_one_time_codes", """WITH c AS (SELECT user_id AS code, min(ts) AS created FROM events WHERE event_type = 'signup' GROUP BY 1), a AS (SELECT event_id, user_id AS code, ts AS at_ FROM events WHERE event_type IN ('click', 'purchase')),
   j AS (SELECT a.*, created, coalesce(at_ BETWEEN created AND created + INTERVAL 48 HOURS, false) AS live FROM a LEFT JOIN c USING (code))
   SELECT event_id, code, CASE WHEN created IS NULL THEN 'UNKNOWN' WHEN NOT live THEN 'EXPIRED' WHEN at_ = min(at_) FILTER (live) OVER (PARTITION BY code) THEN 'CLAIMED' ELSE 'USED' END AS verdict FROM j""")
