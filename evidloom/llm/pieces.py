@@ -22,15 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as bo
-from .runtime import shared
+from .runtime import partitions, shared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: A run without a place to cut is cut after so many bytes, so that no lattice is unbounded.
 LONGEST_UNIT = 512
-#: Bytes of the broadcast table of frequent units.
+#: Bytes of the broadcast table of frequent units, by the bound of index_bytes.
 BROADCAST_BYTES = 160 << 20
-_FLUSH = 32 << 20
+_FLUSH, _CHUNK = 8 << 20, 1 << 20
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -116,7 +116,7 @@ def distinct_units(texts: DataFrame, table: PieceTable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for _, _, data, offsets in bo.chunked(batch.column("text")):
+            for _, _, data, offsets in bo.chunked(batch.column("text"), _CHUNK):
                 starts, ends, _ = cut_units(data, offsets, joins)
                 h, first, n = np.unique(bo.span_hashes(data, starts, ends), return_index=True, return_counts=True)
                 raw = data.tobytes()
@@ -136,6 +136,8 @@ def encode_units(units: DataFrame, table: PieceTable) -> DataFrame:
     spark = units.sparkSession
     edges = spark.createDataFrame([(p.replace(SPACE, " "), i, float(s)) for p, i, s in zip(table.pieces, table.ids, table.scores, strict=True)], "piece string, id int, score double")
     span, block = table.longest, 256
+    # Dealt by unit once, so that the edges of a unit are made, joined and grouped where it is.
+    units = units.select("unit").repartition(partitions(spark), "unit")
     # Bounded substrings of bounded blocks: (start, piece) pairs of each unit.
     cut = units.select("unit", F.explode(F.sequence(F.lit(0), F.greatest(F.length("unit") - 1, F.lit(0)), F.lit(block))).alias("base"))
     cut = cut.select("unit", "base", F.expr(f"substring(unit, base + 1, {block + span - 1})").alias("part"))
@@ -158,33 +160,26 @@ def encode_units(units: DataFrame, table: PieceTable) -> DataFrame:
 
 
 class UnitIndex:
-    """Open-addressed table from the hash of a unit to its piece ids."""
-
-    def __init__(self, h: np.ndarray, ids: np.ndarray, offsets: np.ndarray):
-        self.h, self.ids, self.offsets = h, ids, offsets
-        self.bits = max(4, int(2 * len(h)).bit_length())
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        todo, at = np.arange(len(h), dtype=np.int32), self._home(h)
-        while len(todo):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = todo[free]  # of several, the last stays
-            lost = self.slots[at] != todo
-            todo, at = todo[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
-
-    def _home(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+    """Sorted hashes of units with the piece ids of each."""
+
+    def __init__(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
+        o = np.argsort(h, kind="stable")
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.h, self.ids = h[o], _gather(ids, offsets, o)[0]
+        self.offsets = np.concatenate([[0], np.cumsum(sizes[o], dtype=np.int64)]).astype(np.uint32 if len(ids) < 1 << 32 else np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        at, todo = self._home(h), np.arange(len(h))
-        while len(todo):
-            got = self.slots[at]
-            hit = (got >= 0) & (self.h[np.maximum(got, 0)] == h[todo])
-            out[todo[hit]] = got[hit]
-            on = (got >= 0) & ~hit
-            todo, at = todo[on], (at[on] + 1) & ((1 << self.bits) - 1)
-        return out
+        if not len(self.h):
+            return np.full(len(h), -1, np.int64)
+        few, back = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.h, few), len(self.h) - 1)
+        return np.where(self.h[at] == few, at, -1)[back]
+
+
+def index_bytes(unit: Column) -> Column:
+    """Bound of a unit's bytes in an index: its hash, offset and at most one id of four bytes for each byte."""
+    return F.lit(12) + 4 * F.octet_length(unit)
 
 
 def _hash_units(units: list[str]) -> np.ndarray:
@@ -198,18 +193,29 @@ def _hash_units(units: list[str]) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _index(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists = rows["ids"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    offsets = np.asarray(lists.offsets, dtype=np.int64)
-    return _hash_units(rows["unit"].to_pylist()), np.asarray(lists.values, dtype=np.int32)[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Encoded units -> their hashes, ids and id counts as bytes, one row a batch."""
+    for batch in batches:
+        lists = batch.column("ids")
+        offsets = np.asarray(lists.offsets, dtype=np.int64)
+        flat = np.asarray(lists.values, dtype=np.int64)[offsets[0] : offsets[-1]]
+        h = _hash_units(batch.column("unit").to_pylist())
+        yield pa.RecordBatch.from_arrays([bo.binary_array([x.tobytes()]) for x in (h, flat.astype(np.uint32), np.diff(offsets).astype(np.uint16))], names=["h", "ids", "sizes"])
+
+
+def _collected(encoded: DataFrame, size: int) -> UnitIndex:
+    """The index of encoded units, whose number the caller has bounded."""
+    rows = encoded.select("unit", "ids").mapInArrow(_packed, "h binary, ids binary, sizes binary").toArrow()
+    h, ids, sizes = (np.concatenate([np.empty(0, t), *(np.frombuffer(x.as_buffer(), t) for x in rows[c])]) for c, t in (("h", np.uint64), ("ids", np.uint32), ("sizes", np.uint16)))
+    return UnitIndex(h, ids.astype(np.uint16) if size <= 1 << 16 else ids, sizes)
 
 
 def _gather(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values of the lists `at`, one after another, and the length of each."""
-    size = offsets[at + 1] - offsets[at]
+    first = offsets[at].astype(np.int64)
+    size = offsets[at + 1] - first
     end = np.cumsum(size)
-    return values[np.arange(end[-1] if len(end) else 0) + np.repeat(offsets[at] - (end - size), size)], size
+    return values[np.arange(end[-1] if len(end) else 0) + np.repeat(first - (end - size), size)], size
 
 
 @dataclass
@@ -244,7 +250,7 @@ def encode_documents(docs: DataFrame, table: PieceTable, broadcast_bytes: int =
     base = docs.select(F.col(id_col).alias("doc_id"), *keep, normalized(F.coalesce(text_col, F.lit(""))).alias("text"))
     units = shared(distinct_units(base, table))
     # Frequent units as far as the bound goes, by powers of two of their count.
-    size = F.lit(24) + F.octet_length("unit") * 4
+    size = index_bytes(F.col("unit"))
     levels = units.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.sum(size).alias("bytes")).orderBy(F.desc("level")).collect()  # 64 rows at most
     least, room = None, broadcast_bytes
     for r in levels:
@@ -254,7 +260,7 @@ def encode_documents(docs: DataFrame, table: PieceTable, broadcast_bytes: int =
         least = r["level"]
     rare = bool(levels) and (least is None or least > levels[-1]["level"])
     often = F.floor(F.log2("n")) >= F.lit(least if least is not None else 1 << 20)
-    index = spark.sparkContext.broadcast(_index(encode_units(units.where(often), table).toArrow()))
+    index = spark.sparkContext.broadcast(_collected(encode_units(units.where(often), table), table.size))
     if not rare:
         return _encode(base.withColumn("extra", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>")), table, index)
     row = base.withColumn("row", F.xxhash64("doc_id", "text"))  # rows of one id and text have the same units
@@ -267,9 +273,9 @@ def _missing(table: PieceTable, index):
     joins = _joins(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = UnitIndex(*index.value)
+        known = index.value
         for batch in batches:
-            for lo, hi, data, offsets in bo.chunked(batch.column("text")):
+            for lo, hi, data, offsets in bo.chunked(batch.column("text"), _CHUNK):
                 starts, ends, doc = cut_units(data, offsets, joins)
                 h = bo.span_hashes(data, starts, ends)
                 lost = np.flatnonzero(known.find(h) < 0)
@@ -286,21 +292,25 @@ def _encode(rows: DataFrame, table: PieceTable, index) -> DataFrame:
     kept = [f for f in rows.schema if f.name not in ("text", "extra")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = UnitIndex(*index.value)
+        known = index.value
         for batch in batches:
             others = [batch.schema.get_field_index(f.name) for f in kept]
-            for lo, hi, data, offsets in bo.chunked(batch.column("text")):
+            for lo, hi, data, offsets in bo.chunked(batch.column("text"), _CHUNK):
                 starts, ends, doc = cut_units(data, offsets, joins)
                 h = bo.span_hashes(data, starts, ends)
                 at = known.find(h)
                 ids, offs = known.ids, known.offsets
                 if len(at) and at.min() < 0:  # units from the join
                     more = {x["unit"]: x["ids"] for r in batch.column("extra").slice(lo, hi - lo).to_pylist() for x in r or ()}
-                    mine = UnitIndex(_hash_units(list(more)), np.array([i for v in more.values() for i in v], np.int32), np.concatenate([[0], np.cumsum([len(v) for v in more.values()])]).astype(np.int64))
+                    mine = UnitIndex(_hash_units(list(more)), np.array([i for v in more.values() for i in v], known.ids.dtype), np.array([len(v) for v in more.values()], np.int64))
                     lost = np.flatnonzero(at < 0)
-                    at[lost] = len(known.h) + mine.find(h[lost])
-                    ids, offs = np.concatenate([ids, mine.ids]), np.concatenate([offs, offs[-1] + mine.offsets[1:]])
+                    # Only what this chunk uses is put beside the units of the join.
+                    used, at = np.unique(np.where(at < 0, 0, at), return_inverse=True)
+                    part, size = _gather(known.ids, known.offsets, used) if len(known.h) else (known.ids, np.zeros(len(used), np.int64))
+                    at[lost] = len(used) + mine.find(h[lost])
+                    ids, offs = np.concatenate([part, mine.ids]), np.concatenate([[0], np.cumsum(np.concatenate([size, np.diff(mine.offsets.astype(np.int64))]))])
                 flat, size = _gather(ids, offs, at)
+                flat = flat.astype(np.int64)
                 total = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=size, minlength=hi - lo))]).astype(np.int64)
                 back = decoder.decode(flat).tobytes()
                 width = np.diff(decoder.offsets)[flat]
