@@ -144,8 +144,8 @@ def parsed_list(text: Column) -> Column:
 
 
 def withheld_percent(k: Column, n: Column, least: int = 10) -> Column:
-    """A percentage with one decimal, or WITHHELD for small groups."""
-    return F.when(n >= least, F.format_string("%.1f%%", 100.0 * k / n)).otherwise(F.lit("WITHHELD"))
+    """A percentage with one decimal (ties to even), or WITHHELD for small groups."""
+    return F.when(n >= least, F.format_string("%.1f%%", F.bround(100.0 * k / n, 1))).otherwise(F.lit("WITHHELD"))
 
 
 def month_grid(day: Column) -> Column:
