@@ -1,23 +1,23 @@
 """Removal of byte passages that an earlier document has too, by suffix arrays.
 
-Every 50-byte window selects one anchor: the 8-byte gram of smallest hash in it.
-The choice depends on the window's bytes alone, so
-equal windows of two documents select equal grams, and the windows of one gram
-can be compared in one place:
-
-1. Each chunk of documents sends its distinct anchor hashes to hash buckets; a
-   hash that two chunks (or two texts of one chunk) have is answered to the
-   documents that have it.  All else is unique and stays where it is.
-2. The windows of answered anchors are cut out as snippets.  Equal snippets of a
-   chunk are merged first: later documents lose theirs at once, and only the
-   earliest asks on.  A hot passage so reaches its bucket once per chunk.
-3. A bucket sorts the suffixes of its distinct snippets by the two-stage method:
+Every 50-byte window selects one anchor: the 16-byte gram of smallest hash in it.
+The choice depends on the window's bytes alone, so equal windows of two documents
+select equal grams.  Neighbouring windows of one anchor form a snippet.
+
+1. A chunk of documents settles the snippets that it holds twice: later documents
+   lose theirs whole, and the earliest asks for all.  What it asks goes to hash
+   buckets of the anchor: the anchor's and the snippet's hash and its place.
+2. A bucket settles equal snippets of different chunks alike.  If an anchor has
+   different snippets, windows of them may still be equal: the earliest document
+   of each is told to send its bytes.
+3. A bucket sorts the suffixes of these snippets by the two-stage method:
    suffixes smaller than their successors are sorted directly, all others are
    induced by one scan over the character buckets.  Runs of adjacent suffixes
    with a common prefix of 50 bytes are equal windows, and those of documents
-   after the run's first are answered as removed.
+   after the run's first are removed.
 
-Copies of a whole text are settled before, by a group over the text's hash.
+So a hot passage reaches its bucket once per chunk, and the bytes of a snippet
+once.  Copies of a whole text are settled before, by a group over the text's hash.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from . import bytesops as bo
 from .runtime import partitions
 
-GRAM = 8
 _HASH_SALT = np.uint64(0xA0761D6478BD642F)
+_HASH_ODD = np.uint64(0xE7037ED1A0B428DB)
 _FLUSH = 24 << 20
 
 
@@ -143,12 +143,17 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first and end window start, and text number, of runs of windows with one anchor."""
+    none = np.empty(0, np.int64)
     n = len(data)
-    width = length - GRAM + 1  # grams in a window
     if n < length:
-        none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, none
-    gram = bo.mix(_load64(data) ^ _HASH_SALT)
+    words = _load64(data)
+    gram = bo.mix(words ^ _HASH_SALT)
+    size = 8
+    if length >= 32:  # two words, which unrelated texts hardly share
+        gram = bo.mix(gram[:-8] + words[8:] * _HASH_ODD)
+        size = 16
+    width = length - size + 1  # grams in a window
     best, span = gram, 1
     while span * 2 <= width:
         best = np.minimum(best[: len(best) - span], best[span:])
@@ -161,7 +166,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     # Equal values mean equal grams, so runs of one value may join several places of one gram.
     at = np.flatnonzero(inside)
     if not len(at):
-        none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, none
     value, who = best[at], doc[at]
     head = np.flatnonzero(bo.first_of_runs(value, who))
@@ -169,53 +173,98 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return value[head], at[head], end, who[head]
 
 
-_ASK = "bucket int, tell boolean, ids binary, owners binary, texts binary, hashes binary, shared binary"
+def _planes(x: np.ndarray, width: int = 4) -> bytes:
+    """The lowest bytes of numbers by byte planes, which compress far better in a shuffle."""
+    return np.ascontiguousarray(x).astype(np.int64).view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+
+
+def _numbers(raw: bytes, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.int64).ravel()
+
+
+def _codes(ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each distinct (id, tag), and the id and tag of each number."""
+    o = np.lexsort((tags, ids))
+    new = bo.first_of_runs(ids[o], tags[o]) if len(o) else np.zeros(0, bool)
+    code = np.empty(len(o), np.int64)
+    code[o] = np.cumsum(new) - 1
+    return code, ids[o][new], tags[o][new]
+
+
+def _spans_by_row(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of the intervals of each row as maximal runs, ordered by row."""
+    o = np.lexsort((lo, row))
+    row, lo, hi = row[o], lo[o], hi[o]
+    first = bo.first_of_runs(row)
+    # Running maximum of the ends inside each row: rows are lifted above each other.
+    lift = np.cumsum(first) * (int(hi.max(initial=0)) + 1)
+    top = np.maximum.accumulate(hi + lift) - lift
+    new = first.copy()
+    new[1:] |= lo[1:] > top[:-1]
+    at = np.flatnonzero(new)
+    return row[at], lo[at], top[np.append(at[1:], len(row)) - 1] if len(row) else top
+
+
+#: Bytes of a snippet's hash that are sent beside its anchor's four.
+_DIGEST = 6
+_ASK = "bucket int, tell boolean, ids binary, tags binary, owners binary, anchors binary, digests binary, starts binary, sizes binary"
+
+
+def _ask_row(bucket: int, tell: bool, ids: np.ndarray, tags: np.ndarray, owners: np.ndarray, anchor: np.ndarray, digest: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    parts = [_planes(ids, 8), _planes(tags), _planes(owners), anchor.tobytes(), _planes(digest.view(np.int64), _DIGEST), _planes(starts), _planes(sizes)]
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([tell]), *(bo.binary_array([x]) for x in parts)], names=[c.split()[0] for c in _ASK.split(", ")])
 
 
 def _ask(length: int, buckets: int):
-    """Chunks of documents -> their distinct anchor hashes, by bucket."""
+    """Chunks of documents -> what their earliest holders of each snippet ask, and what later ones lose."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate([x[0] for x in held])
+        ids, tags, text = (np.concatenate([x[k] for x in held]) for k in range(3))
         base = np.cumsum([0] + [len(x[0]) for x in held])
-        h = np.concatenate([x[1] for x in held])
-        who = np.concatenate([x[2] + b for x, b in zip(held, base, strict=False)])
-        text = np.concatenate([x[3] for x in held])  # of each document
+        who = np.concatenate([x[3] + b for x, b in zip(held, base, strict=False)])
+        h, digest, start, size = (np.concatenate([x[k] for x in held]) for k in range(4, 8))
         # Of copies in this chunk the smallest document asks for all.
         o = np.lexsort((ids, text))
         asks = np.zeros(len(ids), bool)
         asks[o[bo.first_of_runs(text[o])]] = True
-        own = asks[who]
-        h, who = h[own], who[own]
-        o = np.lexsort((who, h))
-        h, who = h[o], who[o]
-        keep = bo.first_of_runs(h, who)
-        h, who = h[keep], who[keep]
-        if not len(h):
+        # Documents by id, so that a stable sort by snippet puts the earliest first.
+        place = np.empty(len(ids), np.int64)
+        place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        at = np.flatnonzero(asks[who])
+        at = at[np.argsort(place[who[at]], kind="stable")]
+        if not len(at):
             return
-        head = np.flatnonzero(bo.first_of_runs(h))
-        size = np.diff(np.append(head, len(h)))
-        many = size > 1  # texts of this chunk that share a hash are told at once; one entry asks for the others
-        told = np.flatnonzero(np.repeat(many, size))
-        rows = [(int(ids[0] % buckets), True, told, np.ones(len(told), bool))] if len(told) else []
-        bucket = (h[head] >> np.uint64(40)) % np.uint64(buckets)
+        key = bo.mix(h[at] ^ _HASH_SALT) + digest[at]
+        at = at[np.argsort(key, kind="stable")]
+        new = bo.first_of_runs(h[at], digest[at])
+        low = ids[who[at]][np.flatnonzero(new)][np.cumsum(new) - 1]
+        later = ids[who[at]] > low
+        if later.any():
+            t = at[later]
+            doc, lo, hi = _spans_by_row(who[t], start[t], start[t] + size[t])
+            local, owner = np.unique(doc, return_inverse=True)
+            yield _ask_row(int(tags[local[0]] % buckets), True, ids[local], tags[local], owner, np.empty(0, np.uint32), np.empty(0, np.uint64), lo, hi - lo)
+        at = np.sort(at[~later])
+        bucket = ((h[at] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         o = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[o], np.arange(buckets + 1))
-        rows += [(b, False, head[o[cut[b] : cut[b + 1]]], many[o[cut[b] : cut[b + 1]]]) for b in range(buckets) if cut[b + 1] > cut[b]]
-        for b, tell, at, flag in rows:
-            local, owner = np.unique(who[at], return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.array([tell]), *(bo.binary_array([x.tobytes()]) for x in (ids[local], owner.astype(np.int32), text[local], h[at], flag))],
-                names=["bucket", "tell", "ids", "owners", "texts", "hashes", "shared"],
-            )
+        at, cut = at[o], np.searchsorted(bucket[o], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            own = at[cut[b] : cut[b + 1]]
+            local, owner = np.unique(who[own], return_inverse=True)
+            yield _ask_row(b, False, ids[local], tags[local], owner, h[own].astype(np.uint32), digest[own], start[own], size[own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for lo, hi, data, offsets in bo.chunked(batch.column(1)):
-                h, _, _, who = anchors(data, offsets, length)
+            for lo, hi, data, offsets in bo.chunked(batch.column(2)):
+                h, first, end, who = anchors(data, offsets, length)
                 text = np.frombuffer(b"".join(hashlib.blake2b(data[a:b].tobytes(), digest_size=8).digest() for a, b in zip(offsets, offsets[1:], strict=False)), np.uint64)
-                held.append((np.asarray(batch.column(0).slice(lo, hi - lo), dtype=np.int64), h, who, text))
+                digest = bo.span_hashes(data, first, end + length - 1)
+                ids, tags = (np.asarray(batch.column(k).slice(lo, hi - lo), dtype=np.int64) for k in range(2))
+                held.append((ids, tags, text, who, h, digest, first - offsets[who], end - first + length - 1))
                 size += len(data)
                 if size >= _FLUSH:
                     yield from flush(held)
@@ -226,114 +275,106 @@ def _ask(length: int, buckets: int):
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All asks of some buckets -> the shared hashes of each document."""
-    ids, owners, texts, hashes, shared, tells, base = [], [], [], [], [], [], 0
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids.append(np.frombuffer(row["ids"], np.int64))
-            owners.append(np.frombuffer(row["owners"], np.int32).astype(np.int64) + base)
-            texts.append(np.frombuffer(row["texts"], np.uint64))
-            hashes.append(np.frombuffer(row["hashes"], np.uint64))
-            shared.append(np.frombuffer(row["shared"], bool))
-            tells.append(np.full(len(hashes[-1]), row["tell"]))
-            base += len(ids[-1])
-    if not ids:
-        return
-    ids, owners, texts, hashes, shared, tells = map(np.concatenate, (ids, owners, texts, hashes, shared, tells))
-    o = np.argsort(hashes, kind="stable")
-    o = np.concatenate([o[~tells[o]], o[tells[o]]])
-    ask = int((~tells).sum())
-    h, own, flag = hashes[o[:ask]], owners[o[:ask]], shared[o[:ask]]
-    if ask:
-        head = np.flatnonzero(bo.first_of_runs(h))
-        size = np.diff(np.append(head, ask))
-        text = texts[own]
-        many = (np.minimum.reduceat(text, head) != np.maximum.reduceat(text, head)) | np.logical_or.reduceat(flag, head)
-        yes = np.repeat(many, size) & ~flag  # the flagged have been told in their chunk
-    else:
-        yes = np.zeros(0, bool)
-    at = np.concatenate([own[yes], owners[o[ask:]]])
-    h = np.concatenate([h[yes], hashes[o[ask:]]])
-    if not len(at):
-        return
-    doc = ids[at]
-    o = np.argsort(doc, kind="stable")
-    doc, h = doc[o], h[o]
-    head = np.flatnonzero(bo.first_of_runs(doc))
-    ends = np.append(head[1:], len(doc))
-    for k in range(0, len(head), 2000):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[head[k : k + 2000]]), bo.binary_array([h[a:b].tobytes() for a, b in zip(head[k : k + 2000], ends[k : k + 2000], strict=True)])],
-            names=["doc_id", "hashes"],
-        )
-
-
-_CUT = "bucket int, tell boolean, ids binary, starts binary, sizes binary, bytes binary"
-
+#: Parts of a bucket that are compared one after another, so that a task's arrays stay small; a power of two.
+_PARTS = 8
+_ANSWER = "doc_id long, tag long, lo binary, hi binary, starts binary, sizes binary, buckets binary"
 
-def _cut(length: int, buckets: int):
-    """Documents with their shared anchors -> distinct snippets, by bucket."""
 
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
-        ids, starts, sizes, bucket, parts, digest = (np.concatenate([x[k] for x in held]) if k != 4 else [p for x in held for p in x[4]] for k in range(6))
-        if not len(ids):
-            return
-        o = np.lexsort((starts, ids, digest))
-        ids, starts, sizes, bucket, digest = ids[o], starts[o], sizes[o], bucket[o], digest[o]
-        head = np.flatnonzero(bo.first_of_runs(digest))
-        low = np.repeat(ids[head], np.diff(np.append(head, len(ids))))
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All asks of some buckets -> what each row loses, and the places whose bytes are to be sent."""
+    told, asked = [], []
+    for batch in batches:
+        for x in batch.to_pylist():
+            ids, tags = _numbers(x["ids"], 8), _numbers(x["tags"])
+            owner, start, size = (_numbers(x[k]) for k in ("owners", "starts", "sizes"))
+            if x["tell"]:
+                told.append((ids[owner], tags[owner], start, start + size))
+            else:
+                key = np.uint64(x["bucket"]) << np.uint64(32) | np.frombuffer(x["anchors"], np.uint32).astype(np.uint64)
+                asked.append((key, _numbers(x["digests"], _DIGEST), ids[owner], tags[owner], start, size))
+    send = [np.empty(0, np.int64)] * 5
+    if asked:
+        key, digest, ids, tags, start, size = (np.concatenate([x[k] for x in asked]) for k in range(6))
+        asked.clear()
+        o = np.lexsort((ids, digest, key))
+        key, digest, ids, tags, start, size = (x[o] for x in (key, digest, ids, tags, start, size))
+        new = bo.first_of_runs(key, digest)
+        head = np.flatnonzero(new)
+        low = ids[head][np.cumsum(new) - 1]
         later = ids > low
-        if later.any():
-            at = np.flatnonzero(later)
-            yield _row(int(ids[at[0]] % buckets), True, ids[at], starts[at], sizes[at], b"")
-        at = np.flatnonzero(~later)
-        at = at[np.argsort(bucket[at], kind="stable")]
-        cut = np.searchsorted(bucket[at], np.arange(buckets + 1))
-        for b in range(buckets):
-            own = at[cut[b] : cut[b + 1]]
-            if len(own):
-                yield _row(b, False, ids[own], starts[own], sizes[own], b"".join(parts[k] for k in o[own]))
+        told.append((ids[later], tags[later], start[later], (start + size)[later]))
+        # Anchors of which two documents are the earliest of some snippet.
+        first = np.flatnonzero(bo.first_of_runs(key[head]))
+        many = np.minimum.reduceat(ids[head], first) != np.maximum.reduceat(ids[head], first)
+        wide = np.repeat(np.repeat(many, np.diff(np.append(first, len(head)))), np.diff(np.append(head, len(key))))
+        at = np.flatnonzero(wide & ~later)
+        send = [ids[at], tags[at], start[at], size[at], (key[at] >> np.uint64(32 - _PARTS.bit_length() + 1)).astype(np.int64)]
+    if not told and not len(send[0]):
+        return
+    lost = [np.concatenate([np.empty(0, np.int64), *(x[k] for x in told)]) for k in range(4)]
+    code, ids, tags = _codes(np.concatenate([lost[0], send[0]]), np.concatenate([lost[1], send[1]]))
+    row, lo, hi = _spans_by_row(code[: len(lost[0])], lost[2], lost[3])
+    sender = code[len(lost[0]) :]
+    o = np.argsort(sender, kind="stable")
+    a, b = np.searchsorted(row, np.arange(len(ids) + 1)), np.searchsorted(sender[o], np.arange(len(ids) + 1))
+    cols = ((a, lo), (a, hi), *((b, x[o]) for x in send[2:]))
+    for k in range(0, len(ids), 2000):
+        ks = range(k, min(k + 2000, len(ids)))
+        packed = [bo.binary_array([_planes(x[cut[i] : cut[i + 1]]) for i in ks]) for cut, x in cols]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 2000]), pa.array(tags[k : k + 2000]), *packed], names=[c.split()[0] for c in _ANSWER.split(", ")])
+
+
+_CUT = "bucket int, tell boolean, ids binary, tags binary, starts binary, sizes binary, parts binary, bytes binary"
+
+
+def _cut(buckets: int):
+    """Rows with their answers -> snippets to compare, by bucket; what is settled goes along."""
+
+    def flush(told: list, send: list) -> Iterator[pa.RecordBatch]:
+        if told:
+            ids, tags, lo, hi = (np.concatenate([x[k] for x in told]) for k in range(4))
+            yield _row(int(tags[0] % buckets), True, ids, tags, lo, hi - lo, b"", b"")
+        if send:
+            ids, tags, start, size, part = (np.concatenate([x[k] for x in send]) for k in range(5))
+            raw = [p for x in send for p in x[5]]
+            bucket = part // _PARTS
+            o = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[o], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                own = o[cut[b] : cut[b + 1]]
+                yield _row(b, False, ids[own], tags[own], start[own], size[own], (part[own] % _PARTS).astype(np.uint8).tobytes(), b"".join(raw[k] for k in own.tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        told, send, held = [], [], 0
         for batch in batches:
-            answers = batch.column("hashes")
-            for lo, hi, data, offsets in bo.chunked(batch.column("text")):
-                h, first, end, who = anchors(data, offsets, length)
-                cuts = np.searchsorted(who, np.arange(hi - lo + 1))
-                take = []
-                for k in range(hi - lo):
-                    known = np.sort(np.frombuffer(b"".join(answers[lo + k].as_py()), np.uint64))
-                    own = h[cuts[k] : cuts[k + 1]]
-                    if len(known) and len(own):
-                        take.append(cuts[k] + np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own))
-                take = np.concatenate(take) if take else np.empty(0, np.int64)
-                ids = np.asarray(batch.column("doc_id").slice(lo, hi - lo), dtype=np.int64)
-                ends = end[take] + length - 1
-                digest = bo.span_hashes(data, first[take], ends)
-                raw = data.tobytes()
-                parts = [raw[a:b] for a, b in zip(first[take].tolist(), ends.tolist(), strict=True)]
-                held.append((ids[who[take]], first[take] - offsets[who[take]], ends - first[take], ((h[take] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), parts, digest))
-                size += int((ends - first[take]).sum())
-                if size >= _FLUSH // 2:
-                    yield from flush(held)
-                    held, size = [], 0
-        if held:
-            yield from flush(held)
+            text = batch.column("text")
+            ids, tags = (np.asarray(batch.column(k), dtype=np.int64) for k in ("doc_id", "tag"))
+            for k, answers in enumerate(batch.column("answers").to_pylist()):
+                lo, hi, start, size, bucket = (np.concatenate([_numbers(x[c]) for x in answers]) for c in ("lo", "hi", "starts", "sizes", "buckets"))
+                if len(lo):
+                    lo, hi = _merge(lo, hi)
+                    own = np.ones(len(lo), np.int64)
+                    told.append((ids[k] * own, tags[k] * own, lo, hi))
+                if len(start):
+                    raw = text[k].as_buffer().to_pybytes()
+                    own = np.ones(len(start), np.int64)
+                    send.append((ids[k] * own, tags[k] * own, start, size, bucket, [raw[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)]))
+                held += 16 * len(lo) + 40 * len(start) + int(size.sum())
+                if held >= _FLUSH // 2:
+                    yield from flush(told, send)
+                    told, send, held = [], [], 0
+        yield from flush(told, send)
 
     return run
 
 
-def _row(bucket: int, tell: bool, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, raw: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([bucket], pa.int32()), pa.array([tell]), *(bo.binary_array([x.astype(np.int64).tobytes()]) for x in (ids, starts, sizes)), bo.binary_array([raw])],
-        names=["bucket", "tell", "ids", "starts", "sizes", "bytes"],
-    )
+def _row(bucket: int, tell: bool, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, sizes: np.ndarray, part: bytes, raw: bytes) -> pa.RecordBatch:
+    parts = [_planes(ids, 8), _planes(tags), _planes(starts), _planes(sizes), part, raw]
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([tell]), *(bo.binary_array([x]) for x in parts)], names=[c.split()[0] for c in _CUT.split(", ")])
 
 
 def match_snippets(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, from, to) of windows that a document of a smaller id has too, among these snippets."""
+    """(snippet number, from, to) of windows that a document of a smaller id has too, among these snippets."""
     offs = np.concatenate([[0], np.cumsum(sizes)])
     digest = bo.span_hashes(raw, offs[:-1], offs[1:]) ^ sizes.astype(np.uint64)
     o = np.lexsort((starts, ids, digest))
@@ -341,7 +382,7 @@ def match_snippets(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, raw:
     rep = o[head]  # the first document's first occurrence of each distinct snippet
     group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(o))))
     whole = ids[o] > ids[rep][group]
-    out = [(ids[o][whole], starts[o][whole], (starts + sizes)[o][whole])]
+    out = [(o[whole], starts[o][whole], (starts + sizes)[o][whole])]
     # The suffix array of the distinct snippets, each closed by a zero byte.
     room = sizes[rep] + 1
     place = np.concatenate([[0], np.cumsum(room)])
@@ -371,7 +412,7 @@ def match_snippets(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, raw:
             reps = n[who]
             at = same[np.repeat(begin[who], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
             a, b = np.repeat(a - place[who], reps), np.repeat(b - place[who], reps)
-            out.append((ids[o][at], starts[o][at] + a, starts[o][at] + b + length - 1))
+            out.append((o[at], starts[o][at] + a, starts[o][at] + b + length - 1))
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
@@ -379,28 +420,28 @@ def _match(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asks, told = {}, []
         for batch in batches:
-            for row in batch.to_pylist():
-                cols = [np.frombuffer(row[k], np.int64) for k in ("ids", "starts", "sizes")]
-                if row["tell"]:
-                    told.append((cols[0], cols[1], cols[1] + cols[2]))
+            for x in batch.to_pylist():
+                ids, tags, start, size = _numbers(x["ids"], 8), _numbers(x["tags"]), _numbers(x["starts"]), _numbers(x["sizes"])
+                if x["tell"]:
+                    told.append((ids, tags, start, start + size))
                 else:
-                    asks.setdefault(row["bucket"], []).append((*cols, np.frombuffer(row["bytes"], np.uint8)))
+                    part, raw = np.frombuffer(x["parts"], np.uint8), np.frombuffer(x["bytes"], np.uint8)
+                    for p in np.unique(part).tolist():
+                        own = part == p
+                        asks.setdefault((x["bucket"], p), []).append((ids[own], tags[own], start[own], size[own], raw[np.repeat(own, size)]))
         for b in list(asks):
-            told.append(match_snippets(*(np.concatenate([x[k] for x in asks[b]]) for k in range(4)), length))
-            del asks[b]
+            ids, tags, start, size, raw = (np.concatenate(x) for x in zip(*asks.pop(b), strict=True))
+            who, lo, hi = match_snippets(ids, start, size, raw, length)
+            told.append((ids[who], tags[who], lo, hi))
         if not told:
             return
-        ids, lo, hi = (np.concatenate([x[k] for x in told]) for k in range(3))
-        o = np.lexsort((lo, ids))
-        ids, lo, hi = ids[o], lo[o], hi[o]
-        head = np.flatnonzero(bo.first_of_runs(ids))
-        ends = np.append(head[1:], len(ids))
-        for k in range(0, len(head), 2000):
-            part = list(zip(head[k : k + 2000], ends[k : k + 2000], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[head[k : k + 2000]]), bo.binary_array([lo[a:b].astype(np.int32).tobytes() for a, b in part]), bo.binary_array([hi[a:b].astype(np.int32).tobytes() for a, b in part])],
-                names=["doc_id", "lo", "hi"],
-            )
+        ids, tags, lo, hi = (np.concatenate([x[k] for x in told]) for k in range(4))
+        code, ids, tags = _codes(ids, tags)
+        row, lo, hi = _spans_by_row(code, lo, hi)
+        cut = np.searchsorted(row, np.arange(len(ids) + 1))
+        for k in range(0, len(ids), 2000):
+            ks = range(k, min(k + 2000, len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 2000]), pa.array(tags[k : k + 2000]), *(bo.binary_array([x[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in ks]) for x in (lo, hi))], names=["doc_id", "tag", "lo", "hi"])
 
     return run
 
@@ -464,29 +505,35 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     a document of a smaller id; windows never cross documents, and overlaps count.
     Null and empty texts lose nothing and have empty bytes; texts shorter than
     `length` lose nothing.  Rows that repeat a doc_id are one document as to each
-    other.  Rows with a null doc_id come last of all and are left as they are.
+    other, whatever their texts.  Rows with a null doc_id come last of all and are left as they are.
     With `whole_characters`, a UTF-8 character of which a byte goes, goes whole.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
-    buckets = 3 * parts
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    named = base.where("doc_id is not null")
+    buckets = partitions(spark)
+    if length < 8:
+        raise ValueError("passages of less than 8 bytes have no anchors")
+    held = [F.struct(*keep).alias("_keep")] if keep else []  # so that no kept name clashes with one below
+    # A plain column where it is one already: an alias of its own would keep Spark from reusing the exchange below.
+    ident = F.col("doc_id") if id_col == "doc_id" and docs.schema["doc_id"].dataType.simpleString() == "bigint" else F.col(id_col).cast("long").alias("doc_id")
+    base = docs.select(ident, *held, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    # Rows of one id and text share their fate; rows of one id with other texts are told apart by the tag.
+    named = base.where("doc_id is not null").withColumn("tag", F.crc32("text"))
+    key = ["doc_id", "tag"]
     long_enough = named.where(F.octet_length("text") >= length)
     digest = F.sha2("text", 256)
     first = long_enough.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = long_enough.select("doc_id", digest.alias("digest")).join(first, "digest").where("doc_id > first").select("doc_id").distinct()
-    asked = long_enough.select("doc_id", "text").mapInArrow(_ask(length, buckets), _ASK).repartition(parts, "bucket")
-    shared = asked.mapInArrow(_answer, "doc_id long, hashes binary")
-    # One exchange of the texts serves both joins.
-    moved = named.repartition(parts, "doc_id")
-    known = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    ask = moved.select("doc_id", "text").join(known.hint("shuffle_hash"), "doc_id").join(copies.hint("shuffle_hash"), "doc_id", "left_anti")
-    cut = ask.mapInArrow(_cut(length, buckets), _CUT).repartition(parts, "bucket")
-    lost = cut.mapInArrow(_match(length), "doc_id long, lo binary, hi binary")
-    lost = lost.groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    out = moved.join(lost.hint("shuffle_hash"), "doc_id", "left").join(copies.withColumn("copy", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
+    copies = long_enough.select(*key, digest.alias("digest")).join(first, "digest").where("doc_id > first").select(*key).distinct()
+    asked = long_enough.select(*key, "text").mapInArrow(_ask(length, buckets), _ASK).repartitionById(buckets, F.col("bucket"))
+    answered = asked.mapInArrow(_answer, _ANSWER)
+    known = answered.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi", "starts", "sizes", "buckets")).alias("answers"))
+    # One exchange of the texts serves both joins, as both want the same of its columns.
+    ask = named.join(known.hint("shuffle_hash"), key).join(copies.hint("shuffle_hash"), key, "left_anti")
+    cut = ask.mapInArrow(_cut(buckets), _CUT).repartitionById(buckets, F.col("bucket"))
+    lost = cut.mapInArrow(_match(length), "doc_id long, tag long, lo binary, hi binary")
+    lost = lost.groupBy(*key).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    out = named.join(lost.hint("shuffle_hash"), key, "left").join(copies.withColumn("copy", F.lit(True)).hint("shuffle_hash"), key, "left").drop("tag")
     out = out.unionByName(base.where("doc_id is null"), allowMissingColumns=True)
-    kept = [f.name for f in base.schema if f.name not in ("doc_id", "text")]
-    schema = ", ".join([f"`{c}` {base.schema[c].dataType.simpleString()}" for c in ["doc_id", *kept]])
-    return out.select("doc_id", *kept, "text", "copy", "lo", "hi").mapInArrow(lambda batches: _apply(batches, whole_characters), f"{schema}, text binary, {_SPANS}, left_bytes binary")
+    kept = ["_keep"] if keep else []
+    schema = ", ".join(["doc_id long", *[f"_keep {base.schema['_keep'].dataType.simpleString()}" for _ in kept]])
+    out = out.select("doc_id", *kept, "text", "copy", "lo", "hi").mapInArrow(lambda batches: _apply(batches, whole_characters), f"{schema}, text binary, {_SPANS}, left_bytes binary")
+    return out.select("doc_id", *[F.col("_keep")[c].alias(c) for c in keep], "text", "from_bytes", "to_bytes", "left_bytes")
