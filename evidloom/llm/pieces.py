@@ -30,7 +30,7 @@ SPACE = "▁"
 LONGEST_UNIT = 512
 #: Bytes of the broadcast table of frequent units, by the bound of index_bytes.
 BROADCAST_BYTES = 160 << 20
-_FLUSH, _CHUNK = 8 << 20, 1 << 20
+_FLUSH, _CHUNK = 8 << 20, 1 << 19
 _UNKNOWN_PENALTY = 10.0
 
 

@@ -51,5 +51,20 @@ def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     return docs.join(F.broadcast(ids) if fits(ids) else ids, key, "left_anti").select(*docs.columns)
 
 
+#: Bytes of an Arrow batch, and the setting's own default.
+BATCH_BYTES, _DEFAULT_BYTES = "4m", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches: texts run from bytes to megabytes, so a bound on rows alone bounds no memory.
+
+    A bound that the session has set itself stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == _DEFAULT_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
