@@ -277,11 +277,15 @@ def _ask(length: int, buckets: int):
 
 #: Parts of a bucket that are compared one after another, so that a task's arrays stay small; a power of two.
 _PARTS = 8
+_PACKED = "place int, ids binary, tags binary, spans binary, sends binary, lo binary, hi binary, starts binary, sizes binary, buckets binary"
 _ANSWER = "doc_id long, tag long, lo binary, hi binary, starts binary, sizes binary, buckets binary"
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All asks of some buckets -> what each row loses, and the places whose bytes are to be sent."""
+def _answers(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.RecordBatch]:
+    """All asks of some buckets -> what each row loses, and the places whose bytes are to be sent.
+
+    The answers for many documents share a row for each place that the documents' hashes name.
+    """
     told, asked = [], []
     for batch in batches:
         for x in batch.to_pylist():
@@ -315,9 +319,38 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code, ids, tags = _codes(np.concatenate([lost[0], send[0]]), np.concatenate([lost[1], send[1]]))
     row, lo, hi = _spans_by_row(code[: len(lost[0])], lost[2], lost[3])
     sender = code[len(lost[0]) :]
-    o = np.argsort(sender, kind="stable")
-    a, b = np.searchsorted(row, np.arange(len(ids) + 1)), np.searchsorted(sender[o], np.arange(len(ids) + 1))
-    cols = ((a, lo), (a, hi), *((b, x[o]) for x in send[2:]))
+    place = (bo.mix(ids.view(np.uint64)) % np.uint64(places)).astype(np.int64)
+    # Documents, their spans and their sends, each ordered by place and then by document.
+    docs, spans, sends = np.argsort(place, kind="stable"), np.argsort(place[row], kind="stable"), np.lexsort((sender, place[sender]))
+    cuts = [np.searchsorted(x, np.arange(places + 1)) for x in (place[docs], place[row][spans], place[sender][sends])]
+    n_spans, n_sends = np.bincount(row, minlength=len(ids)), np.bincount(sender, minlength=len(ids))
+    for p in np.flatnonzero(np.diff(cuts[0])).tolist():
+        own, part, to = (x[c[p] : c[p + 1]] for x, c in zip((docs, spans, sends), cuts, strict=True))
+        packed = [_planes(ids[own], 8), *map(_planes, (tags[own], n_spans[own], n_sends[own], lo[part], hi[part], *(x[to] for x in send[2:])))]
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(bo.binary_array([x]) for x in packed)], names=[c.split()[0] for c in _PACKED.split(", ")])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All answers for the documents of some places -> one row for each document."""
+    docs, spans, sends = [], [], []
+    base = 0
+    for batch in batches:
+        for x in batch.to_pylist():
+            ids, tags, n_spans, n_sends = _numbers(x["ids"], 8), _numbers(x["tags"]), _numbers(x["spans"]), _numbers(x["sends"])
+            own = np.arange(base, base + len(ids))
+            docs.append((ids, tags))
+            spans.append((np.repeat(own, n_spans), _numbers(x["lo"]), _numbers(x["hi"])))
+            sends.append((np.repeat(own, n_sends), *(_numbers(x[c]) for c in ("starts", "sizes", "buckets"))))
+            base += len(ids)
+    if not docs:
+        return
+    code, ids, tags = _codes(*(np.concatenate(x) for x in zip(*docs, strict=True)))
+    row, lo, hi = (np.concatenate(x) for x in zip(*spans, strict=True))
+    row, lo, hi = _spans_by_row(code[row], lo, hi)
+    sender, start, size, bucket = (np.concatenate(x) for x in zip(*sends, strict=True))
+    o = np.argsort(code[sender], kind="stable")
+    a, b = np.searchsorted(row, np.arange(len(ids) + 1)), np.searchsorted(code[sender][o], np.arange(len(ids) + 1))
+    cols = ((a, lo), (a, hi), (b, start[o]), (b, size[o]), (b, bucket[o]))
     for k in range(0, len(ids), 2000):
         ks = range(k, min(k + 2000, len(ids)))
         packed = [bo.binary_array([_planes(x[cut[i] : cut[i + 1]]) for i in ks]) for cut, x in cols]
@@ -349,10 +382,10 @@ def _cut(buckets: int):
         for batch in batches:
             text = batch.column("text")
             ids, tags = (np.asarray(batch.column(k), dtype=np.int64) for k in ("doc_id", "tag"))
-            for k, answers in enumerate(batch.column("answers").to_pylist()):
-                lo, hi, start, size, bucket = (np.concatenate([_numbers(x[c]) for x in answers]) for c in ("lo", "hi", "starts", "sizes", "buckets"))
+            answers = [batch.column(c) for c in ("lo", "hi", "starts", "sizes", "buckets")]
+            for k in range(len(batch)):
+                lo, hi, start, size, bucket = (_numbers(x[k].as_py()) for x in answers)
                 if len(lo):
-                    lo, hi = _merge(lo, hi)
                     own = np.ones(len(lo), np.int64)
                     told.append((ids[k] * own, tags[k] * own, lo, hi))
                 if len(start):
@@ -524,8 +557,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     first = long_enough.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = long_enough.select(*key, digest.alias("digest")).join(first, "digest").where("doc_id > first").select(*key).distinct()
     asked = long_enough.select(*key, "text").mapInArrow(_ask(length, buckets), _ASK).repartitionById(buckets, F.col("bucket"))
-    answered = asked.mapInArrow(_answer, _ANSWER)
-    known = answered.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi", "starts", "sizes", "buckets")).alias("answers"))
+    answered = asked.mapInArrow(lambda batches: _answers(batches, buckets), _PACKED)
+    known = answered.repartitionById(buckets, F.col("place")).mapInArrow(_unpacked, _ANSWER)
     # One exchange of the texts serves both joins, as both want the same of its columns.
     ask = named.join(known.hint("shuffle_hash"), key).join(copies.hint("shuffle_hash"), key, "left_anti")
     cut = ask.mapInArrow(_cut(buckets), _CUT).repartitionById(buckets, F.col("bucket"))
