@@ -13,9 +13,10 @@ REACH = f"""{ONTOLOGY}, up AS (SELECT child AS node, parent AS ancestor, 1 AS de
   reach AS (SELECT node, ancestor, CAST(min(depth) AS INT) AS depth FROM up GROUP BY ALL)"""
 
 
-def reach(spark, d):
+def reach(spark, d, keep="child % 10 = 0"):
+    """(node, ancestor, depth) of the terms that `keep` names; None is every term."""
     e = ontology(spark, d)
-    return G.closure(e, "child", "parent", e.where("child % 10 = 0").select("child"))
+    return G.closure(e, "child", "parent", e.where(keep).select("child") if keep else None)
 
 
 @query("G1_ancestors", f"WITH RECURSIVE {REACH} SELECT node, ancestor, depth FROM reach")
@@ -32,10 +33,10 @@ def g2(spark, d):
 @query("G3_shortest_path", f"""WITH RECURSIVE {ONTOLOGY}, w AS (SELECT child AS node, parent AS here, CAST(child AS VARCHAR) || '>' || parent AS path, 1 AS n FROM isa WHERE child % 50 = 0
     UNION ALL SELECT w.node, i.parent, w.path || '>' || i.parent, n + 1 FROM w JOIN isa i ON w.here = i.child)
   SELECT node, min(path) AS path FROM w WHERE here = 0 AND n = (SELECT min(n) FROM w v WHERE v.node = w.node AND v.here = 0) GROUP BY 1""")
-def g3(spark, d):
+def g3(spark, d, keep="child % 50 = 0"):
     """The first shortest path to the root, by string order; a round keeps one path for each (node, term)."""
     e = ontology(spark, d)
-    at = e.where("child % 50 = 0").select(F.col("child").alias("node"), F.col("parent").alias("at"), F.concat_ws(">", F.col("child").cast("string"), F.col("parent").cast("string")).alias("path"))
+    at = e.where(keep).select(F.col("child").alias("node"), F.col("parent").alias("at"), F.concat_ws(">", F.col("child").cast("string"), F.col("parent").cast("string")).alias("path"))
     done = None
     while not at.isEmpty():
         at = G.cut(at.groupBy("node", "at").agg(F.min("path").alias("path")))
@@ -76,15 +77,18 @@ def a33(spark, d):
 RECORDS = "rec AS (SELECT l_suppkey AS patient, l_partkey AS term, max(l_returnflag) AS flag FROM lineitem WHERE l_partkey % 10 = 0 AND l_quantity > 40 GROUP BY ALL)"
 
 
-def records(spark, d):
-    li = table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_returnflag", "l_quantity").where("l_partkey % 10 = 0 and l_quantity > 40")
+def records(spark, d, keep="l_partkey % 10 = 0"):
+    li = table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_returnflag", "l_quantity").where(f"{keep} and l_quantity > 40")
     return li.groupBy(F.col("l_suppkey").alias("patient"), F.col("l_partkey").alias("term")).agg(F.max("l_returnflag").alias("flag"))
 
 
 @query("G6_positive_propagation", f"""WITH RECURSIVE {REACH}, {RECORDS} SELECT DISTINCT r.patient, u.ancestor AS term FROM rec r JOIN reach u ON r.term = u.node WHERE r.flag = 'R' AND NOT EXISTS (SELECT 1 FROM rec x WHERE x.patient = r.patient AND x.term = u.ancestor)""")
 def g6(spark, d):
-    r = records(spark, d)
-    up = r.where("flag = 'R'").join(reach(spark, d), F.col("term") == F.col("node")).select("patient", F.col("ancestor").alias("term")).distinct()
+    return propagated(records(spark, d), reach(spark, d))
+
+
+def propagated(r, ancestors):
+    up = r.where("flag = 'R'").join(ancestors, F.col("term") == F.col("node")).select("patient", F.col("ancestor").alias("term")).distinct()
     return up.join(r.select("patient", "term"), ["patient", "term"], "left_anti")
 
 
@@ -189,7 +193,10 @@ def g13(spark, d):
 
 @query("G14_structural_specificity", f"WITH RECURSIVE {REACH}, k AS (SELECT ancestor, count(DISTINCT node) AS n FROM reach GROUP BY 1) SELECT node, round(sum(1.0 / n), 8) AS specificity FROM reach JOIN k USING (ancestor) GROUP BY 1")
 def g14(spark, d):
-    r = reach(spark, d)
+    return specificity(reach(spark, d))
+
+
+def specificity(r):
     n = r.groupBy("ancestor").agg(F.count_distinct("node").alias("n"))
     return r.join(n, "ancestor").groupBy("node").agg(F.round(F.sum(1.0 / F.col("n")), 8).alias("specificity"))
 
@@ -215,8 +222,11 @@ PAIRS = "pr AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHE
 @query("G17_semantic_relation", f"""WITH RECURSIVE {REACH}, {PAIRS} SELECT a, b, CASE WHEN a = b THEN 'same' WHEN EXISTS (SELECT 1 FROM reach r WHERE r.node = a AND r.ancestor = b AND depth <= 3) THEN 'broader'
   WHEN EXISTS (SELECT 1 FROM reach r WHERE r.node = b AND r.ancestor = a AND depth <= 3) THEN 'narrower' ELSE 'none' END AS relation FROM pr""")
 def g17(spark, d):
-    r = reach(spark, d).where("depth <= 3").select(F.col("node").alias("x"), F.col("ancestor").alias("y"), F.lit(True).alias("hit"))
-    li = table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_linenumber").where("l_partkey % 10 = 0 and l_linenumber = 1")
+    return relations(table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_linenumber").where("l_partkey % 10 = 0 and l_linenumber = 1"), reach(spark, d))
+
+
+def relations(li, ancestors):
+    r = ancestors.where("depth <= 3").select(F.col("node").alias("x"), F.col("ancestor").alias("y"), F.lit(True).alias("hit"))
     p = li.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
     up = p.join(r.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("hit").alias("up")), ["a", "b"], "left").join(r.select(F.col("x").alias("b"), F.col("y").alias("a"), F.col("hit").alias("down")), ["a", "b"], "left")
     return up.select("a", "b", F.when(F.col("a") == F.col("b"), "same").when(F.col("up"), "broader").when(F.col("down"), "narrower").otherwise("none").alias("relation"))
@@ -230,6 +240,10 @@ def g18(spark, d):
 @query("A38_closure_coverage", f"""WITH RECURSIVE {REACH}, {RECORDS} SELECT r.patient, count(DISTINCT r.term) AS n_terms, count(DISTINCT CASE WHEN r.term % 4 = 0 THEN r.term END) AS exact,
   count(DISTINCT CASE WHEN u.ancestor IS NOT NULL THEN r.term END) AS by_hierarchy FROM rec r LEFT JOIN reach u ON u.node = r.term AND u.ancestor IN (3, 7, 20) GROUP BY 1""")
 def a38(spark, d):
-    up = reach(spark, d).where(F.col("ancestor").isin(3, 7, 20)).select(F.col("node").alias("term")).distinct().withColumn("hit", F.lit(True))
-    r = records(spark, d).join(up, "term", "left")
+    return coverage(records(spark, d), reach(spark, d))
+
+
+def coverage(rec, ancestors):
+    up = ancestors.where(F.col("ancestor").isin(3, 7, 20)).select(F.col("node").alias("term")).distinct().withColumn("hit", F.lit(True))
+    r = rec.join(up, "term", "left")
     return r.groupBy("patient").agg(F.count_distinct("term").alias("n_terms"), F.count_distinct(F.when(F.col("term") % 4 == 0, F.col("term"))).alias("exact"), F.count_distinct(F.when(F.col("hit"), F.col("term"))).alias("by_hierarchy"))

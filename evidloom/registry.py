@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 #: Modules of evidloom.plans that register queries when imported.
-MODULES: list[str] = ["projections", "joins", "aggregates", "metrics", "windows", "topk", "sets", "functions", "graphs", "simulation", "compounds", "streams", "sources", "texts", "validation"]
+MODULES: list[str] = ["projections", "joins", "aggregates", "metrics", "windows", "topk", "sets", "functions", "graphs", "simulation", "compounds", "streams", "sources", "texts", "validation", "whole"]
 
 
 def query(name: str, sql: str | None = None):
@@ -27,6 +27,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def without(name: str, *cuts: str) -> str:
+    """The SQL of a registered query without the given pieces, each of which it must hold."""
+    sql = ORACLE[name]
+    for c in cuts:
+        if c not in sql:
+            raise ValueError(f"the SQL of {name} does not hold {c!r}")
+        sql = sql.replace(c, "")
+    return sql
+
+
 def load() -> None:
     for m in MODULES:
         importlib.import_module(f"evidloom.plans.{m}")
