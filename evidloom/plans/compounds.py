@@ -39,16 +39,16 @@ def c3(spark, d):
 @query("C4_unreachable_share", f"""WITH RECURSIVE {ONTOLOGY}, up AS (SELECT child AS node, parent AS anc FROM isa WHERE child % 10 = 0 UNION SELECT u.node, i.parent FROM up u JOIN isa i ON u.anc = i.child),
   p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 10 = 0 AND l_quantity > 40)
   SELECT l_suppkey, round(avg(CASE WHEN h.node IS NULL THEN 1.0 ELSE 0.0 END), 8) AS gap FROM p LEFT JOIN (SELECT DISTINCT node FROM up WHERE anc = 7) h ON p.l_partkey = h.node GROUP BY 1""")
-def c4(spark, d):
+def c4(spark, d, keep="l_partkey % 10 = 0"):
     hit = G.closure(ontology(spark, d), "parent", "child", spark.createDataFrame([(7,)], "parent long")).select(F.col("ancestor").alias("l_partkey"), F.lit(0.0).alias("miss"))
-    p = table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_quantity").where("l_partkey % 10 = 0 and l_quantity > 40").select("l_suppkey", "l_partkey").distinct()
+    p = table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_quantity").where(f"{keep} and l_quantity > 40").select("l_suppkey", "l_partkey").distinct()
     return p.join(hit, "l_partkey", "left").groupBy("l_suppkey").agg(F.round(F.avg(F.coalesce("miss", F.lit(1.0))), 8).alias("gap"))
 
 
 @query("C5_failure_cause", f"""WITH {OBSERVATIONS} SELECT patient, CASE WHEN bool_or(node = 'error' AND status = 'POSITIVE') THEN 'CONFLICT' WHEN NOT bool_or(status = 'POSITIVE') THEN 'NO_EVIDENCE' WHEN count(DISTINCT CASE WHEN status = 'POSITIVE' THEN node END) < 3 THEN 'THIN' ELSE 'TIE' END AS cause FROM obs WHERE obs_id % 9 = 0 GROUP BY 1""")
-def c5(spark, d):
+def c5(spark, d, keep="obs_id % 9 = 0"):
     positive = F.col("status") == "POSITIVE"
-    g = observations(spark, d).where("obs_id % 9 = 0").groupBy("patient").agg(F.bool_or((F.col("node") == "error") & positive).alias("c"), F.bool_or(positive).alias("some"), F.count_distinct(F.when(positive, F.col("node"))).alias("n"))
+    g = observations(spark, d).where(keep).groupBy("patient").agg(F.bool_or((F.col("node") == "error") & positive).alias("c"), F.bool_or(positive).alias("some"), F.count_distinct(F.when(positive, F.col("node"))).alias("n"))
     return g.select("patient", F.when(F.col("c"), "CONFLICT").when(~F.col("some"), "NO_EVIDENCE").when(F.col("n") < 3, "THIN").otherwise("TIE").alias("cause"))
 
 

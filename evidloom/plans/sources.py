@@ -172,8 +172,8 @@ def src19(spark, d):
 
 
 @query("SRC20_long_dense_table", "SELECT vec_id, CAST(i - 1 AS INT) AS pos, embedding[i] AS v FROM embeddings CROSS JOIN range(1, 65) r(i) WHERE vec_id < 50")
-def src20(spark, d):
-    return table(spark, d, "embeddings", "vec_id", "embedding").where("vec_id < 50").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
+def src20(spark, d, keep="vec_id < 50"):
+    return table(spark, d, "embeddings", "vec_id", "embedding").where(keep).select("vec_id", F.posexplode("embedding").alias("pos", "v"))
 
 
 @query("SRC21_batched_point_lookup", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT s_suppkey * 3 FROM supplier)")

@@ -5,9 +5,16 @@ The registered SQL of the others is left as it is; here it stands without its id
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import topk as T
+from ..operators import windows as W
 from ..registry import query, without
+from . import compounds as C
 from . import graphs as G
-from .fixtures import ONTOLOGY, table
+from . import sources, windows
+from .fixtures import OBSERVATIONS, ONTOLOGY, observations, table
 
 CHILD = " WHERE child % 10 = 0"
 TERM = " l_partkey % 10 = 0 AND"
@@ -50,3 +57,116 @@ def g17(spark, d):
 @query("A38_closure_coverage_whole", without("A38_closure_coverage", CHILD, TERM))
 def a38(spark, d):
     return G.coverage(G.records(spark, d, "true"), G.reach(spark, d, None))
+
+
+@query("C4_unreachable_share_whole", without("C4_unreachable_share", CHILD, TERM))
+def c4(spark, d):
+    return C.c4(spark, d, "true")
+
+
+@query("C5_failure_cause_whole", without("C5_failure_cause", " WHERE obs_id % 9 = 0"))
+def c5(spark, d):
+    return C.c5(spark, d, "true")
+
+
+@query("C6_match_classes_whole", without("C6_match_classes", " WHERE p_partkey < 200", " WHERE s_suppkey < 10"))
+def c6(spark, d):
+    """A class for every pair of part and fact, NONE too: the output itself is the product of both tables.
+
+    The facts share their tokens, so the overlap is taken once for each part.
+    """
+    p = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_size").select("p_partkey", (F.col("p_size") % 50).alias("size"), F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("t"))
+    ft = F.array(*map(F.lit, ("red", "gear", "PROMO", "old")))
+    p = p.select("p_partkey", "size", (F.size(F.array_intersect("t", ft)) / F.least(F.size("t"), F.size(ft))).alias("r"))
+    f = table(spark, d, "supplier", "s_suppkey")
+    kind = F.when((F.col("r") >= 0.66) & (F.col("size") == F.col("s_suppkey") % 50), "EXACT").when(F.col("r") >= 0.66, "ATTRIBUTE_DIFFERS").when(F.col("r") > 0, "PARTIAL").otherwise("NONE")
+    return p.crossJoin(f).select("p_partkey", "s_suppkey", kind.alias("class"))
+
+
+@query("T8_overlap_preselect_whole", without("T8_overlap_preselect", " WHERE p_partkey % 50 = 0"))
+def t8(spark, d):
+    """Every part is a query.
+
+    A part's overlap with a query is set by the tokens they share and how often
+    the part has each. For every set of (token, count) pairs of the parts the six
+    smallest keys are kept: five others of a set that holds a part's shared
+    tokens rank before all that follow, so the best five are among them.
+    """
+    words = F.concat(F.split("p_name", " "), F.array("p_type", "p_brand"))
+    count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
+    p = table(spark, d, "part").select("p_partkey", words.alias("a"))
+    p = p.select("p_partkey", F.transform(F.array_distinct("a"), lambda x: F.struct(x.alias("t"), count(F.col("a"), x).alias("n"))).alias("a"))
+    # Sets of a part's pairs: each pair is added to each set so far.
+    sets = lambda a: F.aggregate(F.array_sort(a), F.array(F.array().cast("array<struct<t:string,n:int>>")), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, x))))
+    held = p.select("p_partkey", F.explode(sets(F.col("a"))).alias("s")).where("size(s) > 0").select("p_partkey", F.to_json("s").alias("s"))
+    first = T.top_k(held, ["s"], [F.asc("p_partkey")], 6).groupBy("s").agg(F.collect_list("p_partkey").alias("found"))
+    # A query meets a part by the part's counts, which may differ from its own; they run to the largest of the table.
+    most = table(spark, d, "part").select(F.explode(F.array_distinct(words)).alias("t"), words.alias("a")).agg(F.max(count(F.col("a"), F.col("t"))).alias("most"))
+    ask = p.crossJoin(F.broadcast(most)).select("p_partkey", "a", F.explode(F.aggregate(F.array_sort("a"), F.array(F.array().cast("array<struct<t:string,n:int>>")), lambda acc, x: F.concat(acc, F.flatten(F.transform(F.sequence(F.lit(1), F.col("most")), lambda m: F.transform(acc, lambda s: F.array_append(s, F.struct(x["t"].alias("t"), m.alias("n"))))))))).alias("s"))
+    ask = ask.where("size(s) > 0").select(F.col("p_partkey").alias("query_id"), "a", F.to_json("s").alias("s"))
+    met = ask.join(first, "s").select("query_id", "a", F.explode("found").alias("p_partkey")).where("query_id <> p_partkey").distinct()
+    n = met.join(p.select("p_partkey", F.col("a").alias("b")), "p_partkey")
+    n = n.select("query_id", "p_partkey", F.expr("aggregate(a, 0L, (z, x) -> z + aggregate(b, 0L, (y, w) -> y + IF(w.t = x.t, w.n * x.n, 0)))").alias("n"))
+    return T.top_k(n, ["query_id"], [F.desc("n"), F.asc("p_partkey")], 5)
+
+
+#: Keys of one range are digested together, so no row holds the keys of a whole group.
+RANGE = 100_000
+
+
+@query("A43_id_set_digest_whole", f"""WITH r AS (SELECT o_orderpriority, o_orderkey // {RANGE} AS r, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY ALL)
+  SELECT o_orderpriority, sha256(string_agg(digest, ',' ORDER BY r)) AS digest FROM r GROUP BY 1""")
+def a43(spark, d):
+    """The digest of the digests of key ranges, in order; it differs from one digest of all keys."""
+    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ","), 256)
+    r = table(spark, d, "orders", "o_orderkey", "o_orderpriority").groupBy("o_orderpriority", F.expr(f"o_orderkey div {RANGE}").alias("r")).agg(joined("o_orderkey").alias("digest"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("r", "digest"))), lambda x: x["digest"])
+    return r.groupBy("o_orderpriority").agg(F.sha2(F.array_join(parts, ","), 256).alias("digest"))
+
+
+@query("W13_non_overlapping_spans_whole", without("W13_non_overlapping_spans", " WHERE o_custkey < 200"))
+def w13(spark, d):
+    return windows.w13(spark, d, "true")
+
+
+@query("W14_inherited_back_whole", """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type <> 'view' THEN event_type END AS label FROM events)
+  SELECT user_id, string_agg(coalesce(l, '?'), ',' ORDER BY ts, event_id) AS labels FROM (SELECT user_id, ts, event_id, first_value(label IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM e) GROUP BY 1""")
+def w14(spark, d):
+    """Events of one time are taken by their ids."""
+    rows = F.sort_array(F.collect_list(F.struct("ts", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("label"))))
+    labels = table(spark, d, "events", "event_id", "user_id", "ts", "event_type").groupBy("user_id").agg(F.transform(rows, lambda x: x["label"]).alias("labels"))
+    return labels.select("user_id", F.array_join(W.inherited_back(F.col("labels")), ",", "?").alias("labels"))
+
+
+@query("X12_clinical_summary_whole", f"""WITH {OBSERVATIONS} SELECT patient, status, string_agg(coalesce(CASE WHEN node <> 'view' THEN upper(node) END, node), ',' ORDER BY observed_at, obs_id) AS items FROM obs GROUP BY ALL""")
+def x12(spark, d):
+    """Observations of one time are taken by their ids."""
+    labels = spark.createDataFrame([(n, n.upper()) for n in ("click", "error", "purchase", "signup")], "node string, label string")
+    o = observations(spark, d).join(F.broadcast(labels), "node", "left")  # a vocabulary
+    rows = F.sort_array(F.collect_list(F.struct("observed_at", "obs_id", F.coalesce("label", "node").alias("item"))))
+    return o.groupBy("patient", "status").agg(F.array_join(F.transform(rows, lambda x: x["item"]), ",").alias("items"))
+
+
+@query("X14_fact_candidate_rules_whole", without("X14_fact_candidate_rules", " WHERE p_partkey < 1000"))
+def x14(spark, d):
+    """Pairs are counted from the numbers of parts of a brand by type and size, without a self-join of parts."""
+    c = table(spark, d, "part", "p_brand", "p_type", "p_size").groupBy(F.col("p_brand").alias("k"), F.col("p_type").alias("t"), F.col("p_size").alias("n")).agg(F.count("*").alias("c"))
+
+    def near(keys):
+        """Pairs whose sizes differ by one at most, of one key; pairs of one size; all pairs."""
+        g = c.groupBy(*keys, "n").agg(F.sum("c").alias("c"))
+        following = F.sum("c").over(Window.partitionBy(*keys).orderBy("n").rangeBetween(1, 1))
+        g = g.select(*keys, "c", F.coalesce(following, F.lit(0)).alias("above"))
+        g = g.groupBy(*keys).agg(F.sum("c").alias("all"), F.sum(F.expr("c * (c - 1) div 2")).alias("same"), F.sum(F.col("c") * F.col("above")).alias("next"))
+        return g.agg(F.sum("same").alias("same"), F.sum("next").alias("next"), F.sum(F.expr("`all` * (`all` - 1) div 2")).alias("pairs"))
+
+    brand, kind = near(["k"]), near(["k", "t"])
+    x = brand.select((F.col("same") + F.col("next")).alias("near")).crossJoin(F.broadcast(kind))  # one row each
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(u).alias("use"), n.cast("long").alias("n")) for r, u, n in (
+        ("R1_CONFLICT", "all", F.col("pairs") - F.col("same")), ("R2_SAME", "all", F.col("same")), ("R2_SAME", "strict", F.col("same")), ("R3_NEAR", "all", F.col("near") - F.col("same") - F.col("next")))])
+    return x.select(F.inline(rules)).where("n > 0")
+
+
+@query("SRC20_long_dense_table_whole", without("SRC20_long_dense_table", " WHERE vec_id < 50"))
+def src20(spark, d):
+    return sources.src20(spark, d, "true")

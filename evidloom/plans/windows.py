@@ -97,8 +97,8 @@ def w12(spark, d):
   r AS (SELECT k, min(a) AS a, max_by(b, -1000 * a + b) AS b FROM s GROUP BY 1
     UNION ALL SELECT s.k, min(s.a), max_by(s.b, -1000 * s.a + s.b) FROM s JOIN r ON s.k = r.k AND s.a >= r.b GROUP BY s.k, r.a)
   SELECT k, string_agg(a || '-' || b, ',' ORDER BY a) AS chosen FROM r GROUP BY 1""")
-def w13(spark, d):
-    o = table(spark, d, "orders", "o_orderkey", "o_custkey").where("o_custkey < 200")
+def w13(spark, d, keep="o_custkey < 200"):
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey").where(keep)
     s = o.select(F.col("o_custkey").alias("k"), F.struct((F.col("o_orderkey") % 97).alias("start"), (F.col("o_orderkey") % 97 + 1 + F.col("o_orderkey") % 13).alias("end")).alias("s"))
     chosen = W.non_overlapping(F.collect_list("s"))
     return s.groupBy("k").agg(F.array_join(F.transform(chosen, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("chosen"))

@@ -19,3 +19,28 @@ def test_pairs_and_records_of_every_term(spark):
     assert registry.QUERIES["G17_semantic_relation_whole"](spark, DATA).count() == li.select("l_partkey", "l_suppkey").distinct().count()
     n = registry.QUERIES["A38_closure_coverage_whole"](spark, DATA).groupBy().sum("n_terms").first()[0]
     assert n == li.where("l_quantity > 40").select("l_suppkey", "l_partkey").distinct().count()
+
+
+def test_every_patient_vector_query_and_pair(spark):
+    at = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet")
+    run = lambda n: registry.QUERIES[f"{n}_whole"](spark, DATA)
+    users = at("events").select("user_id").distinct().count()
+    assert run("C5_failure_cause").count() == run("W14_inherited_back").count() == run("X12_clinical_summary").select("patient").distinct().count() == users
+    assert run("SRC20_long_dense_table").select("vec_id").distinct().count() == at("embeddings").count()
+    assert run("W13_non_overlapping_spans").count() == at("orders").select("o_custkey").distinct().count()
+    assert run("C6_match_classes").count() == at("part").count() * at("supplier").count()
+    assert run("T8_overlap_preselect").select("query_id").distinct().count() == at("part").count()
+
+
+def test_overlap_counts_repeated_words(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(2)), rng.choice("tu"), rng.choice("xy")) for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["query_id"], r["p_partkey"], r["n"]) for r in registry.QUERIES["T8_overlap_preselect_whole"](spark, str(tmp_path)).collect()}
+    want = set()
+    for q in rows:
+        n = [(-sum(x == y for x in [*q[1].split(), *q[2:]] for y in [*p[1].split(), *p[2:]]), p[0]) for p in rows if p[0] != q[0]]
+        want |= {(q[0], k, -m) for m, k in sorted(x for x in n if x[0])[:5]}
+    assert got == want
