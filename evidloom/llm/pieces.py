@@ -4,7 +4,8 @@ Texts are cut into units at places that no piece can span; a corpus has far
 fewer distinct units than words.  The lattice of the distinct units is a table:
 every substring of bounded length is exploded and joined with the piece table,
 the edges are grouped by unit, and a higher-order aggregate folds Viterbi over
-them, from left to right.  Documents then take the pieces of their units:
+them, from left to right; a unit of over LONGEST_UNIT bytes takes the same
+Viterbi in one linear pass instead.  Documents then take the pieces of their units:
 frequent units from a broadcast table of bounded size, all others by a join.
 
 Scores add up (the unigram rule), whatever model the table stems from.  Ties
@@ -13,6 +14,7 @@ take the longer last piece.  Characters without a piece become byte pieces.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ from .runtime import partitions, shared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: A run without a place to cut is cut after so many bytes, so that no lattice is unbounded.
+#: Units of more bytes are segmented by one linear pass instead of the lattice, so that no lattice is unbounded.
 LONGEST_UNIT = 512
 #: Bytes of the broadcast table of frequent units, by the bound of index_bytes.
 BROADCAST_BYTES = 160 << 20
@@ -88,17 +90,6 @@ def cut_units(data: np.ndarray, offsets: np.ndarray, joins: np.ndarray) -> tuple
     cut[offsets[:-1][offsets[:-1] < n]] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], n)
-    if (ends - starts).max(initial=0) > LONGEST_UNIT:
-        more = []
-        for a, b in zip(starts[ends - starts > LONGEST_UNIT].tolist(), ends[ends - starts > LONGEST_UNIT].tolist(), strict=True):
-            at = a + LONGEST_UNIT
-            while at < b:
-                while not lead[at]:
-                    at -= 1
-                more.append(at)
-                at += LONGEST_UNIT
-        starts = np.sort(np.concatenate([starts, np.array(more, np.int64)]))
-        ends = np.append(starts[1:], n)
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
@@ -131,11 +122,58 @@ def distinct_units(texts: DataFrame, table: PieceTable) -> DataFrame:
     return texts.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+def best_ids(unit: str, known: dict[str, tuple[int, float] | None], table: PieceTable) -> list[int]:
+    """Ids of the best segmentation; `known` has every prefix of a piece, with id and score where it is a piece.
+
+    A position keeps a score and the last piece's start and id only, so time and memory are linear in the unit.
+    """
+    n, unknown = len(unit), table.unknown_score
+    best, start, last = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    best[0] = 0.0
+    for i in range(n):
+        here = best[i]
+        for j in range(i + 1, n + 1):
+            hit = known.get(unit[i:j], -1)
+            if hit is None or hit == -1:
+                # A character that is no piece becomes bytes.
+                if j == i + 1 and here + unknown > best[j]:
+                    best[j], start[j], last[j] = here + unknown, i, -1
+                if hit is None:
+                    continue
+                break
+            if here + hit[1] > best[j]:
+                best[j], start[j], last[j] = here + hit[1], i, hit[0]
+    out, j = [], n
+    while j:
+        i = start[j]
+        out.extend([last[j]] if last[j] >= 0 else [table.byte_ids[b] for b in reversed(unit[i:j].encode())])
+        j = i
+    return out[::-1]
+
+
+def _long_units(table: PieceTable):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for batch in batches:
+            if known is None:
+                pieces = [p.replace(SPACE, " ") for p in table.pieces]
+                known = {p[:k]: None for p in pieces for k in range(1, len(p))}
+                known |= {p: (i, float(s)) for p, i, s in zip(pieces, table.ids, table.scores, strict=True)}
+            for unit in batch.column("unit").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([unit], pa.string()), pa.array([best_ids(unit, known, table)], pa.list_(pa.int32()))], names=["unit", "ids"])
+
+    return run
+
+
 def encode_units(units: DataFrame, table: PieceTable) -> DataFrame:
     """(unit, ids): the best segmentation of each distinct unit."""
     spark = units.sparkSession
     edges = spark.createDataFrame([(p.replace(SPACE, " "), i, float(s)) for p, i, s in zip(table.pieces, table.ids, table.scores, strict=True)], "piece string, id int, score double")
     span, block = table.longest, 256
+    # Every unit stays whole: those that are too long for a lattice in one row go through one pass in Python.
+    wide = F.octet_length("unit") > LONGEST_UNIT
+    long = units.where(wide).select("unit").mapInArrow(_long_units(table), "unit string, ids array<int>")
+    units = units.where(~wide)
     # Dealt by unit once, so that the edges of a unit are made, joined and grouped where it is.
     units = units.select("unit").repartition(partitions(spark), "unit")
     # Bounded substrings of bounded blocks: (start, piece) pairs of each unit.
@@ -156,7 +194,7 @@ def encode_units(units: DataFrame, table: PieceTable) -> DataFrame:
              WHEN acc[e.start].score + e.score > acc[e.end].score
              THEN concat(slice(acc, 1, e.end), array(struct(acc[e.start].score + e.score as score, concat(acc[e.start].ids, e.ids) as ids)))
              ELSE acc END)""")
-    return grouped.select("unit", F.element_at(fold, -1)["ids"].alias("ids"))
+    return grouped.select("unit", F.element_at(fold, -1)["ids"].alias("ids")).unionByName(long)
 
 
 class UnitIndex:
@@ -200,13 +238,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.asarray(lists.offsets, dtype=np.int64)
         flat = np.asarray(lists.values, dtype=np.int64)[offsets[0] : offsets[-1]]
         h = _hash_units(batch.column("unit").to_pylist())
-        yield pa.RecordBatch.from_arrays([bo.binary_array([x.tobytes()]) for x in (h, flat.astype(np.uint32), np.diff(offsets).astype(np.uint16))], names=["h", "ids", "sizes"])
+        yield pa.RecordBatch.from_arrays([bo.binary_array([x.tobytes()]) for x in (h, flat.astype(np.uint32), np.diff(offsets).astype(np.uint32))], names=["h", "ids", "sizes"])
 
 
 def _collected(encoded: DataFrame, size: int) -> UnitIndex:
     """The index of encoded units, whose number the caller has bounded."""
     rows = encoded.select("unit", "ids").mapInArrow(_packed, "h binary, ids binary, sizes binary").toArrow()
-    h, ids, sizes = (np.concatenate([np.empty(0, t), *(np.frombuffer(x.as_buffer(), t) for x in rows[c])]) for c, t in (("h", np.uint64), ("ids", np.uint32), ("sizes", np.uint16)))
+    h, ids, sizes = (np.concatenate([np.empty(0, t), *(np.frombuffer(x.as_buffer(), t) for x in rows[c])]) for c, t in (("h", np.uint64), ("ids", np.uint32), ("sizes", np.uint32)))
     return UnitIndex(h, ids.astype(np.uint16) if size <= 1 << 16 else ids, sizes)
 
 
@@ -242,9 +280,9 @@ def encode_documents(docs: DataFrame, table: PieceTable, broadcast_bytes: int =
     """(doc_id, *keep, ids, decoded): piece ids of every row's whole text, and the text decoded from them.
 
     Null and empty texts have no pieces and decode to an empty text.  U+2581 in
-    a text decodes to a space; all else comes back exactly.  A run of over
-    LONGEST_UNIT bytes without a place to cut is cut there.  Repeated rows and
-    null ids are encoded like any other; an empty table gives an empty result.
+    a text decodes to a space; all else comes back exactly.  Long runs
+    without a place to cut stay whole.  Repeated rows and null ids are encoded
+    like any other; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), *keep, normalized(F.coalesce(text_col, F.lit(""))).alias("text"))

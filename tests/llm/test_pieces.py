@@ -55,3 +55,39 @@ def test_decode_and_empty(spark, table):
     back = pieces.decode_ids(spark, enc, table).collect()
     assert back[0]["text"] == "some text"
     assert pieces.encode_documents(df.limit(0), table).collect() == []
+
+
+def linear_viterbi(text, table, scores):
+    """As viterbi(), with back pointers, for texts without characters that are no piece."""
+    text = "▁" + text.replace(" ", "▁")
+    longest, best, back = table.longest, [0.0], [None]
+    for end in range(1, len(text) + 1):
+        found = [(best[start] + scores[text[start:end]][1], -start, scores[text[start:end]][0]) for start in range(max(0, end - longest), end) if text[start:end] in scores]
+        score, start, i = max(found)
+        best.append(score)
+        back.append((-start, i))
+    ids, end = [], len(text)
+    while end:
+        end, i = back[end]
+        ids.append(i)
+    return ids[::-1]
+
+
+@pytest.mark.parametrize("bound", [pieces.BROADCAST_BYTES, 0])
+def test_long_runs_stay_whole(spark, table, bound):
+    import string
+
+    rng = random.Random(7)
+    base64, hexes = string.ascii_letters + string.digits + "+/", "0123456789abcdef"
+    run = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    scores = {p: (i, s) for p, i, s in zip(table.pieces, table.ids, table.scores, strict=True)}
+    texts = ["x" * 700, " " * 700, run(base64, 700), run(hexes, 700), "a漢é🙂b" * 120]
+    want = [viterbi(t, table, scores) for t in texts]
+    assert want[:4] == [linear_viterbi(t, table, scores) for t in texts[:4]]
+    texts += ["x" * 5000, run(base64, 5000), run(hexes, 5000), "short words " * 50, run(string.ascii_lowercase, 200_000)]  # the last has more ids than two bytes count
+    want += [linear_viterbi(t, table, scores) for t in texts[5:]]
+    out = pieces.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table, broadcast_bytes=bound).collect()
+    assert len(out) == len(texts) and len(want[-1]) > 1 << 16
+    for r in out:
+        assert r["decoded"] == texts[r["doc_id"]]
+        assert list(r["ids"]) == want[r["doc_id"]], texts[r["doc_id"]][:60]
