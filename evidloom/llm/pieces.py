@@ -165,15 +165,16 @@ def _long_units(table: PieceTable):
     return run
 
 
-def encode_units(units: DataFrame, table: PieceTable) -> DataFrame:
-    """(unit, ids): the best segmentation of each distinct unit."""
+def encode_units(units: DataFrame, table: PieceTable, any_long: bool = True) -> DataFrame:
+    """(unit, ids): the best segmentation of each distinct unit; without `any_long` no unit has over LONGEST_UNIT bytes."""
     spark = units.sparkSession
     edges = spark.createDataFrame([(p.replace(SPACE, " "), i, float(s)) for p, i, s in zip(table.pieces, table.ids, table.scores, strict=True)], "piece string, id int, score double")
     span, block = table.longest, 256
     # Every unit stays whole: those that are too long for a lattice in one row go through one pass in Python.
-    wide = F.octet_length("unit") > LONGEST_UNIT
-    long = units.where(wide).select("unit").mapInArrow(_long_units(table), "unit string, ids array<int>")
-    units = units.where(~wide)
+    if any_long:
+        wide = F.octet_length("unit") > LONGEST_UNIT
+        long = units.where(wide).select("unit").mapInArrow(_long_units(table), "unit string, ids array<int>")
+        return encode_units(units.where(~wide), table, False).unionByName(long)
     # Dealt by unit once, so that the edges of a unit are made, joined and grouped where it is.
     units = units.select("unit").repartition(partitions(spark), "unit")
     # Bounded substrings of bounded blocks: (start, piece) pairs of each unit.
@@ -194,7 +195,7 @@ def encode_units(units: DataFrame, table: PieceTable) -> DataFrame:
              WHEN acc[e.start].score + e.score > acc[e.end].score
              THEN concat(slice(acc, 1, e.end), array(struct(acc[e.start].score + e.score as score, concat(acc[e.start].ids, e.ids) as ids)))
              ELSE acc END)""")
-    return grouped.select("unit", F.element_at(fold, -1)["ids"].alias("ids")).unionByName(long)
+    return grouped.select("unit", F.element_at(fold, -1)["ids"].alias("ids"))
 
 
 class UnitIndex:
@@ -289,7 +290,8 @@ def encode_documents(docs: DataFrame, table: PieceTable, broadcast_bytes: int =
     units = shared(distinct_units(base, table))
     # Frequent units as far as the bound goes, by powers of two of their count.
     size = index_bytes(F.col("unit"))
-    levels = units.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.sum(size).alias("bytes")).orderBy(F.desc("level")).collect()  # 64 rows at most
+    levels = units.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.sum(size).alias("bytes"), F.max(F.octet_length("unit")).alias("longest")).orderBy(F.desc("level")).collect()  # 64 rows at most
+    any_long = any(r["longest"] > LONGEST_UNIT for r in levels)
     least, room = None, broadcast_bytes
     for r in levels:
         room -= r["bytes"]
@@ -298,12 +300,12 @@ def encode_documents(docs: DataFrame, table: PieceTable, broadcast_bytes: int =
         least = r["level"]
     rare = bool(levels) and (least is None or least > levels[-1]["level"])
     often = F.floor(F.log2("n")) >= F.lit(least if least is not None else 1 << 20)
-    index = spark.sparkContext.broadcast(_collected(encode_units(units.where(often), table), table.size))
+    index = spark.sparkContext.broadcast(_collected(encode_units(units.where(often), table, any_long), table.size))
     if not rare:
         return _encode(base.withColumn("extra", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>")), table, index)
     row = base.withColumn("row", F.xxhash64("doc_id", "text"))  # rows of one id and text have the same units
     wanted = row.select("row", "text").mapInArrow(_missing(table, index), "row long, unit string").distinct()
-    extra = wanted.join(encode_units(units.where(~often), table), "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
+    extra = wanted.join(encode_units(units.where(~often), table, any_long), "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
     return _encode(row.join(extra, "row", "left").drop("row"), table, index)
 
 
