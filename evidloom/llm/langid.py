@@ -23,12 +23,14 @@ UNKNOWN = "und"
 
 
 def train(docs: DataFrame, dictionary_bytes: int = 100_000, sample: int = 400, text_bytes: int = 4_096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw-content dictionaries: whole texts of each language, first by hash of the id, up to `dictionary_bytes`.
+    """Raw-content dictionaries: whole texts of each language, first by hash of the id, until `dictionary_bytes` are reached.
 
     At most `sample` texts of at most `text_bytes` a language pass through the
-    driver.  Null texts and languages are left out; a text of two languages' rows teaches both.
+    driver; a language without a text of 64 to `text_bytes` bytes is learned from
+    those nearest to that range.  Null texts and languages are left out; a text of two languages' rows teaches both.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    every = slim
     slim = slim.where((F.octet_length("text") <= text_bytes) & (F.octet_length("text") >= 64))
     small = slim.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("key"), "text")
     # A first choice inside buckets of the hash keeps the ranking of one language from gathering in one task.
@@ -40,8 +42,16 @@ def train(docs: DataFrame, dictionary_bytes: int = 100_000, sample: int = 400, t
         held = out.setdefault(row["lang"], [])
         if sum(map(len, held)) < dictionary_bytes:
             held.append(_plain(row["text"].encode()))
-    order = [r["lang"] for r in slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
-    return {k: b" ".join(out[k])[:dictionary_bytes] for k in order}
+    order = [r["lang"] for r in every.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    if lost := [k for k in order if k not in out]:
+        # The shortest of the longer texts, then the longest of the short ones.
+        size = F.octet_length("text")
+        near = Window.partitionBy("lang").orderBy(size < 64, F.when(size < 64, -size).otherwise(size), "doc_id", "text")
+        rest = every.where(F.col("lang").isin(lost)).withColumn("r", F.row_number().over(near)).where(F.col("r") <= sample)
+        rest = rest.withColumn("before", F.sum(size).over(near.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < dictionary_bytes)
+        for row in rest.orderBy("lang", "r").select("lang", "text").collect():
+            out.setdefault(row["lang"], []).append(_plain(row["text"].encode()))
+    return {k: d for k in order if (d := b" ".join(out[k]).strip())}
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

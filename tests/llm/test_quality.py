@@ -106,3 +106,13 @@ def test_rules_from_one_split():
 def test_held_out_column(spark):
     out = spark.range(200).select(F.col("id").alias("doc_id")).select("doc_id", queries.held_out(5, 0).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+
+
+def test_languages_of_long_or_short_texts_are_learned(spark):
+    rows = [(i, "the cat and the dog of the house " * 4, "en") for i in range(3)] + [(9, "der hund und die katze aus dem haus " * 200, "de"), (10, "le chien et la maison", "fr"), (11, "123", "xx")]
+    dictionaries = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert list(dictionaries) == ["en", "de", "fr"] and len(dictionaries["de"]) > 4096
+    whole = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dictionary_bytes=10)
+    assert whole["en"] == rows[0][1].strip().encode()  # texts are not cut
+    odd = spark.createDataFrame([(1, "die katze und der hund"), (2, "la maison et le chien")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.classify(odd, dictionaries).collect()} == {1: "de", 2: "fr"}
