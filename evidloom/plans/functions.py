@@ -153,20 +153,24 @@ def f22(spark, d):
     return j.select("a", "b", F.round(S.jaccard(F.col("ga"), F.col("gb")), 8).alias("jaccard"), F.round(S.containment(F.col("ga"), F.col("gb")), 8).alias("containment"))
 
 
-@query("F23_matching_ratio")
-def f23(spark, d):
-    """Ratcliff-Obershelp ratio of names in one block; no built-in has it, so Arrow batches do."""
+def matching_ratios(pairs):
+    """(a, b, ratio) of Ratcliff-Obershelp; no built-in has it, so Arrow batches do."""
     import difflib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(ratio=[difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(b["a"], b["b"], strict=True)])
 
-    n = table(spark, d, "part", "p_name").distinct().withColumn("k", F.substring("p_name", 1, 2))
-    pairs = n.withColumnRenamed("p_name", "a").join(n.withColumnRenamed("p_name", "b"), "k").where("a < b").select("a", "b")
     return pairs.mapInPandas(run, "a string, b string, ratio double")
 
 
+@query("F23_matching_ratio")
+def f23(spark, d):
+    """Ratcliff-Obershelp ratio of names in one block."""
+    n = table(spark, d, "part", "p_name").distinct().withColumn("k", F.substring("p_name", 1, 2))
+    return matching_ratios(n.withColumnRenamed("p_name", "a").join(n.withColumnRenamed("p_name", "b"), "k").where("a < b").select("a", "b"))
+
+
 @query("F24_tfidf_cosine", f"""WITH {GRAMS}, t AS (SELECT p_name, unnest(g) AS x FROM g), n AS (SELECT count(*) AS n FROM g), i AS (SELECT x, ln((1.0 + n) / (1 + count(*))) + 1 AS idf FROM t CROSS JOIN n GROUP BY x, n),
   w AS (SELECT p_name, x, idf / sqrt(sum(idf * idf) OVER (PARTITION BY p_name)) AS w FROM t JOIN i USING (x)),
   s AS (SELECT a.p_name AS a, b.p_name AS b, sum(a.w * b.w) AS c FROM w a JOIN w b USING (x) WHERE a.p_name <> b.p_name GROUP BY ALL)

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import topk as T
 from ..operators import windows as W
 from ..registry import query, without
 from . import compounds as C
+from . import functions as P
 from . import graphs as G
 from . import sources, windows
 from .fixtures import OBSERVATIONS, ONTOLOGY, observations, table
@@ -170,3 +172,21 @@ def x14(spark, d):
 @query("SRC20_long_dense_table_whole", without("SRC20_long_dense_table", " WHERE vec_id < 50"))
 def src20(spark, d):
     return sources.src20(spark, d, "true")
+
+
+@query("F22_jaccard_whole", f"""WITH {P.GRAMS}, x AS (SELECT a.p_name AS a, b.p_name AS b, len(a.g) AS na, len(b.g) AS nb, len(list_intersect(a.g, b.g)) AS n FROM g a CROSS JOIN g b)
+  SELECT a, b, round(n / (na + nb - n), 8) AS jaccard, round(n / na, 8) AS containment FROM x WHERE n > 0""")
+def f22(spark, d):
+    """Every pair of names with a common bigram, however they begin; all other pairs have 0."""
+    g = table(spark, d, "part", "p_name").distinct().select("p_name", S.ngrams(F.col("p_name"), 2).alias("g"))
+    t = g.select("p_name", F.size("g").alias("size"), F.explode("g").alias("x"))
+    met = t.select(F.col("p_name").alias("a"), F.col("size").alias("na"), "x").join(t.select(F.col("p_name").alias("b"), F.col("size").alias("nb"), "x"), "x")
+    n = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
+    return n.select("a", "b", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 8).alias("jaccard"), F.round(F.col("n") / F.col("na"), 8).alias("containment"))
+
+
+@query("F23_matching_ratio_whole")
+def f23(spark, d):
+    """Every pair of names, however they begin: the output itself grows with the square of the distinct names."""
+    n = table(spark, d, "part", "p_name").distinct()
+    return P.matching_ratios(n.withColumnRenamed("p_name", "a").join(n.withColumnRenamed("p_name", "b"), F.col("a") < F.col("b")))

@@ -44,3 +44,14 @@ def test_overlap_counts_repeated_words(spark, tmp_path):
         n = [(-sum(x == y for x in [*q[1].split(), *q[2:]] for y in [*p[1].split(), *p[2:]]), p[0]) for p in rows if p[0] != q[0]]
         want |= {(q[0], k, -m) for m, k in sorted(x for x in n if x[0])[:5]}
     assert got == want
+
+
+def test_names_with_other_beginnings_are_paired(spark, tmp_path):
+    import difflib
+
+    names = ["bolt red", "red bolt", "red bolts", "zzz"]
+    spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["a"], r["b"]): r["jaccard"] for r in registry.QUERIES["F22_jaccard_whole"](spark, str(tmp_path)).collect()}
+    assert got["bolt red", "red bolt"] == round(5 / 9, 8) and ("zzz", "red bolt") not in got
+    ratios = {(r["a"], r["b"]): r["ratio"] for r in registry.QUERIES["F23_matching_ratio_whole"](spark, str(tmp_path)).collect()}
+    assert ratios == {(a, b): difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a in names for b in names if a < b}
