@@ -14,11 +14,13 @@ BROADCAST_ROWS = 1_000_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names no folder (tests, one machine) is a temporary one set.
+    Only where a local session names no folder (tests, one machine) is a temporary one set; on a cluster that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="evidloom-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -45,6 +47,27 @@ def semi_by_id(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFram
     return docs.join(F.broadcast(ids) if fits(ids) else ids, key, "left_semi")
 
 
+#: Keys with more than one in so many rows are hot; so there are at most as many hot keys.
+HOT_KEYS = 1000
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, count: str, by: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
+    """rows joined with a table of one row for each key, whose column `count` says how many rows have that key.
+
+    The rows of a hot key are dealt over all partitions by a hash of the columns
+    `by`, and its row of the table is repeated for each.  Only the hot keys, at most
+    HOT_KEYS by their definition, are broadcast.  The column `count` is dropped.
+    """
+    if total is None:
+        total = table.agg(F.sum(count)).first()[0] or 0
+    salts = partitions(rows.sparkSession)
+    hot = F.col(count) > F.greatest(F.lit(total / HOT_KEYS), F.lit(1.0))
+    few = table.where(hot).select(key, F.lit(True).alias("_hot"))
+    rows = rows.join(F.broadcast(few), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
+    spread = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    return rows.join(table.withColumn("_salt", spread).drop(count), [key, "_salt"], how).drop("_salt")
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs whose key is not in ids (null keys stay); the ids are broadcast only if they are few."""
     ids = shared(ids.select(key).distinct())

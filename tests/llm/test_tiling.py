@@ -1,10 +1,49 @@
 """Greedy string tiling and decontamination against tiling of whole texts without seeds."""
 
 import random
+import time
+
+import pytest
 
 from evidloom.llm.tiling import decontaminate, greedy_tiles
 
 
+def naive_tiles(item, text, least):
+    """One length at a time from the longest down; of a length, the first free place in the item, then in the text."""
+    free_i, free_t, tiles = [True] * len(item), [True] * len(text), []
+    for n in range(min(len(item), len(text)), least - 1, -1):
+        for a in range(len(item) - n + 1):
+            for b in range(len(text) - n + 1):
+                if item[a : a + n] == text[b : b + n] and all(free_i[a : a + n]) and all(free_t[b : b + n]):
+                    tiles.append((a, b, n))
+                    free_i[a : a + n] = free_t[b : b + n] = [False] * n
+                    break
+    return tiles
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_tiles_against_a_search_of_all_places(seed):
+    rng = random.Random(seed)
+    letters = rng.choice([1, 2, 3, 8])
+    item, text = ([rng.randrange(letters) for _ in range(rng.randint(0, 24))] for _ in range(2))
+    if seed % 3 == 0:
+        text = text + [-1] + item[::-1] + item[3:12] + item[:5]
+    for least in (1, 2, 4):
+        assert greedy_tiles(item, text, least) == naive_tiles(item, text, least)
+
+
+def test_long_pairs_are_quick():
+    rng = random.Random(1)
+    base = [rng.randrange(300) for _ in range(2000)]
+    pieces = [base[k : k + 37] for k in range(0, 2000, 37)]
+    rng.shuffle(pieces)
+    text = [w for p in pieces for w in (*p, *(rng.randrange(300) for _ in range(35)))]
+    begin = time.perf_counter()
+    assert sum(n for _, _, n in greedy_tiles(base, text, 5)) > 1900
+    assert sum(n for _, _, n in greedy_tiles([7] * 2000, [7] * 4000, 5)) == 2000
+    assert time.perf_counter() - begin < 5  # well under a second each on a quiet machine
+
+
 def test_longest_tiles_first():
     item, text = list(range(20)), [*range(10, 20), 99, *range(10)]
     assert greedy_tiles(item, text, 5) == [(0, 11, 10), (10, 0, 10)]
@@ -27,7 +66,7 @@ def brute_force(docs, items, least, coverage):
         words = rolled(t)
         for k, b in items:
             item = rolled(b)
-            if item and sum(n for _, _, n in greedy_tiles(item, words, min(least, len(item)))) >= coverage * len(item):
+            if item and sum(n for _, _, n in naive_tiles(item, words, min(least, len(item)))) >= coverage * len(item):
                 out.setdefault(i, set()).add(k)
     return {i: len(v) for i, v in out.items()}
 
@@ -59,6 +98,20 @@ def test_against_whole_texts(spark):
     assert len(out) == len(docs) and {i for i, r in out.items() if r["contaminated"]} == set(want)
 
 
+def test_stock_phrases_pair_nothing(spark):
+    """Every document and item holds one phrase; only leaked items are tiled, with ids of any type."""
+    from evidloom.llm import tiling
+
+    stock = "which of the following statements is true"
+    items = [(f"i{k}", f"{stock} " + " ".join(f"q{k}w{j}" for j in range(20))) for k in range(20)]
+    docs = [(f"d{k}", f"{stock} " + " ".join(f"x{k}y{j}" for j in range(30))) for k in range(50)] + [("leak", items[3][1] + " x y z"), ("long", "pad " * 50_000 + items[5][1])]
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id string, text string, item_id string, n int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in tiling.tiled_pairs(df, bench, 5, 0.8).collect()} == {("leak", "i3"), ("long", "i5")}
+    out = {r["doc_id"]: r["item_id"] for r in decontaminate(df, bench).where("contaminated").collect()}
+    assert out == {"leak": "i3", "long": "i5"}
+
+
 def test_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, None), (2, "a b c d e f"), (2, "x")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
