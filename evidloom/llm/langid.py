@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import fits
+
 #: Matches of 3 bytes count, or short texts would find nothing in a dictionary.
 PARAMETERS = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 3, "min_match": 3, "target_length": 32, "strategy": 4}
 #: Letters stay (A-Z lower-cased); other ASCII becomes a space, so that layout and junk teach no language.
@@ -20,37 +22,37 @@ def _plain(raw: bytes) -> bytes:
 
 
 UNKNOWN = "und"
+#: Bins of the hash by which training texts are chosen.
+_BINS = 1 << 16
 
 
-def train(docs: DataFrame, dictionary_bytes: int = 100_000, sample: int = 400, text_bytes: int = 4_096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw-content dictionaries: whole texts of each language, first by hash of the id, until `dictionary_bytes` are reached.
+def train(docs: DataFrame, dictionary_bytes: int = 100_000, text_bytes: int = 4_096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """Raw-content dictionaries: whole texts of each language until `dictionary_bytes` are reached.
 
-    At most `sample` texts of at most `text_bytes` a language pass through the
-    driver; a language without a text of 64 to `text_bytes` bytes is learned from
-    those nearest to that range.  Null texts and languages are left out; a text of two languages' rows teaches both.
+    Texts of 64 to `text_bytes` bytes come first, by hash of the id and text;
+    then longer ones, the shortest first, and shorter ones.  So every language of
+    a text with a letter is learned, and at most `dictionary_bytes` and one text
+    of each pass through the driver.  Null texts and languages are left out; a
+    text of two languages' rows teaches both; repeated rows teach once; other
+    columns are ignored; an empty table teaches nothing.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    every = slim
-    slim = slim.where((F.octet_length("text") <= text_bytes) & (F.octet_length("text") >= 64))
-    small = slim.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("key"), "text")
-    # A first choice inside buckets of the hash keeps the ranking of one language from gathering in one task.
-    part = small.withColumn("bucket", F.col("key") % 64)
-    part = part.withColumn("r", F.row_number().over(Window.partitionBy("lang", "bucket").orderBy("key", "doc_id", "text"))).where(F.col("r") <= -(-sample // 32))
-    part = part.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "text"))).where(F.col("r") <= sample)
+    size = F.octet_length("text")
+    slim = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")).where("text is not null and text <> '' and lang is not null")
+    usual = F.pmod("key", F.lit(_BINS))
+    longer = F.lit(_BINS) + F.floor(F.log2(size) * 64)
+    place = F.when(size < 64, F.lit(2 * _BINS) - size).when(size > text_bytes, longer).otherwise(usual).cast("long")
+    # Bytes by bins of that order, without texts: a few rows say up to which bin a language has enough.
+    ranked = slim.select("lang", "key", size.cast("long").alias("size"), place.alias("bin"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = ranked.groupBy("lang", "bin").agg(F.sum("size").alias("size")).withColumn("before", before).where(F.col("before") < dictionary_bytes).groupBy("lang").agg(F.max("bin").alias("upto"))
+    near = ranked.distinct().join(F.broadcast(bins) if fits(bins) else bins, "lang").where("bin <= upto")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("bin", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = near.withColumn("before", before).where(F.col("before") < dictionary_bytes).select("lang", "key", "bin")
+    taken = slim.join(F.broadcast(chosen) if fits(chosen) else chosen, ["lang", "key"]).groupBy("lang", "bin", "key").agg(F.min("text").alias("text"))
     out: dict[str, list[bytes]] = {}
-    for row in part.orderBy("lang", "r").select("lang", "text").collect():
-        held = out.setdefault(row["lang"], [])
-        if sum(map(len, held)) < dictionary_bytes:
-            held.append(_plain(row["text"].encode()))
-    order = [r["lang"] for r in every.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
-    if lost := [k for k in order if k not in out]:
-        # The shortest of the longer texts, then the longest of the short ones.
-        size = F.octet_length("text")
-        near = Window.partitionBy("lang").orderBy(size < 64, F.when(size < 64, -size).otherwise(size), "doc_id", "text")
-        rest = every.where(F.col("lang").isin(lost)).withColumn("r", F.row_number().over(near)).where(F.col("r") <= sample)
-        rest = rest.withColumn("before", F.sum(size).over(near.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < dictionary_bytes)
-        for row in rest.orderBy("lang", "r").select("lang", "text").collect():
-            out.setdefault(row["lang"], []).append(_plain(row["text"].encode()))
+    for row in taken.orderBy("lang", "bin", "key").select("lang", "text").collect():
+        out.setdefault(row["lang"], []).append(_plain(row["text"].encode()))
+    order = [r["lang"] for r in slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
     return {k: d for k in order if (d := b" ".join(out[k]).strip())}
 
 
@@ -62,6 +64,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.
     `margin` of the runner-up's size; the best is still given.  Null texts and
     texts without a letter are `und` with score 0; ties go to the first dictionary,
     which training puts in the order of the languages' document counts.
+    Repeated rows are judged each, null ids too; very long texts are compressed
+    whole; other columns are ignored; an empty table gives an empty result.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     names = list(dictionaries)

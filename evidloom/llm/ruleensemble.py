@@ -139,18 +139,46 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     return stats.select("doc_id", *keep, *[F.coalesce(F.expr(e), F.lit(-1.0)).cast("double").alias(n) for n, e in FEATURES.items()])
 
 
+def _labelled(labels: DataFrame, label: str, sample: int) -> DataFrame:
+    chosen = labels.select(F.col("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
+    return chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def _texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) of the chosen ids, at most `sample`; of several rows of an id, the smallest text."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    return slim.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
     """Fit on at most `sample` labelled rows, the first by hash of the id; null labels and ids are left out.
 
-    `labels` holds (doc_id, label); what it holds out must have been filtered before.
+    `labels` holds (doc_id, label); what it holds out must have been filtered
+    before.  An id of several rows is learned from its smallest text and its
+    smallest label; very long texts count whole; other columns are ignored.
     """
-    chosen = labels.select(F.col("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # at most `sample` ids
-    rows = features(slim).dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
+    chosen = _labelled(labels, label, sample)
+    rows = features(_texts_of(docs, chosen, id_col, text_col)).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
     return fit_rules(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float))
 
 
+def highest_cutoff(docs: DataFrame, labels: DataFrame, model: RuleModel, loss: float = 0.005, sample: int = 20_000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> float:
+    """The highest score below which at most a share `loss` of labelled good texts lies, those that the model did not learn.
+
+    At most `sample` labelled rows are taken, the first by hash of the id; 0,
+    which rejects nothing, without a good one.
+    """
+    chosen = _labelled(labels, label, sample).where("y = 1")
+    scored = score(_texts_of(docs, chosen, id_col, text_col), model)
+    ranked = [r["score"] for r in scored.orderBy("score").select("score").limit(int(loss * sample) + 1).collect()]
+    lost = int(loss * scored.count())
+    return ranked[lost] if ranked else 0.0
+
+
 def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, score) of every row, between 0 and 1; null and empty texts have the features of no words."""
+    """(doc_id, *keep, score) of every row, between 0 and 1; null and empty texts have the features of no words.
+
+    Repeated rows and null ids are scored each; very long texts whole; columns
+    outside `keep` are ignored; an empty table gives an empty result.
+    """
     return features(docs, id_col, text_col, keep).select("doc_id", *keep, compile_rules(model, list(FEATURES)).alias("score"))

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidloom.llm import langid, queries, ruleensemble, toxicity
-from evidloom.llm.qualityrules import apply_rules, upper_bound
+from evidloom.llm import qualityrules
+from evidloom.llm.qualityrules import apply_rules, at_most, upper_bound
 from evidloom.llm.textstats import with_statistics
 
 DATA = "/root/testdata/sf0.01"
@@ -53,6 +54,77 @@ def test_exact_upper_bound(k, n, alpha):
         assert p == 1.0
 
 
+def test_bounds_of_large_counts_are_quick():
+    from fractions import Fraction
+
+    for k, n, p in [(0, 1, 0.5), (5, 12, 0.3), (30, 400, 0.1), (399, 400, 0.99), (200, 400, 0.5)]:
+        q = Fraction(p)
+        exact = float(sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k + 1)))
+        assert math.isclose(at_most(k, n, p), exact, rel_tol=1e-9)
+    assert 0.4 < at_most(200_000, 1_000_000, 0.2) < 0.6
+    assert 0.2 < upper_bound(200_000, 1_000_000, 1e-4) < 0.202
+
+
+def test_cutoffs_and_verdicts_against_brute_force(spark):
+    """Cutoffs from exact fractions over the labelled good texts, and the verdict of every row."""
+    from fractions import Fraction
+
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(900):
+        words = [rng.choice(["plain", "word", "text", "a", "longer"]) + str(rng.randrange(10**6)) for _ in range(rng.randint(22, 60))]
+        if i % 9 == 0:
+            words += ["###", "#$%"] * (i % 30)
+        rows.append((i, "\n".join(" ".join(words[k : k + 9]) + "." for k in range(0, len(words), 9)), "x", 1))
+        labels.append((i, int(i % 9 != 0)))
+    rows += [(900, None, None, 0), (901, "", None, 0), (5, rows[5][1], "twice", 2), (None, rows[6][1], None, 3)]
+    labels += [(5, 1), (6, 0), (None, 1), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stratum string, n_words int")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    risk, delta = 0.2, 0.05
+    out = apply_rules(docs, known, risk, delta).collect()
+    stats = with_statistics(docs).selectExpr("*", *[f"coalesce({e}, 0.0) AS r_{r}" for r, e in qualityrules.RATIOS.items()]).collect()
+    worst = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            worst[i] = min(q, worst.get(i, 1))
+    base = lambda r: r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+    stratum = lambda r: sum(r["n_words"] >= s for s in qualityrules.STRATA)
+    good = [r for r in stats if worst.get(r["doc_id"]) == 1 and not base(r)]
+    tests = sum(map(len, qualityrules.GRIDS.values())) * (len(qualityrules.STRATA) + 1)
+    p, cutoffs = Fraction(risk / len(qualityrules.GRIDS)), {}
+    for s in range(len(qualityrules.STRATA) + 1):
+        mine = [r for r in good if stratum(r) == s]
+        for rule, grid in qualityrules.GRIDS.items():
+            for c in sorted(grid, reverse=True):
+                k, n = sum(r[f"r_{rule}"] > c for r in mine), len(mine)
+                if n and k < n and sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) <= delta / tests:
+                    cutoffs[rule, s] = min(c, cutoffs.get((rule, s), c))
+    assert cutoffs
+    want = sorted(((r["doc_id"], not base(r) and not any(s == stratum(r) and r[f"r_{rule}"] > c for (rule, s), c in cutoffs.items())) for r in stats), key=str)
+    assert sorted(((r["doc_id"], r["kept"]) for r in out), key=str) == want and {k for _, k in want} == {True, False}
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    docs = [(i % 150, " ".join(rng.choice(["good", "text", "vile", "x", "slur"]) + str(rng.randrange(40)) for _ in range(30)), "s", 0) for i in range(300)] + [(160, "long " * 200_000, None, 1)]
+    labels = [(i, int(i % 3 == 0), int(i % 4 == 0)) for i in range(160)]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    make = lambda n: spark.createDataFrame(docs, "doc_id long, text string, score string, words int").repartition(n)
+    for m in (ruleensemble, toxicity):
+        a, b = m.train(make(2), known), m.train(make(7), known)
+        scored = m.score(make(3), a).collect()
+        assert len(scored) == len(docs) and sorted((r["doc_id"], round(r["score"], 9)) for r in scored) == sorted((r["doc_id"], round(r["score"], 9)) for r in m.score(make(3), b).collect())
+
+
+def test_language_training_of_repeated_rows_and_empty_tables(spark):
+    rows = [(1, "the cat and the dog " * 4, "en", "x")] * 3 + [(2, "le chien et la maison " * 4, "fr", "y"), (None, None, "zz", "z"), (3, "x" * 9, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, key string")
+    assert langid.train(df) == {"en": rows[0][1].strip().encode(), "fr": rows[3][1].strip().encode()}
+    assert langid.train(df.limit(0)) == {} and langid.classify(df.limit(0), {"en": b"the"}).collect() == []
+    assert len(langid.classify(df, langid.train(df)).collect()) == len(rows)
+
+
 def test_rules_keep_good_texts(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     out = apply_rules(docs, labels).join(labels, "doc_id")
