@@ -56,8 +56,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("from_bytes").cast("long").alias("n_spans"), F.sha2("left_bytes", 256).alias("kept_sha256"))
 
 
-#: A stand-in for a listing feed: canonical URLs of pages under these site names are the listed ones.
-LISTED_SITES = ("casino-win", "cheap-pills", "free-bets")
+#: A stand-in for a listing feed: the canonical URLs of some pages, by their id, are the listed ones; all pages are judged.
+LISTED = "page_id % 37 = 5"
 
 HOST_SQL = r"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 PATH_SQL = r"coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
@@ -72,7 +72,7 @@ WITH p AS (SELECT page_id, {HOST_SQL} AS host, {PATH_SQL} AS path FROM pages),
 c AS (SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '\.html$', ''), '/+$', '') AS u,
   CASE WHEN {_fit_sql("example.net", "/en/")} THEN 'example.net/en/' WHEN {_fit_sql("example.com", "/de/")} THEN 'example.com/de/'
     WHEN {_fit_sql("org", "/fr/")} THEN 'org/fr/' WHEN {_fit_sql("net", "/")} THEN 'net/' END AS rule FROM p),
-l AS (SELECT DISTINCT u FROM c WHERE u <> '' AND regexp_matches(u, '(^|\.)({"|".join(LISTED_SITES)})\.'))
+l AS (SELECT DISTINCT u FROM c WHERE u <> '' AND {LISTED})
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN u IN (SELECT u FROM l) THEN 'block' ELSE 'allow' END AS verdict, u IN (SELECT u FROM l) AS listed FROM c"""
 
@@ -82,7 +82,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlfilter import Rule, canonical, host_of, judge_urls, path_of
 
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    listed = pages.select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("url")).where(F.col("url").rlike(rf"(^|\.)({'|'.join(LISTED_SITES)})\."))
+    listed = pages.where(LISTED).select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("url"))
     rules = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
     return judge_urls(pages, listed, rules)
 

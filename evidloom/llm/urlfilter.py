@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import fits
+from .runtime import fits, salted_join
 
 #: Bits set per key in its block, and words of 64 bits per block.
 PROBES, WORDS = 8, 4
@@ -83,29 +83,35 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: s
     in `listed`.  The Bloom filter passes all listed URLs and few others to the
     exact join, which removes the false ones.  Its blocks grow with the list;
     filter and list are broadcast only when their row count is checked to be
-    small, else both joins are shuffled.  A null url, or one without ://, has
-    an empty host and path and is never listed.  Repeated pages are judged each;
-    an empty list blocks nothing; other columns are ignored.
+    small, else both joins are shuffled, with blocks and URLs that many pages
+    share salted.  A null url, or one without ://, has an empty host and path and
+    is never listed.  Repeated pages are judged each; very long urls whole; an
+    empty list blocks nothing; other columns are ignored; an empty table gives an empty result.
     """
     listed = listed.select(F.col(listed_col).alias("u")).where("u is not null and u <> ''").distinct()
     n = listed.count()
     blocks = max(1, -(-n // KEYS_PER_BLOCK))
     small = fits(listed)
-    hint = F.broadcast if small else (lambda df: df)
     base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     base = base.select("*", rule_column(F.col("host"), F.col("path"), rules).alias("rule"), canonical(F.col("host"), F.col("path")).alias("u"))
     base = base.select("*", _block(F.xxhash64("u"), blocks), *[m.alias(f"m{i}") for i, m in enumerate(_masks(F.col("u")))])
-    probe = base.join(hint(bloom_filter(listed, "u", blocks)), "block", "left")
+    bloom = bloom_filter(listed, "u", blocks)
     possible = F.lit(True)
     for i in range(WORDS):
         possible = possible & (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
-    probe = probe.withColumn("probe", F.when(F.coalesce(possible, F.lit(False)), F.col("u")))
+    probe = F.when(F.coalesce(possible, F.lit(False)), F.col("u"))
     exact = listed.select(F.col("u").alias("probe"), F.lit(True).alias("listed"))
     if small:
-        out = probe.join(F.broadcast(exact), "probe", "left")
-    else:  # rows that cannot be listed stay out of the shuffle
-        hits = probe.where("probe is not null").join(exact, "probe", "left")
-        out = hits.unionByName(probe.where("probe is null").withColumn("listed", F.lit(False)))
+        out = base.join(F.broadcast(bloom), "block", "left").withColumn("probe", probe).join(F.broadcast(exact), "probe", "left")
+    else:  # rows that cannot be listed stay out of the shuffles
+        urls = base.where("u <> ''")
+        met = bloom.join(urls.groupBy("block").agg(F.count("*").alias("n")), "block")
+        urls = salted_join(urls, met, "block", "n", ["page_id", "path"], "left").withColumn("probe", probe)
+        hits = urls.where("probe is not null")
+        wanted = exact.join(hits.groupBy("probe").agg(F.count("*").alias("n")), "probe")
+        hits = salted_join(hits, wanted, "probe", "n", ["page_id", "host"], "left")
+        others = urls.where("probe is null").unionByName(base.where("u = ''"), allowMissingColumns=True)
+        out = hits.unionByName(others.withColumn("listed", F.lit(False)))
     verdict = F.lit("allow")
     for kind in ("allow", "block"):
         texts = [r.text for r in rules if r.verdict == kind]

@@ -32,6 +32,27 @@ def test_verdicts(spark, monkeypatch, small):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == expected(url, set(listed) - {None, ""}), url
 
 
+def test_list_that_the_url_does_not_tell(spark):
+    """The registered query lists pages by id: equal URLs of others are listed, and no word of a URL tells it."""
+    from evidloom.llm import queries
+
+    out = queries.QUERIES["op3_url_filters"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url"), "page_id").collect()
+    plain = lambda r: re.sub(r"^(www|m)\.", "", r["host"]) + re.sub(r"/+$", "", re.sub(r"\.html$", "", r["path"]))
+    listed = {plain(r) for r in out if r["page_id"] % 37 == 5} - {""}
+    assert all(r["listed"] == (plain(r) in listed) for r in out)
+    assert {r["listed"] for r in out if re.search("casino-win|cheap-pills|free-bets", r["url"] or "")} <= {True, False}
+    assert any(r["listed"] and not re.search("casino-win|cheap-pills|free-bets", r["url"] or "") for r in out)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_hot_and_very_long_urls(spark, monkeypatch, small):
+    monkeypatch.setattr(urlfilter, "fits", lambda df: small)
+    long = "http://h.io/" + "p" * 100_000
+    rows = [(i, "http://bad.io/x") for i in range(3000)] + [(5000 + i, None) for i in range(500)] + [(9000, long), (9001, long + "?q"), (9002, long + "p")]
+    out = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([("bad.io/x",), ("h.io/" + "p" * 100_000,)], "url string"), []).collect()
+    assert len(out) == len(rows) and {r["page_id"] for r in out if r["listed"]} == {*range(3000), 9000, 9001}
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.io/b")], "page_id long, url string")
     none = spark.createDataFrame([], "url string")
