@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import bytesops as bo
 from .runtime import partitions, shared
@@ -31,7 +32,7 @@ SPACE = "▁"
 #: Units of more bytes are segmented by one linear pass instead of the lattice, so that no lattice is unbounded.
 LONGEST_UNIT = 512
 #: Bytes of the broadcast table of frequent units, by the bound of index_bytes.
-BROADCAST_BYTES = 160 << 20
+BROADCAST_BYTES = 96 << 20
 _FLUSH, _CHUNK = 8 << 20, 1 << 19
 _UNKNOWN_PENALTY = 10.0
 
@@ -198,38 +199,41 @@ def encode_units(units: DataFrame, table: PieceTable, any_long: bool = True) ->
     return grouped.select("unit", F.element_at(fold, -1)["ids"].alias("ids"))
 
 
-class UnitIndex:
-    """Sorted hashes of units with the piece ids of each."""
+Index = tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted hashes of units, offsets of their piece ids, and those ids
 
-    def __init__(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
-        o = np.argsort(h, kind="stable")
-        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        self.h, self.ids = h[o], _gather(ids, offsets, o)[0]
-        self.offsets = np.concatenate([[0], np.cumsum(sizes[o], dtype=np.int64)]).astype(np.uint32 if len(ids) < 1 << 32 else np.int64)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Index of each hash, or -1."""
-        if not len(self.h):
-            return np.full(len(h), -1, np.int64)
-        few, back = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.h, few), len(self.h) - 1)
-        return np.where(self.h[at] == few, at, -1)[back]
+def _index(h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Index:
+    """Plain arrays, which every Python worker can load; in slices, so that no work array is much larger than the index."""
+    o = np.argsort(h, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    out = np.empty_like(ids)
+    ends = np.concatenate([[0], np.cumsum(sizes[o], dtype=np.int64)])
+    for k in range(0, len(o), 100_000):
+        part = o[k : k + 100_000]
+        out[ends[k] : ends[k + len(part)]] = _gather(ids, offsets, part)[0]
+    return h[o], ends.astype(np.uint32) if len(ids) < 1 << 32 else ends, out
+
+
+def _find(index: Index, h: np.ndarray) -> np.ndarray:
+    """Place of each hash in the index, or -1."""
+    known = index[0]
+    if not len(known):
+        return np.full(len(h), -1, np.int64)
+    few, back = np.unique(h, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, few), len(known) - 1)
+    return np.where(known[at] == few, at, -1)[back]
 
 
 def index_bytes(unit: Column) -> Column:
-    """Bound of a unit's bytes in an index: its hash, offset and at most one id of four bytes for each byte."""
-    return F.lit(12) + 4 * F.octet_length(unit)
+    """Bound of a unit's bytes in an index: its hash, offset and at most one id of two bytes for each byte."""
+    return F.lit(12) + 2 * F.octet_length(unit)
 
 
-def _hash_units(units: list[str]) -> np.ndarray:
-    raw = [u.encode() for u in units]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64)
-    out = []
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    for k in range(0, len(raw), 100_000):  # bounded work arrays
-        o = offsets[k : k + 100_001]
-        out.append(bo.span_hashes(data[o[0] : o[-1]], o[:-1] - o[0], o[1:] - o[0]))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+def _hash_units(units: pa.Array) -> np.ndarray:
+    out = [np.empty(0, np.uint64)]
+    for _, _, data, offsets in bo.chunked(units, _CHUNK):
+        out.append(bo.span_hashes(data, offsets[:-1], offsets[1:]))
+    return np.concatenate(out)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,15 +242,18 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("ids")
         offsets = np.asarray(lists.offsets, dtype=np.int64)
         flat = np.asarray(lists.values, dtype=np.int64)[offsets[0] : offsets[-1]]
-        h = _hash_units(batch.column("unit").to_pylist())
-        yield pa.RecordBatch.from_arrays([bo.binary_array([x.tobytes()]) for x in (h, flat.astype(np.uint32), np.diff(offsets).astype(np.uint32))], names=["h", "ids", "sizes"])
+        wide = np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.uint32
+        h = _hash_units(batch.column("unit"))
+        yield pa.RecordBatch.from_arrays([*(bo.binary_array([x.tobytes()]) for x in (h, flat.astype(wide), np.diff(offsets).astype(np.uint32))), pa.array([np.dtype(wide).itemsize], pa.int32())], names=["h", "ids", "sizes", "width"])
 
 
-def _collected(encoded: DataFrame, size: int) -> UnitIndex:
-    """The index of encoded units, whose number the caller has bounded."""
-    rows = encoded.select("unit", "ids").mapInArrow(_packed, "h binary, ids binary, sizes binary").toArrow()
-    h, ids, sizes = (np.concatenate([np.empty(0, t), *(np.frombuffer(x.as_buffer(), t) for x in rows[c])]) for c, t in (("h", np.uint64), ("ids", np.uint32), ("sizes", np.uint32)))
-    return UnitIndex(h, ids.astype(np.uint16) if size <= 1 << 16 else ids, sizes)
+def _collected(encoded: DataFrame) -> Index:
+    """The index of encoded units, whose bytes the caller has bounded."""
+    rows = encoded.select("unit", "ids").mapInArrow(_packed, "h binary, ids binary, sizes binary, width int").toArrow()
+    width = rows["width"].to_numpy()
+    h, sizes = (np.concatenate([np.empty(0, t), *(np.frombuffer(x.as_buffer(), t) for x in rows[c])]) for c, t in (("h", np.uint64), ("sizes", np.uint32)))
+    ids = [np.frombuffer(x.as_buffer(), np.uint16 if w == 2 else np.uint32) for x, w in zip(rows["ids"], width, strict=True)]
+    return _index(h, np.concatenate([np.empty(0, np.uint16), *ids]), sizes)
 
 
 def _gather(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,12 +288,17 @@ def encode_documents(docs: DataFrame, table: PieceTable, broadcast_bytes: int =
     """(doc_id, *keep, ids, decoded): piece ids of every row's whole text, and the text decoded from them.
 
     Null and empty texts have no pieces and decode to an empty text.  U+2581 in
-    a text decodes to a space; all else comes back exactly.  Long runs
-    without a place to cut stay whole.  Repeated rows and null ids are encoded
-    like any other; an empty table gives an empty result.
+    a text decodes to a space; all else comes back exactly.  Very long texts and
+    long runs without a place to cut stay whole.  Repeated rows and null ids are
+    encoded like any other; an empty table gives an empty result.  Columns
+    outside `keep` are ignored; a kept one may have any name but doc_id, ids and
+    decoded, which are an error.
     """
+    if clash := sorted({"doc_id", "ids", "decoded"} & set(keep)):
+        raise ValueError(f"kept columns would clash with those of the result: {clash}")
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), *keep, normalized(F.coalesce(text_col, F.lit(""))).alias("text"))
+    rest = [F.struct(*keep).alias("rest")] if keep else []
+    base = docs.select(F.col(id_col).alias("doc_id"), *rest, normalized(F.coalesce(text_col, F.lit(""))).alias("text"))
     units = shared(distinct_units(base, table))
     # Frequent units as far as the bound goes, by powers of two of their count.
     size = index_bytes(F.col("unit"))
@@ -300,13 +312,16 @@ def encode_documents(docs: DataFrame, table: PieceTable, broadcast_bytes: int =
         least = r["level"]
     rare = bool(levels) and (least is None or least > levels[-1]["level"])
     often = F.floor(F.log2("n")) >= F.lit(least if least is not None else 1 << 20)
-    index = spark.sparkContext.broadcast(_collected(encode_units(units.where(often), table, any_long), table.size))
-    if not rare:
-        return _encode(base.withColumn("extra", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>")), table, index)
-    row = base.withColumn("row", F.xxhash64("doc_id", "text"))  # rows of one id and text have the same units
-    wanted = row.select("row", "text").mapInArrow(_missing(table, index), "row long, unit string").distinct()
-    extra = wanted.join(encode_units(units.where(~often), table, any_long), "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
-    return _encode(row.join(extra, "row", "left").drop("row"), table, index)
+    index = spark.sparkContext.broadcast(_collected(encode_units(units.where(often), table, any_long)))
+    if rare:
+        row = base.withColumn("row", F.xxhash64("doc_id", "text"))  # rows of one id and text have the same units
+        wanted = row.select("row", "text").mapInArrow(_missing(table, index), "row long, unit string").distinct()
+        extra = wanted.join(encode_units(units.where(~often), table, any_long), "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
+        base = row.join(extra, "row", "left").drop("row")
+    else:
+        base = base.withColumn("extra", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>"))
+    out = _encode(base, table, index)
+    return out.select("doc_id", *[F.col("rest")[c].alias(c) for c in keep], "ids", "decoded")
 
 
 def _missing(table: PieceTable, index):
@@ -318,7 +333,7 @@ def _missing(table: PieceTable, index):
             for lo, hi, data, offsets in bo.chunked(batch.column("text"), _CHUNK):
                 starts, ends, doc = cut_units(data, offsets, joins)
                 h = bo.span_hashes(data, starts, ends)
-                lost = np.flatnonzero(known.find(h) < 0)
+                lost = np.flatnonzero(_find(known, h) < 0)
                 o = lost[bo.order_in_groups(doc[lost], h[lost])]
                 o = o[bo.first_of_runs(doc[o], h[o])] if len(o) else o
                 raw = data.tobytes()
@@ -338,17 +353,20 @@ def _encode(rows: DataFrame, table: PieceTable, index) -> DataFrame:
             for lo, hi, data, offsets in bo.chunked(batch.column("text"), _CHUNK):
                 starts, ends, doc = cut_units(data, offsets, joins)
                 h = bo.span_hashes(data, starts, ends)
-                at = known.find(h)
-                ids, offs = known.ids, known.offsets
+                at = _find(known, h)
+                hashes, offs, ids = known
                 if len(at) and at.min() < 0:  # units from the join
                     more = {x["unit"]: x["ids"] for r in batch.column("extra").slice(lo, hi - lo).to_pylist() for x in r or ()}
-                    mine = UnitIndex(_hash_units(list(more)), np.array([i for v in more.values() for i in v], known.ids.dtype), np.array([len(v) for v in more.values()], np.int64))
+                    mine = _index(_hash_units(pa.array(list(more), pa.string())), np.array([i for v in more.values() for i in v], np.int32), np.array([len(v) for v in more.values()], np.int64))
                     lost = np.flatnonzero(at < 0)
+                    found = _find(mine, h[lost])
+                    if len(found) and found.min() < 0:
+                        raise ValueError("a unit has no pieces: the documents changed while they were encoded")
                     # Only what this chunk uses is put beside the units of the join.
                     used, at = np.unique(np.where(at < 0, 0, at), return_inverse=True)
-                    part, size = _gather(known.ids, known.offsets, used) if len(known.h) else (known.ids, np.zeros(len(used), np.int64))
-                    at[lost] = len(used) + mine.find(h[lost])
-                    ids, offs = np.concatenate([part, mine.ids]), np.concatenate([[0], np.cumsum(np.concatenate([size, np.diff(mine.offsets.astype(np.int64))]))])
+                    part, size = _gather(ids, offs, used) if len(hashes) else (ids, np.zeros(len(used), np.int64))
+                    at[lost] = len(used) + found
+                    ids, offs = np.concatenate([part, mine[2]]), np.concatenate([[0], np.cumsum(np.concatenate([size, np.diff(mine[1].astype(np.int64))]))])
                 flat, size = _gather(ids, offs, at)
                 flat = flat.astype(np.int64)
                 total = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=size, minlength=hi - lo))]).astype(np.int64)
@@ -358,11 +376,11 @@ def _encode(rows: DataFrame, table: PieceTable, index) -> DataFrame:
                 text = [back[a:b][1:].decode() for a, b in zip(ends_[:-1].tolist(), ends_[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in others), bo.list_array(flat, total, pa.int32()), pa.array(text, pa.string())], names=[*(f.name for f in kept), "ids", "decoded"])
 
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["ids array<int>", "decoded string"]))
+    return rows.mapInArrow(run, StructType([*kept, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
 
 
 def decode_ids(spark: SparkSession, encoded: DataFrame, table: PieceTable, ids_col: str = "ids") -> DataFrame:
-    """encoded with a column `text`: the text of its piece ids (null ids: an empty text)."""
+    """encoded with a column `text`, in place of one of that name: the text of its piece ids (null ids: an empty text)."""
     decoder = Decoder.of(table)
     schema = encoded.select(*[c for c in encoded.columns if c != "text"]).schema
 
@@ -371,4 +389,4 @@ def decode_ids(spark: SparkSession, encoded: DataFrame, table: PieceTable, ids_c
             text = [decoder.decode(np.asarray(i or (), np.int64)).tobytes()[1:].decode(errors="replace") for i in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "text"])
 
-    return encoded.select(*schema.names).mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["text string"]))
+    return encoded.select(*schema.names).mapInArrow(run, StructType([*schema, StructField("text", StringType())]))
