@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as bo
 from .components import components
-from .runtime import semi_by_id, shared
+from .runtime import fits, salted_join, semi_by_id, shared
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -148,14 +148,15 @@ def _compare(percent: int):
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
+    """(doc_id, n_shingles, component_id, kept) for every row; ids are numbers or strings.
 
     A text's set is its distinct `size`-word shingles of lower-cased (A-Z) words.
     Texts are linked at 100 * intersection >= percent * union; a pair of that
     similarity shares a band with probability over 0.99999 (24 bands of 4).
     Null, empty and wordless texts have no set and link with nothing.  Rows that
     repeat a doc_id count as one document; a row with a null doc_id is kept and
-    linked with nothing (component_id null).  Other columns are ignored.
+    linked with nothing (component_id null).  Very long texts count whole; other
+    columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     feats = shared(docs.mapInArrow(_features(size, bands, depth), f"{docs.schema['doc_id'].name} {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, bands array<long>"))
@@ -164,55 +165,63 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = some.groupBy("set_key").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
     band = reps.select("rep", F.explode("bands").alias("key"))
-    wide = band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    member = shared(band.join(wide, "key"))
+    wide = shared(band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    total = wide.agg(F.sum("n")).first()[0] or 0
+    member = shared(salted_join(band, wide.withColumn("_n", F.col("n")), "key", "_n", ["rep"], total=total))
     central = member.groupBy("rep").agg(F.sum("n").alias("score"))
-    centre = member.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("r"))
-    star = shared(member.join(centre, "key").where("rep <> r").select(F.col("rep").alias("x"), "r").distinct())
+    centre = member.join(central, "rep").groupBy("key").agg(F.min_by("rep", F.struct(-F.col("score"), F.col("rep"))).alias("r"), F.count("*").alias("_n"))
+    star = shared(salted_join(member, centre, "key", "_n", ["rep"], total=total).where("rep <> r").select(F.col("rep").alias("x"), "r").distinct())
     ids = star.select(F.col("x").alias("doc_id")).union(star.select(F.col("r").alias("doc_id")))
     sets = semi_by_id(docs, ids).mapInArrow(_sets(size), feats.select("doc_id").schema.simpleString()[7:-1] + ", shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
     sets = shared(sets)
     pairs = star.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("x_set")), "x").join(sets.select(F.col("doc_id").alias("r"), F.col("shingles").alias("r_set")), "r")
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = shared(pairs.select("x", "r", "x_set", "r_set").mapInArrow(_compare(percent), f"x {kind}, r {kind}, n_x long, n_r long, n_both long, linked boolean, lost array<long>, extra array<long>"))
-    links = seen.where("linked").select(F.col("x").alias("a"), F.col("r").alias("b"))
-    links = shared(links.unionByName(_beside_centres(seen, percent)))
-    found = components(links)
+    found = shared(components(seen.where("linked"), "x", "r"))
+    # Only links between the components found so far are left to find; they join these components.
+    across = shared(_beside_centres(seen, found, percent))
     linked = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    if not across.isEmpty():
+        joined = components(across).select(F.col("node").alias("component_id"), F.col("component").alias("top"))
+        joined = F.broadcast(joined) if fits(joined) else joined
+        linked = linked.join(joined, "component_id", "left").select("set_key", F.coalesce("top", "component_id").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "set_key").join(linked, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _beside_centres(seen: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a centre of which one at least misses the threshold with it.
+def _beside_centres(seen: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that a link joins between members of a centre, of which one at least misses the threshold with it.
 
     Members a and b of centre r have n_r - lost_a - lost_b + common elements in
     common, where common counts shared deviations; so they need a known number
     of those, and share one among the rarest of either side (prefix filter).
+    Members of one component need no further link, so deviations that only they
+    share count as shared by nobody: a large group of near copies makes no pairs.
     """
     odd = seen.groupBy("r").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("misses")).where("n > 1 and misses > 0").select("r")
     lost = F.transform("lost", lambda v: F.struct(F.lit(0).alias("side"), v.alias("v")))
     extra = F.transform("extra", lambda v: F.struct(F.lit(1).alias("side"), v.alias("v")))
-    seen = shared(seen.join(odd, "r").select("r", "x", "n_x", "n_r", "linked", F.size("lost").alias("n_lost"), F.size("extra").alias("n_extra"), F.concat(lost, extra).alias("dev")))
-    each = seen.select("r", "x", F.explode("dev").alias("d")).select("r", "x", "d.side", "d.v")
-    often = each.groupBy("r", "side", "v").agg(F.count("*").alias("c")).where("c > 1")
+    seen = seen.join(odd, "r").join(found.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("of", F.coalesce("component", "x"))
+    seen = shared(seen.select("r", "x", "of", "n_x", "n_r", "linked", F.size("lost").alias("n_lost"), F.size("extra").alias("n_extra"), F.concat(lost, extra).alias("dev")))
+    each = seen.select("r", "x", "of", F.explode("dev").alias("d")).select("r", "x", "of", "d.side", "d.v")
+    often = each.groupBy("r", "side", "v").agg(F.count("*").alias("c"), F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("r", "side", "v", "c")
     rare = each.join(often, ["r", "side", "v"]).groupBy("r", "x").agg(F.sort_array(F.collect_list(F.struct("c", "side", "v"))).alias("d"))
-    # Deviations that nobody shares come first in the order; they only shift the places.
-    rare = rare.join(seen.select("r", "x", "n_x", "n_r", "linked", "n_lost", F.size("dev").alias("n_dev"), "n_extra"), ["r", "x"])
-    rare = rare.select("r", "x", "n_x", "n_r", "linked", "n_lost", "n_extra", "n_dev", F.posexplode("d").alias("i", "e"), (F.col("n_dev") - F.size("d")).alias("alone"))
+    # Deviations that no other component shares come first in the order; they only shift the places.
+    rare = rare.join(seen.select("r", "x", "of", "n_x", "n_r", "linked", "n_lost", F.size("dev").alias("n_dev"), "n_extra"), ["r", "x"])
+    rare = rare.select("r", "x", "of", "n_x", "n_r", "linked", "n_lost", "n_extra", "n_dev", F.posexplode("d").alias("i", "e"), (F.col("n_dev") - F.size("d")).alias("alone"))
     rare = rare.select("*", (F.col("i") + F.col("alone")).alias("place"), "e.side", "e.v")
     # A miss needs this many shared deviations, even if the other side has no further ones ...
     need = F.ceil(F.expr(f"{percent} * (n_r + n_extra) / 100.0D - 1e-9")) - F.col("n_r") + F.col("n_lost")
     miss = rare.where("not linked").where(F.col("place") <= F.col("n_dev") - need)
-    miss = miss.select("r", "side", "v", F.col("x").alias("a"), F.col("n_x").alias("n_a"), F.col("n_lost").alias("lost_a"), F.col("n_dev").alias("dev_a"), F.col("place").alias("place_a"))
+    miss = miss.select("r", "side", "v", F.col("x").alias("a"), F.col("of").alias("of_a"), F.col("n_x").alias("n_a"), F.col("n_lost").alias("lost_a"), F.col("n_dev").alias("dev_a"), F.col("place").alias("place_a"))
     # ... and the other side must share more than this part of its own with any miss.
     part = F.floor(F.expr(f"({percent} * n_extra + 100 * n_lost) / ({100 + percent}.0D) + 1e-9"))
     other = rare.where(F.col("place") <= F.col("n_dev") - part - 1)
-    other = other.select("r", "side", "v", F.col("x").alias("b"), F.col("n_x").alias("n_b"), F.col("n_lost").alias("lost_b"), F.col("n_dev").alias("dev_b"), F.col("place").alias("place_b"), "n_r", "linked")
+    other = other.select("r", "side", "v", F.col("x").alias("b"), F.col("of").alias("of_b"), F.col("n_x").alias("n_b"), F.col("n_lost").alias("lost_b"), F.col("n_dev").alias("dev_b"), F.col("place").alias("place_b"), "n_r", "linked")
     least = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent} - n_r + lost_a + lost_b")
     both = miss.join(other, ["r", "side", "v"])
     # A pair of two misses is met once, from its smaller end.
-    both = both.where("a <> b and (linked or a < b)").where((F.col("place_a") <= F.col("dev_a") - least) & (F.col("place_b") <= F.col("dev_b") - least))
-    pair = both.select("r", "a", "b", "n_a", "n_b", "n_r", "lost_a", "lost_b").distinct()
+    both = both.where("of_a <> of_b and (linked or a < b)").where((F.col("place_a") <= F.col("dev_a") - least) & (F.col("place_b") <= F.col("dev_b") - least))
+    pair = both.select("r", "a", "b", "of_a", "of_b", "n_a", "n_b", "n_r", "lost_a", "lost_b").distinct()
     pair = pair.join(seen.select("r", F.col("x").alias("a"), F.col("dev").alias("da")), ["r", "a"]).join(seen.select("r", F.col("x").alias("b"), F.col("dev").alias("db")), ["r", "b"])
-    return pair.where(F.size(F.array_intersect("da", "db")) >= least).select("a", "b").distinct()
+    return pair.where(F.size(F.array_intersect("da", "db")) >= least).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()

@@ -65,6 +65,37 @@ def test_nulls_repeats_clashing_columns_and_empty(spark):
     assert near_duplicates(df.limit(0)).collect() == []
 
 
+def test_string_ids_and_a_long_text(spark):
+    rng = random.Random(3)
+    long = " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(60_000))
+    rows = [("b", long), ("a", long + " tail"), ("é", "x y"), ("z", long[: len(long) // 3]), ("y", "x  Y")]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), size=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {"a": "a", "b": "a", "z": "z" if shingle_share(rows[0][1], rows[3][1]) < 0.8 else "a", "é": "y", "y": "y"}
+
+
+def shingle_share(a, b):
+    x, y = shingles(a, 2), shingles(b, 2)
+    return len(x & y) / len(x | y)
+
+
+def test_groups_beside_a_centre(spark):
+    """Two groups of near copies that share most, but too little, with each other, and one text between them."""
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(40):
+        t = list(base)
+        t[i] = f"own{i}"
+        rows.append((i, " ".join(t)))
+    for i in range(40):
+        t = base[:80] + [f"other{k}" for k in range(20)]
+        t[i] = f"mine{i}"
+        rows.append((100 + i, " ".join(t)))
+    for extra in ([], [(200, " ".join(base[:90] + [f"other{k}" for k in range(10, 20)]))]):
+        df = spark.createDataFrame(rows + extra, "doc_id long, text string").repartition(5)
+        out = near_duplicates(df, size=1, percent=80).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out} == brute_force(rows + extra, 1, 80)
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(0)
     h = bo.mix(rng.integers(0, 1 << 60, 300, dtype=np.uint64))
@@ -74,6 +105,15 @@ def test_superminhash_estimates_jaccard():
     assert np.isinf(superminhash(h[:0], np.zeros(0, np.int64), 1, 8)).all()
 
 
+def test_components_of_a_hot_node(spark):
+    edges = [(5000, i) for i in range(10, 4000)] + [(3999, 7), (9000, 9001)]
+    e = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    assert {r["node"]: r["component"] for r in components(e).collect()} == {**{i: 7 for i in range(10, 4000)}, 7: 7, 5000: 7, 9000: 9000, 9001: 9000}
+    names = spark.createDataFrame([("é", "z"), ("z", "b"), ("c", "c")], "a string, b string")
+    assert {r["node"]: r["component"] for r in components(names).collect()} == {"é": "b", "z": "b", "b": "b"}
+    assert components(names.limit(0)).collect() == []
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 499), (None, 3), (7, 7)], "a long, b long").repartition(7)
     assert {r["node"]: r["component"] for r in components(e).collect()} == {**{i: 0 for i in range(201)}, 499: 499, 500: 499}
