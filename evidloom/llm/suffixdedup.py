@@ -17,7 +17,11 @@ select equal grams.  Neighbouring windows of one anchor form a snippet.
    after the run's first are removed.
 
 So a hot passage reaches its bucket once per chunk, and the bytes of a snippet
-once.  Copies of a whole text are settled before, by a group over the text's hash.
+once.  At its two ends every carrier has a snippet of its own, though: an anchor
+with many different snippets in a chunk, or in a bucket, is hot.  Windows of hot
+anchors leave the anchor's bucket: a task settles those that it holds twice,
+and the earliest of each goes to a bucket of its own hash, where the earliest of
+all is found.  Copies of a whole text are settled before, by a group over the text's hash.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as bo
-from .runtime import partitions
+from .runtime import partitions, salted_join, shared
 
 _HASH_SALT = np.uint64(0xA0761D6478BD642F)
 _HASH_ODD = np.uint64(0xE7037ED1A0B428DB)
@@ -210,15 +214,22 @@ def _spans_by_row(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.n
 
 #: Bytes of a snippet's hash that are sent beside its anchor's four.
 _DIGEST = 6
-_ASK = "bucket int, tell boolean, ids binary, tags binary, owners binary, anchors binary, digests binary, starts binary, sizes binary"
+_ASK = "bucket int, kind int, ids binary, tags binary, owners binary, anchors binary, digests binary, starts binary, sizes binary"
 
 
-def _ask_row(bucket: int, tell: bool, ids: np.ndarray, tags: np.ndarray, owners: np.ndarray, anchor: np.ndarray, digest: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+#: Kinds of rows: what is asked or compared, what is settled, and what belongs to hot anchors.
+_OPEN, _TOLD, _HOT = 0, 1, 2
+#: Different snippets with which an anchor is hot, in a chunk and in a bucket, and the bucket number that stands for it.
+HOT_IN_CHUNK, HOT_IN_BUCKET = 64, 4096
+_BY_WINDOW = (1 << 32) - 1
+
+
+def _ask_row(bucket: int, kind: int, ids: np.ndarray, tags: np.ndarray, owners: np.ndarray, anchor: np.ndarray, digest: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
     parts = [_planes(ids, 8), _planes(tags), _planes(owners), anchor.tobytes(), _planes(digest.view(np.int64), _DIGEST), _planes(starts), _planes(sizes)]
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([tell]), *(bo.binary_array([x]) for x in parts)], names=[c.split()[0] for c in _ASK.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), *(bo.binary_array([x]) for x in parts)], names=[c.split()[0] for c in _ASK.split(", ")])
 
 
-def _ask(length: int, buckets: int):
+def _ask(length: int, buckets: int, hot_in_chunk: int):
     """Chunks of documents -> what their earliest holders of each snippet ask, and what later ones lose."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -246,15 +257,27 @@ def _ask(length: int, buckets: int):
             t = at[later]
             doc, lo, hi = _spans_by_row(who[t], start[t], start[t] + size[t])
             local, owner = np.unique(doc, return_inverse=True)
-            yield _ask_row(int(tags[local[0]] % buckets), True, ids[local], tags[local], owner, np.empty(0, np.uint32), np.empty(0, np.uint64), lo, hi - lo)
+            yield _ask_row(int(tags[local[0]] % buckets), _TOLD, ids[local], tags[local], owner, np.empty(0, np.uint32), np.empty(0, np.uint64), lo, hi - lo)
+        value, n = np.unique(h[at[new]], return_counts=True)
+        value = value[n > hot_in_chunk]
         at = np.sort(at[~later])
-        bucket = ((h[at] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        to = lambda x: ((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        if len(value):  # these documents answer themselves, and the anchor's bucket learns that it is hot
+            hot = np.isin(h[at], value)
+            own, at = at[hot], at[~hot]
+            local, owner = np.unique(who[own], return_inverse=True)
+            yield _ask_row(int(tags[local[0]] % buckets), _HOT, ids[local], tags[local], owner, np.empty(0, np.uint32), np.empty(0, np.uint64), start[own], size[own])
+            for b in np.unique(to(value)).tolist():
+                mine = value[to(value) == b]
+                none = np.zeros(len(mine), np.int64)
+                yield _ask_row(b, _OPEN, none[:1], none[:1], none, mine.astype(np.uint32), none.view(np.uint64), none, none)
+        bucket = to(h[at])
         o = np.argsort(bucket, kind="stable")
         at, cut = at[o], np.searchsorted(bucket[o], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cut)).tolist():
             own = at[cut[b] : cut[b + 1]]
             local, owner = np.unique(who[own], return_inverse=True)
-            yield _ask_row(b, False, ids[local], tags[local], owner, h[own].astype(np.uint32), digest[own], start[own], size[own])
+            yield _ask_row(b, _OPEN, ids[local], tags[local], owner, h[own].astype(np.uint32), digest[own], start[own], size[own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -281,27 +304,32 @@ _PACKED = "place int, ids binary, tags binary, spans binary, sends binary, lo bi
 _ANSWER = "doc_id long, tag long, lo binary, hi binary, starts binary, sizes binary, buckets binary"
 
 
-def _answers(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.RecordBatch]:
+def _answers(batches: Iterator[pa.RecordBatch], places: int, hot_in_bucket: int) -> Iterator[pa.RecordBatch]:
     """All asks of some buckets -> what each row loses, and the places whose bytes are to be sent.
 
     The answers for many documents share a row for each place that the documents' hashes name.
     """
-    told, asked = [], []
+    told, asked, send = [], [], [[np.empty(0, np.int64)] * 5]
     for batch in batches:
         for x in batch.to_pylist():
             ids, tags = _numbers(x["ids"], 8), _numbers(x["tags"])
             owner, start, size = (_numbers(x[k]) for k in ("owners", "starts", "sizes"))
-            if x["tell"]:
+            if x["kind"] == _TOLD:
                 told.append((ids[owner], tags[owner], start, start + size))
+            elif x["kind"] == _HOT:
+                send.append([ids[owner], tags[owner], start, size, np.full(len(start), _BY_WINDOW)])
             else:
                 key = np.uint64(x["bucket"]) << np.uint64(32) | np.frombuffer(x["anchors"], np.uint32).astype(np.uint64)
                 asked.append((key, _numbers(x["digests"], _DIGEST), ids[owner], tags[owner], start, size))
-    send = [np.empty(0, np.int64)] * 5
+    key = np.empty(0, np.uint64)
     if asked:
         key, digest, ids, tags, start, size = (np.concatenate([x[k] for x in asked]) for k in range(6))
         asked.clear()
+        hot = np.unique(key[size == 0])  # what chunks have named
         o = np.lexsort((ids, digest, key))
+        o = o[size[o] > 0]
         key, digest, ids, tags, start, size = (x[o] for x in (key, digest, ids, tags, start, size))
+    if len(key):
         new = bo.first_of_runs(key, digest)
         head = np.flatnonzero(new)
         low = ids[head][np.cumsum(new) - 1]
@@ -310,9 +338,12 @@ def _answers(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.Reco
         # Anchors of which two documents are the earliest of some snippet.
         first = np.flatnonzero(bo.first_of_runs(key[head]))
         many = np.minimum.reduceat(ids[head], first) != np.maximum.reduceat(ids[head], first)
-        wide = np.repeat(np.repeat(many, np.diff(np.append(first, len(head)))), np.diff(np.append(head, len(key))))
-        at = np.flatnonzero(wide & ~later)
-        send = [ids[at], tags[at], start[at], size[at], (key[at] >> np.uint64(32 - _PARTS.bit_length() + 1)).astype(np.int64)]
+        n = np.diff(np.append(first, len(head)))
+        by_window = np.isin(key[head[first]], hot) | (n > hot_in_bucket)
+        every = lambda x: np.repeat(np.repeat(x, n), np.diff(np.append(head, len(key))))
+        at = np.flatnonzero(every(many | by_window) & ~later)
+        send.append([ids[at], tags[at], start[at], size[at], np.where(every(by_window)[at], _BY_WINDOW, (key[at] >> np.uint64(32 - _PARTS.bit_length() + 1)).astype(np.int64))])
+    send = [np.concatenate([x[k] for x in send]) for k in range(5)]
     if not told and not len(send[0]):
         return
     lost = [np.concatenate([np.empty(0, np.int64), *(x[k] for x in told)]) for k in range(4)]
@@ -357,16 +388,51 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 2000]), pa.array(tags[k : k + 2000]), *packed], names=[c.split()[0] for c in _ANSWER.split(", ")])
 
 
-_CUT = "bucket int, tell boolean, ids binary, tags binary, starts binary, sizes binary, parts binary, bytes binary"
+_CUT = "bucket int, kind int, ids binary, tags binary, starts binary, sizes binary, parts binary, bytes binary"
+
+
+def _earliest(ids: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by digest and id, and where in it the id is not the digest's smallest."""
+    o = np.lexsort((ids, digest))
+    new = bo.first_of_runs(digest[o])
+    return o, ids[o] > ids[o][np.flatnonzero(new)][np.cumsum(new) - 1]
+
 
+def _window_spans(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows -> maximal runs of each row."""
+    code, ids, tags = _codes(ids, tags)
+    row, lo, hi = _spans_by_row(code, start, start + length)
+    return ids[row], tags[row], lo, hi
 
-def _cut(buckets: int):
+
+def _cut(length: int, buckets: int):
     """Rows with their answers -> snippets to compare, by bucket; what is settled goes along."""
 
-    def flush(told: list, send: list) -> Iterator[pa.RecordBatch]:
+    def windows(hot: list, told: list) -> Iterator[pa.RecordBatch]:
+        ids, tags, start, size = (np.concatenate([x[k] for x in hot]) for k in range(4))
+        raw = np.frombuffer(b"".join(p for x in hot for p in x[4]), np.uint8)
+        n = size - length + 1
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(np.cumsum(size) - size, n) + inner
+        digest = bo.span_hashes(raw, at, at + length)
+        ids, tags, start = np.repeat(ids, n), np.repeat(tags, n), np.repeat(start, n) + inner
+        o, later = _earliest(ids, digest)
+        if later.any():
+            told.append(_window_spans(ids[o[later]], tags[o[later]], start[o[later]], length))
+        at = np.sort(o[~later])
+        bucket = (digest[at] % np.uint64(buckets)).astype(np.int64)
+        o = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[o], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            own = at[o[cut[b] : cut[b + 1]]]
+            yield _row(b, _HOT, ids[own], tags[own], start[own], np.empty(0, np.int64), b"", digest[own].tobytes())
+
+    def flush(told: list, send: list, hot: list) -> Iterator[pa.RecordBatch]:
+        if hot:
+            yield from windows(hot, told)
         if told:
             ids, tags, lo, hi = (np.concatenate([x[k] for x in told]) for k in range(4))
-            yield _row(int(tags[0] % buckets), True, ids, tags, lo, hi - lo, b"", b"")
+            yield _row(int(tags[0] % buckets), _TOLD, ids, tags, lo, hi - lo, b"", b"")
         if send:
             ids, tags, start, size, part = (np.concatenate([x[k] for x in send]) for k in range(5))
             raw = [p for x in send for p in x[5]]
@@ -375,10 +441,10 @@ def _cut(buckets: int):
             cut = np.searchsorted(bucket[o], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 own = o[cut[b] : cut[b + 1]]
-                yield _row(b, False, ids[own], tags[own], start[own], size[own], (part[own] % _PARTS).astype(np.uint8).tobytes(), b"".join(raw[k] for k in own.tolist()))
+                yield _row(b, _OPEN, ids[own], tags[own], start[own], size[own], (part[own] % _PARTS).astype(np.uint8).tobytes(), b"".join(raw[k] for k in own.tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told, send, held = [], [], 0
+        told, send, hot, held = [], [], [], 0
         for batch in batches:
             text = batch.column("text")
             ids, tags = (np.asarray(batch.column(k), dtype=np.int64) for k in ("doc_id", "tag"))
@@ -390,20 +456,28 @@ def _cut(buckets: int):
                     told.append((ids[k] * own, tags[k] * own, lo, hi))
                 if len(start):
                     raw = text[k].as_buffer().to_pybytes()
-                    own = np.ones(len(start), np.int64)
-                    send.append((ids[k] * own, tags[k] * own, start, size, bucket, [raw[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)]))
+                    by_window = bucket == _BY_WINDOW
+                    for own in (~by_window, by_window):
+                        if own.any():
+                            a, n, all_ = start[own], size[own], np.ones(int(own.sum()), np.int64)
+                            part = [raw[x : x + y] for x, y in zip(a.tolist(), n.tolist(), strict=True)]
+                            if own is by_window:
+                                hot.append((ids[k] * all_, tags[k] * all_, a, n, part))
+                                held += 60 * int(n.sum())
+                            else:
+                                send.append((ids[k] * all_, tags[k] * all_, a, n, bucket[own], part))
                 held += 16 * len(lo) + 40 * len(start) + int(size.sum())
                 if held >= _FLUSH // 2:
-                    yield from flush(told, send)
-                    told, send, held = [], [], 0
-        yield from flush(told, send)
+                    yield from flush(told, send, hot)
+                    told, send, hot, held = [], [], [], 0
+        yield from flush(told, send, hot)
 
     return run
 
 
-def _row(bucket: int, tell: bool, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, sizes: np.ndarray, part: bytes, raw: bytes) -> pa.RecordBatch:
+def _row(bucket: int, kind: int, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, sizes: np.ndarray, part: bytes, raw: bytes) -> pa.RecordBatch:
     parts = [_planes(ids, 8), _planes(tags), _planes(starts), _planes(sizes), part, raw]
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([tell]), *(bo.binary_array([x]) for x in parts)], names=[c.split()[0] for c in _CUT.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), *(bo.binary_array([x]) for x in parts)], names=[c.split()[0] for c in _CUT.split(", ")])
 
 
 def match_snippets(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -451,12 +525,14 @@ def match_snippets(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, raw:
 
 def _match(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asks, told = {}, []
+        asks, told, hot = {}, [], []
         for batch in batches:
             for x in batch.to_pylist():
                 ids, tags, start, size = _numbers(x["ids"], 8), _numbers(x["tags"]), _numbers(x["starts"]), _numbers(x["sizes"])
-                if x["tell"]:
+                if x["kind"] == _TOLD:
                     told.append((ids, tags, start, start + size))
+                elif x["kind"] == _HOT:
+                    hot.append((ids, tags, start, np.frombuffer(x["bytes"], np.uint64)))
                 else:
                     part, raw = np.frombuffer(x["parts"], np.uint8), np.frombuffer(x["bytes"], np.uint8)
                     for p in np.unique(part).tolist():
@@ -466,6 +542,10 @@ def _match(length: int):
             ids, tags, start, size, raw = (np.concatenate(x) for x in zip(*asks.pop(b), strict=True))
             who, lo, hi = match_snippets(ids, start, size, raw, length)
             told.append((ids[who], tags[who], lo, hi))
+        if hot:
+            ids, tags, start, digest = (np.concatenate([x[k] for x in hot]) for k in range(4))
+            o, later = _earliest(ids, digest)
+            told.append(_window_spans(ids[o[later]], tags[o[later]], start[o[later]], length))
         if not told:
             return
         ids, tags, lo, hi = (np.concatenate([x[k] for x in told]) for k in range(4))
@@ -531,7 +611,7 @@ def _apply(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Record
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), whole_characters: bool = False, hot_in_chunk: int = HOT_IN_CHUNK, hot_in_bucket: int = HOT_IN_BUCKET) -> DataFrame:
     """(doc_id, *keep, text, from_bytes, to_bytes, left_bytes): what each document loses.
 
     A byte is removed if a window of `length` bytes that covers it also starts in
@@ -540,7 +620,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     `length` lose nothing.  Rows that repeat a doc_id are one document as to each
     other, whatever their texts.  Rows with a null doc_id come last of all and are left as they are.
     With `whole_characters`, a UTF-8 character of which a byte goes, goes whole.
+    Very long texts are judged whole; columns outside `keep` are ignored; an
+    empty table gives an empty result.  Ids are integers; others are an error.
+    `hot_in_chunk` and `hot_in_bucket` say from how many different snippets on an
+    anchor is split by windows; the result is the same.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{id_col} must be an integer column; number other ids before")
     spark = docs.sparkSession
     buckets = partitions(spark)
     if length < 8:
@@ -553,15 +639,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     named = base.where("doc_id is not null").withColumn("tag", F.crc32("text"))
     key = ["doc_id", "tag"]
     long_enough = named.where(F.octet_length("text") >= length)
-    digest = F.sha2("text", 256)
-    first = long_enough.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = long_enough.select(*key, digest.alias("digest")).join(first, "digest").where("doc_id > first").select(*key).distinct()
-    asked = long_enough.select(*key, "text").mapInArrow(_ask(length, buckets), _ASK).repartitionById(buckets, F.col("bucket"))
-    answered = asked.mapInArrow(lambda batches: _answers(batches, buckets), _PACKED)
+    digest = F.unhex(F.sha2("text", 256))
+    first = shared(long_enough.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    copies = salted_join(long_enough.select(*key, digest.alias("digest")), first, "digest", "n", ["doc_id", "tag"])
+    copies = shared(copies.where("doc_id > first").select(*key).distinct())
+    asked = long_enough.select(*key, "text").mapInArrow(_ask(length, buckets, hot_in_chunk), _ASK).repartitionById(buckets, F.col("bucket"))
+    answered = asked.mapInArrow(lambda batches: _answers(batches, buckets, hot_in_bucket), _PACKED)
     known = answered.repartitionById(buckets, F.col("place")).mapInArrow(_unpacked, _ANSWER)
     # One exchange of the texts serves both joins, as both want the same of its columns.
     ask = named.join(known.hint("shuffle_hash"), key).join(copies.hint("shuffle_hash"), key, "left_anti")
-    cut = ask.mapInArrow(_cut(buckets), _CUT).repartitionById(buckets, F.col("bucket"))
+    cut = ask.mapInArrow(_cut(length, buckets), _CUT).repartitionById(buckets, F.col("bucket"))
     lost = cut.mapInArrow(_match(length), "doc_id long, tag long, lo binary, hi binary")
     lost = lost.groupBy(*key).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     out = named.join(lost.hint("shuffle_hash"), key, "left").join(copies.withColumn("copy", F.lit(True)).hint("shuffle_hash"), key, "left").drop("tag")

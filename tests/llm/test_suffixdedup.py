@@ -52,6 +52,23 @@ def test_against_brute_force(spark, seed, length):
     assert result(remove_repeats(df, length)) == brute_force(rows, length)
 
 
+@pytest.mark.parametrize(("chunk", "bucket"), [(1, 4096), (4096, 1), (0, 0), (3, 2)])
+def test_hot_anchors(spark, chunk, bucket):
+    """A passage in many documents has an own snippet of each at both ends."""
+    rng = random.Random(chunk)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passage = some(40)
+    rows = texts(5, 20) + [(1000 + i, f"{some(12)} {passage[i % 3 :]} {some(9)}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(remove_repeats(df, 50, hot_in_chunk=chunk, hot_in_bucket=bucket)) == brute_force(rows, 50)
+
+
+def test_ids_that_are_no_integers(spark):
+    with pytest.raises(TypeError, match="integer"):
+        remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"), 50)
+
+
 def test_extra_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x" * 60, "q", 3), (2, "x" * 60, None, 4)], "doc_id long, text string, row string, copy int")
     out = {r["doc_id"]: r for r in remove_repeats(df, 50, keep=("row", "copy")).collect()}
