@@ -71,9 +71,34 @@ def test_run_is_the_stages(spark, stages):
     assert sorted(r["doc_id"] for r in cp.run(spark, DATA).select("doc_id").collect()) == sorted(r["doc_id"] for r in stages[-1].select("doc_id").collect())
 
 
-def test_odd_rows_pass_through(spark):
+def test_clashing_names_keep_their_values(spark):
+    body = "a passage of words that both documents share, longer than fifty bytes"
+    rows = [(i, f"{w} {body} {w} own words", "v", True, f"c{i}", "x", "y", 5) for i, w in enumerate(("first", "second"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, no_text boolean, cut string, row string, rest string, n_chars int")
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert (r["key"], r["no_text"], r["cut"], r["row"], r["rest"]) == ("v", True, f"c{r['doc_id']}", "x", "y")
+    assert stage is cp.benchmark_decontamination
+    assert cp.sentencepiece_encoding(spark, docs.limit(0), DATA).collect() == [] and cp.quality_classifier(spark, docs.limit(0), DATA).collect() == []
+
+
+def test_quality_stage_rejects_most_bad_documents(spark):
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    kept = cp.quality_classifier(spark, docs, data).select("doc_id", F.lit(1).alias("kept"))
+    share = {r["quality"]: r["s"] for r in labels.where("quality is not null").join(kept, "doc_id", "left").groupBy("quality").agg(F.avg(F.coalesce("kept", F.lit(0))).alias("s")).collect()}
+    assert share[1] >= 0.98 and share[0] <= 0.2
+
+
+def test_odd_rows_pass_through(spark, tmp_path_factory):
     rows = [(None, None, None, None, None, "x"), (None, "text of no id", "en", "a", 13, "x"), (1, None, "en", "a", 0, None), (2, "", "en", "a", 0, None), (2, "", "en", "a", 0, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")  # without labels the first stage rejects nothing
+    labels.write.parquet(str(folder := tmp_path_factory.mktemp("odd") / "labels.parquet"))
+    first = cp.quality_classifier(spark, docs, str(folder.parent))
+    assert first.columns == docs.columns and first.count() == len(rows)
     for _, stage in cp.STAGES[1:4]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns and out.count() == len(rows)
