@@ -101,3 +101,46 @@ def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
     spark.createDataFrame([(1, i, False) for i in range(6, 9)], frames.schema).write.mode("append").parquet(str(tmp_path / "in"))
     again = stateful.run_to_table(stateful.endpoints(read(), 3, 2), name).collect()
     assert sorted((r["kind"], r["frame_no"]) for r in again) == [("end", 7), ("start", 4)]
+
+
+def test_stitched_tags_against_a_loop(spark):
+    import random
+
+    from evidloom.operators.reports import stitched_tags, window_starts
+
+    def stitch(starts, windows):
+        tags = list(windows[0])
+        for start, own in zip(starts[1:], windows[1:], strict=True):
+            middle = (start + len(tags)) // 2
+            free = [at for at in range(start, len(tags)) if tags[at] == "O" == own[at - start]]
+            cut = min(free, key=lambda at: (abs(at - middle), at), default=middle)
+            tags = tags[:cut] + own[cut - start :]
+            if cut > 0 and tags[cut - 1] != "O":
+                kind, at = tags[cut - 1][2:], cut
+                while at < len(tags) and tags[at].startswith("I-"):
+                    tags[at], at = f"I-{kind}", at + 1
+        return tags
+
+    rng, rows, want = random.Random(2), [], {}
+    for i in range(120):
+        n, size, step = rng.randint(1, 30), 8, rng.choice([3, 5, 7])
+        starts = [0] if n <= size else [*range(0, n - size, step), n - size]
+        windows = [[rng.choice(["O", "O", "B-X", "I-X", "I-Y"]) for _ in range(min(size, n))] for _ in starts]
+        rows.append((i, n, step, list(zip(starts, windows, strict=True))))
+        want[i] = stitch(starts, windows)
+    df = spark.createDataFrame(rows, "id int, n int, step int, w array<struct<start: int, tags: array<string>>>")
+    assert {r["id"]: list(r["t"]) for r in df.select("id", stitched_tags(F.col("w")).alias("t")).collect()} == want
+    for step in (3, 5, 7):
+        got = df.where(F.col("step") == step).select("n", window_starts(F.col("n"), 8, step).alias("s"), "w").collect()
+        assert all(list(r["s"]) == [x["start"] for x in r["w"]] for r in got)
+
+
+def test_power_table_is_the_normal_approximation(spark):
+    from statistics import NormalDist
+
+    from evidloom import registry
+
+    normal, rows = NormalDist(), registry.QUERIES["C32_power_table"](spark, "").collect()
+    assert len(rows) == 144
+    for r in rows:
+        assert abs(r["power"] - normal.cdf((r["margin"] - r["delta"]) / (r["d"] / r["n"]) ** 0.5 - normal.inv_cdf(1 - r["level"]))) < 1e-12
