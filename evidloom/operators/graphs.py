@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a temporary one where the session names none (one machine)."""
+    """The folder of spark.checkpoint.dir, or a temporary one where a local session names none (one machine)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidloom-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="evidloom-"))
     return context.getCheckpointDir()
 
 
@@ -26,7 +29,8 @@ def closure(edges: DataFrame, child: str, parent: str, start: DataFrame | None =
     """(node, ancestor, depth): every ancestor with its smallest depth; from the nodes of `start` only if given.
 
     Breadth-first: a round joins only the newest pairs with the edges and drops
-    those that are known, so it ends on graphs with cycles too.
+    those that are known, so it ends on graphs with cycles too.  Each level is
+    written once and never again; what is known is the union of the levels.
     """
     e = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct()
     new = e.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"))
@@ -38,7 +42,7 @@ def closure(edges: DataFrame, child: str, parent: str, start: DataFrame | None =
         if new.isEmpty():
             break
         level = new.withColumn("depth", F.lit(depth))
-        known = level if known is None else cut(known.unionByName(level))
+        known = level if known is None else known.unionByName(level)
         new = new.join(e, new["ancestor"] == e["_c"]).select("node", F.col("_p").alias("ancestor"))
         new = new.join(known, ["node", "ancestor"], "left_anti")
         depth += 1
@@ -48,24 +52,39 @@ def closure(edges: DataFrame, child: str, parent: str, start: DataFrame | None =
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, by alternating large-star and small-star rounds.
 
-    Rounds grow with the logarithm of the longest path; a hot node is only ever grouped by min.
+    Rounds grow with the logarithm of the longest path.  The edges of a hot node,
+    of which there are at most HOT_NODES by their share, are dealt over all partitions.
     """
     e = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    last = None
+    last, n = None, e.count()
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = cut(_with_lowest(both.where("b > a"), low, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_lowest(large, low, n).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = cut(small.where("a <> b").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             break
-        last = now
+        last, n = now, now[0]
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+#: A node with more than one edge in so many is hot.
+HOT_NODES = 1000
+
+
+def _with_lowest(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """edges (a, b) with the `m` of their a; edges of hot nodes are salted by b."""
+    salts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.col("n") > max(total / HOT_NODES, 1.0)
+    few = low.where(hot).select("a", F.lit(True).alias("_hot"))
+    salted = edges.join(F.broadcast(few), "a", "left").select("a", "b", F.when(F.col("_hot"), F.pmod(F.xxhash64("b"), F.lit(salts))).otherwise(0).cast("int").alias("_salt"))
+    spread = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    return salted.join(low.select("a", "m", spread.alias("_salt")), ["a", "_salt"]).select("a", "b", "m")
+
+
 def at_least(df: DataFrame, keys: list[str], verdict: str, k: Column) -> DataFrame:
     """(keys, verdict) of a k-of-n rule over true, false and null (undetermined) parts."""
     sat, und = F.count_if(verdict), F.count_if(F.col(verdict).isNull())

@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows up to which a parameter table is broadcast (tens of bytes each).
+BROADCAST_ROWS = 200_000
+
+
+def fits(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def log_scores(answers: DataFrame, likelihood: DataFrame, case: str, answer: list[str], label: str) -> DataFrame:
     """(case, label, ll): summed log likelihood of a case's answers; the likelihood table is small and broadcast by Spark's own size check."""
     return answers.join(likelihood, answer).groupBy(case, label).agg(F.sum(F.ln("p")).alias("ll"))
@@ -28,17 +36,59 @@ def entropy(p: Column) -> Column:
     return F.when(p > 0, -p * F.log2(p)).otherwise(F.lit(0.0))
 
 
+def packed(post: DataFrame, case: str, label: str) -> DataFrame:
+    """(case, post): one row a case, with an array of (label, p)."""
+    return post.groupBy(case).agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "p"))).alias("post"))
+
+
+def case_posteriors(answers: DataFrame, likelihood: DataFrame, case: str, answer: list[str], label: str) -> DataFrame:
+    """(case, post): the posterior of each case under a uniform prior, as an array of (label, p).
+
+    The likelihood must have every label for every answer, as smoothed_likelihood
+    gives it.  An answer meets the logarithms of all labels as one array, so a
+    case's answers are shuffled once and never multiplied by the labels.
+    """
+    rows = F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), F.ln("p").alias("l"))))
+    table = likelihood.groupBy(*answer).agg(rows.alias("_l"))
+    each = answers.join(F.broadcast(table) if fits(table) else table, answer).groupBy(case).agg(F.collect_list("_l").alias("_l"))
+    add = lambda acc, x: F.zip_with(acc, x, lambda a, b: F.struct(a["label"].alias("label"), (a["l"] + b["l"]).alias("l")))
+    ll = each.select(case, F.aggregate(F.slice("_l", F.lit(2), F.size("_l")), F.col("_l")[0], add).alias("_l"))
+    top = ll.withColumn("_top", F.array_max(F.transform("_l", lambda x: x["l"])))
+    e = top.select(case, F.transform("_l", lambda x: F.struct(x["label"].alias("label"), F.exp(x["l"] - F.col("_top")).alias("p"))).alias("_e"))
+    e = e.withColumn("_all", F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x["p"]))
+    return e.select(case, F.transform("_e", lambda x: F.struct(x["label"].alias("label"), (x["p"] / F.col("_all")).alias("p"))).alias("post"))
+
+
+def question_table(likelihood: DataFrame, question: str, answer: str, label: str) -> DataFrame:
+    """One row, `questions`: an array of (question, answers), each answer a map from label to p; a parameter table of checked size."""
+    if not fits(likelihood):
+        raise ValueError("the likelihood table is too large to be sent to every task")
+    a = likelihood.groupBy(question, answer).agg(F.map_from_entries(F.collect_list(F.struct(label, "p"))).alias("l"))
+    q = a.groupBy(question).agg(F.collect_list("l").alias("answers"))
+    return q.agg(F.collect_list(F.struct(F.col(question).alias("question"), "answers")).alias("questions"))
+
+
+def _sum(parts: Column, f) -> Column:
+    return F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + f(x))
+
+
 def information_gain(post: DataFrame, likelihood: DataFrame, case: str, question: str, answer: str, label: str) -> DataFrame:
     """(case, question, ig): entropy of the posterior less its expectation after the answer.
 
-    post is (case, label, p), likelihood (question, answer, label, p).  Impossible answers contribute 0.
+    post is (case, post) as packed() gives it, likelihood (question, answer,
+    label, p).  Impossible answers contribute 0.  A case is one row throughout:
+    the questions come to it as one broadcast row, and nothing is shuffled.
     """
-    before = post.groupBy(case).agg(F.sum(entropy(F.col("p"))).alias("_h"))
-    joint = post.join(likelihood.withColumnRenamed("p", "_l"), label).withColumn("_j", F.col("p") * F.col("_l"))
-    per = joint.groupBy(case, question, answer).agg(F.sum("_j").alias("_pa"), F.sum(entropy(F.col("_j"))).alias("_hj"))
-    # Expected entropy after the answer: sum over answers of H(joint) + p(a) log2 p(a).
-    after = per.groupBy(case, question).agg(F.sum(F.col("_hj") - entropy(F.col("_pa"))).alias("_after"))
-    return after.join(before, case).select(case, question, (F.col("_h") - F.col("_after")).alias("ig"))
+    both = post.crossJoin(F.broadcast(question_table(likelihood, question, answer, label)))  # one row
+
+    def after(l: Column) -> Column:
+        # An answer's part of the expected entropy: H(joint) + p(a) log2 p(a).
+        joint = lambda x: F.coalesce(x["p"] * F.element_at(l, x["label"]), F.lit(0.0))
+        return _sum(F.col("post"), lambda x: entropy(joint(x))) - entropy(_sum(F.col("post"), joint))
+
+    before = _sum(F.col("post"), lambda x: entropy(x["p"]))
+    gains = F.transform("questions", lambda q: F.struct(q["question"].alias("question"), (before - _sum(q["answers"], after)).alias("ig")))
+    return both.select(case, F.explode(gains).alias("_g")).select(case, F.col("_g")["question"].alias(question), F.col("_g")["ig"].alias("ig"))
 
 
 def unit_hash(*parts: Column) -> Column:

@@ -14,9 +14,12 @@ def first_row(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def pessimistic_rank(df: DataFrame, score: str, keys: list[str], name: str = "rank") -> DataFrame:
-    """df with 1 + rows above + further rows of the same score."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score))
-    return df.withColumn(name, F.count("*").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    """df with 1 + rows above + further rows of the same score, worked out on distinct scores; null scores come last."""
+    each = df.groupBy(*keys, score).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0))
+    rank = each.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*keys, score])], upto.alias(name))
+    same = [df[c].eqNullSafe(rank[f"_{i}"]) for i, c in enumerate([*keys, score])]
+    return df.join(rank, same).select(*[df[c] for c in df.columns], name)
 
 
 def average_rank(df: DataFrame, score: str, keys: list[str], name: str = "rank") -> DataFrame:
@@ -64,8 +67,17 @@ def episodes(df: DataFrame, keys: list[str], order: str, opens: Column, closes:
 
 
 def round_robin_folds(df: DataFrame, stratum: str, key: Column, folds: int) -> DataFrame:
-    """df with a fold, dealt in hash order within each stratum."""
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(stratum).orderBy(F.sha2(key, 256), key)) - 1) % folds).cast("int"))
+    """df with a fold, dealt in hash order within each stratum.
+
+    Rows are numbered inside 4,096 ranges of the hash, after the counts of the
+    ranges before, so that no task orders a whole stratum.
+    """
+    rows = df.withColumn("_h", F.sha2(key, 256)).withColumn("_r", F.substring("_h", 1, 3))
+    before = F.sum("_n").over(Window.partitionBy(stratum).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    start = rows.groupBy(stratum, "_r").agg(F.count("*").alias("_n")).select(F.col(stratum).alias("_s"), F.col("_r").alias("_q"), F.coalesce(before, F.lit(0)).alias("_before"))
+    place = rows.withColumn("_i", F.row_number().over(Window.partitionBy(stratum, "_r").orderBy("_h", key)))
+    both = place.join(start, place[stratum].eqNullSafe(start["_s"]) & (place["_r"] == start["_q"]))
+    return both.withColumn("fold", ((F.col("_before") + F.col("_i") - 1) % folds).cast("int")).select(*df.columns, "fold")
 
 
 def inherited_back(labels: Column) -> Column:

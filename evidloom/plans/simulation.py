@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import simulation as S
+from ..operators.graphs import cut
 from ..operators.topk import rounded_argmax, top_k
 from ..registry import query
 from .fixtures import CASES, LIKELIHOOD, OBSERVATIONS, TOKENS, cases, likelihood, observations, table, tokens
@@ -22,8 +23,8 @@ IG = """j AS (SELECT c.case_id, l.code, l.value, c.p * l.p AS j, c.p FROM po c J
 
 @query("F36_information_gain", f"WITH {LIKELIHOOD}, {POST}, {IG} SELECT case_id, code, round(ig, 8) + 0.0 AS ig FROM ig")
 def f36(spark, d):
-    like = likelihood(spark, d)
-    post = S.posterior(tokens(spark, d), like, "case_id", ["code", "value"], "label")
+    like = cut(likelihood(spark, d))  # a few rows, used three times
+    post = S.case_posteriors(tokens(spark, d), like, "case_id", ["code", "value"], "label")
     return S.information_gain(post, like, "case_id", "code", "value", "label").select("case_id", "code", (F.round("ig", 8) + 0.0).alias("ig"))
 
 
@@ -51,7 +52,8 @@ def f39(spark, d):
 
 @query("F40_softmax", f"WITH {LIKELIHOOD}, {POST} SELECT case_id, label, round(p, 8) AS p FROM po")
 def f40(spark, d):
-    return S.posterior(tokens(spark, d), likelihood(spark, d), "case_id", ["code", "value"], "label").withColumn("p", F.round("p", 8))
+    post = S.case_posteriors(tokens(spark, d), cut(likelihood(spark, d)), "case_id", ["code", "value"], "label")
+    return post.select("case_id", F.inline("post")).withColumn("p", F.round("p", 8))
 
 
 @query("F41_signed_support", f"""WITH {OBSERVATIONS} SELECT patient, round(avg(CASE status WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN -1 END), 8) AS support FROM obs GROUP BY 1""")
@@ -86,13 +88,13 @@ def i2(spark, d):
 @query("I3_batch_step_loop")
 def i3(spark, d):
     """Two questions for every case: the first the same for all, the second by the posterior after the first answer."""
-    like, t = likelihood(spark, d), tokens(spark, d)
+    like, t = cut(likelihood(spark, d)), tokens(spark, d)
     labels = cases(spark, d).select("case_id", "label")
     prior = labels.select("label").distinct().withColumn("case_id", F.lit(0)).withColumn("p", 1.0 / F.count("*").over(Window.partitionBy("case_id")))
-    gain = S.information_gain(prior, like, "case_id", "code", "value", "label")
-    first = rounded_argmax(gain, ["case_id"], "ig", F.substring("code", 3, 9).cast("int"), "code").select("code")
+    gain = S.information_gain(S.packed(prior, "case_id", "label"), like, "case_id", "code", "value", "label")
+    first = cut(rounded_argmax(gain, ["case_id"], "ig", F.substring("code", 3, 9).cast("int"), "code").select("code"))
     known = t.join(F.broadcast(first), "code")  # one row
-    post = S.posterior(known, like, "case_id", ["code", "value"], "label")
+    post = S.case_posteriors(known, like, "case_id", ["code", "value"], "label")
     rest = S.information_gain(post, like.join(F.broadcast(first), "code", "left_anti"), "case_id", "code", "value", "label")
     second = rounded_argmax(rest, ["case_id"], "ig", F.substring("code", 3, 9).cast("int"), "code").select("case_id", F.col("code").alias("second"))
     return second.crossJoin(F.broadcast(first)).select("case_id", F.col("code").alias("first"), "second")
@@ -102,11 +104,13 @@ def i3(spark, d):
   s AS (SELECT case_id, code, max(v) AS v FROM (SELECT t.case_id, l.code, l.value, sum(t.p * abs(l.p - 0.2)) AS v FROM top t JOIN likelihood l USING (label) GROUP BY ALL) GROUP BY ALL)
   SELECT case_id, code FROM s QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY round(v, 8) DESC, code) = 1""")
 def i4(spark, d):
-    like = likelihood(spark, d)
-    post = S.posterior(tokens(spark, d), like, "case_id", ["code", "value"], "label")
-    top = top_k(post, ["case_id"], [F.desc("p"), F.asc("label")], 3)
-    v = top.join(like.withColumnRenamed("p", "l"), "label").groupBy("case_id", "code", "value").agg(F.sum(F.col("p") * F.abs(F.col("l") - 0.2)).alias("v"))
-    best = v.groupBy("case_id", "code").agg(F.max("v").alias("v"))
+    like = cut(likelihood(spark, d))
+    post = S.case_posteriors(tokens(spark, d), like, "case_id", ["code", "value"], "label")
+    order = lambda a, b: F.when(a["p"] != b["p"], F.sign(b["p"] - a["p"])).when(a["label"] < b["label"], -1).otherwise(1).cast("int")
+    both = post.select("case_id", F.slice(F.array_sort("post", order), 1, 3).alias("top")).crossJoin(F.broadcast(S.question_table(like, "code", "value", "label")))  # one row
+    spread = lambda l: F.aggregate("top", F.lit(0.0), lambda acc, x: acc + x["p"] * F.abs(F.element_at(l, x["label"]) - 0.2))
+    values = F.transform("questions", lambda q: F.struct(q["question"].alias("code"), F.array_max(F.transform(q["answers"], spread)).alias("v")))
+    best = both.select("case_id", F.inline(values))
     return rounded_argmax(best, ["case_id"], "v", F.substring("code", 3, 9).cast("int"), "code", digits=8).select("case_id", "code")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -71,15 +72,28 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 
 
 def upsert_batches(stream: DataFrame, name: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
-    """foreachBatch: each micro-batch is merged with the table of the batch before, and written as a new version."""
+    """foreachBatch: each micro-batch is merged with the table of the batch before, and written as a new version.
+
+    A log in the shared folder names the versions that are whole.  A restart goes
+    on from the last of them; a batch that comes again is not merged twice.
+    """
     spark = stream.sparkSession
     where = f"{checkpoint_folder(spark)}/streams/{name}"
-    last: dict[str, str] = {}
+
+    def last(below: int | None = None) -> int | None:
+        try:
+            log = spark.read.schema("number long").parquet(f"{where}/log")
+        except AnalysisException:  # no batch yet
+            return None
+        return log.where(F.col("number") < below if below is not None else F.lit(True)).agg(F.max("number")).first()[0]
 
     def step(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(last["path"]) if last else None
-        merge(batch, before).write.mode("overwrite").parquet(path := f"{where}/v{number}")
-        last["path"] = path
+        if last(number + 1) == number:
+            return
+        before = last(number)
+        merge(batch, spark.read.parquet(f"{where}/v{before}") if before is not None else None).write.mode("overwrite").parquet(f"{where}/v{number}")
+        spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("append").parquet(f"{where}/log")
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(last["path"])
+    number = last()
+    return spark.read.parquet(f"{where}/v{number}") if number is not None else merge(spark.createDataFrame([], stream.schema), None)

@@ -144,3 +144,39 @@ def test_power_table_is_the_normal_approximation(spark):
     assert len(rows) == 144
     for r in rows:
         assert abs(r["power"] - normal.cdf((r["margin"] - r["delta"]) / (r["d"] / r["n"]) ** 0.5 - normal.inv_cdf(1 - r["level"]))) < 1e-12
+
+
+def test_upserts_go_on_after_a_restart(spark, tmp_path):
+    """The second run knows only what the first left in the shared folder; a run without new data changes nothing."""
+    import uuid
+
+    from evidloom.streaming import stateful
+
+    name, src = f"upsert-{uuid.uuid4().hex}", str(tmp_path / "in")
+
+    def merge(batch, before):
+        now = batch.groupBy("k").agg(F.count("*").alias("n"))
+        return now if before is None else now.unionByName(before).groupBy("k").agg(F.sum("n").alias("n"))
+
+    run = lambda: sorted(tuple(r) for r in stateful.upsert_batches(spark.readStream.schema("k string").parquet(src), name, merge).collect())
+    spark.createDataFrame([("a",)], "k string").write.parquet(src)
+    assert run() == [("a", 1)]
+    spark.createDataFrame([("a",), ("b",)], "k string").coalesce(1).write.mode("append").parquet(src)
+    assert run() == [("a", 2), ("b", 1)]
+    assert run() == [("a", 2), ("b", 1)]
+
+
+def test_components_of_a_hot_node(spark):
+    edges = [(5000, i) for i in range(10, 3000)] + [(2999, 7), (9000, 9001)]
+    out = G.components(spark.createDataFrame(edges, "x long, y long").repartition(5), "x", "y").collect()
+    assert {r["node"]: r["component"] for r in out} == {**{i: 7 for i in range(10, 3000)}, 7: 7, 5000: 7, 9000: 9000, 9001: 9000}
+
+
+def test_folds_are_dealt_in_hash_order(spark):
+    import hashlib
+
+    rows = [(i, s) for i in range(700) for s in (("a",) if i % 3 else ("b", None))]
+    out = W.round_robin_folds(spark.createDataFrame(rows, "i int, s string"), "s", F.col("i").cast("string"), 5).collect()
+    for s in ("a", "b", None):
+        order = sorted((i for i, x in rows if x == s), key=lambda i: (hashlib.sha256(str(i).encode()).hexdigest(), str(i)))
+        assert {r["i"]: r["fold"] for r in out if r["s"] == s} == {i: k % 5 for k, i in enumerate(order)}
