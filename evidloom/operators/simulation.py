@@ -52,11 +52,16 @@ def case_posteriors(answers: DataFrame, likelihood: DataFrame, case: str, answer
     table = likelihood.groupBy(*answer).agg(rows.alias("_l"))
     each = answers.join(F.broadcast(table) if fits(table) else table, answer).groupBy(case).agg(F.collect_list("_l").alias("_l"))
     add = lambda acc, x: F.zip_with(acc, x, lambda a, b: F.struct(a["label"].alias("label"), (a["l"] + b["l"]).alias("l")))
-    ll = each.select(case, F.aggregate(F.slice("_l", F.lit(2), F.size("_l")), F.col("_l")[0], add).alias("_l"))
-    top = ll.withColumn("_top", F.array_max(F.transform("_l", lambda x: x["l"])))
-    e = top.select(case, F.transform("_l", lambda x: F.struct(x["label"].alias("label"), F.exp(x["l"] - F.col("_top")).alias("p"))).alias("_e"))
-    e = e.withColumn("_all", F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x["p"]))
-    return e.select(case, F.transform("_e", lambda x: F.struct(x["label"].alias("label"), (x["p"] / F.col("_all")).alias("p"))).alias("post"))
+    ll = F.aggregate(F.slice("_l", F.lit(2), F.size("_l")), F.col("_l")[0], add)
+    powers = lambda l, top: F.transform(l, lambda x: F.struct(x["label"].alias("label"), F.exp(x["l"] - top).alias("p")))
+    shares = lambda e, total: F.transform(e, lambda x: F.struct(x["label"].alias("label"), (x["p"] / total).alias("p")))
+    softmax_of = lambda l: _let(_let(F.array_max(F.transform(l, lambda x: x["l"])), lambda top: powers(l, top)), lambda e: _let(_sum(e, lambda x: x["p"]), lambda total: shares(e, total)))
+    return each.select(case, _let(ll, softmax_of).alias("post"))
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def question_table(likelihood: DataFrame, question: str, answer: str, label: str) -> DataFrame:
