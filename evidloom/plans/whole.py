@@ -1,6 +1,6 @@
-"""Queries N_..._whole: those whose registered SQL holds only some ids, over all rows.
+"""Queries over whole tables, instead of forms of the same name that hold only some ids.
 
-The registered SQL of the others is left as it is; here it stands without its id filters.
+Their SQL is that of the narrow forms without the id filters, or its own where that would be too slow.
 """
 
 from __future__ import annotations
@@ -22,56 +22,56 @@ CHILD = " WHERE child % 10 = 0"
 TERM = " l_partkey % 10 = 0 AND"
 
 
-@query("G1_ancestors_whole", without("G1_ancestors", CHILD))
+@query("G1_ancestors", without("G1_ancestors", CHILD), instead=True)
 def g1(spark, d):
     return G.reach(spark, d, None)
 
 
 # A step of a shortest path leads one level nearer to the root; all other walks are left out of the SQL.
-@query("G3_shortest_path_whole", f"""WITH RECURSIVE {ONTOLOGY}, lv AS (SELECT 0 AS term, 0 AS n UNION SELECT i.child, lv.n + 1 FROM lv JOIN isa i ON i.parent = lv.term),
+@query("G3_shortest_path", f"""WITH RECURSIVE {ONTOLOGY}, lv AS (SELECT 0 AS term, 0 AS n UNION SELECT i.child, lv.n + 1 FROM lv JOIN isa i ON i.parent = lv.term),
   far AS (SELECT term, min(n) AS n FROM lv GROUP BY 1), step AS (SELECT i.child, i.parent FROM isa i JOIN far a ON a.term = i.child JOIN far b ON b.term = i.parent WHERE b.n = a.n - 1),
   w AS (SELECT child AS node, parent AS here, CAST(child AS VARCHAR) || '>' || parent AS path FROM step UNION ALL SELECT w.node, s.parent, w.path || '>' || s.parent FROM w JOIN step s ON w.here = s.child)
-  SELECT node, min(path) AS path FROM w WHERE here = 0 GROUP BY 1""")
+  SELECT node, min(path) AS path FROM w WHERE here = 0 GROUP BY 1""", instead=True)
 def g3(spark, d):
     return G.g3(spark, d, "true")
 
 
-@query("G4_minimum_depth_whole", without("G4_minimum_depth", CHILD))
+@query("G4_minimum_depth", without("G4_minimum_depth", CHILD), instead=True)
 def g4(spark, d):
     return G.reach(spark, d, None).where("ancestor = 0").select("node", "depth")
 
 
-@query("G6_positive_propagation_whole", without("G6_positive_propagation", CHILD, TERM))
+@query("G6_positive_propagation", without("G6_positive_propagation", CHILD, TERM), instead=True)
 def g6(spark, d):
     return G.propagated(G.records(spark, d, "true"), G.reach(spark, d, None))
 
 
-@query("G14_structural_specificity_whole", without("G14_structural_specificity", CHILD))
+@query("G14_structural_specificity", without("G14_structural_specificity", CHILD), instead=True)
 def g14(spark, d):
     return G.specificity(G.reach(spark, d, None))
 
 
-@query("G17_semantic_relation_whole", without("G17_semantic_relation", CHILD, " WHERE l_partkey % 10 = 0 AND l_linenumber = 1"))
+@query("G17_semantic_relation", without("G17_semantic_relation", CHILD, " WHERE l_partkey % 10 = 0 AND l_linenumber = 1"), instead=True)
 def g17(spark, d):
     return G.relations(table(spark, d, "lineitem", "l_partkey", "l_suppkey"), G.reach(spark, d, None))
 
 
-@query("A38_closure_coverage_whole", without("A38_closure_coverage", CHILD, TERM))
+@query("A38_closure_coverage", without("A38_closure_coverage", CHILD, TERM), instead=True)
 def a38(spark, d):
     return G.coverage(G.records(spark, d, "true"), G.reach(spark, d, None))
 
 
-@query("C4_unreachable_share_whole", without("C4_unreachable_share", CHILD, TERM))
+@query("C4_unreachable_share", without("C4_unreachable_share", CHILD, TERM), instead=True)
 def c4(spark, d):
     return C.c4(spark, d, "true")
 
 
-@query("C5_failure_cause_whole", without("C5_failure_cause", " WHERE obs_id % 9 = 0"))
+@query("C5_failure_cause", without("C5_failure_cause", " WHERE obs_id % 9 = 0"), instead=True)
 def c5(spark, d):
     return C.c5(spark, d, "true")
 
 
-@query("C6_match_classes_whole", without("C6_match_classes", " WHERE p_partkey < 200", " WHERE s_suppkey < 10"))
+@query("C6_match_classes", without("C6_match_classes", " WHERE p_partkey < 200", " WHERE s_suppkey < 10"), instead=True)
 def c6(spark, d):
     """A class for every pair of part and fact, NONE too: the output itself is the product of both tables.
 
@@ -85,7 +85,7 @@ def c6(spark, d):
     return p.crossJoin(f).select("p_partkey", "s_suppkey", kind.alias("class"))
 
 
-@query("T8_overlap_preselect_whole", without("T8_overlap_preselect", " WHERE p_partkey % 50 = 0"))
+@query("T8_overlap_preselect", without("T8_overlap_preselect", " WHERE p_partkey % 50 = 0"), instead=True)
 def t8(spark, d):
     """Every part is a query.
 
@@ -116,8 +116,8 @@ def t8(spark, d):
 RANGE = 100_000
 
 
-@query("A43_id_set_digest_whole", f"""WITH r AS (SELECT o_orderpriority, o_orderkey // {RANGE} AS r, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY ALL)
-  SELECT o_orderpriority, sha256(string_agg(digest, ',' ORDER BY r)) AS digest FROM r GROUP BY 1""")
+@query("A43_id_set_digest", f"""WITH r AS (SELECT o_orderpriority, o_orderkey // {RANGE} AS r, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY ALL)
+  SELECT o_orderpriority, sha256(string_agg(digest, ',' ORDER BY r)) AS digest FROM r GROUP BY 1""", instead=True)
 def a43(spark, d):
     """The digest of the digests of key ranges, in order; it differs from one digest of all keys."""
     joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ","), 256)
@@ -126,13 +126,13 @@ def a43(spark, d):
     return r.groupBy("o_orderpriority").agg(F.sha2(F.array_join(parts, ","), 256).alias("digest"))
 
 
-@query("W13_non_overlapping_spans_whole", without("W13_non_overlapping_spans", " WHERE o_custkey < 200"))
+@query("W13_non_overlapping_spans", without("W13_non_overlapping_spans", " WHERE o_custkey < 200"), instead=True)
 def w13(spark, d):
     return windows.w13(spark, d, "true")
 
 
-@query("W14_inherited_back_whole", """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type <> 'view' THEN event_type END AS label FROM events)
-  SELECT user_id, string_agg(coalesce(l, '?'), ',' ORDER BY ts, event_id) AS labels FROM (SELECT user_id, ts, event_id, first_value(label IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM e) GROUP BY 1""")
+@query("W14_inherited_back", """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type <> 'view' THEN event_type END AS label FROM events)
+  SELECT user_id, string_agg(coalesce(l, '?'), ',' ORDER BY ts, event_id) AS labels FROM (SELECT user_id, ts, event_id, first_value(label IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM e) GROUP BY 1""", instead=True)
 def w14(spark, d):
     """Events of one time are taken by their ids."""
     rows = F.sort_array(F.collect_list(F.struct("ts", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("label"))))
@@ -140,7 +140,7 @@ def w14(spark, d):
     return labels.select("user_id", F.array_join(W.inherited_back(F.col("labels")), ",", "?").alias("labels"))
 
 
-@query("X12_clinical_summary_whole", f"""WITH {OBSERVATIONS} SELECT patient, status, string_agg(coalesce(CASE WHEN node <> 'view' THEN upper(node) END, node), ',' ORDER BY observed_at, obs_id) AS items FROM obs GROUP BY ALL""")
+@query("X12_clinical_summary", f"""WITH {OBSERVATIONS} SELECT patient, status, string_agg(coalesce(CASE WHEN node <> 'view' THEN upper(node) END, node), ',' ORDER BY observed_at, obs_id) AS items FROM obs GROUP BY ALL""", instead=True)
 def x12(spark, d):
     """Observations of one time are taken by their ids."""
     labels = spark.createDataFrame([(n, n.upper()) for n in ("click", "error", "purchase", "signup")], "node string, label string")
@@ -149,7 +149,7 @@ def x12(spark, d):
     return o.groupBy("patient", "status").agg(F.array_join(F.transform(rows, lambda x: x["item"]), ",").alias("items"))
 
 
-@query("X14_fact_candidate_rules_whole", without("X14_fact_candidate_rules", " WHERE p_partkey < 1000"))
+@query("X14_fact_candidate_rules", without("X14_fact_candidate_rules", " WHERE p_partkey < 1000"), instead=True)
 def x14(spark, d):
     """Pairs are counted from the numbers of parts of a brand by type and size, without a self-join of parts."""
     c = table(spark, d, "part", "p_brand", "p_type", "p_size").groupBy(F.col("p_brand").alias("k"), F.col("p_type").alias("t"), F.col("p_size").alias("n")).agg(F.count("*").alias("c"))
@@ -169,13 +169,13 @@ def x14(spark, d):
     return x.select(F.inline(rules)).where("n > 0")
 
 
-@query("SRC20_long_dense_table_whole", without("SRC20_long_dense_table", " WHERE vec_id < 50"))
+@query("SRC20_long_dense_table", without("SRC20_long_dense_table", " WHERE vec_id < 50"), instead=True)
 def src20(spark, d):
     return sources.src20(spark, d, "true")
 
 
-@query("F22_jaccard_whole", f"""WITH {P.GRAMS}, x AS (SELECT a.p_name AS a, b.p_name AS b, len(a.g) AS na, len(b.g) AS nb, len(list_intersect(a.g, b.g)) AS n FROM g a CROSS JOIN g b)
-  SELECT a, b, round(n / (na + nb - n), 8) AS jaccard, round(n / na, 8) AS containment FROM x WHERE n > 0""")
+@query("F22_jaccard", f"""WITH {P.GRAMS}, x AS (SELECT a.p_name AS a, b.p_name AS b, len(a.g) AS na, len(b.g) AS nb, len(list_intersect(a.g, b.g)) AS n FROM g a CROSS JOIN g b)
+  SELECT a, b, round(n / (na + nb - n), 8) AS jaccard, round(n / na, 8) AS containment FROM x WHERE n > 0""", instead=True)
 def f22(spark, d):
     """Every pair of names with a common bigram, however they begin; all other pairs have 0."""
     g = table(spark, d, "part", "p_name").distinct().select("p_name", S.ngrams(F.col("p_name"), 2).alias("g"))
@@ -185,7 +185,7 @@ def f22(spark, d):
     return n.select("a", "b", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 8).alias("jaccard"), F.round(F.col("n") / F.col("na"), 8).alias("containment"))
 
 
-@query("F23_matching_ratio_whole")
+@query("F23_matching_ratio", instead=True)
 def f23(spark, d):
     """Every pair of names, however they begin: the output itself grows with the square of the distinct names."""
     n = table(spark, d, "part", "p_name").distinct()

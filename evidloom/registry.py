@@ -13,13 +13,14 @@ ORACLE: dict[str, str] = {}
 MODULES: list[str] = ["projections", "joins", "aggregates", "metrics", "windows", "topk", "sets", "functions", "graphs", "simulation", "compounds", "streams", "sources", "texts", "validation", "whole", "reports"]
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query under a name, with the SQL that checks it."""
+def query(name: str, sql: str | None = None, instead: bool = False):
+    """Register a query under a name, with the SQL that checks it; `instead` of one that holds only some ids."""
 
     def add(f):
-        if name in QUERIES:
-            raise ValueError(f"query {name} is registered twice")
+        if (name in QUERIES) != instead:
+            raise ValueError(f"query {name} is registered twice, or stands instead of none")
         QUERIES[name] = f
+        ORACLE.pop(name, None)
         if sql:
             ORACLE[name] = sql
         return f

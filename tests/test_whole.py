@@ -1,4 +1,4 @@
-"""The _whole queries hold every id, not the subset of the registered SQL."""
+"""Registered queries hold every id, not only some."""
 
 import os
 
@@ -11,19 +11,19 @@ DATA = os.environ.get("EVIDLOOM_TEST_DATA", "/root/testdata/sf0.001")
 def test_every_term_has_ancestors_depth_and_path(spark):
     terms = {r[0] for r in spark.read.parquet(f"{DATA}/part.parquet").where("p_partkey > 0").select("p_partkey").collect()}
     for name in ("G1_ancestors", "G3_shortest_path", "G4_minimum_depth", "G14_structural_specificity"):
-        assert {r["node"] for r in registry.QUERIES[f"{name}_whole"](spark, DATA).select("node").collect()} == terms
+        assert {r["node"] for r in registry.QUERIES[f"{name}"](spark, DATA).select("node").collect()} == terms
 
 
 def test_pairs_and_records_of_every_term(spark):
     li = spark.read.parquet(f"{DATA}/lineitem.parquet")
-    assert registry.QUERIES["G17_semantic_relation_whole"](spark, DATA).count() == li.select("l_partkey", "l_suppkey").distinct().count()
-    n = registry.QUERIES["A38_closure_coverage_whole"](spark, DATA).groupBy().sum("n_terms").first()[0]
+    assert registry.QUERIES["G17_semantic_relation"](spark, DATA).count() == li.select("l_partkey", "l_suppkey").distinct().count()
+    n = registry.QUERIES["A38_closure_coverage"](spark, DATA).groupBy().sum("n_terms").first()[0]
     assert n == li.where("l_quantity > 40").select("l_suppkey", "l_partkey").distinct().count()
 
 
 def test_every_patient_vector_query_and_pair(spark):
     at = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet")
-    run = lambda n: registry.QUERIES[f"{n}_whole"](spark, DATA)
+    run = lambda n: registry.QUERIES[f"{n}"](spark, DATA)
     users = at("events").select("user_id").distinct().count()
     assert run("C5_failure_cause").count() == run("W14_inherited_back").count() == run("X12_clinical_summary").select("patient").distinct().count() == users
     assert run("SRC20_long_dense_table").select("vec_id").distinct().count() == at("embeddings").count()
@@ -38,7 +38,7 @@ def test_overlap_counts_repeated_words(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(2)), rng.choice("tu"), rng.choice("xy")) for i in range(40)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
-    got = {(r["query_id"], r["p_partkey"], r["n"]) for r in registry.QUERIES["T8_overlap_preselect_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["query_id"], r["p_partkey"], r["n"]) for r in registry.QUERIES["T8_overlap_preselect"](spark, str(tmp_path)).collect()}
     want = set()
     for q in rows:
         n = [(-sum(x == y for x in [*q[1].split(), *q[2:]] for y in [*p[1].split(), *p[2:]]), p[0]) for p in rows if p[0] != q[0]]
@@ -51,7 +51,7 @@ def test_names_with_other_beginnings_are_paired(spark, tmp_path):
 
     names = ["bolt red", "red bolt", "red bolts", "zzz"]
     spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
-    got = {(r["a"], r["b"]): r["jaccard"] for r in registry.QUERIES["F22_jaccard_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in registry.QUERIES["F22_jaccard"](spark, str(tmp_path)).collect()}
     assert got["bolt red", "red bolt"] == round(5 / 9, 8) and ("zzz", "red bolt") not in got
-    ratios = {(r["a"], r["b"]): r["ratio"] for r in registry.QUERIES["F23_matching_ratio_whole"](spark, str(tmp_path)).collect()}
+    ratios = {(r["a"], r["b"]): r["ratio"] for r in registry.QUERIES["F23_matching_ratio"](spark, str(tmp_path)).collect()}
     assert ratios == {(a, b): difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a in names for b in names if a < b}
