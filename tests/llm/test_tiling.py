@@ -59,14 +59,14 @@ def rolled(text):
     return [NUMBERS.setdefault(w, len(NUMBERS)) for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()]
 
 
-def brute_force(docs, items, least, coverage):
+def brute_force(docs, items, least, coverage, tiles=naive_tiles):
     """Leaked items of each document, tiled on the whole text."""
     out = {}
     for i, t in docs:
         words = rolled(t)
         for k, b in items:
             item = rolled(b)
-            if item and sum(n for _, _, n in naive_tiles(item, words, min(least, len(item)))) >= coverage * len(item):
+            if item and sum(n for _, _, n in tiles(item, words, min(least, len(item)))) >= coverage * len(item):
                 out.setdefault(i, set()).add(k)
     return {i: len(v) for i, v in out.items()}
 
