@@ -63,6 +63,29 @@ def holm(df: DataFrame, p: str, keys: list[str], alpha: float = 0.05) -> DataFra
     return out.drop("_raw").withColumn("rejected", F.col("p_adjusted") <= alpha)
 
 
+def poisson_weight(seed: int, *keys: str) -> Column:
+    """How often a row is drawn: a Poisson(1) quantile, at most 7, of a hash of its keys."""
+    u = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / float(1 << 30)
+    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(1, 8):
+        total += term
+        weight = weight + (u >= total).cast("int")
+        term /= k
+    return weight
+
+
+def stratified_bootstrap(df: DataFrame, stratum: str, key: str, value: str, replicates: int, seed: int) -> DataFrame:
+    """(replicate, estimate): rows are drawn within each stratum, whose means are pooled by the strata's true sizes.
+
+    Sums are combined in each task, so (replicate, stratum) rows are all that is shuffled;
+    a replicate that draws nothing of a stratum leaves it out.
+    """
+    many = df.where(F.col(value).isNotNull()).select(F.col(stratum).alias("_s"), key, F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    w = many.withColumn("_w", poisson_weight(seed, "replicate", key))
+    each = w.groupBy("replicate", "_s").agg((F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w"))).alias("_m"), F.count("*").alias("_n")).where("_m is not null")
+    return each.groupBy("replicate").agg((F.sum(F.col("_m") * F.col("_n")) / F.sum("_n")).alias("estimate"))
+
+
 def hash_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, estimate): means over clusters drawn with Poisson(1) weights from a hash, without a driver loop.
 
@@ -70,13 +93,7 @@ def hash_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int, see
     """
     per = df.groupBy(cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     many = per.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", cluster), F.lit(1 << 30)) / float(1 << 30)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 8):  # Poisson(1) quantiles
-        total += term
-        weight = weight + (u >= total).cast("int")
-        term /= k
-    return many.withColumn("_w", weight).groupBy("replicate").agg((F.sum(F.col("_s") * F.col("_w")) / F.sum(F.col("_n") * F.col("_w"))).alias("estimate"))
+    return many.withColumn("_w", poisson_weight(seed, "replicate", cluster)).groupBy("replicate").agg((F.sum(F.col("_s") * F.col("_w")) / F.sum(F.col("_n") * F.col("_w"))).alias("estimate"))
 
 
 def suppressed(n: Column, least: int = 10) -> Column:

@@ -105,3 +105,21 @@ def leaf_verdict(status: Column, value: Column, unit: Column, op: Column, bound:
     compared = F.when(op == ">=", value >= bound).when(op == "<", value < bound)
     measured = F.when(unit.isNull() | (unit != bound_unit), None).otherwise(compared)
     return F.when(status == "NEGATIVE", False).when(status != "POSITIVE", None).when(op.isNull(), True).otherwise(measured)
+
+
+def first_shortest_paths(edges: DataFrame, keep: str = "true", root: int = 0) -> DataFrame:
+    """(node, path): the shortest way from each kept child to the root, the first by string order.
+
+    A round keeps one path for each (node, term) that no earlier round has met, so
+    cycles end; nodes that never reach the root have no row.
+    """
+    text = lambda c: F.col(c).cast("string")
+    at = edges.where(keep).select(F.col("child").alias("node"), F.col("parent").alias("at"), F.concat_ws(">", text("child"), text("parent")).alias("path"))
+    at = cut(at.groupBy("node", "at").agg(F.min("path").alias("path")))
+    done, seen = at.where(F.col("at") == root).select("node", "path"), at.select("node", "at")
+    while not at.isEmpty():
+        rest = at.join(at.where(F.col("at") == root).select("node"), "node", "left_anti")
+        step = rest.join(edges, rest["at"] == edges["child"]).select("node", F.col("parent").alias("at"), F.concat_ws(">", "path", text("parent")).alias("path"))
+        at = cut(step.groupBy("node", "at").agg(F.min("path").alias("path")).join(seen, ["node", "at"], "left_anti"))
+        done, seen = done.unionByName(at.where(F.col("at") == root).select("node", "path")), seen.unionByName(at.select("node", "at"))
+    return done

@@ -97,3 +97,8 @@ def non_overlapping(spans: Column) -> Column:
     ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], F.sign(a["start"] - b["start"])).otherwise(F.sign(b["end"] - a["end"])).cast("int"))
     none = F.filter(spans, lambda x: F.lit(False))
     return F.aggregate(ordered, none, lambda acc, s: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["end"] <= s["start"]), F.concat(acc, F.array(s))).otherwise(acc))
+
+
+def micros(at: str) -> Column:
+    """Microseconds of a time without zone since 1970, for frames that leave out rows of the same time."""
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col(at))

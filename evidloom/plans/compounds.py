@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import graphs as G
 from ..operators import topk as T
+from ..operators.windows import micros
 from ..registry import query
 from .fixtures import CASES, OBSERVATIONS, ONTOLOGY, TOKENS, cases, observations, ontology, table, tokens
 
@@ -158,22 +159,23 @@ def c17(spark, d):
 
 @query("C20_later_absence_resolves", f"""WITH {OBSERVATIONS} SELECT a.obs_id, min(b.observed_at) AS resolved_at FROM obs a JOIN obs b ON a.patient = b.patient AND a.node = b.node AND b.status = 'NEGATIVE' AND b.observed_at > a.observed_at WHERE a.status = 'POSITIVE' GROUP BY 1""")
 def c20(spark, d):
-    # The next absent mention by one backward window, instead of a join of all later ones.
-    w = Window.partitionBy("patient", "node").orderBy("observed_at").rowsBetween(1, Window.unboundedFollowing)
-    later = F.first(F.when(F.col("status") == "NEGATIVE", F.col("observed_at")), ignorenulls=True).over(w)
+    # The next absent mention by one window from the last row back, instead of a join of all later ones; mentions of the same time are not later.
+    w = Window.partitionBy("patient", "node").orderBy(-micros("observed_at")).rangeBetween(Window.unboundedPreceding, -1)
+    later = F.min(F.when(F.col("status") == "NEGATIVE", F.col("observed_at"))).over(w)
     return observations(spark, d).withColumn("resolved_at", later).where("status = 'POSITIVE' and resolved_at is not null").select("obs_id", "resolved_at")
 
 
-@query("C22_catalog_search", "SELECT p_partkey, p_name FROM part WHERE contains(replace(p_name, ' ', ''), 'dbolt') AND p_partkey NOT IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49.5) ORDER BY p_partkey LIMIT 10")
+@query("C22_catalog_search", "SELECT p_partkey, p_name FROM part WHERE (contains(replace(p_name, ' ', ''), 'dbolt') OR contains(replace(p_type || ' ' || p_brand, ' ', ''), 'MOBrand#2')) AND p_partkey NOT IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49.5) ORDER BY p_partkey LIMIT 10")
 def c22(spark, d):
     used = table(spark, d, "lineitem", "l_partkey", "l_quantity").where("l_quantity > 49.5").select(F.col("l_partkey").alias("p_partkey"))
-    p = table(spark, d, "part", "p_partkey", "p_name").where(F.instr(F.regexp_replace("p_name", r"\s+", ""), "dbolt") > 0)
-    return p.join(used, "p_partkey", "left_anti").orderBy("p_partkey").limit(10)
+    holds = lambda c, needle: F.contains(F.regexp_replace(c, r"\s+", ""), F.lit(needle))
+    p = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_brand").where(holds("p_name", "dbolt") | holds(F.concat_ws(" ", "p_type", "p_brand"), "MOBrand#2"))
+    return p.select("p_partkey", "p_name").join(used, "p_partkey", "left_anti").orderBy("p_partkey").limit(10)
 
 
 @query("C23_urgent_flags", "SELECT user_id, bool_or(event_type = 'error') AS urgent, max_by(value, ts) >= 14 AS severe FROM events GROUP BY 1")
 def c23(spark, d):
-    return table(spark, d, "events", "user_id", "event_type", "value", "ts").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("urgent"), (F.max_by("value", "ts") >= 14).alias("severe"))
+    return table(spark, d, "events", "event_id", "user_id", "event_type", "value", "ts").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("urgent"), (F.max_by("value", F.struct("ts", "event_id")) >= 14).alias("severe"))
 
 
 @query("C24_list_parse", "SELECT p_partkey, array_to_string(list_distinct([split_part(p_name, ' ', 1)]) || CASE WHEN split_part(p_name, ' ', 2) <> split_part(p_name, ' ', 1) THEN [split_part(p_name, ' ', 2)] ELSE [] END || [p_brand], '|') AS items FROM part")

@@ -35,16 +35,7 @@ def g2(spark, d):
   SELECT node, min(path) AS path FROM w WHERE here = 0 AND n = (SELECT min(n) FROM w v WHERE v.node = w.node AND v.here = 0) GROUP BY 1""")
 def g3(spark, d, keep="child % 50 = 0"):
     """The first shortest path to the root, by string order; a round keeps one path for each (node, term)."""
-    e = ontology(spark, d)
-    at = e.where(keep).select(F.col("child").alias("node"), F.col("parent").alias("at"), F.concat_ws(">", F.col("child").cast("string"), F.col("parent").cast("string")).alias("path"))
-    done = None
-    while not at.isEmpty():
-        at = G.cut(at.groupBy("node", "at").agg(F.min("path").alias("path")))
-        hit = at.where("at = 0").select("node", "path")
-        done = hit if done is None else done.unionByName(hit)
-        rest = at.join(hit.select("node"), "node", "left_anti")
-        at = rest.join(e, rest["at"] == e["child"]).select("node", F.col("parent").alias("at"), F.concat_ws(">", "path", F.col("parent").cast("string")).alias("path"))
-    return done
+    return G.first_shortest_paths(ontology(spark, d), keep)
 
 
 @query("G4_minimum_depth", f"WITH RECURSIVE {REACH} SELECT node, depth FROM reach WHERE ancestor = 0")
@@ -132,7 +123,7 @@ VIEW = "view AS (SELECT patient, node, max_by(status, recorded_at) AS status FRO
 
 
 def latest_view(spark, d):
-    return observations(spark, d).groupBy("patient", "node").agg(F.max_by("status", "recorded_at").alias("status"))
+    return observations(spark, d).groupBy("patient", "node").agg(F.max_by("status", F.struct("recorded_at", "obs_id")).alias("status"))
 
 
 PATHS = f"""{OBSERVATIONS}, {VIEW}, {KG}, path AS (SELECT v.patient, k.disease, k.node, k.rel, k.grade, CASE WHEN status = 'POSITIVE' THEN CASE rel WHEN 'SUGGESTS' THEN 'SUPPORT' ELSE 'CONFLICT' END

@@ -77,9 +77,8 @@ def a28(spark, d):
 @query("A29_stratified_bootstrap")
 def a29(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderpriority")
-    strata = [A.hash_bootstrap(o.where(F.col("o_orderpriority") == s), "o_orderkey", "o_totalprice", 100, 13).withColumn("stratum", F.lit(s)) for s in ("1-URGENT", "5-LOW")]
-    b = strata[0].unionByName(strata[1]).groupBy("replicate").agg(F.avg("estimate").alias("e"))
-    return b.agg(F.percentile("e", 0.025).alias("lo"), F.percentile("e", 0.975).alias("hi"))
+    b = A.stratified_bootstrap(o, "o_orderpriority", "o_orderkey", "o_totalprice", replicates=100, seed=13)
+    return b.agg(F.percentile("estimate", 0.025).alias("lo"), F.percentile("estimate", 0.975).alias("hi"))
 
 
 @query("A30_one_sided_p", """WITH b AS (SELECT o_orderpriority AS k, (count(*) FILTER (o_totalprice <= 60000) + 1.0) / (count(*) + 1) AS p FROM orders GROUP BY 1)

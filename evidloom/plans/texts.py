@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import texts as X
+from ..operators import validation as V
+from ..operators.windows import micros
 from ..registry import query
 from .fixtures import OBSERVATIONS, TOKENS, observations, table, tokens
 
@@ -126,7 +128,7 @@ def x12(spark, d):
 @query("X13_visit_summary", f"""WITH {OBSERVATIONS}, l AS (SELECT patient, node, max_by(status, observed_at) AS status FROM obs WHERE status IN ('POSITIVE', 'NEGATIVE') GROUP BY ALL)
   SELECT patient, coalesce(string_agg(node, ',' ORDER BY node) FILTER (status = 'POSITIVE'), '') AS active, coalesce(string_agg(node, ',' ORDER BY node) FILTER (status = 'NEGATIVE'), '') AS resolved, coalesce(bool_or(node = 'error') FILTER (status = 'POSITIVE'), false) AS urgent FROM l GROUP BY 1""")
 def x13(spark, d):
-    last = observations(spark, d).where("status in ('POSITIVE', 'NEGATIVE')").groupBy("patient", "node").agg(F.max_by("status", "observed_at").alias("status"))
+    last = observations(spark, d).where("status in ('POSITIVE', 'NEGATIVE')").groupBy("patient", "node").agg(F.max_by("status", F.struct("observed_at", "obs_id")).alias("status"))
     pick = lambda s: F.array_join(F.sort_array(F.collect_set(F.when(F.col("status") == s, F.col("node")))), ",")
     return last.groupBy("patient").agg(pick("POSITIVE").alias("active"), pick("NEGATIVE").alias("resolved"), F.bool_or((F.col("status") == "POSITIVE") & (F.col("node") == "error")).alias("urgent"))
 
@@ -187,10 +189,10 @@ def c18(spark, d):
 @query("C19_resolution_linking", f"""WITH {OBSERVATIONS}, cue AS (SELECT patient, observed_at AS t, obs_id FROM obs WHERE node = 'purchase' AND status = 'POSITIVE')
   SELECT c.obs_id, max_by(o.obs_id, o.observed_at) AS resolves FROM cue c JOIN obs o ON o.patient = c.patient AND o.node = 'error' AND o.status = 'POSITIVE' AND o.observed_at < c.t GROUP BY 1""")
 def c19(spark, d):
-    # The nearest mention before a cue, by one running window over both.
+    # The nearest mention before a cue, by one running window over both; mentions of the same time are not before it.
     o = observations(spark, d).where("status = 'POSITIVE' and node in ('purchase', 'error')")
-    last = F.last(F.when(F.col("node") == "error", F.col("obs_id")), ignorenulls=True).over(Window.partitionBy("patient").orderBy("observed_at").rowsBetween(Window.unboundedPreceding, -1))
-    return o.withColumn("resolves", last).where("node = 'purchase' and resolves is not null").select("obs_id", "resolves")
+    last = F.max(F.when(F.col("node") == "error", F.struct("observed_at", "obs_id"))).over(Window.partitionBy("patient").orderBy(micros("observed_at")).rangeBetween(Window.unboundedPreceding, -1))
+    return o.withColumn("resolves", last["obs_id"]).where("node = 'purchase' and resolves is not null").select("obs_id", "resolves")
 
 
 @query("C21_start_planner", f"""WITH {TOKENS}, s AS (SELECT case_id, list(DISTINCT code) AS known FROM tokens WHERE value IN ('A', 'V_0', 'V_1', 'F') GROUP BY 1)
