@@ -24,6 +24,7 @@ def _plain(raw: bytes) -> bytes:
 UNKNOWN = "und"
 #: Bins of the hash by which training texts are chosen.
 _BINS = 1 << 16
+_PART = 1 << 8
 
 
 def train(docs: DataFrame, dictionary_bytes: int = 100_000, text_bytes: int = 4_096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
@@ -43,8 +44,12 @@ def train(docs: DataFrame, dictionary_bytes: int = 100_000, text_bytes: int = 4_
     place = F.when(size < 64, F.lit(2 * _BINS) - size).when(size > text_bytes, longer).otherwise(usual).cast("long")
     # Bytes by bins of that order, without texts: a few rows say up to which bin a language has enough.
     ranked = slim.select("lang", "key", size.cast("long").alias("size"), place.alias("bin"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = ranked.groupBy("lang", "bin").agg(F.sum("size").alias("size")).withColumn("before", before).where(F.col("before") < dictionary_bytes).groupBy("lang").agg(F.max("bin").alias("upto"))
+    # Bytes before a bin: those before its part of the bins, and those inside it; no window holds more than some hundred rows.
+    running = lambda keys, at: F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = ranked.groupBy("lang", "bin").agg(F.sum("size").alias("size")).withColumn("part", F.expr(f"bin div {_PART}"))
+    parts = bins.groupBy("lang", "part").agg(F.sum("size").alias("size")).select("lang", "part", running(["lang"], "part").alias("earlier"))
+    bins = bins.withColumn("inside", running(["lang", "part"], "bin")).join(parts, ["lang", "part"])
+    bins = bins.where(F.col("earlier") + F.col("inside") < dictionary_bytes).groupBy("lang").agg(F.max("bin").alias("upto"))
     near = ranked.distinct().join(F.broadcast(bins) if fits(bins) else bins, "lang").where("bin <= upto")
     before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("bin", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = near.withColumn("before", before).where(F.col("before") < dictionary_bytes).select("lang", "key", "bin")
