@@ -153,3 +153,34 @@ def month_grid(day: Column) -> Column:
     first, last = F.trunc(day, "month"), F.last_day(day)
     start = F.date_sub(first, F.dayofweek(first) - 1)
     return F.sequence(start, F.date_add(last, 7 - F.dayofweek(last)))
+
+
+# Korean particles that may end a noun, and words that make a sentence strong or permissive.
+PARTICLES = ("으로는", "으로", "에서", "에게", "까지", "부터", "이라고", "라고", "이나", "인지", "이며", "이고", "이란", "이라", "하고", "과", "와", "이", "가", "을", "를", "은", "는", "도", "의", "에", "로", "만", "일")
+STRONG = (r"\bmust\b", r"\bshould\b", r"\brequire[sd]?\b", r"\brecommend\w*", r"\bindicated\b", r"\bmandatory\b", r"\bnecessary\b", r"\bessential\b", r"\bpreferred\b", r"\bfirst-line\b", r"\bwarrant\w*", r"\bperform\w*")
+PERMISSIVE = (r"\bcan\b", r"\bmay\b", r"\bcould\b", r"\bmight\b", r"\badvocated\b", r"\bsuggested\b", r"\bconsider(?:ed)?\b", r"\boption(?:al)?\b")
+
+
+def without_particles(text: Column, particles: tuple[str, ...] = PARTICLES, times: int = 2) -> Column:
+    """A word without blanks and without up to `times` particles at its end; a particle that is the whole word stays."""
+    out = F.regexp_replace(text, r"\s+", "")
+    for _ in range(times):
+        short = F.regexp_replace(out, f"({'|'.join(particles)})$", "")
+        out = F.when(F.length(short) >= 1, short).otherwise(out)
+    return out
+
+
+def wording(text: Column, strong: tuple[str, ...] = STRONG, permissive: tuple[str, ...] = PERMISSIVE) -> Column:
+    """(strength, markers): MIXED, STRONG, PERMISSIVE or UNMARKED, and the distinct words that tell it, the strong ones first; null text is unmarked."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = lambda patterns: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in patterns]))))
+    s, p = found(strong), found(permissive)
+    kind = F.when((F.size(s) > 0) & (F.size(p) > 0), "MIXED").when(F.size(s) > 0, "STRONG").when(F.size(p) > 0, "PERMISSIVE").otherwise("UNMARKED")
+    return F.struct(kind.alias("strength"), F.concat(s, p).alias("markers"))
+
+
+def audit_decision(grades: Column, final_class: Column, agreed: tuple[str, ...] = ("G2_SILVER_AGREED", "G3_SILVER_AUDITED")) -> Column:
+    """What becomes of a concept: one without an agreed grade is rejected or held, any other goes by its final class A to F."""
+    sure = F.arrays_overlap(grades, F.array(*map(F.lit, agreed)))
+    out = F.when(~sure & F.array_contains(grades, "REJECTED"), "REJECTED").when(~sure, "HELD")
+    return out.when(final_class == "D", "KEEP_NEW_CANDIDATE").when(final_class.isin("A", "B", "C"), "MERGE_AS_EXISTING_RELATION").when(final_class == "E", "REJECTED").otherwise("HELD")

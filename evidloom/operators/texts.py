@@ -90,3 +90,31 @@ def nearest_by_cosine(vectors: DataFrame, id_col: str, vector: str, label: str,
     best = near.groupBy("query_id", "label").agg(F.max_by(F.struct("id", "cosine"), F.struct("cosine", -F.col("id"))).alias("b"))
     ranked = best.select("query_id", "label", "b.id", "b.cosine").withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "label")))
     return ranked.where(F.col("_r") <= k).drop("_r")
+
+
+def class_scores(train: DataFrame, rows: DataFrame, label: str, grams: Column, id_col: str) -> DataFrame:
+    """(id, label, score): log likelihood of a row's grams under each class, add-one smoothed, rounded to 6 places.
+
+    Linear in the grams.  Training rows are reduced to counts of (class, gram)
+    first; a row meets the counts of its own grams, and each class once.
+    """
+    counts = train.select(label, F.explode(grams).alias("_g")).groupBy(label, "_g").agg(F.count("*").alias("_n"))
+    size = counts.agg(F.count_distinct("_g").alias("_v"))
+    base = counts.groupBy(label).agg(F.sum("_n").alias("_t")).crossJoin(F.broadcast(size)).select(label, F.ln(F.col("_t") + F.col("_v")).alias("_base"))  # one row
+    hits = rows.select(id_col, F.explode(grams).alias("_g")).join(counts, "_g").groupBy(id_col, label).agg(F.sum(F.ln(F.col("_n") + 1)).alias("_s"))
+    each = rows.select(id_col, F.size(grams).alias("_k")).crossJoin(base)  # the output has a row for each class
+    return each.join(hits, [id_col, label], "left").select(id_col, label, F.round(F.coalesce("_s", F.lit(0.0)) - F.col("_k") * F.col("_base"), 6).alias("score"))
+
+
+def best_class(scores: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(id, label, margin): the class of the highest score, ties by name, and its lead over the next; null where there is no other."""
+    best = F.min_by(F.struct(label, "score"), F.struct(-F.col("score"), F.col(label)))
+    b = scores.groupBy(id_col).agg(best.alias("_b"))
+    rest = scores.join(b.select(id_col, F.col(f"_b.{label}").alias("_l")), id_col).where(F.col(label) != F.col("_l")).groupBy(id_col).agg(F.max("score").alias("_next"))
+    return b.join(rest, id_col, "left").select(id_col, F.col(f"_b.{label}").alias(label), F.round(F.col("_b.score") - F.col("_next"), 6).alias("margin"))
+
+
+def agreement_route(first: Column, second: Column, first_margin: Column, second_margin: Column, least: float) -> Column:
+    """AUTO if two classifiers agree and the first is sure, CONFIRM if they agree, ASK if only the second is sure, else HOLD."""
+    same = first == second
+    return F.when(same & (first_margin >= least), "AUTO").when(same, "CONFIRM").when(second_margin >= least, "ASK").otherwise("HOLD")

@@ -44,3 +44,43 @@ def row_digest(df: DataFrame) -> DataFrame:
     h = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h"))
     part = h.groupBy(F.substring("h", 1, 2).alias("p")).agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("h", 3, 12), 16, 10).cast("decimal(38,0)")).alias("s"))
     return part.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "n", "s"))), lambda x: F.concat_ws(":", x["p"], x["n"].cast("string"), x["s"].cast("string"))), ","), 256).alias("digest"))
+
+
+def alias_violations(aliases: DataFrame, catalogue: DataFrame, statuses: tuple[str, ...], excluded: tuple[str, ...] = (), kinds: tuple[str, ...] = ("noun", "phrase"), macros: dict[str, str] | None = None) -> DataFrame:
+    """(id, rule) of every broken rule of an alias table (id, evidence_id, pattern, kind, allow, status).
+
+    An evidence must be in the catalogue (evidence_id, data_type), binary (`B`)
+    and not excluded; a pattern must not be empty, keep an unknown {MACRO} or
+    match the empty text; kind, allow and status must be of the given values (null
+    kind, allow and status are allowed); ids occur once.  A pattern that is no
+    regular expression raises an error.
+    """
+    pattern = F.coalesce("pattern", F.lit(""))
+    for name, value in (macros or {}).items():
+        pattern = F.replace(pattern, F.lit("{" + name + "}"), F.lit(value))
+    known = catalogue.select("evidence_id", F.col("data_type").alias("_type"), F.lit(True).alias("_known")).dropDuplicates(["evidence_id"])
+    a = aliases.withColumn("pattern", pattern).join(known, "evidence_id", "left")
+    macro = F.col("pattern").rlike(r"\{[A-Z]+\}")
+    allowed = F.array(*map(F.lit, statuses))
+    broken = {
+        "UNKNOWN_EVIDENCE": F.col("_known").isNull(),
+        "EXCLUDED_EVIDENCE": F.col("evidence_id").isin(*excluded),
+        "NOT_BINARY": F.col("_known") & ~F.col("_type").eqNullSafe("B"),
+        "EMPTY_PATTERN": F.col("pattern") == "",
+        "UNRESOLVED_MACRO": macro,
+        "MATCHES_EMPTY": F.when((F.col("pattern") == "") | macro, False).otherwise(F.regexp_like(F.lit(""), F.col("pattern"))),
+        "BAD_KIND": ~F.col("kind").isin(*kinds),
+        "BAD_ALLOW": (F.size("allow") == 0) | (F.size(F.array_except("allow", allowed)) > 0),
+        "BAD_STATUS": ~F.col("status").isin(*statuses),
+    }
+    rules = F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in broken.items()]), lambda r: r.isNotNull())
+    twice = aliases.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("DUPLICATE_ID").alias("rule"))
+    return a.select("id", F.explode(rules).alias("rule")).unionByName(twice).distinct()
+
+
+def policy_violations(policy: DataFrame, supported: DataFrame) -> DataFrame:
+    """(evidence_id, rule): a policy (evidence_id, allowed, reason) must tell each supported evidence exactly once, with a decision and a reason."""
+    p = policy.groupBy("evidence_id").agg(F.count("*").alias("_n"), F.bool_and(F.col("allowed").isNotNull() & (F.coalesce("reason", F.lit("")) != "")).alias("_told"))
+    j = p.join(supported.select("evidence_id", F.lit(True).alias("_s")).distinct(), "evidence_id", "full")
+    broken = {"MISSING": F.col("_n").isNull(), "EXTRA": F.col("_s").isNull(), "DUPLICATE": F.col("_n") > 1, "NO_REASON": ~F.col("_told")}
+    return j.select("evidence_id", F.explode(F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in broken.items()]), lambda r: r.isNotNull())).alias("rule"))

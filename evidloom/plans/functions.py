@@ -133,9 +133,16 @@ def f19(spark, d):
     return table(spark, d, "documents", "doc_id", "text").mapInPandas(run, "doc_id long, n_chars long")
 
 
-@query("F20_particle_stripping", "SELECT n_name, CASE WHEN length(n_name) > 7 THEN regexp_replace(n_name, '[0-9]$', '') ELSE n_name END AS stem FROM nation")
+# Names with none, one, two or three particles, and words that are nothing but particles.
+ENDINGS = ("", "은", "에서", "에게는", "까지만의", "으로는")
+ENDED = "CASE WHEN p_partkey % 7 = 6 THEN '' ELSE p_name END || ' ' || ['', '은', '에서', '에게는', '까지만의', '으로는'][CAST(p_partkey % 6 + 1 AS INT)]"
+
+
+@query("F20_particle_stripping", f"""WITH a AS (SELECT p_partkey, regexp_replace({ENDED}, '\\s+', '', 'g') AS w FROM part), b AS (SELECT *, regexp_replace(w, '({'|'.join(S.PARTICLES)})$', '') AS s FROM a),
+  c AS (SELECT p_partkey, CASE WHEN s = '' THEN w ELSE s END AS w FROM b), e AS (SELECT *, regexp_replace(w, '({'|'.join(S.PARTICLES)})$', '') AS s FROM c) SELECT p_partkey, CASE WHEN s = '' THEN w ELSE s END AS stem FROM e""")
 def f20(spark, d):
-    return table(spark, d, "nation", "n_name").select("n_name", F.when(F.length("n_name") > 7, F.regexp_replace("n_name", "[0-9]$", "")).otherwise(F.col("n_name")).alias("stem"))
+    word = F.concat(F.when(F.col("p_partkey") % 7 == 6, "").otherwise(F.col("p_name")), F.lit(" "), F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("p_partkey") % 6 + 1).cast("int")))
+    return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", S.without_particles(word).alias("stem"))
 
 
 GRAMS = "g AS (SELECT DISTINCT p_name, list_distinct(list_transform(range(1, length(p_name)), lambda i: substr(p_name, i, 2))) AS g FROM part)"
@@ -203,9 +210,18 @@ def f27(spark, d):
     return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", S.set_token_match(F.split("p_name", " "), F.array(F.lit("red"), F.lit("bolt"), F.lit("gear"))).alias("hit"))
 
 
-@query("F28_wording_strength", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '!') THEN 'STRONG' WHEN len(regexp_extract_all(text, ',')) >= 2 THEN 'WEAK' ELSE 'NONE' END AS strength FROM conversations")
+# The tables' prose has hardly a marker, so each turn ends with one of seven sentences.
+CLOSINGS = ("", " It is required and should be performed.", " It may be considered.", " Consider it; first-line care is recommended.", " Optional, but it can help.", " Cannot say, mustard only.", " An option that MUST stay.")
+FOUND = "list_sort(list_distinct(flatten([{}])))"
+
+
+@query("F28_wording_strength", f"""WITH t AS (SELECT conv_id, turn, lower(coalesce(text, '') || [{', '.join(f"'{c}'" for c in CLOSINGS)}][CAST((conv_id + turn) % 7 + 1 AS INT)]) AS t FROM conversations),
+  m AS (SELECT conv_id, turn, {FOUND.format(', '.join(f"regexp_extract_all(t, '{p}')" for p in S.STRONG))} AS s, {FOUND.format(', '.join(f"regexp_extract_all(t, '{p}')" for p in S.PERMISSIVE))} AS p FROM t)
+  SELECT conv_id, turn, CASE WHEN len(s) > 0 AND len(p) > 0 THEN 'MIXED' WHEN len(s) > 0 THEN 'STRONG' WHEN len(p) > 0 THEN 'PERMISSIVE' ELSE 'UNMARKED' END AS strength, array_to_string(s || p, ',') AS markers FROM m""")
 def f28(spark, d):
-    return table(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.when(F.col("text").rlike("!"), "STRONG").when(F.size(F.regexp_extract_all("text", F.lit(","), F.lit(0))) >= 2, "WEAK").otherwise("NONE").alias("strength"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, CLOSINGS)), ((F.col("conv_id") + F.col("turn")) % 7 + 1).cast("int")))
+    w = table(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", S.wording(text).alias("w"))
+    return w.select("conv_id", "turn", "w.strength", F.array_join("w.markers", ",").alias("markers"))
 
 
 @query("F29_quote_verification", "SELECT p_partkey, contains(p_name, split_part(p_name, ' ', 2)) AND contains(p_name, 'e') AS quoted FROM part")

@@ -31,9 +31,33 @@ def x1(spark, d):
     return mentions(spark, d)
 
 
-@query("X2_alias_table_contract", "SELECT p_name, count(*) AS n, count(DISTINCT p_brand) > 20 AS ambiguous, bool_or(length(p_brand) > 7) AS has_long FROM part GROUP BY 1")
+# Parts as aliases with faults of each kind; suppliers as the catalogue, nations as the policy.
+ENTRIES = """SELECT 'a' || (p_partkey - CASE WHEN p_partkey % 31 = 30 THEN 1 ELSE 0 END) AS id, 'E_' || p_size AS evidence_id, CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 19 = 0 THEN '{NEG}' || p_name WHEN p_partkey % 23 = 0 THEN '(' || p_name || ')?' WHEN p_partkey % 29 = 0 THEN '{SIGN}' || p_name ELSE p_name END AS pattern,
+  CASE WHEN p_partkey % 13 = 0 THEN 'verb' ELSE 'noun' END AS kind, CASE WHEN p_partkey % 11 = 0 THEN 'MAYBE' WHEN p_partkey % 3 = 0 THEN 'POSITIVE' END AS status FROM part"""
+CATALOGUE = "SELECT DISTINCT 'E_' || (s_suppkey % 46) AS evidence_id, CASE WHEN s_suppkey % 46 % 4 = 3 THEN 'C' ELSE 'B' END AS data_type FROM supplier"
+POLICY = "SELECT 'E_' || (n_nationkey * 2 - CASE WHEN n_nationkey = 9 THEN 2 ELSE 0 END) AS evidence_id, n_nationkey % 2 = 0 AS allowed, CASE WHEN n_nationkey % 5 <> 0 THEN 'told' END AS reason FROM nation"
+
+
+@query("X2_alias_table_contract", f"""WITH al AS (SELECT id, evidence_id, replace(pattern, '{{SIGN}}', 'not ') AS pattern, kind, status, kind = 'verb' AS bad FROM ({ENTRIES})), ca AS ({CATALOGUE}), po AS ({POLICY}),
+  j AS (SELECT al.*, ca.evidence_id IS NOT NULL AS known, data_type FROM al LEFT JOIN ca USING (evidence_id)), pn AS (SELECT evidence_id, count(*) AS n, bool_and(allowed IS NOT NULL AND coalesce(reason, '') <> '') AS told FROM po GROUP BY 1), su AS (SELECT evidence_id FROM ca WHERE data_type = 'B'),
+  b AS (SELECT 'alias' AS side, id, 'UNKNOWN_EVIDENCE' AS rule FROM j WHERE NOT known UNION ALL SELECT 'alias', id, 'EXCLUDED_EVIDENCE' FROM j WHERE evidence_id = 'E_7' UNION ALL SELECT 'alias', id, 'NOT_BINARY' FROM j WHERE known AND data_type <> 'B' UNION ALL SELECT 'alias', id, 'EMPTY_PATTERN' FROM j WHERE pattern = ''
+    UNION ALL SELECT 'alias', id, 'UNRESOLVED_MACRO' FROM j WHERE contains(pattern, '{{NEG}}') UNION ALL SELECT 'alias', id, 'MATCHES_EMPTY' FROM j WHERE pattern LIKE '%)?' UNION ALL SELECT 'alias', id, 'BAD_KIND' FROM j WHERE bad UNION ALL SELECT 'alias', id, 'BAD_ALLOW' FROM j WHERE bad UNION ALL SELECT 'alias', id, 'BAD_STATUS' FROM j WHERE status = 'MAYBE'
+    UNION ALL SELECT 'alias', id, 'DUPLICATE_ID' FROM al GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'policy', evidence_id, 'MISSING' FROM su ANTI JOIN pn USING (evidence_id) UNION ALL SELECT 'policy', evidence_id, 'EXTRA' FROM pn ANTI JOIN su USING (evidence_id) UNION ALL SELECT 'policy', evidence_id, 'DUPLICATE' FROM pn WHERE n > 1 UNION ALL SELECT 'policy', evidence_id, 'NO_REASON' FROM pn WHERE NOT told)
+  SELECT DISTINCT side, id, rule FROM b""")
 def x2(spark, d):
-    return table(spark, d, "part", "p_name", "p_brand").groupBy("p_name").agg(F.count("*").alias("n"), (F.count_distinct("p_brand") > 20).alias("ambiguous"), F.bool_or(F.length("p_brand") > 7).alias("has_long"))
+    statuses = ("POSITIVE", "NEGATIVE")
+    name, k = F.col("p_name"), F.col("p_partkey")
+    allow = F.when(k % 13 == 0, F.array(F.lit("POSITIVE"), F.lit("OTHER"))).otherwise(F.array(*map(F.lit, statuses)))
+    aliases = table(spark, d, "part", "p_partkey", "p_name", "p_size").select(
+        F.concat(F.lit("a"), k - F.when(k % 31 == 30, 1).otherwise(0)).alias("id"), F.concat(F.lit("E_"), "p_size").alias("evidence_id"),
+        F.when(k % 17 == 0, "").when(k % 19 == 0, F.concat(F.lit("{NEG}"), name)).when(k % 23 == 0, F.concat(F.lit("("), name, F.lit(")?"))).when(k % 29 == 0, F.concat(F.lit("{SIGN}"), name)).otherwise(name).alias("pattern"),
+        F.when(k % 13 == 0, "verb").otherwise("noun").alias("kind"), allow.alias("allow"), F.when(k % 11 == 0, "MAYBE").when(k % 3 == 0, "POSITIVE").alias("status"))
+    code = F.col("s_suppkey") % 46
+    catalogue = table(spark, d, "supplier", "s_suppkey").select(F.concat(F.lit("E_"), code).alias("evidence_id"), F.when(code % 4 == 3, "C").otherwise("B").alias("data_type")).distinct()
+    n = F.col("n_nationkey")
+    policy = table(spark, d, "nation", "n_nationkey").select(F.concat(F.lit("E_"), n * 2 - F.when(n == 9, 2).otherwise(0)).alias("evidence_id"), (n % 2 == 0).alias("allowed"), F.when(n % 5 != 0, "told").alias("reason"))
+    a = V.alias_violations(aliases, catalogue, statuses, excluded=("E_7",), macros={"SIGN": "not "}).select(F.lit("alias").alias("side"), "id", "rule")
+    return a.unionByName(V.policy_violations(policy, catalogue.where("data_type = 'B'")).select(F.lit("policy").alias("side"), F.col("evidence_id").alias("id"), "rule"))
 
 
 NOTE = "event_type || CASE WHEN event_id % 3 = 0 THEN ' for ' || event_id % 9 || ' days' ELSE '' END || ' ' || event_id % 11 || '/10' || CASE event_id % 4 WHEN 0 THEN ', getting worse' WHEN 1 THEN ', better' ELSE '' END"
@@ -75,11 +99,20 @@ def x5(spark, d):
     return table(spark, d, "part", "p_partkey", "p_type", "p_name").select("p_partkey", hit.alias("hit"))
 
 
-@query("X6_agreement_routing", """WITH s AS (SELECT p_partkey, p_size % 7 AS a, p_partkey % 7 AS b, (p_size % 10) / 10.0 AS conf FROM part) SELECT p_partkey, CASE WHEN a = b AND conf >= 0.3 THEN 'AUTO' WHEN a = b THEN 'CONFIRM' WHEN conf >= 0.8 THEN 'ASK' ELSE 'HOLD' END AS route FROM s""")
+@query("X6_agreement_routing", """WITH n AS (SELECT DISTINCT p_name, list_distinct(list_transform(range(1, length(p_name)), lambda i: substr(p_name, i, 2))) AS ga, list_distinct(string_split(p_name, ' ')) AS gb FROM part),
+  t AS (SELECT 'a' AS m, p_name, unnest(ga) AS g FROM n UNION ALL SELECT 'b', p_name, unnest(gb) FROM n), c AS (SELECT m, p_type, g, count(*) AS k FROM part JOIN t USING (p_name) WHERE p_partkey % 5 <> 0 GROUP BY ALL), v AS (SELECT m, count(DISTINCT g) AS v FROM c GROUP BY 1),
+  b AS (SELECT c.m, p_type, ln(sum(k) + any_value(v)) AS base FROM c JOIN v ON c.m = v.m GROUP BY c.m, p_type), s AS (SELECT t.m, t.p_name, b.p_type, round(sum(ln(coalesce(k, 0) + 1) - base), 6) AS score FROM t JOIN b ON t.m = b.m LEFT JOIN c ON c.m = t.m AND c.p_type = b.p_type AND c.g = t.g GROUP BY ALL),
+  r AS (SELECT m, p_name, p_type, round(score - lead(score) OVER w, 6) AS margin, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY m, p_name ORDER BY score DESC, p_type))
+  SELECT p_partkey, a.p_type AS by_grams, b.p_type AS by_words, CASE WHEN a.p_type = b.p_type AND a.margin >= 0.1 THEN 'AUTO' WHEN a.p_type = b.p_type THEN 'CONFIRM' WHEN b.margin >= 0.1 THEN 'ASK' ELSE 'HOLD' END AS route
+  FROM part JOIN r a ON a.m = 'a' AND a.k = 1 AND a.p_name = part.p_name JOIN r b ON b.m = 'b' AND b.k = 1 AND b.p_name = part.p_name""")
 def x6(spark, d):
-    a, b, conf = F.col("p_size") % 7, F.col("p_partkey") % 7, (F.col("p_size") % 10) / 10.0
-    route = F.when((a == b) & (conf >= 0.3), "AUTO").when(a == b, "CONFIRM").when(conf >= 0.8, "ASK").otherwise("HOLD")
-    return table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", route.alias("route"))
+    """Two linear classifiers of a name, by character bigrams and by words, learned from four fifths of the parts; distinct names are scored once."""
+    p = table(spark, d, "part", "p_partkey", "p_name", "p_type")
+    train, names = p.where("p_partkey % 5 <> 0"), p.select("p_name").distinct()
+    by = lambda grams, k: X.best_class(X.class_scores(train, names, "p_type", grams, "p_name"), "p_name", "p_type").select("p_name", F.col("p_type").alias(k), F.col("margin").alias(f"{k}_margin"))
+    both = by(S.ngrams(F.col("p_name"), 2), "by_grams").join(by(F.array_distinct(F.split("p_name", " ")), "by_words"), "p_name")
+    route = X.agreement_route(F.col("by_grams"), F.col("by_words"), F.col("by_grams_margin"), F.col("by_words_margin"), 0.1)
+    return p.select("p_partkey", "p_name").join(both, "p_name").select("p_partkey", "by_grams", "by_words", route.alias("route"))
 
 
 SENTENCES = r"sen AS (SELECT conv_id, turn, CAST(i - 1 AS INT) AS sentence_no, ss[i] AS sentence FROM (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text, '[.!?\n]'), lambda s: trim(s, ' ')), lambda s: s <> '') AS ss FROM conversations), range(1, 10000) r(i) WHERE i <= len(ss))"
@@ -105,10 +138,14 @@ def x9(spark, d):
     return X.consolidated(table(spark, d, "part", "p_name", "p_type"), "p_name", "p_type")
 
 
-@query("X10_concept_audit", "SELECT p_name, CASE WHEN count(*) = 1 THEN 'KEEP' WHEN count(DISTINCT p_brand) = 1 THEN 'MERGE' WHEN max(p_size) - min(p_size) > 45 THEN 'REJECT' ELSE 'HOLD' END AS audit FROM part GROUP BY 1")
+@query("X10_concept_audit", """WITH c AS (SELECT p_name, p_type, list(DISTINCT ['G1_SINGLE', 'REJECTED', 'G1_SINGLE', 'G2_SILVER_AGREED', 'REJECTED', 'G3_SILVER_AUDITED', 'G1_SINGLE'][p_size % 7 + 1]) AS grades, ['A', 'B', 'C', 'D', 'E', 'F'][CAST(min(p_partkey) % 6 + 1 AS INT)] AS class, bool_and(p_size % 2 = 0) AS failed FROM part GROUP BY ALL),
+  s AS (SELECT *, list_contains(grades, 'G2_SILVER_AGREED') OR list_contains(grades, 'G3_SILVER_AUDITED') AS sure FROM c)
+  SELECT p_name, p_type, CASE WHEN sure THEN CASE class WHEN 'D' THEN 'KEEP_NEW_CANDIDATE' WHEN 'E' THEN 'REJECTED' WHEN 'F' THEN 'HELD' ELSE 'MERGE_AS_EXISTING_RELATION' END WHEN list_contains(grades, 'REJECTED') THEN 'REJECTED' ELSE 'HELD' END AS audit, failed AS isolation_failed FROM s""")
 def x10(spark, d):
-    audit = F.when(F.count("*") == 1, "KEEP").when(F.count_distinct("p_brand") == 1, "MERGE").when(F.max("p_size") - F.min("p_size") > 45, "REJECT").otherwise("HOLD")
-    return table(spark, d, "part", "p_name", "p_brand", "p_size").groupBy("p_name").agg(audit.alias("audit"))
+    grade = F.element_at(F.array(*map(F.lit, ("G1_SINGLE", "REJECTED", "G1_SINGLE", "G2_SILVER_AGREED", "REJECTED", "G3_SILVER_AUDITED", "G1_SINGLE"))), (F.col("p_size") % 7 + 1).cast("int"))
+    final = F.element_at(F.array(*map(F.lit, "ABCDEF")), (F.min("p_partkey") % 6 + 1).cast("int"))
+    c = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_size").groupBy("p_name", "p_type").agg(F.collect_set(grade).alias("grades"), final.alias("class"), F.bool_and(F.col("p_size") % 2 == 0).alias("isolation_failed"))
+    return c.select("p_name", "p_type", S.audit_decision(F.col("grades"), F.col("class")).alias("audit"), "isolation_failed")
 
 
 @query("X11_embedding_neighbours", """WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM n q JOIN n v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from evidloom import registry
 from evidloom.functions import scalars as S
 from evidloom.operators import aggregates as A
 from evidloom.operators import graphs as G
@@ -14,6 +15,9 @@ from evidloom.operators import streams as ST
 from evidloom.operators import windows as W
 
 
+registry.load()
+
+
 def at(hour, day=1):
     return dt.datetime(2024, 1, day, hour)
 
@@ -180,3 +184,74 @@ def test_folds_are_dealt_in_hash_order(spark):
     for s in ("a", "b", None):
         order = sorted((i for i, x in rows if x == s), key=lambda i: (hashlib.sha256(str(i).encode()).hexdigest(), str(i)))
         assert {r["i"]: r["fold"] for r in out if r["s"] == s} == {i: k % 5 for k, i in enumerate(order)}
+
+
+def test_particles_wording_and_audit(spark):
+    words = {"두통 은": "두통", "병원에서는": "병원", "은": "은", "집으로는": "집", None: None, "fever": "fever"}
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r["w"]: r["s"] for r in df.select("w", S.without_particles(F.col("w")).alias("s")).collect()} == words
+    texts = {"You MUST rest; it can help, it must": ("MIXED", ["must", "can"]), "mustard, cannot": ("UNMARKED", []), "required, recommended": ("STRONG", ["recommended", "required"]), None: ("UNMARKED", []), "Optional": ("PERMISSIVE", ["optional"])}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.wording(F.col("t")).alias("w"))
+    assert {r["t"]: (r["w"]["strength"], r["w"]["markers"]) for r in df.collect()} == texts
+    rows = [(["REJECTED"], "D", "REJECTED"), (["G1"], "D", "HELD"), (["REJECTED", "G2_SILVER_AGREED"], "D", "KEEP_NEW_CANDIDATE"), (["G3_SILVER_AUDITED"], "B", "MERGE_AS_EXISTING_RELATION"), (["G3_SILVER_AUDITED"], "E", "REJECTED"), (["G3_SILVER_AUDITED"], None, "HELD")]
+    df = spark.createDataFrame(rows, "g array<string>, c string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", S.audit_decision(F.col("g"), F.col("c")).alias("got")).collect())
+
+
+def test_alias_table_and_policy_violations(spark):
+    from evidloom.operators import validation as V
+
+    rows = [("ok", "E_1", "{NOT}pain", "noun", ["P"], None), ("no", "E_9", "x", None, None, "P"), ("twice", "E_1", "a", "noun", ["P"], None), ("twice", "E_1", "a*", "noun", [], "Q"), ("bad", "E_2", None, "verb", ["Q"], None), ("macro", "E_3", "{ANY}", "noun", ["P"], None)]
+    aliases = spark.createDataFrame(rows, "id string, evidence_id string, pattern string, kind string, allow array<string>, status string")
+    catalogue = spark.createDataFrame([("E_1", "B"), ("E_2", "C"), ("E_3", "B")], "evidence_id string, data_type string")
+    out = lambda a: sorted(tuple(r) for r in V.alias_violations(a, catalogue, ("P", "N"), excluded=("E_3",), macros={"NOT": "no "}).collect())
+    assert out(aliases) == [("bad", "BAD_ALLOW"), ("bad", "BAD_KIND"), ("bad", "EMPTY_PATTERN"), ("bad", "NOT_BINARY"), ("macro", "EXCLUDED_EVIDENCE"), ("macro", "UNRESOLVED_MACRO"), ("no", "UNKNOWN_EVIDENCE"), ("twice", "BAD_ALLOW"), ("twice", "BAD_STATUS"), ("twice", "DUPLICATE_ID"), ("twice", "MATCHES_EMPTY")]
+    assert out(aliases.limit(0)) == []
+    policy = spark.createDataFrame([("E_1", True, "r"), ("E_1", True, ""), ("E_8", None, "r")], "evidence_id string, allowed boolean, reason string")
+    got = sorted(tuple(r) for r in V.policy_violations(policy, catalogue.where("data_type = 'B'")).collect())
+    assert got == [("E_1", "DUPLICATE"), ("E_1", "NO_REASON"), ("E_3", "MISSING"), ("E_8", "EXTRA"), ("E_8", "NO_REASON")]
+
+
+def test_shortest_paths_end_on_cycles(spark):
+    e = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, 4), (4, 3), (5, 4), (5, 2), (6, 1), (6, 2)], "child long, parent long")
+    assert {r["node"]: r["path"] for r in G.first_shortest_paths(e).collect()} == {1: "1>0", 2: "2>0", 5: "5>2>0", 6: "6>1>0"}
+    assert G.first_shortest_paths(e.limit(0)).count() == 0
+
+
+def test_stratified_draws_keep_the_sizes_of_strata(spark):
+    rows = [(i, "a" if i < 900 else "b", 10.0 if i < 900 else 110.0) for i in range(1000)]
+    b = A.stratified_bootstrap(spark.createDataFrame(rows, "i int, s string, v double"), "s", "i", "v", 30, 5).collect()
+    assert len(b) == 30 and all(abs(r["estimate"] - 20.0) < 1e-9 for r in b)
+    spread = A.stratified_bootstrap(spark.createDataFrame([(i, "a", float(i)) for i in range(400)], "i int, s string, v double"), "s", "i", "v", 200, 5).collect()
+    assert 4.0 < (sum((r["estimate"] - 199.5) ** 2 for r in spread) / 200) ** 0.5 < 8.0  # 115.5 / 20 in theory
+
+
+def test_mentions_of_one_time_are_neither_before_nor_after(spark, tmp_path):
+    from evidloom import registry
+
+    # event_id % 5: 0 positive, 1 negative.
+    rows = [(0, at(1), 1, "error"), (5, at(2), 1, "error"), (10, at(2), 1, "purchase"), (1, at(2), 1, "error"), (6, at(3), 1, "error")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in registry.QUERIES["C19_resolution_linking"](spark, str(tmp_path)).collect()] == [(10, 0)]
+    got = {r["obs_id"]: r["resolved_at"] for r in registry.QUERIES["C20_later_absence_resolves"](spark, str(tmp_path)).collect()}
+    assert got == {0: at(2), 5: at(3)}
+
+
+def test_nearest_leakage_neighbour_against_a_loop(spark, tmp_path):
+    import difflib
+    import random
+
+    from evidloom import registry
+
+    rng = random.Random(4)
+    names = {i: " ".join(rng.choice(["red", "bolt", "gear", "old", "cold"]) for _ in range(rng.randint(1, 3))) for i in range(60)}
+    spark.createDataFrame(list(names.items()), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    first = {}
+    for i in sorted(names):
+        first.setdefault(names[i], i)
+    want = {}
+    for a, i in first.items():
+        near = [(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), j) for b, j in first.items() if j % 5 and set(a.split()) & set(b.split())]
+        if i % 5 == 0 and near:
+            want[i] = (max(near)[1], max(near)[0])
+    assert want and {r["test_id"]: (r["id"], r["ratio"]) for r in registry.QUERIES["C18_nearest_leakage_neighbour"](spark, str(tmp_path)).collect()} == want
