@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import shared
 from .textstats import with_statistics
 
 #: Features as SQL over the statistics; null (no words) becomes -1.
@@ -97,7 +98,7 @@ def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 6
     """Accelerated proximal gradient; the bias is not penalised."""
     n, k = a.shape
     w, b = np.zeros(k), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    rate = 4.0 / max(1e-9, np.linalg.norm(a, 2) ** 2 / n + 1)
+    rate = 4.0 / max(1e-9, np.linalg.eigvalsh(a.T @ a)[-1] / n + 1)  # the largest singular value, squared
     v, c, t = w.copy(), b, 1.0
     for _ in range(rounds):
         g = 1 / (1 + np.exp(-(a @ v + c))) - y
@@ -144,21 +145,24 @@ def _labelled(labels: DataFrame, label: str, sample: int) -> DataFrame:
     return chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
-def _texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text) of the chosen ids, at most `sample`; of several rows of an id, the smallest text."""
+def _features_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, features) of the chosen ids, at most `sample`; of several rows of an id, the smallest features.
+
+    Texts are measured where they are read; only numbers are shuffled.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    return slim.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return features(slim).groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "x.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
     """Fit on at most `sample` labelled rows, the first by hash of the id; null labels and ids are left out.
 
     `labels` holds (doc_id, label); what it holds out must have been filtered
-    before.  An id of several rows is learned from its smallest text and its
-    smallest label; very long texts count whole; other columns are ignored.
+    before.  An id of several rows is learned from its smallest features and
+    its smallest label; very long texts count whole; other columns are ignored.
     """
     chosen = _labelled(labels, label, sample)
-    rows = features(_texts_of(docs, chosen, id_col, text_col)).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
+    rows = _features_of(docs, chosen, id_col, text_col).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
     return fit_rules(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float))
 
 
@@ -169,8 +173,8 @@ def highest_cutoff(docs: DataFrame, labels: DataFrame, model: RuleModel, loss: f
     which rejects nothing, without a good one.
     """
     chosen = _labelled(labels, label, sample).where("y = 1")
-    scored = score(_texts_of(docs, chosen, id_col, text_col), model)
-    ranked = [r["score"] for r in scored.orderBy("score").select("score").limit(int(loss * sample) + 1).collect()]
+    scored = shared(_features_of(docs, chosen, id_col, text_col).select(compile_rules(model, list(FEATURES)).alias("score")))
+    ranked = [r["score"] for r in scored.orderBy("score").limit(int(loss * sample) + 1).collect()]
     lost = int(loss * scored.count())
     return ranked[lost] if ranked else 0.0
 

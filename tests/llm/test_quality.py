@@ -188,3 +188,12 @@ def test_languages_of_long_or_short_texts_are_learned(spark):
     assert whole["en"] == rows[0][1].strip().encode()  # texts are not cut
     odd = spark.createDataFrame([(1, "die katze und der hund"), (2, "la maison et le chien")], "doc_id long, text string")
     assert {r["doc_id"]: r["lang_pred"] for r in langid.classify(odd, dictionaries).collect()} == {1: "de", 2: "fr"}
+
+
+def test_a_repeated_id_is_learned_from_its_smallest_features(spark):
+    rows = [(i, "word " * (5 + i % 40)) for i in range(200)]
+    docs = spark.createDataFrame(rows + [(i, "many more words " * 60) for i in range(0, 200, 3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 40 > 20)) for i in range(200)], "doc_id long, quality int")
+    once = ruleensemble.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert once.rules
+    assert ruleensemble.train(docs, labels) == once == ruleensemble.train(docs.orderBy(F.desc("doc_id")).repartition(3), labels.union(labels))
