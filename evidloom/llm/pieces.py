@@ -33,7 +33,9 @@ SPACE = "▁"
 LONGEST_UNIT = 512
 #: Bytes of the broadcast table of frequent units, by the bound of index_bytes.
 BROADCAST_BYTES = 96 << 20
-_FLUSH, _CHUNK = 8 << 20, 1 << 19
+#: Bytes of units, by index_bytes, that one task makes lattices of at a time: their edges are a few hundred times as much.
+LATTICE_BYTES = 1 << 19
+_FLUSH, _CHUNK = 4 << 20, 1 << 19
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -166,8 +168,11 @@ def _long_units(table: PieceTable):
     return run
 
 
-def encode_units(units: DataFrame, table: PieceTable, any_long: bool = True) -> DataFrame:
-    """(unit, ids): the best segmentation of each distinct unit; without `any_long` no unit has over LONGEST_UNIT bytes."""
+def encode_units(units: DataFrame, table: PieceTable, any_long: bool = True, size: int = 0) -> DataFrame:
+    """(unit, ids): the best segmentation of each distinct unit; without `any_long` no unit has over LONGEST_UNIT bytes.
+
+    `size` is what index_bytes gives for all units: the more there is, the more tasks.
+    """
     spark = units.sparkSession
     edges = spark.createDataFrame([(p.replace(SPACE, " "), i, float(s)) for p, i, s in zip(table.pieces, table.ids, table.scores, strict=True)], "piece string, id int, score double")
     span, block = table.longest, 256
@@ -175,9 +180,9 @@ def encode_units(units: DataFrame, table: PieceTable, any_long: bool = True) ->
     if any_long:
         wide = F.octet_length("unit") > LONGEST_UNIT
         long = units.where(wide).select("unit").mapInArrow(_long_units(table), "unit string, ids array<int>")
-        return encode_units(units.where(~wide), table, False).unionByName(long)
+        return encode_units(units.where(~wide), table, False, size).unionByName(long)
     # Dealt by unit once, so that the edges of a unit are made, joined and grouped where it is.
-    units = units.select("unit").repartition(partitions(spark), "unit")
+    units = units.select("unit").repartition(max(partitions(spark), -(-size // LATTICE_BYTES)), "unit")
     # Bounded substrings of bounded blocks: (start, piece) pairs of each unit.
     cut = units.select("unit", F.explode(F.sequence(F.lit(0), F.greatest(F.length("unit") - 1, F.lit(0)), F.lit(block))).alias("base"))
     cut = cut.select("unit", "base", F.expr(f"substring(unit, base + 1, {block + span - 1})").alias("part"))
@@ -252,8 +257,10 @@ def _collected(encoded: DataFrame) -> Index:
     rows = encoded.select("unit", "ids").mapInArrow(_packed, "h binary, ids binary, sizes binary, width int").toArrow()
     width = rows["width"].to_numpy()
     h, sizes = (np.concatenate([np.empty(0, t), *(np.frombuffer(x.as_buffer(), t) for x in rows[c])]) for c, t in (("h", np.uint64), ("sizes", np.uint32)))
-    ids = [np.frombuffer(x.as_buffer(), np.uint16 if w == 2 else np.uint32) for x, w in zip(rows["ids"], width, strict=True)]
-    return _index(h, np.concatenate([np.empty(0, np.uint16), *ids]), sizes)
+    ids = np.concatenate([np.empty(0, np.uint16), *(np.frombuffer(x.as_buffer(), np.uint16 if w == 2 else np.uint32) for x, w in zip(rows["ids"], width, strict=True))])
+    del rows  # before the index is laid out
+    pa.default_memory_pool().release_unused()
+    return _index(h, ids, sizes)
 
 
 def _gather(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,19 +311,20 @@ def encode_documents(docs: DataFrame, table: PieceTable, broadcast_bytes: int =
     size = index_bytes(F.col("unit"))
     levels = units.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.sum(size).alias("bytes"), F.max(F.octet_length("unit")).alias("longest")).orderBy(F.desc("level")).collect()  # 64 rows at most
     any_long = any(r["longest"] > LONGEST_UNIT for r in levels)
-    least, room = None, broadcast_bytes
+    least, room, total = None, broadcast_bytes, sum(r["bytes"] for r in levels)
     for r in levels:
-        room -= r["bytes"]
-        if room < 0:
+        if r["bytes"] > room:
             break
+        room -= r["bytes"]
         least = r["level"]
+    hot = broadcast_bytes - room
     rare = bool(levels) and (least is None or least > levels[-1]["level"])
     often = F.floor(F.log2("n")) >= F.lit(least if least is not None else 1 << 20)
-    index = spark.sparkContext.broadcast(_collected(encode_units(units.where(often), table, any_long)))
+    index = spark.sparkContext.broadcast(_collected(encode_units(units.where(often), table, any_long, hot)))
     if rare:
         row = base.withColumn("row", F.xxhash64("doc_id", "text"))  # rows of one id and text have the same units
         wanted = row.select("row", "text").mapInArrow(_missing(table, index), "row long, unit string").distinct()
-        extra = wanted.join(encode_units(units.where(~often), table, any_long), "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
+        extra = wanted.join(encode_units(units.where(~often), table, any_long, total - hot), "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
         base = row.join(extra, "row", "left").drop("row")
     else:
         base = base.withColumn("extra", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>"))
