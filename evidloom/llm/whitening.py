@@ -13,6 +13,7 @@ dimensions x dimensions numbers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,8 @@ from .runtime import shared, small_batches
 LARGEST = 1 << 30
 #: A residual may be so large a part of the largest eigenvalue; smaller eigenvalues than LEAST of it span nothing.
 RESIDUAL, LEAST = 1e-13, 1e-12
-#: Rows of a matrix product.
-_ROWS = 4096
+#: Rows of a matrix product; bytes of vectors that a task of a pass takes.
+_ROWS, _TASK_BYTES = 4096, 16 << 20
 
 
 def whole_rows(rows: DataFrame, vector_col: str, scale: int, shift: int, *keep: str) -> DataFrame:
@@ -53,14 +54,10 @@ def _centred(column: pa.ListArray, n: int, sums: np.ndarray) -> Iterator[tuple[n
 
 
 def _summed(partials: DataFrame, d: int, width: int) -> np.ndarray:
-    """The sum of the tasks' (d x width) matrices, added up row by row on the executors."""
-    cells = partials.groupBy("row").agg(*[F.sum(F.col("cells")[j]).alias(f"c{j}") for j in range(width)]) if width <= 64 else partials.select("row", F.posexplode("cells")).groupBy("row", "pos").agg(F.sum("col").alias("c"))
+    """The sum of the tasks' (d x width) matrices, added up on the executors."""
     out = np.zeros((d, width))
-    for r in cells.toLocalIterator():
-        if width <= 64:
-            out[r[0]] = r[1:]
-        else:
-            out[r[0], r[1]] = r[2]
+    cells = partials.select("row", F.posexplode("cells").alias("pos", "c")).groupBy("row", "pos").agg(F.sum("c").alias("c")).toArrow()
+    out[cells["row"].to_numpy(), cells["pos"].to_numpy()] = cells["c"].to_numpy()
     return out
 
 
@@ -182,7 +179,9 @@ def whiten(rows: DataFrame, components: int = 16, id_col: str = "vec_id", vector
     small_batches(spark)
     distinct = shared(whole_rows(rows, vector_col, scale, shift).distinct())
     lengths = distinct.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "d"))["d"]).first()[0] or 0
-    model = fit_whitener(distinct.where(F.size("x") == lengths), components) if lengths else None
+    fit = distinct.where(F.size("x") == lengths)
+    tasks = math.ceil(distinct.count() * 8 * lengths / _TASK_BYTES)
+    model = fit_whitener(fit.coalesce(max(1, tasks)), components) if lengths else None
     schema = f"vec_id {rows.schema[id_col].dataType.simpleString()}, component int, n long, deviation long, whitened double, explained double, identity_error double, full_basis boolean"
     if model is None or not len(model.values):
         return spark.createDataFrame([], schema)
