@@ -8,8 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import streams as ST
+from ..operators.windows import micros
 from ..registry import query
-from ..streaming import stateful
+from ..streaming import processors, stateful
 from .fixtures import OBSERVATIONS, observations, table
 
 #: Frames: a user's events in order, loud where the value is at least 8.
@@ -183,3 +184,68 @@ def st17(spark, d):
 def st18(spark, d):
     r = frames(spark, d).groupBy("stream_id").agg(F.avg(F.col("speech").cast("int")).alias("r"))
     return r.select("stream_id", F.when(F.col("r") < 0.5, F.lit("")).otherwise(F.concat(F.lit("user "), "stream_id")).alias("text"))
+
+
+def replayed(spark, parts, stream, name):
+    """What a stream gives that is fed part by part, each in a run of its own that goes on from the state of the run before."""
+    where, name = f"{stateful.checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}", f"{name}-{uuid.uuid4().hex}"
+    with processors.keyed_state(spark):
+        for k, part in enumerate(parts):
+            part.write.parquet(f"{where}/{k}")
+            out = stateful.run_to_table(stream(spark.readStream.schema(part.schema).parquet(f"{where}/*")), name)
+    return out
+
+
+#: Realms of users; the table's month is played in 108 minutes, so that windows of 5 minutes hold many requests.
+REQUESTS = """req AS (SELECT user_id % 8 AS realm, event_id AS seq, epoch_us(ts) // 400 AS at_, CASE WHEN event_type = 'signup' THEN 'create' ELSE 'claim' END AS kind,
+  CASE event_type WHEN 'error' THEN 'wrong' WHEN 'signup' THEN CAST(event_id % 90 AS VARCHAR) ELSE CAST(event_id * 7 % 90 AS VARCHAR) END AS code, CASE WHEN event_id % 50 <> 0 THEN CAST(user_id AS VARCHAR) END AS client FROM events WHERE event_type <> 'view')"""
+#: One request of each realm a step; lists hold what is pending, counted and locked.
+GATE = f"""WITH RECURSIVE {REQUESTS}, o AS (SELECT *, row_number() OVER (PARTITION BY realm ORDER BY at_, seq) AS n FROM req),
+  st AS (SELECT DISTINCT realm, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS verdict, CAST([] AS STRUCT(k VARCHAR, t BIGINT)[]) AS codes, CAST([] AS BIGINT[]) AS fails, CAST([] AS STRUCT(k VARCHAR, t BIGINT)[]) AS mine, CAST([] AS STRUCT(k VARCHAR, t BIGINT)[]) AS locks, CAST(0 AS BIGINT) AS until FROM o
+  UNION ALL SELECT realm, n, seq, verdict,
+      CASE verdict WHEN 'CREATED' THEN list_append(codes, {{'k': code, 't': at_ + 900000000}}) WHEN 'CLAIMED' THEN list_filter(codes, lambda c: c.k <> code) ELSE codes END,
+      CASE WHEN verdict <> 'INVALID' THEN fails WHEN len(fails) >= 19 THEN [] ELSE list_append(fails, at_) END,
+      CASE WHEN verdict <> 'INVALID' OR client IS NULL THEN mine WHEN own >= 4 THEN list_filter(mine, lambda c: c.k <> client) ELSE list_append(mine, {{'k': client, 't': at_}}) END,
+      CASE WHEN verdict = 'INVALID' AND client IS NOT NULL AND own >= 4 THEN list_append(locks, {{'k': client, 't': at_ + 300000000}}) ELSE locks END,
+      CASE WHEN verdict = 'INVALID' AND len(fails) >= 19 THEN at_ + 300000000 ELSE until END
+    FROM (SELECT *, len(list_filter(mine, lambda c: c.k = client)) AS own, CASE WHEN kind = 'create' THEN CASE WHEN len(codes) >= 50 THEN 'FULL' WHEN len(list_filter(codes, lambda c: c.k = code)) > 0 THEN 'TAKEN' ELSE 'CREATED' END
+        WHEN len(list_filter(locks, lambda c: c.k = client)) > 0 OR at_ < until THEN 'LOCKED' WHEN len(list_filter(codes, lambda c: c.k = code)) > 0 THEN 'CLAIMED' ELSE 'INVALID' END AS verdict
+      FROM (SELECT o.*, list_filter(st.codes, lambda c: c.t > o.at_) AS codes, list_filter(st.fails, lambda t: o.at_ - t < 300000000) AS fails, list_filter(st.mine, lambda c: o.at_ - c.t < 300000000) AS mine, list_filter(st.locks, lambda c: c.t > o.at_) AS locks, st.until FROM st JOIN o ON o.realm = st.realm AND o.n = st.n + 1)))
+  SELECT realm, seq, verdict FROM st WHERE n > 0"""
+
+
+def requests(spark, d):
+    e = table(spark, d, "events", "event_id", "user_id", "ts", "event_type").where("event_type <> 'view'").withColumn("micros", micros("ts")).withColumn("micros", F.expr("micros div 400"))
+    code = F.when(F.col("event_type") == "error", "wrong").when(F.col("event_type") == "signup", (F.col("event_id") % 90).cast("string")).otherwise((F.col("event_id") * 7 % 90).cast("string"))
+    return e.select((F.col("user_id") % 8).alias("realm"), F.col("event_id").alias("seq"), F.timestamp_micros("micros").alias("at"), F.when(F.col("event_type") == "signup", "create").otherwise("claim").alias("kind"), code.alias("code"), F.when(F.col("event_id") % 50 != 0, F.col("user_id").cast("string")).alias("client"))
+
+
+@query("ST12_lockout_stream", GATE)
+def st12_lockout_stream(spark, d):
+    """Codes and lockouts of every realm as a stream in three parts, with a restart between them."""
+    r = requests(spark, d)
+    first, last = r.agg(F.min("at"), F.max("at")).first()
+    cut = [first + (last - first) * share for share in (0.3, 0.7)] if first else [None, None]
+    parts = [r.where(F.col("at") < cut[0]), r.where((F.col("at") >= cut[0]) & (F.col("at") < cut[1])), r.where(F.col("at") >= cut[1])]
+    return replayed(spark, parts, processors.code_gate, "gate").select("realm", "seq", "verdict")
+
+
+@query("ST12_lockout_batch", GATE)
+def st12_lockout_batch(spark, d):
+    """The same rules over a complete table."""
+    return processors.code_gate_batch(requests(spark, d))
+
+
+@query("ST10_idle_expiry_stream", """WITH g AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next, max(ts) OVER () AS m FROM events) SELECT user_id, ts + INTERVAL 36 HOURS AS expired_at FROM g WHERE coalesce(next, m) > ts + INTERVAL 36 HOURS""")
+def st10_stream(spark, d):
+    """Besides gaps between rows, the users that stay silent to the end: they expire as the watermark, the latest time of any user, passes."""
+    e = table(spark, d, "events", "user_id", "ts").select("user_id", F.timestamp_micros(micros("ts")).alias("at"))
+    out = replayed(spark, [e], lambda s: processors.idle_expiry(s, "user_id", "at", 36 * 3600 * processors.MICROS), "idle")
+    return out.select(F.col("key").alias("user_id"), F.timestamp_micros("expired").cast("timestamp_ntz").alias("expired_at"))
+
+
+@query("ST3_ring_buffer_stream", f"WITH {FRAMES} SELECT stream_id, frame_no, array_to_string(list(CAST(speech AS INT)) OVER (PARTITION BY stream_id ORDER BY frame_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), '') AS held FROM frames")
+def st3_stream(spark, d):
+    f = frames(spark, d).select(F.col("stream_id").alias("key"), F.col("frame_no").alias("seq"), F.col("speech").cast("int").cast("string").alias("item"))
+    out = replayed(spark, [f.where("seq <= 20"), f.where("seq > 20")], lambda s: processors.ring_buffer(s, 5), "ring")
+    return out.select(F.col("key").alias("stream_id"), F.col("seq").alias("frame_no"), "held")
