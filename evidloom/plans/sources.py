@@ -10,6 +10,7 @@ from ..operators.graphs import checkpoint_folder
 from ..registry import query
 from ..sources import readers as R
 from ..sources import writers as W
+from ..sources import zips as Z
 from .fixtures import table
 
 
@@ -57,36 +58,24 @@ def src5(spark, d):
     return R.piped(spark, path, "p_partkey long, p_name string, p_brand string").where("p_brand = 'Brand#3'").select("p_partkey", "p_name")
 
 
-def nation_zip(spark, d):
-    """A zip file of one CSV member, made by the task that holds the (fixed-size) table."""
-    import io
-    import zipfile
+LINES = ["l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", "l_quantity"]
 
-    text = "n_nationkey,n_name,n_regionkey\n" + "".join(f"{r[0]},{r[1]},{r[2]}\n" for r in table(spark, d, "nation").collect())  # 25 rows
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        z.writestr("nation.csv", text)
-    return spark.createDataFrame([(bytearray(held.getvalue()),)], "content binary")
 
-
-def zip_file(spark, d):
-    path = folder(spark, "zip") + "/nation.zip"
-    jvm, content = spark._jvm, bytes(nation_zip(spark, d).first()[0])
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
-    out.write(bytearray(content))
-    out.close()
+def line_zips(spark, d, **options):
+    """Zip files of several members each, one file a partition of `lineitem`."""
+    path = folder(spark, "zips")
+    Z.write_zips(table(spark, d, "lineitem", *LINES), path, rows_of_member=20_000, **options)
     return path
 
 
-@query("SRC6_zipped_csv_counts", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+@query("SRC6_zipped_csv_counts", "SELECT l_returnflag, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY 1")
 def src6(spark, d):
-    return R.zip_members(spark, zip_file(spark, d), "n_nationkey long, n_regionkey int", ["n_nationkey", "n_regionkey"]).groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    return Z.zip_table(spark, line_zips(spark, d), "l_returnflag string, l_linenumber long").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
 
 
-@query("SRC7_zip_member_columns", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+@query("SRC7_zip_member_columns", "SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, l_returnflag FROM lineitem")
 def src7(spark, d):
-    return R.zip_members(spark, zip_file(spark, d), "n_nationkey long, n_name string", ["n_nationkey", "n_name"])
+    return Z.zip_table(spark, line_zips(spark, d), "l_orderkey long, l_returnflag string")
 
 
 @query("SRC8_gzip_csv", "SELECT c_custkey, c_acctbal FROM customer")
@@ -103,6 +92,14 @@ def src9(spark, d):
     return R.keyed_lines(spark, path, keys, "id", {"a": 0, "b": 4, "flag": 2})
 
 
+@query("SRC9_keyed_zip_members", "SELECT CAST(l_orderkey AS VARCHAR) AS a, l_returnflag AS flag, CAST(l_suppkey AS VARCHAR) AS b FROM lineitem WHERE l_orderkey < 7 OR l_suppkey < 7")
+def src9_zip(spark, d):
+    """Members without a header, delimited by bars, of which rows with one of two keys leave the reader."""
+    keys = [str(k) for k in range(7)]
+    path = line_zips(spark, d, header=False, delimiter="|")
+    return Z.zip_table(spark, path, "a string, flag string, b string", delimiter="|", names=["a", "line", "flag", "b", "quantity"], keys={"a": keys, "b": keys})
+
+
 @query("SRC10_block_decision", "SELECT p_brand, CASE WHEN count(*) FILTER (p_type = 'PROMO') > 0 THEN min(p_name) FILTER (p_type = 'PROMO') ELSE min(p_name) END AS chosen FROM part GROUP BY 1")
 def src10(spark, d):
     promo = F.min(F.when(F.col("p_type") == "PROMO", F.col("p_name")))
@@ -187,14 +184,11 @@ def src22(spark, d):
     return table(spark, d, "orders", "o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey")
 
 
-@query("SRC24_stamped_cache", "SELECT n_nationkey, n_name FROM nation")
+@query("SRC24_stamped_cache", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1")
 def src24(spark, d):
-    """A table materialised under the digest of its input, so that a changed input is built anew."""
-    n = table(spark, d, "nation", "n_nationkey", "n_name")
-    stamp = W.digest(n).first()["digest"].replace("-", "m")
-    path = f"{checkpoint_folder(spark)}/files/stamped/{stamp}"
-    n.write.mode("ignore").parquet(path)
-    return spark.read.schema(n.schema).parquet(path)
+    """A table's totals, kept under the names, sizes and times of its files."""
+    build = lambda t: t.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    return R.stamped(spark, f"{d}/customer.parquet", f"{checkpoint_folder(spark)}/files/stamped/customer-{uuid.uuid5(uuid.NAMESPACE_URL, d).hex}", build)
 
 
 @query("SNK1_csv_sink", "SELECT n_nationkey, n_name FROM nation")

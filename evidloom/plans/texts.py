@@ -189,15 +189,6 @@ def x15(spark, d):
     return t.select("case_id", (has("A") & has("O")).alias("both"), (has("R") & ~has("V_4")).alias("excluded"), (F.col("n") >= 3).alias("many"))
 
 
-@query("F45_negation_cascade", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'NEGATED' WHEN 1 THEN 'UNCERTAIN' WHEN 2 THEN 'PAST' WHEN 3 THEN 'AFFIRMED' ELSE 'AFFIRMED' END AS status FROM events""")
-def f45(spark, d):
-    forms = F.array(*map(F.lit, ("no ", "maybe ", "used to have ", "still ", "not without ")))
-    text = F.concat(F.element_at(forms, (F.col("event_id") % 5 + 1).cast("int")), "event_type")
-    t = F.col("t")
-    status = F.when(t.rlike(r"\bnot without\b"), "AFFIRMED").when(t.rlike(r"\bstill\b"), "AFFIRMED").when(t.rlike(r"\bused to\b"), "PAST").when(t.rlike(r"\b(maybe|perhaps)\b"), "UNCERTAIN").when(t.rlike(r"\b(no|not|without)\b"), "NEGATED").otherwise("AFFIRMED")
-    return table(spark, d, "events", "event_id", "event_type").withColumn("t", text).select("event_id", status.alias("status"))
-
-
 @query("F46_sentence_split", f"WITH {SENTENCES} SELECT conv_id, turn, sentence_no, sentence FROM sen")
 def f46(spark, d):
     return X.sentences(table(spark, d, "conversations", "conv_id", "turn", "text"), ["conv_id", "turn"], "text")

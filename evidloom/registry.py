@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 #: Modules of evidloom.plans that register queries when imported.
-MODULES: list[str] = ["projections", "joins", "aggregates", "metrics", "windows", "topk", "sets", "functions", "graphs", "simulation", "compounds", "streams", "sources", "texts", "validation", "whole", "reports"]
+MODULES: list[str] = ["projections", "joins", "aggregates", "metrics", "windows", "topk", "sets", "functions", "graphs", "simulation", "compounds", "streams", "sources", "texts", "validation", "whole", "reports", "scopes"]
 
 
 def query(name: str, sql: str | None = None, instead: bool = False):

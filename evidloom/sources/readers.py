@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,22 +31,6 @@ def piped(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).options(sep="|", quote="", header=False).csv(path)
 
 
-def zip_members(spark: SparkSession, path: str, schema: str, columns: list[str], suffix: str = ".csv", chunk_rows: int = 20_000) -> DataFrame:
-    """Rows of the CSV members of zip files: one task a file, a bounded number of rows at a time.
-
-    A zip file cannot be split; unpacked or gzipped parts read in parallel.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in sorted(m for m in z.namelist() if m.endswith(suffix)):
-                        with z.open(member) as f:
-                            yield from pd.read_csv(f, usecols=columns, chunksize=chunk_rows)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(lambda b: (x[columns] for x in run(b)), schema)
-
-
 def keyed_lines(spark: SparkSession, path: str, keys: DataFrame, key: str, fields: dict[str, int], separator: str = "|") -> DataFrame:
     """Fields of the lines of which one of two key fields (the first two in `fields`) is in keys."""
     parts = F.split("value", "\\" + separator)
@@ -114,3 +97,32 @@ def active_rows(df: DataFrame, kinds: list[str] | None = None, kind: str = "type
     """Active rows of a release table, of the named kinds."""
     out = df.where(F.col("active") == "1")
     return out.where(F.col(kind).isin(kinds)) if kinds else out
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files at a path; no file is opened."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = store.listFiles(root, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:32]
+
+
+def stamped(spark: SparkSession, path: str, cache: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """build(the table at path), kept in a folder of its own under the stamp of the table's files.
+
+    While the files stay as they are, the table isn't read again.  When they have
+    changed it is built anew, and what was kept under older stamps goes.
+    """
+    own = f"{cache}/{stamp(spark, path)}"
+    root = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{own}/_SUCCESS")):
+        build(spark.read.parquet(path)).write.mode("overwrite").parquet(own)
+        for other in store.listStatus(root):
+            if other.getPath().getName() != own.rpartition("/")[2]:
+                store.delete(other.getPath(), True)
+    return spark.read.parquet(own)
