@@ -117,7 +117,8 @@ def _sets(size: int):
                 h, group = shingle_sets(data, offsets, size)
                 offs = bo.offsets_of(group, hi - lo)
                 blobs = [h[a:b].tobytes() for a, b in zip(offs, offs[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), bo.binary_array(blobs)], names=["doc_id", "shingles"])
+                keys = [hashlib.blake2b(b, digest_size=16).digest() for b in blobs]
+                yield pa.RecordBatch.from_arrays([bo.binary_array(keys), bo.binary_array(blobs)], names=["set_key", "shingles"])
 
     return run
 
@@ -154,37 +155,49 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     Texts are linked at 100 * intersection >= percent * union; a pair of that
     similarity shares a band with probability over 0.99999 (24 bands of 4).
     Null, empty and wordless texts have no set and link with nothing.  Rows that
-    repeat a doc_id count as one document; a row with a null doc_id is kept and
+    repeat a doc_id count as one document: whatever is near one of its texts belongs
+    to it; a row without words stands alone.  A row with a null doc_id is kept and
     linked with nothing (component_id null).  Very long texts count whole; other
     columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     feats = shared(docs.mapInArrow(_features(size, bands, depth), f"{docs.schema['doc_id'].name} {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, bands array<long>"))
     some = feats.where("set_key is not null and doc_id is not null")
-    # Equal sets are one class, represented by its smallest document; only classes are compared.
+    # Equal sets are one class, named by their hash; only classes are compared.  An id may hold several.
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = some.groupBy("set_key").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
-    band = reps.select("rep", F.explode("bands").alias("key"))
+    reps = some.groupBy("set_key").agg(F.min_by("bands", "doc_id").alias("bands"))
+    band = reps.select("set_key", F.explode("bands").alias("key"))
     wide = shared(band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     total = wide.agg(F.sum("n")).first()[0] or 0
-    member = shared(salted_join(band, wide.withColumn("_n", F.col("n")), "key", "_n", ["rep"], total=total))
-    central = member.groupBy("rep").agg(F.sum("n").alias("score"))
-    centre = member.join(central, "rep").groupBy("key").agg(F.min_by("rep", F.struct(-F.col("score"), F.col("rep"))).alias("r"), F.count("*").alias("_n"))
-    star = shared(salted_join(member, centre, "key", "_n", ["rep"], total=total).where("rep <> r").select(F.col("rep").alias("x"), "r").distinct())
-    ids = star.select(F.col("x").alias("doc_id")).union(star.select(F.col("r").alias("doc_id")))
-    sets = semi_by_id(docs, ids).mapInArrow(_sets(size), feats.select("doc_id").schema.simpleString()[7:-1] + ", shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
+    member = shared(salted_join(band, wide.withColumn("_n", F.col("n")), "key", "_n", ["set_key"], total=total))
+    central = member.groupBy("set_key").agg(F.sum("n").alias("score"))
+    centre = member.join(central, "set_key").groupBy("key").agg(F.min_by("set_key", F.struct(-F.col("score"), F.col("set_key"))).alias("r"), F.count("*").alias("_n"))
+    star = shared(salted_join(member, centre, "key", "_n", ["set_key"], total=total).where("set_key <> r").select(F.col("set_key").alias("x"), "r").distinct())
+    wanted = star.select(F.col("x").alias("set_key")).union(star.select(F.col("r").alias("set_key"))).distinct()
+    ids = classes.join(wanted, "set_key", "left_semi").select(F.col("rep").alias("doc_id"))
+    sets = semi_by_id(docs, ids).mapInArrow(_sets(size), "set_key binary, shingles binary").groupBy("set_key").agg(F.min("shingles").alias("shingles"))
     sets = shared(sets)
-    pairs = star.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("x_set")), "x").join(sets.select(F.col("doc_id").alias("r"), F.col("shingles").alias("r_set")), "r")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = shared(pairs.select("x", "r", "x_set", "r_set").mapInArrow(_compare(percent), f"x {kind}, r {kind}, n_x long, n_r long, n_both long, linked boolean, lost array<long>, extra array<long>"))
-    found = shared(components(seen.where("linked"), "x", "r"))
+    centres = sets.join(star.groupBy(F.col("r").alias("set_key")).agg(F.count("*").alias("_n")), "set_key").select(F.col("set_key").alias("r"), F.col("shingles").alias("r_set"), "_n")
+    pairs = star.join(sets.select(F.col("set_key").alias("x"), F.col("shingles").alias("x_set")), "x")
+    pairs = salted_join(pairs, centres, "r", "_n", ["x"])
+    seen = shared(pairs.select("x", "r", "x_set", "r_set").mapInArrow(_compare(percent), "x binary, r binary, n_x long, n_r long, n_both long, linked boolean, lost array<long>, extra array<long>"))
+    links = seen.where("linked").select(F.col("x").alias("a"), F.col("r").alias("b"))
+    # The classes of one id belong together.
+    several = shared(some.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("_high")).where("a <> _high").select("doc_id", "a"))
+    if not several.isEmpty():
+        links = links.unionByName(some.join(F.broadcast(several) if fits(several) else several, "doc_id").select("a", F.col("set_key").alias("b")).where("a <> b").distinct())
+    found = shared(components(links))
     # Only links between the components found so far are left to find; they join these components.
     across = shared(_beside_centres(seen, found, percent))
-    linked = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    linked = classes.join(found.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     if not across.isEmpty():
-        joined = components(across).select(F.col("node").alias("component_id"), F.col("component").alias("top"))
+        joined = components(across).select(F.col("node").alias("component"), F.col("component").alias("top"))
         joined = F.broadcast(joined) if fits(joined) else joined
-        linked = linked.join(joined, "component_id", "left").select("set_key", F.coalesce("top", "component_id").alias("component_id"))
+        linked = linked.join(joined, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
+    linked = shared(linked)
+    # A component is named by its smallest document; one of a single class by its own.
+    low = linked.groupBy("component").agg(F.min("rep").alias("low"), F.count("*").alias("_n")).where("_n > 1")
+    linked = salted_join(linked, low, "component", "_n", ["set_key"], how="left").select("set_key", F.coalesce("low", "rep").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "set_key").join(linked, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -155,7 +155,7 @@ def _seeded(sizes: list[int], broadcast):
                     first = np.searchsorted(doc, d, side="left")
                     ids = batch.column(0).slice(lo, hi - lo).take(pa.array(d))
                     tokens = [h[a : a + k].tobytes() for a, k in zip(at.tolist(), n.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(w.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int32)), pa.array((at - first).astype(np.int32)), bo.binary_array(tokens)], names=["doc_id", "seed", "n", "at", "tokens"])
+                    yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(lo, hi - lo).take(pa.array(d)), pa.array(w.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int32)), pa.array((at - first).astype(np.int32)), bo.binary_array(tokens)], names=["doc_id", "row", "seed", "n", "at", "tokens"])
 
     return run
 
@@ -193,7 +193,7 @@ def _tile(least: int):
 
 
 def tiled_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.0, seed_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_covered, n_item, n_tiles, longest) of all pairs that share a seed and may reach `coverage`.
+    """(doc_id, item_id, n_covered, n_item, n_tiles, longest) of all pairs of a text and an item that share a seed and may reach `coverage`.
 
     Tiles that cover the share `coverage` of an item's words hold a known number
     of its n-grams, one for `least` covered words at least.  So a document need
@@ -206,14 +206,14 @@ def tiled_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage:
     shuffled join.  The result is the same.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).where("doc_id is not null")
     items = benchmark.select("item_id", F.xxhash64("text").alias("item"), "text").where("item_id is not null").distinct()
     table = shared(seeds(benchmark, least))
     sizes = sorted(r["n"] for r in table.select("n").distinct().collect())  # at most `least` numbers
     few = table.select("seed").distinct().limit(seed_rows + 1).toArrow()["seed"].to_numpy()
     known = spark.sparkContext.broadcast(np.sort(few.astype(np.int64).view(np.uint64))) if len(few) <= seed_rows else None
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(_seeded(sizes, known), f"doc_id {kind}, seed long, n int, at int, tokens binary")
+    found = docs.mapInArrow(_seeded(sizes, known), f"doc_id {kind}, row long, seed long, n int, at int, tokens binary")
     if known is None:
         found = found.join(table.select("seed", "n").distinct(), ["seed", "n"], "left_semi")
     found = shared(found)
@@ -221,10 +221,10 @@ def tiled_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage:
     commonest = Window.partitionBy("item_id", "item").orderBy(F.desc("often"), "seed").rowsBetween(Window.unboundedPreceding, 0)
     telling = table.join(often, ["seed", "n"]).withColumn("upto", F.sum("times").over(commonest))
     telling = telling.where(F.col("upto") >= F.greatest(F.lit(1.0), F.ceil(F.col("words") * coverage / F.col("n") - 1e-9)))
-    pair = found.select("doc_id", "seed", "n").join(telling.select("seed", "n", "item_id", "item"), ["seed", "n"]).select("doc_id", "item_id", "item").distinct()
-    places = found.groupBy("doc_id").agg(F.collect_set(F.struct("at", "tokens")).alias("places"))
+    pair = found.select("doc_id", "row", "seed", "n").join(telling.select("seed", "n", "item_id", "item"), ["seed", "n"]).select("doc_id", "row", "item_id", "item").distinct()
+    places = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "tokens")).alias("places"))
     kind_i = items.schema["item_id"].dataType.simpleString()
-    both = pair.join(places, "doc_id").join(items, ["item_id", "item"]).select("doc_id", "item_id", "text", "places")
+    both = pair.join(places, ["doc_id", "row"]).join(items, ["item_id", "item"]).select("doc_id", "item_id", "text", "places")
     return both.mapInArrow(_tile(least), f"doc_id {kind}, item_id {kind_i}, n_covered long, n_item long, n_tiles long, longest long")
 
 
@@ -235,11 +235,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverag
     a shorter item) cover the share `coverage` of an item's words; item_id is
     the one covered most (then the smallest id) of those that the document was
     tiled with, null without one.  Null and empty texts and items share
-    nothing; rows that repeat a doc_id are tiled as one document; a null doc_id
+    nothing; the texts of a repeated doc_id are tiled each, and each of its rows
+    tells what was found in any of them; a null doc_id
     is kept as clean.  Very long texts are tiled whole; extra columns are
     ignored; empty tables leak nothing.
     """
     pairs = tiled_pairs(docs, benchmark, least, coverage, id_col=id_col, text_col=text_col).withColumn("coverage", F.col("n_covered") / F.col("n_item"))
+    pairs = pairs.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))  # of an id's texts, or of an item's, the one covered most
     best = pairs.groupBy("doc_id").agg(F.count_if(F.col("coverage") >= coverage).alias("n_leaked"), F.min_by("item_id", F.struct(-F.col("coverage"), F.col("item_id"))).alias("item_id"), F.max("coverage").alias("coverage"))
     out = docs.select(F.col(id_col).alias("doc_id")).join(best, "doc_id", "left")
     return out.select("doc_id", F.coalesce("n_leaked", F.lit(0)).cast("long").alias("n_leaked"), "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), (F.coalesce("n_leaked", F.lit(0)) > 0).alias("contaminated"))

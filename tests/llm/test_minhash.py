@@ -117,3 +117,16 @@ def test_components_of_a_hot_node(spark):
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 499), (None, 3), (7, 7)], "a long, b long").repartition(7)
     assert {r["node"]: r["component"] for r in components(e).collect()} == {**{i: 0 for i in range(201)}, 499: 499, 500: 499}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_texts_of_one_id_join_what_is_near_any_of_them(spark, seed):
+    rng = random.Random(seed)
+    words = [f"x{k}" for k in range(500)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(4)]
+    near = lambda t: " ".join([*t[:-1], rng.choice(words)])
+    texts = [" ".join(b) for b in base]
+    rows = [(1, texts[0]), (2, near(base[0])), (1, texts[1]), (3, near(base[1])), (9, texts[2]), (9, texts[3]), (9, near(base[0])), (7, near(base[2])), (8, near(base[3])), (5, near(base[3])), (20, "alone in the world here"), (20, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(seed + 1)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df, size=2).collect()}
+    assert got == {(i, 1, i == 1) for i in (1, 2, 3, 5, 7, 8, 9)} | {(20, 20, True)}

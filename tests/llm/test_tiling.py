@@ -119,3 +119,15 @@ def test_nulls_and_empty_tables(spark):
     assert out == [(1, False), (2, True), (2, True), (None, False)]
     assert [r["contaminated"] for r in decontaminate(docs, bench.limit(0)).collect()] == [False] * 4
     assert decontaminate(docs.limit(0), bench).collect() == []
+
+
+def test_two_texts_of_one_id_are_tiled_each(spark):
+    """A second text of an id, with seeds at the same places, hides nothing of the first; halves of an item in two texts are no leak."""
+    item = [f"w{k}" for k in range(20)]
+    other = [f"v{k}" for k in range(20)]
+    rows = [(1, " ".join(item)), (1, " ".join(item[5:15])), (2, " ".join(item[5:15])), (2, " ".join(item)), (3, " ".join(item[:10])), (3, " ".join(item[10:])), (4, " ".join(item)), (4, " ".join(other)), (4, " ".join(other)), (5, None), (5, " ".join(other[::-1]))]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+    for n in (1, 5):
+        out = decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), bench).collect()
+        assert sorted({(r["doc_id"], r["n_leaked"], r["item_id"], r["coverage"], r["contaminated"]) for r in out}, key=str) == [(1, 1, 1, 1.0, True), (2, 1, 1, 1.0, True), (3, 0, 1, 0.5, False), (4, 2, 1, 1.0, True), (5, 0, None, 0.0, False)]
+        assert len(out) == len(rows)
