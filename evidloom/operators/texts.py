@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .setjoin import set_classes, similar_sets
+
 
 def word_table(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, pos, word): blank-separated words in lower case, without signs at their ends; empty ones keep their place."""
@@ -41,16 +43,19 @@ def holds_in_order(words: Column, phrase: Column) -> Column:
 def tiered_retrieval(queries: DataFrame, terms: DataFrame, query: str, term: str, concept: str, grams: Column, least: float) -> DataFrame:
     """(query, concept, tier): EXACT match, else a term inside the query by words, else the best shared-gram match.
 
-    Every tier is an equi-join: on the text, on word sequences of bounded length, and on grams.
+    Every tier is an equi-join: on the text, on word sequences of bounded length, and on the rarest grams of either side.
     """
     exact = queries.join(terms.select(F.col(term).alias(query), F.col(concept).alias("_exact")), query, "left")
     words = F.split(F.col(query), " ")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
     phrase = queries.select(query, F.explode(F.array_distinct(spans)).alias(term)).join(terms, term).groupBy(query).agg(F.max_by(concept, F.struct(F.length(term), concept)).alias("_phrase"))
-    q, t = (df.select(F.col(c), *([concept] if concept in df.columns else []), grams.alias("_g")) for df, c in ((queries.withColumn("_t", F.col(query)), query), (terms.withColumn("_t", F.col(term)), term)))
-    n = q.select(query, F.explode("_g").alias("g"), F.size("_g").alias("nq")).join(t.select(F.col(concept).alias("c"), F.explode("_g").alias("g"), F.size("_g").alias("nt")), "g").groupBy(query, "c", "nq", "nt").agg(F.count("*").alias("n"))
-    score = F.col("n") / (F.col("nq") + F.col("nt") - F.col("n"))
-    gram = n.withColumn("s", score).where(F.col("s") >= least).groupBy(query).agg(F.max_by("c", F.struct("s", -F.col("c"))).alias("_gram"))
+    q, t = queries.select(F.col(query).alias("_t")), terms.select(F.col(term).alias("_t"), F.col(concept).alias("_c"))
+    near = similar_sets(q.select("_t", grams.alias("_g")), t.select("_t", grams.alias("_g")), "_t", "_g", round(100 * least))
+    # Texts of equal grams are one set; each has all its texts and concepts back.
+    asked = set_classes(q.select("_t", grams.alias("_g")), "_t", "_g").select(F.col("id").alias(query), F.col("rep").alias("a"))
+    held = set_classes(t.select("_t", grams.alias("_g")), "_t", "_g").select(F.col("id").alias("_t"), F.col("rep").alias("b")).join(t, "_t").groupBy("b").agg(F.min("_c").alias("c"))
+    scored = near.select("a", "b", (F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both"))).alias("s")).join(held, "b").groupBy("a").agg(F.max_by("c", F.struct("s", -F.col("c"))).alias("_gram"))
+    gram = asked.join(scored, "a").select(query, "_gram")
     out = exact.join(phrase, query, "left").join(gram, query, "left")
     tier = F.when(F.col("_exact").isNotNull(), "EXACT").when(F.col("_phrase").isNotNull(), "PHRASE").when(F.col("_gram").isNotNull(), "NGRAM").otherwise("NONE")
     return out.select(query, F.coalesce("_exact", "_phrase", "_gram").alias(concept), tier.alias("tier"))

@@ -1,4 +1,4 @@
-"""Queries of clause scope over whole conversations, with SQL that finds the same by windows over words.
+"""Queries of clause scope and of similar turns over whole conversations; the SQL finds scopes by windows over words.
 
 The driver's conversations are invented prose, so their function words stand in
 for mentions and cues.
@@ -6,9 +6,14 @@ for mentions and cues.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
 from ..operators import clauses as C
+from ..operators.setjoin import set_classes, similar_sets
 from ..registry import query
 from .fixtures import table
+from .functions import GRAMS
 
 MENTIONED = {"E_1": ("th", "re", "tion"), "E_2": ("es", "er", "la"), "E_3": ("die", "un", "den", "ing"), "E_4": ("it", "ha", "le")}
 CUES = {
@@ -72,3 +77,33 @@ def x7(spark, d):
 @query("X7_turn_evidence", f"""WITH {STATUSES} SELECT conv_id, turn, code, min(status) AS status FROM men WHERE status IN ('POSITIVE', 'NEGATIVE') AND NOT past AND NOT other AND NOT question GROUP BY ALL HAVING min(status) = max(status)""")
 def x7_evidence(spark, d):
     return C.evidence(contexts(spark, d), ["conv_id", "turn"])
+
+
+#: Turns by their words, each once; of turns with equal words the first stands for all.
+TURN_SETS = r"""w AS (SELECT conv_id * 1000 + turn AS id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-zà-ÿ]+'), lambda x: x <> ''))) AS ws FROM conversations), s AS (SELECT ws, min(id) AS id FROM w WHERE len(ws) > 0 GROUP BY 1)"""
+
+
+def turn_words(spark, d):
+    words = F.filter(F.split(F.lower("text"), "[^a-zà-ÿ]+"), lambda x: x != "")
+    return table(spark, d, "conversations", "conv_id", "turn", "text").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words.alias("words"))
+
+
+@query("F22_similar_turns", f"""WITH {TURN_SETS}, p AS (SELECT a.id AS a, b.id AS b, len(a.ws) AS n_a, len(b.ws) AS n_b, len(list_intersect(a.ws, b.ws)) AS n_both FROM s a JOIN s b ON a.id < b.id)
+  SELECT a, b, CAST(n_a AS INT) AS n_a, CAST(n_b AS INT) AS n_b, CAST(n_both AS INT) AS n_both FROM p WHERE 100 * n_both >= 60 * (n_a + n_b - n_both)""")
+def f22_turns(spark, d):
+    """All pairs of turns whose words agree to 60 % or more."""
+    return similar_sets(turn_words(spark, d), None, "id", "words", 60)
+
+
+@query("F22_turn_classes", rf"WITH {TURN_SETS} SELECT w.id, s.id AS rep FROM w JOIN s USING (ws)")
+def f22_classes(spark, d):
+    """The turn that stands for each in the pairs."""
+    return set_classes(turn_words(spark, d), "id", "words").select("id", "rep")
+
+
+@query("F22_similar_names", f"""WITH {GRAMS}, p AS (SELECT a.p_name AS a, b.p_name AS b, len(a.g) AS n_a, len(b.g) AS n_b, len(list_intersect(a.g, b.g)) AS n_both FROM g a JOIN g b ON a.p_name < b.p_name)
+  SELECT a, b, CAST(n_a AS INT) AS n_a, CAST(n_b AS INT) AS n_b, CAST(n_both AS INT) AS n_both FROM p WHERE 100 * n_both >= 50 * (n_a + n_b - n_both)""")
+def f22_names(spark, d):
+    """All pairs of names that share half of their letter pairs or more."""
+    names = table(spark, d, "part", "p_name").distinct()
+    return similar_sets(names.withColumn("g", S.ngrams(F.col("p_name"), 2)), None, "p_name", "g", 50)
