@@ -82,6 +82,63 @@ def matching_ratio(pairs: DataFrame, a: str, b: str, name: str = "ratio") -> Dat
     return pairs.mapInPandas(run, f"{schema}, {name} double")
 
 
+def best_window(query: str, text: str) -> tuple[float, int, int]:
+    """(ratio, start, length) of the window of text, of the query's length or one less or more, whose Ratcliff-Obershelp ratio with the query is highest.
+
+    Ties go to the smaller start, then the shorter window.  A text that is no
+    longer than the query is one window, and an empty query or text has ratio 0.
+    Shared letters bound a window's ratio from above; they are kept up as the
+    window moves, so only windows that may beat the best so far are compared.
+    """
+    import difflib
+    from collections import Counter
+
+    size = len(query)
+    if not size or not text:
+        return 0.0, 0, 0
+    matcher = difflib.SequenceMatcher(None, autojunk=False)
+    matcher.set_seq2(query)  # the side whose index is kept
+
+    def ratio(window: str) -> float:
+        matcher.set_seq1(window)
+        return matcher.ratio()
+
+    if len(text) <= size:
+        return ratio(text), 0, len(text)
+    letters, bounds = Counter(query), []
+    for length in {max(1, size - 1), size, min(len(text), size + 1)}:
+        inside = Counter(text[:length])
+        shared = sum((inside & letters).values())
+        for start in range(len(text) - length + 1):
+            if start:
+                gone, come = text[start - 1], text[start + length - 1]
+                shared -= inside[gone] <= letters[gone]
+                inside[gone] -= 1
+                inside[come] += 1
+                shared += inside[come] <= letters[come]
+            bounds.append((-2.0 * shared / (length + size), start, length))
+    best = (-1.0, 0, 0)
+    for bound, start, length in sorted(bounds):
+        if -bound < best[0]:
+            break
+        found = (ratio(text[start : start + length]), -start, -length)
+        best = max(best, found)
+    return best[0], -best[1], -best[2]
+
+
+def windowed_ratio(pairs: DataFrame, query: str, text: str) -> DataFrame:
+    """pairs with `ratio`, `start` and `length` of the text's best window for the query; each distinct pair is scored once, and pairs with a null have nulls."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            found = [best_window(q, t) for q, t in zip(x["_q"], x["_t"], strict=True)]
+            yield x.assign(ratio=[f[0] for f in found], start=[f[1] for f in found], length=[f[2] for f in found])
+
+    distinct = pairs.select(F.col(query).alias("_q"), F.col(text).alias("_t")).where("_q is not null and _t is not null").distinct()
+    scored = distinct.mapInPandas(run, "_q string, _t string, ratio double, start int, length int")
+    return pairs.join(scored, (F.col(query) == F.col("_q")) & (F.col(text) == F.col("_t")), "left").drop("_q", "_t")
+
+
 def nearest_by_cosine(vectors: DataFrame, id_col: str, vector: str, label: str, is_query: Column, k: int) -> DataFrame:
     """(query_id, id, label, cosine): for each query the best row of every label, then the k best labels.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import clauses as C
+from ..operators import texts as X
 from ..operators.setjoin import set_classes, similar_sets
 from ..registry import query
 from .fixtures import table
@@ -107,3 +108,11 @@ def f22_names(spark, d):
     """All pairs of names that share half of their letter pairs or more."""
     names = table(spark, d, "part", "p_name").distinct()
     return similar_sets(names.withColumn("g", S.ngrams(F.col("p_name"), 2)), None, "p_name", "g", 50)
+
+
+@query("F23_windowed_best")
+def f23_windowed(spark, d):
+    """Each part's name against a longer text, the type, brand and name of the part after it."""
+    p = table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type")
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.lower(F.concat_ws(" ", "p_type", "p_brand", "p_name")).alias("text"))
+    return X.windowed_ratio(p.select("p_partkey", "p_name").join(after, "p_partkey"), "p_name", "text").select("p_partkey", "ratio", "start", "length")

@@ -1,4 +1,4 @@
-"""Similarity join of sets against all pairs, on random, skewed and repeated sets, and how many pairs the filters leave."""
+"""Windowed best ratio against all windows; similarity join of sets against all pairs, on random, skewed and repeated sets, and how many pairs the filters leave."""
 
 import random
 
@@ -69,3 +69,34 @@ def test_candidates_grow_with_the_input_and_not_with_its_square(spark):
 
     small, large = left(300), left(3000)
     assert large <= 15 * max(small, 20) and large < 3000
+
+
+def all_windows(query, text):
+    import difflib
+
+    if not query or not text:
+        return 0.0, 0, 0
+    ratio = lambda w: difflib.SequenceMatcher(None, w, query, autojunk=False).ratio()
+    if len(text) <= len(query):
+        return ratio(text), 0, len(text)
+    lengths = {max(1, len(query) - 1), len(query), min(len(text), len(query) + 1)}
+    best = max((ratio(text[s : s + n]), -s, -n) for n in lengths for s in range(len(text) - n + 1))
+    return best[0], -best[1], -best[2]
+
+
+def test_best_window_is_that_of_all_windows(spark, monkeypatch):
+    import difflib
+
+    from evidloom.operators import texts as X
+
+    rng = random.Random(8)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    pairs = [(i, word(9, k), word(60, k)) for i, k in enumerate(["ab", "abcde", "abcdefghijklmnop"] * 60)]
+    pairs += [(1000, "열이 나요", "어제부터 열이 좀 나요 그리고"), (1001, None, "x"), (1002, "x", None), (1003, pairs[1][1], pairs[1][2])]
+    got = X.windowed_ratio(spark.createDataFrame(pairs, "id int, q string, t string"), "q", "t").collect()
+    assert {r["id"]: (r["ratio"], r["start"], r["length"]) for r in got} == {i: all_windows(q, t) if q is not None and t is not None else (None,) * 3 for i, q, t in pairs}
+    calls = []
+    real = difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: calls.append(1) or real(self))
+    assert X.best_window("headache", "z" * 500 + "headache" + "y" * 500)[:2] == (1.0, 500)
+    assert len(calls) <= 3
