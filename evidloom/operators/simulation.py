@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 #: Rows up to which a parameter table is broadcast (tens of bytes each).
 BROADCAST_ROWS = 200_000
@@ -64,36 +72,84 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def question_table(likelihood: DataFrame, question: str, answer: str, label: str) -> DataFrame:
-    """One row, `questions`: an array of (question, answers), each answer a map from label to p; a parameter table of checked size."""
-    if not fits(likelihood):
-        raise ValueError("the likelihood table is too large to be sent to every task")
-    a = likelihood.groupBy(question, answer).agg(F.map_from_entries(F.collect_list(F.struct(label, "p"))).alias("l"))
-    q = a.groupBy(question).agg(F.collect_list("l").alias("answers"))
-    return q.agg(F.collect_list(F.struct(F.col(question).alias("question"), "answers")).alias("questions"))
-
-
 def _sum(parts: Column, f) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + f(x))
 
 
-def information_gain(post: DataFrame, likelihood: DataFrame, case: str, question: str, answer: str, label: str) -> DataFrame:
-    """(case, question, ig): entropy of the posterior less its expectation after the answer.
+#: Likelihood rows whose probabilities are held at a time (8 bytes each), and numbers of one product in a task.
+BLOCK_ROWS, PRODUCT = 2_000_000, 2_000_000
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    """-x log2 x, 0 at 0."""
+    return -x * np.log2(x, out=np.zeros_like(x), where=x > 0)
+
+
+def _scored(case: str, question: str, name: str, score: Callable, labels: pa.Array, names: pa.Array, table: np.ndarray, first: np.ndarray):
+    """Batches of (case, post) -> (case, question, score); `table` has a row for each answer and a column for each label, `first` the first answer of each question."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            post = batch.column("post")
+            begin = post.offsets.to_numpy()
+            p = post.values.field("p").to_numpy(zero_copy_only=False)
+            place = pc.index_in(post.values.field("label"), value_set=labels).fill_null(-1).to_numpy()
+            step = max(1, PRODUCT // max(1, table.size))
+            for lo in range(0, len(post), step):
+                hi = min(lo + step, len(post))
+                row = np.repeat(np.arange(hi - lo), np.diff(begin[lo : hi + 1]))
+                own, at = p[begin[lo] : begin[hi]], place[begin[lo] : begin[hi]]
+                before = np.bincount(row, weights=_bits(own), minlength=hi - lo)
+                dense = np.zeros((hi - lo, len(labels)))
+                dense[row[at >= 0], at[at >= 0]] = own[at >= 0]
+                found = score(dense, before, table, first)
+                cases = batch.column(case).slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), len(names))))
+                yield pa.RecordBatch.from_arrays([cases, names.take(pa.array(np.tile(np.arange(len(names)), hi - lo))), pa.array(found.ravel())], names=[case, question, name])
+
+    return run
+
+
+def question_scores(post: DataFrame, likelihood: DataFrame, case: str, question: str, answer: str, label: str, name: str, score: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(case, question, name): score(posteriors, their entropies, table, first answers) of every case and question.
 
     post is (case, post) as packed() gives it, likelihood (question, answer,
-    label, p).  Impossible answers contribute 0.  A case is one row throughout:
-    the questions come to it as one broadcast row, and nothing is shuffled.
+    label, p) with one row for each.  Posteriors are cases by labels, the table
+    answers by labels, the score cases by questions; labels that an answer or a
+    posterior lacks have 0.  The likelihood goes to the tasks as a dense
+    table of answers by labels, in blocks of whole questions of about BLOCK_ROWS
+    rows; each block takes one pass over the posteriors, and nothing is shuffled.
     """
-    both = post.crossJoin(F.broadcast(question_table(likelihood, question, answer, label)))  # one row
+    blocks = max(1, -(-likelihood.count() // BLOCK_ROWS))
+    rows = likelihood.select(F.col(question).alias("q"), F.col(answer).alias("a"), F.col(label).alias("l"), "p", F.pmod(F.xxhash64(question), F.lit(blocks)).alias("block"))
+    labels = rows.select("l").distinct().sort("l").toArrow()["l"].combine_chunks()
+    kinds = {f.name: f.dataType.simpleString() for f in (post.schema[case], likelihood.schema[question])}
+    out = None
+    for k in range(blocks):
+        some = rows.where(F.col("block") == k).sort("q", "a").toArrow().combine_chunks()
+        if not some.num_rows:
+            continue
+        q, a = (some[c].combine_chunks().dictionary_encode() for c in ("q", "a"))
+        pair = q.indices.to_numpy().astype(np.int64) * len(a.dictionary) + a.indices.to_numpy()
+        new = np.append(True, pair[1:] != pair[:-1])
+        of, which = np.cumsum(new) - 1, q.indices.to_numpy()[new]
+        table = np.zeros((int(new.sum()), len(labels)))
+        table[of, pc.index_in(some["l"], value_set=labels).to_numpy()] = some["p"].to_numpy()
+        first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        part = post.select(case, "post").mapInArrow(_scored(case, question, name, score, labels, q.dictionary, table, first), f"`{case}` {kinds[case]}, `{question}` {kinds[question]}, `{name}` double")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else post.sparkSession.createDataFrame([], f"`{case}` {kinds[case]}, `{question}` {kinds[question]}, `{name}` double")
+
+
+def _gain(dense: np.ndarray, before: np.ndarray, table: np.ndarray, first: np.ndarray) -> np.ndarray:
+    joint = dense[:, None, :] * table
+    # An answer's part of the expected entropy: H(joint) + p(a) log2 p(a).
+    after = _bits(joint).sum(axis=2) - _bits(joint.sum(axis=2))
+    return before[:, None] - np.add.reduceat(after, first, axis=1)
 
-    def after(l: Column) -> Column:
-        # An answer's part of the expected entropy: H(joint) + p(a) log2 p(a).
-        joint = lambda x: F.coalesce(x["p"] * F.element_at(l, x["label"]), F.lit(0.0))
-        return _sum(F.col("post"), lambda x: entropy(joint(x))) - entropy(_sum(F.col("post"), joint))
 
-    before = _sum(F.col("post"), lambda x: entropy(x["p"]))
-    gains = F.transform("questions", lambda q: F.struct(q["question"].alias("question"), (before - _sum(q["answers"], after)).alias("ig")))
-    return both.select(case, F.explode(gains).alias("_g")).select(case, F.col("_g")["question"].alias(question), F.col("_g")["ig"].alias("ig"))
+def information_gain(post: DataFrame, likelihood: DataFrame, case: str, question: str, answer: str, label: str) -> DataFrame:
+    """(case, question, ig): entropy of the posterior less its expectation after the answer; impossible answers contribute 0."""
+    return question_scores(post, likelihood, case, question, answer, label, "ig", _gain)
 
 
 def unit_hash(*parts: Column) -> Column:

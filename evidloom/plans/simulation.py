@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -107,10 +108,9 @@ def i4(spark, d):
     like = cut(likelihood(spark, d))
     post = S.case_posteriors(tokens(spark, d), like, "case_id", ["code", "value"], "label")
     order = lambda a, b: F.when(a["p"] != b["p"], F.sign(b["p"] - a["p"])).when(a["label"] < b["label"], -1).otherwise(1).cast("int")
-    both = post.select("case_id", F.slice(F.array_sort("post", order), 1, 3).alias("top")).crossJoin(F.broadcast(S.question_table(like, "code", "value", "label")))  # one row
-    spread = lambda l: F.aggregate("top", F.lit(0.0), lambda acc, x: acc + x["p"] * F.abs(F.element_at(l, x["label"]) - 0.2))
-    values = F.transform("questions", lambda q: F.struct(q["question"].alias("code"), F.array_max(F.transform(q["answers"], spread)).alias("v")))
-    best = both.select("case_id", F.inline(values))
+    top = post.select("case_id", F.slice(F.array_sort("post", order), 1, 3).alias("post"))
+    spread = lambda dense, _, table, first: np.maximum.reduceat(dense @ np.abs(table - 0.2).T, first, axis=1)
+    best = S.question_scores(top, like, "case_id", "code", "value", "label", "v", spread)
     return rounded_argmax(best, ["case_id"], "v", F.substring("code", 3, 9).cast("int"), "code", digits=8).select("case_id", "code")
 
 

@@ -255,3 +255,31 @@ def test_nearest_leakage_neighbour_against_a_loop(spark, tmp_path):
         if i % 5 == 0 and near:
             want[i] = (max(near)[1], max(near)[0])
     assert want and {r["test_id"]: (r["id"], r["ratio"]) for r in registry.QUERIES["C18_nearest_leakage_neighbour"](spark, str(tmp_path)).collect()} == want
+
+
+def test_question_scores_by_blocks_equal_a_plain_loop(spark, monkeypatch):
+    import math
+    import random
+
+    from evidloom.operators import simulation as S
+
+    rng = random.Random(2)
+    labels, questions = ["a", "b", "c", "d"], {f"q{k}": [f"v{j}" for j in range(1 + k % 3)] for k in range(9)}
+    like = {(q, v, x): rng.random() for q, vs in questions.items() for v in vs for x in labels if rng.random() < 0.9}
+    post = {i: {x: p for x, p in zip([*labels, "unknown"], [rng.random() for _ in range(5)], strict=True) if rng.random() < 0.8} for i in range(40)}
+    bits = lambda p: -p * math.log2(p) if p > 0 else 0.0
+
+    def gain(case, q):
+        parts = [[p * like.get((q, v, x), 0.0) for x, p in case.items()] for v in questions[q]]
+        return sum(map(bits, case.values())) - sum(sum(map(bits, j)) - bits(sum(j)) for j in parts)
+
+    held = {q for q, _, _ in like}
+    table = spark.createDataFrame([(*k, p) for k, p in like.items()], "q string, v string, x string, p double")
+    rows = spark.createDataFrame([(i, [(x, p) for x, p in sorted(c.items())]) for i, c in post.items()], "i long, post array<struct<label: string, p: double>>")
+    for block_rows, product in ((2_000_000, 2_000_000), (10, 50)):
+        monkeypatch.setattr(S, "BLOCK_ROWS", block_rows)
+        monkeypatch.setattr(S, "PRODUCT", product)
+        got = {(r["i"], r["q"]): r["ig"] for r in S.information_gain(rows, table, "i", "q", "v", "x").collect()}
+        assert set(got) == {(i, q) for i in post for q in held}
+        assert all(abs(g - gain(post[i], q)) < 1e-9 for (i, q), g in got.items())
+    assert S.information_gain(rows, table.limit(0), "i", "q", "v", "x").count() == 0
