@@ -139,21 +139,6 @@ def windowed_ratio(pairs: DataFrame, query: str, text: str) -> DataFrame:
     return pairs.join(scored, (F.col(query) == F.col("_q")) & (F.col(text) == F.col("_t")), "left").drop("_q", "_t")
 
 
-def nearest_by_cosine(vectors: DataFrame, id_col: str, vector: str, label: str, is_query: Column, k: int) -> DataFrame:
-    """(query_id, id, label, cosine): for each query the best row of every label, then the k best labels.
-
-    The stated query set meets all rows in blocks; a row's vector is normalised once.
-    """
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.transform(vector, lambda x: x.cast("double") / norm).alias("u"), is_query.alias("q"))
-    queries = unit.where("q").select(F.col("id").alias("query_id"), F.col("u").alias("v"))
-    dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = unit.drop("q").crossJoin(queries).where("id <> query_id").select("query_id", "id", "label", F.round(dot, 6).alias("cosine"))
-    best = near.groupBy("query_id", "label").agg(F.max_by(F.struct("id", "cosine"), F.struct("cosine", -F.col("id"))).alias("b"))
-    ranked = best.select("query_id", "label", "b.id", "b.cosine").withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "label")))
-    return ranked.where(F.col("_r") <= k).drop("_r")
-
-
 def class_scores(train: DataFrame, rows: DataFrame, label: str, grams: Column, id_col: str) -> DataFrame:
     """(id, label, score): log likelihood of a row's grams under each class, add-one smoothed, rounded to 6 places.
 
