@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import topk as T
 from ..operators import windows as W
+from ..operators.spans import greedy_spans
 from ..registry import query, without
 from . import compounds as C
 from . import functions as P
@@ -126,9 +127,23 @@ def a43(spark, d):
     return r.groupBy("o_orderpriority").agg(F.sha2(F.array_join(parts, ","), 256).alias("digest"))
 
 
+def _spans(spark, d):
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey").withColumn("a", F.col("o_orderkey") % 97)
+    return o.select(F.col("o_custkey").alias("k"), "a", (F.col("a") + 1 + F.col("o_orderkey") % 13).alias("b"))
+
+
 @query("W13_non_overlapping_spans", without("W13_non_overlapping_spans", " WHERE o_custkey < 200"), instead=True)
 def w13(spark, d):
-    return windows.w13(spark, d, "true")
+    """A key's chosen spans as one text."""
+    chosen = F.array_sort(F.collect_list(F.struct("a", "b")))
+    text = F.array_join(F.transform(chosen, lambda x: F.concat_ws("-", x["a"].cast("string"), x["b"].cast("string"))), ",")
+    return greedy_spans(_spans(spark, d), ["k"], "a", "b", 32).groupBy("k").agg(text.alias("chosen"))
+
+
+@query("W13_chosen_spans", without("W13_non_overlapping_spans").replace("SELECT k, string_agg(a || '-' || b, ',' ORDER BY a) AS chosen FROM r GROUP BY 1", "SELECT k, a, b FROM r"))
+def w13_rows(spark, d):
+    """A row for each chosen span, so that no row holds a whole key."""
+    return greedy_spans(_spans(spark, d), ["k"], "a", "b", 32)
 
 
 @query("W14_inherited_back", """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type <> 'view' THEN event_type END AS label FROM events)
