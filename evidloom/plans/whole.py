@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import topk as T
 from ..operators import windows as W
+from ..operators.retrieval import preselect_and_rerank
 from ..operators.spans import greedy_spans
 from ..registry import query, without
 from . import compounds as C
@@ -113,6 +114,27 @@ def t8(spark, d):
     return T.top_k(n, ["query_id"], [F.desc("n"), F.asc("p_partkey")], 5)
 
 
+# Titles of every twentieth page ask for the sentences of all conversations.
+RERANK = r"""WITH s AS (SELECT DISTINCT trim(x) AS id FROM (SELECT unnest(string_split_regex(lower(text), '[.!?\n]')) AS x FROM conversations) WHERE trim(x) <> ''),
+  q AS (SELECT page_id AS query_id, lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS text FROM pages WHERE page_id % 20 = 0),
+  sw AS (SELECT id, t FROM (SELECT id, unnest(string_split(id, ' ')) AS t FROM s) WHERE t <> ''), qw AS (SELECT query_id, t FROM (SELECT query_id, unnest(string_split(text, ' ')) AS t FROM q) WHERE t <> ''),
+  o AS (SELECT query_id, id, count(*) AS n FROM qw JOIN sw USING (t) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, id) <= 3000),
+  sg AS (SELECT id, g, count(*) AS c FROM (SELECT id, unnest(list_transform(range(1, length(id) + 1), lambda i: substr(' ' || id || ' ', i, 3))) AS g FROM s) GROUP BY ALL),
+  qg AS (SELECT query_id, g, count(*) AS c FROM (SELECT query_id, unnest(list_transform(range(1, length(text) + 1), lambda i: substr(' ' || text || ' ', i, 3))) AS g FROM q) GROUP BY ALL),
+  f AS (SELECT g, ln((1.0 + (SELECT count(*) FROM s)) / (count(*) + 1)) + 1 AS idf FROM sg GROUP BY 1),
+  sv AS (SELECT id, g, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY id)) AS w FROM sg JOIN f USING (g)), qv AS (SELECT query_id, g, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY query_id)) AS w FROM qg JOIN f USING (g)),
+  d AS (SELECT query_id, id, any_value(n) AS n, round(coalesce(sum(sv.w * qv.w), 0), 6) AS cosine FROM o LEFT JOIN sv USING (id) LEFT JOIN qv USING (query_id, g) GROUP BY ALL)
+  SELECT query_id, id, n, cosine FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, n DESC, id) <= 5"""
+
+
+@query("T8_preselect_rerank", RERANK)
+def t8_rerank(spark, d):
+    parts = F.explode(F.transform(F.split(F.lower("text"), r"[.!?\n]"), lambda x: F.trim(x)))
+    s = table(spark, d, "conversations", "text").select(parts.alias("id")).where("id <> ''").distinct()
+    q = table(spark, d, "pages", "page_id", "html").where("page_id % 20 = 0").select(F.col("page_id").alias("query_id"), F.lower(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("text"))
+    return preselect_and_rerank(q, s.withColumn("text", F.col("id")), "query_id", "text", "id", "text")
+
+
 #: Keys of one range are digested together, so no row holds the keys of a whole group.
 RANGE = 100_000
 
