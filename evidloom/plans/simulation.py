@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import simulation as S
 from ..operators.graphs import cut
 from ..operators.topk import rounded_argmax, top_k
+from ..operators.trees import fit_tree, predicted
 from ..registry import query
 from .fixtures import CASES, LIKELIHOOD, OBSERVATIONS, TOKENS, cases, likelihood, observations, table, tokens
 
@@ -218,12 +219,9 @@ def i13(spark, d):
 
 @query("I14_decision_tree")
 def i14(spark, d):
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    x = VectorAssembler(inputCols=["x1", "x2"], outputCol="features").transform(_features(spark, d))
-    model = DecisionTreeClassifier(labelCol="y", impurity="entropy", maxDepth=5, minInstancesPerNode=50).fit(x)
-    return model.transform(x).select("o_orderkey", F.col("prediction").cast("int").alias("label"))
+    x = _features(spark, d)
+    tree = fit_tree(x, ["x1", "x2"], "y", depth=10, least=50)
+    return predicted(tree, x, "label", "double").select("o_orderkey", F.col("label").cast("int").alias("label"))
 
 
 @query("I15_cluster_cross_validation", f"""WITH g AS (SELECT CAST(('0x' || substr(sha256(CAST(o_custkey AS VARCHAR)), 1, 8)) AS BIGINT) % 5 AS fold, t, count(*) FILTER (o_totalprice >= t) AS kept, count(*) FILTER (o_totalprice >= t AND o_orderstatus = 'F') AS ok
