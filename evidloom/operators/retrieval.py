@@ -59,19 +59,31 @@ def most_shared(asked: DataFrame, held: DataFrame, k: int, hot: int = 4_000, sam
     return top_k(out.where("query_id <> id") if same else out, ["query_id"], [F.desc("n"), F.asc("id")], k)
 
 
-def gram_weights(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """(id, g, c): how often a text has each run of `size` characters; blanks stand before and after it."""
+def gram_counts(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
+    """(id, v): hashes of a text's runs of `size` characters in order, each with its count; blanks stand before and after a text.
+
+    Counted inside the row from the ends of equal stretches of the sorted hashes, so nothing is shuffled.
+    """
     t = F.concat(F.lit(" "), F.col(text), F.lit(" "))
     places = F.when(F.length(t) >= size, F.sequence(F.lit(1), F.length(t) - size + 1)).otherwise(F.array().cast("array<int>"))
-    each = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.transform(places, lambda i: F.substring(t, i, F.lit(size)))).alias("g"))
-    return each.groupBy("id", "g").agg(F.count("*").alias("c"))
+    hashes = F.array_sort(F.transform(places, lambda i: F.xxhash64(F.substring(t, i, F.lit(size)))))
+    one = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  bound once
+    starts = lambda h: F.filter(F.transform(h, lambda x, i: F.when((i == 0) | (F.get(h, i - 1) != x), i)), lambda i: i.isNotNull())
+    runs = one(hashes, lambda h: one(starts(h), lambda st: F.transform(st, lambda x, j: F.struct(F.get(h, x).alias("g"), (F.coalesce(F.get(st, j + 1), F.size(h)) - x).alias("c")))))
+    return df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), runs.alias("v"))
+
+
+#: Grams up to which their weights (16 bytes each) are sent to every task.
+BROADCAST_ROWS = 1_000_000
 
 
 def _vectors(grams: DataFrame, idf: DataFrame) -> DataFrame:
     """(id, g, w): hashes of grams in order and their tf-idf weights, of length one."""
-    each = grams.join(idf, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("g").alias("h"), (F.col("c") * F.col("idf")).alias("w")))).alias("v"))
+    few = idf.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    each = grams.select("id", F.inline("v")).join(F.broadcast(idf) if few else idf, "g")
+    each = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("g", (F.col("c") * F.col("idf")).alias("w")))).alias("v"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return each.select("id", F.col("v.h").alias("g"), F.transform("v", lambda x: x["w"] / length).alias("w"))
+    return each.select("id", "v.g", F.transform("v", lambda x: x["w"] / length).alias("w"))
 
 
 def _cosines(asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -97,11 +109,13 @@ def preselect_and_rerank(queries: DataFrame, rows: DataFrame, query_id: str, que
     """
     words = lambda c: F.split(F.col(c), " ")
     chosen = cut(most_shared(postings(queries, query_id, words(query_text), "query_id"), postings(rows, id_col, words(text), "id"), select, hot))
-    grams = cut(gram_weights(rows, id_col, text, size))
     total = rows.where(F.col(id_col).isNotNull()).count()
-    idf = cut(grams.groupBy("g").agg((F.log(F.lit(1.0 + total) / (F.count("*") + 1)) + 1).alias("idf")))
-    asked = _vectors(gram_weights(queries.join(chosen.select(F.col("query_id").alias(query_id)).distinct(), query_id, "left_semi"), query_id, query_text, size), idf).withColumnRenamed("id", "query_id")
-    met = chosen.join(_vectors(grams, idf), "id", "left")
+    grams = gram_counts(rows, id_col, text, size)
+    idf = cut(grams.select(F.explode("v.g").alias("g")).groupBy("g").agg((F.log(F.lit(1.0 + total) / (F.count("*") + 1)) + 1).alias("idf")))
+    asked = queries.join(chosen.select(F.col("query_id").alias(query_id)).distinct(), query_id, "left_semi")
+    asked = _vectors(gram_counts(asked, query_id, query_text, size), idf).withColumnRenamed("id", "query_id")
+    wanted = grams.join(chosen.select("id").distinct(), "id", "left_semi")
+    met = chosen.join(_vectors(wanted, idf), "id", "left")
     kind = {f.name: f.dataType.simpleString() for f in chosen.schema}
     scored = asked.groupBy("query_id").cogroup(met.groupBy("query_id")).applyInArrow(_cosines, f"query_id {kind['query_id']}, id {kind['id']}, n long, cosine double")
     return top_k(scored, ["query_id"], [F.desc("cosine"), F.desc("n"), F.asc("id")], k)
