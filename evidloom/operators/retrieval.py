@@ -108,14 +108,17 @@ def preselect_and_rerank(queries: DataFrame, rows: DataFrame, query_id: str, que
     other columns are ignored.
     """
     words = lambda c: F.split(F.col(c), " ")
-    chosen = cut(most_shared(postings(queries, query_id, words(query_text), "query_id"), postings(rows, id_col, words(text), "id"), select, hot))
-    total = rows.where(F.col(id_col).isNotNull()).count()
-    grams = gram_counts(rows, id_col, text, size)
+    # Numbers in the order of the ids stand for them, so that long ids are not repeated with every word.
+    rows = cut(rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text).alias("text")).orderBy("key").withColumn("id", F.monotonically_increasing_id()))
+    chosen = cut(most_shared(postings(queries, query_id, words(query_text), "query_id"), postings(rows, "id", words("text"), "id"), select, hot))
+    total = rows.count()
+    grams = gram_counts(rows, "id", "text", size)
     idf = cut(grams.select(F.explode("v.g").alias("g")).groupBy("g").agg((F.log(F.lit(1.0 + total) / (F.count("*") + 1)) + 1).alias("idf")))
     asked = queries.join(chosen.select(F.col("query_id").alias(query_id)).distinct(), query_id, "left_semi")
     asked = _vectors(gram_counts(asked, query_id, query_text, size), idf).withColumnRenamed("id", "query_id")
     wanted = grams.join(chosen.select("id").distinct(), "id", "left_semi")
     met = chosen.join(_vectors(wanted, idf), "id", "left")
     kind = {f.name: f.dataType.simpleString() for f in chosen.schema}
-    scored = asked.groupBy("query_id").cogroup(met.groupBy("query_id")).applyInArrow(_cosines, f"query_id {kind['query_id']}, id {kind['id']}, n long, cosine double")
-    return top_k(scored, ["query_id"], [F.desc("cosine"), F.desc("n"), F.asc("id")], k)
+    scored = asked.groupBy("query_id").cogroup(met.groupBy("query_id")).applyInArrow(_cosines, f"query_id {kind['query_id']}, id long, n long, cosine double")
+    best = top_k(scored, ["query_id"], [F.desc("cosine"), F.desc("n"), F.asc("id")], k)
+    return best.join(rows.select("id", "key"), "id").select("query_id", F.col("key").alias("id"), "n", "cosine")
