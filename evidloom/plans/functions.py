@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Window
@@ -278,9 +279,11 @@ def f35(spark, d):
 
 @query("F43_adoption_chain", """WITH s AS (SELECT l_suppkey, l_returnflag, avg(l_discount) AS m FROM lineitem GROUP BY ALL) SELECT l_suppkey, l_returnflag, min(CASE WHEN m >= 0.048 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY l_returnflag ROWS UNBOUNDED PRECEDING) = 1 AS adopted FROM s""")
 def f43(spark, d):
-    s = table(spark, d, "lineitem", "l_suppkey", "l_returnflag", "l_discount").groupBy("l_suppkey", "l_returnflag").agg(F.avg("l_discount").alias("m"))
-    w = Window.partitionBy("l_suppkey").orderBy("l_returnflag").rowsBetween(Window.unboundedPreceding, 0)
-    return s.select("l_suppkey", "l_returnflag", F.bool_and(F.col("m") >= 0.048).over(w).alias("adopted"))
+    """Discounts are added up and compared as decimals: sums of doubles hang on the order of the rows, and means of exactly 0.048 occur."""
+    high = F.sum(F.col("l_discount").cast("decimal(38,10)")) >= F.count("l_discount").cast("decimal(20,0)") * F.lit(Decimal("0.048"))
+    s = table(spark, d, "lineitem", "l_suppkey", "l_returnflag", "l_discount").groupBy("l_suppkey", "l_returnflag").agg(F.coalesce(high, F.lit(False)).alias("high"))
+    w = Window.partitionBy("l_suppkey").orderBy(F.asc_nulls_last("l_returnflag")).rowsBetween(Window.unboundedPreceding, 0)
+    return s.select("l_suppkey", "l_returnflag", F.bool_and("high").over(w).alias("adopted"))
 
 
 @query("F44_answer_validation", "SELECT p_partkey, CASE WHEN p_type NOT IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL') THEN 'UNKNOWN_TYPE' WHEN p_size > 45 THEN 'OUT_OF_RANGE' WHEN p_size % 2 = 1 AND p_type = 'PROMO' THEN 'WRONG_VALUE' ELSE 'OK' END AS code FROM part")

@@ -55,3 +55,11 @@ def test_names_with_other_beginnings_are_paired(spark, tmp_path):
     assert got["bolt red", "red bolt"] == round(5 / 9, 8) and ("zzz", "red bolt") not in got
     ratios = {(r["a"], r["b"]): r["ratio"] for r in registry.QUERIES["F23_matching_ratio"](spark, str(tmp_path)).collect()}
     assert ratios == {(a, b): difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a in names for b in names if a < b}
+
+
+def test_a_mean_at_the_threshold_does_not_hang_on_the_order_of_rows(spark, tmp_path):
+    x = [0.01] * 2 + [0.04, 0.05, 0.06, 0.07, 0.05, 0.06, 0.06, 0.07]  # a mean of 0.048
+    rows = [(k, flag, v) for k in range(40) for flag in "AN" for v in (x[k % 10 :] + x[: k % 10] if k % 2 else sorted(x, reverse=k % 4 == 0))]
+    spark.createDataFrame(rows + [(50, "A", None), (50, "N", 0.1), (51, None, 0.01), (51, "A", 0.1)], "l_suppkey long, l_returnflag string, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in registry.QUERIES["F43_adoption_chain"](spark, str(tmp_path)).collect()}
+    assert got == {(k, flag, True) for k in range(40) for flag in "AN"} | {(50, "A", False), (50, "N", False), (51, "A", True), (51, None, False)}
