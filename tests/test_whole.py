@@ -3,6 +3,7 @@
 import os
 
 from evidloom import registry
+from pyspark.sql import functions as F
 
 registry.load()
 DATA = os.environ.get("EVIDLOOM_TEST_DATA", "/root/testdata/sf0.001")
@@ -63,3 +64,13 @@ def test_a_mean_at_the_threshold_does_not_hang_on_the_order_of_rows(spark, tmp_p
     spark.createDataFrame(rows + [(50, "A", None), (50, "N", 0.1), (51, None, 0.01), (51, "A", 0.1)], "l_suppkey long, l_returnflag string, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {tuple(r) for r in registry.QUERIES["F43_adoption_chain"](spark, str(tmp_path)).collect()}
     assert got == {(k, flag, True) for k in range(40) for flag in "AN"} | {(50, "A", False), (50, "N", False), (51, "A", True), (51, None, False)}
+
+
+def test_the_product_of_two_one_file_tables_is_dealt_over_tasks(spark, tmp_path):
+    n, m = 20_000, 3_000
+    spark.range(n).selectExpr("id AS p_partkey", "'red gear' AS p_name", "'PROMO' AS p_type", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(m).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    classes = registry.QUERIES["C6_match_classes"](spark, str(tmp_path))
+    sizes = [r["n"] for r in classes.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == n * m and max(sizes) <= n * m // 4
+    assert {r["class"]: r["n"] for r in classes.groupBy("class").agg(F.count("*").alias("n")).collect()} == {"EXACT": n * m // 50, "ATTRIBUTE_DIFFERS": n * m - n * m // 50}
