@@ -141,9 +141,9 @@ def a20(spark, d):
     (SELECT t.case_id, l.label, sum(ln(p)) AS ll FROM tokens t JOIN likelihood l USING (code, value) GROUP BY ALL))
   SELECT case_id, round(sum(power(s.p - CASE WHEN s.label = c.label THEN 1 ELSE 0 END, 2)), 8) AS brier FROM s JOIN (SELECT case_id, label FROM cases) c USING (case_id) GROUP BY 1""")
 def a21(spark, d):
-    from ..operators.simulation import posterior
+    from ..operators.simulation import case_posteriors
 
-    p = posterior(tokens(spark, d), likelihood(spark, d), "case_id", ["code", "value"], "label")
+    p = case_posteriors(tokens(spark, d), likelihood(spark, d), "case_id", ["code", "value"], "label")
     c = cases(spark, d).select("case_id", F.col("label").alias("truth"))
-    hit = F.col("p") - (F.col("label") == F.col("truth")).cast("int")
-    return p.join(c, "case_id").groupBy("case_id").agg(F.round(F.sum(hit * hit), 8).alias("brier"))
+    hit = lambda x: x["p"] - (x["label"] == F.col("truth")).cast("int")
+    return p.join(c, "case_id").select("case_id", F.round(F.aggregate("post", F.lit(0.0), lambda acc, x: acc + hit(x) * hit(x)), 8).alias("brier"))

@@ -1,6 +1,7 @@
 """Operators on small tables with nulls, ties, repeats and empty inputs."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from evidloom.operators import windows as W
 
 
 registry.load()
+DATA = os.environ.get("EVIDLOOM_TEST_DATA", "/root/testdata/sf0.001")
 
 
 def at(hour, day=1):
@@ -283,3 +285,29 @@ def test_question_scores_by_blocks_equal_a_plain_loop(spark, monkeypatch):
         assert set(got) == {(i, q) for i in post for q in held}
         assert all(abs(g - gain(post[i], q)) < 1e-9 for (i, q), g in got.items())
     assert S.information_gain(rows, table.limit(0), "i", "q", "v", "x").count() == 0
+
+
+def test_scores_of_many_labels_and_of_few_are_a_loops(spark, monkeypatch):
+    import math
+
+    from evidloom.operators import simulation
+
+    labels, answers = [f"l{k}" for k in range(5)], [(q, v) for q in "ab" for v in "xyz"]
+    p = {(q, v, n): 0.1 + 0.1 * ((i * 7 + k * 3) % 8) for i, (q, v) in enumerate(answers) for k, n in enumerate(labels)}
+    given = [(c, *answers[(c * m) % 6]) for c in range(30) for m in (1, 2)] + [(99, "a", "never seen")]
+    like = spark.createDataFrame([(*k, x) for k, x in p.items()], "q string, v string, label string, p double")
+    asked = spark.createDataFrame(given, "case long, q string, v string")
+    want = {(c, n): round(sum(math.log(p[q, v, n]) for d, q, v in given if d == c), 9) for c in range(30) for n in labels}
+    for most in (64, 2):
+        monkeypatch.setattr(simulation, "LABELS", most)
+        scores = simulation.case_scores(asked, like, "case", ["q", "v"], "label")
+        assert {(r["case"], r["label"]): round(r["ll"], 9) for r in scores.select("case", F.inline("scores")).collect()} == want
+        kept = simulation.pruned(F.col("scores"), 0.5)
+        top = {c: max(x for (d, _), x in want.items() if d == c) for c in range(30)}
+        assert {(r["case"], r["label"]) for r in scores.select("case", F.inline(kept)).collect()} == {k for k, x in want.items() if x - top[k[0]] >= math.log(0.5)}
+
+
+def test_a_cases_answers_are_shuffled_once(spark):
+    for name in ("F38_log_likelihood", "F40_softmax", "I5_reversible_pruning", "I6_posterior_update"):
+        plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
