@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import shared
+from .runtime import semi_by_id, shared
 from .textstats import with_statistics
 
 #: Features as SQL over the statistics; null (no words) becomes -1.
@@ -166,17 +166,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, label: str =
     return fit_rules(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float))
 
 
-def highest_cutoff(docs: DataFrame, labels: DataFrame, model: RuleModel, loss: float = 0.005, sample: int = 20_000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> float:
+def highest_cutoff(docs: DataFrame, labels: DataFrame, model: RuleModel, loss: float = 0.005, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> float:
     """The highest score below which at most a share `loss` of labelled good texts lies, those that the model did not learn.
 
-    At most `sample` labelled rows are taken, the first by hash of the id; 0,
-    which rejects nothing, without a good one.
+    All labelled good rows count, of whatever number; 0, which rejects nothing,
+    without one.  An id of several rows counts by its smallest features and label.
     """
-    chosen = _labelled(labels, label, sample).where("y = 1")
-    scored = shared(_features_of(docs, chosen, id_col, text_col).select(compile_rules(model, list(FEATURES)).alias("score")))
-    ranked = [r["score"] for r in scored.orderBy("score").limit(int(loss * sample) + 1).collect()]
+    good = labels.select("doc_id", F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y")).where("y = 1").select("doc_id")
+    slim = semi_by_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shared(good))
+    own = features(slim).groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x")).select("x.*")
+    scored = shared(own.select(compile_rules(model, list(FEATURES)).alias("score")))
+    # The order statistic by counts of distinct scores; no more than one row reaches the driver.
+    counts = scored.groupBy("score").agg(F.count("*").alias("n"))
     lost = int(loss * scored.count())
-    return ranked[lost] if ranked else 0.0
+    return _at_rank(counts, lost)
+
+
+def _at_rank(counts: DataFrame, rank: int) -> float:
+    """The score at a rank, from 0, of (score, n); by halving the range of scores, one aggregate a round."""
+    lo, hi, total = counts.agg(F.min("score"), F.max("score"), F.sum("n")).first()
+    if not total:
+        return 0.0
+    # The smallest score with more than `rank` rows at or below it lies in [lo, hi] throughout.
+    while lo < hi:
+        middle = lo + (hi - lo) / 2
+        below, n, above = counts.agg(F.max(F.when(F.col("score") <= middle, F.col("score"))), F.sum(F.when(F.col("score") <= middle, F.col("n"))), F.min(F.when(F.col("score") > middle, F.col("score")))).first()
+        lo, hi = (lo, below) if n > rank else (above, hi)
+    return lo
 
 
 def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -197,3 +197,17 @@ def test_a_repeated_id_is_learned_from_its_smallest_features(spark):
     once = ruleensemble.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
     assert once.rules
     assert ruleensemble.train(docs, labels) == once == ruleensemble.train(docs.orderBy(F.desc("doc_id")).repartition(3), labels.union(labels))
+
+
+def test_cutoff_counts_every_labelled_good_text(spark):
+    n = 24_000
+    # The few worst texts have the last hashes, so a sample by hash leaves them out.
+    last = [r["id"] for r in spark.range(n).orderBy(F.xxhash64("id").desc()).limit(3).collect()]
+    words = lambda i: 1 + last.index(i) if i in last else 5 + i % 7
+    docs = spark.createDataFrame([(i, " ".join(["word"] * words(i))) for i in range(n)] + [(n, "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(n)] + [(n, 0), (None, 1), (n + 1, 1)], "doc_id long, quality int")
+    model = ruleensemble.RuleModel(0.0, [(((0, False, float(w)),), -0.5) for w in range(1, 12)])
+    want = sorted(1 / (1 + math.exp(0.5 * sum(words(i) <= w for w in range(1, 12)))) for i in range(n))
+    for rank in (0, 1, 2, 3, 5_000, n - 1):
+        assert ruleensemble.highest_cutoff(docs, labels, model, (rank + 0.5) / n) == pytest.approx(want[rank], abs=1e-12)
+    assert ruleensemble.highest_cutoff(docs, labels.where("quality = 0"), model) == 0.0
