@@ -25,14 +25,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, child: str, parent: str, start: DataFrame | None = None) -> DataFrame:
-    """(node, ancestor, depth): every ancestor with its smallest depth; from the nodes of `start` only if given.
+#: Edges up to which they may be sent to every task (16 bytes each).
+BROADCAST_EDGES = 200_000
+
+
+def closure(edges: DataFrame, child: str, parent: str, start: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(node, ancestor, depth): every ancestor with its smallest depth, at most `most` if given; from the nodes of `start` only if given.
 
     Breadth-first: a round joins only the newest pairs with the edges and drops
     those that are known, so it ends on graphs with cycles too.  Each level is
     written once and never again; what is known is the union of the levels.
+    Edges are counted, as the size of the file they come from says little: only
+    few are broadcast, others and all known pairs are joined by shuffles.
     """
-    e = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct()
+    e = cut(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct())
+    few = e.count() <= BROADCAST_EDGES
     new = e.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"))
     if start is not None:
         new = new.join(start.select(F.col(start.columns[0]).alias("node")).distinct(), "node", "left_semi")
@@ -43,8 +50,10 @@ def closure(edges: DataFrame, child: str, parent: str, start: DataFrame | None =
             break
         level = new.withColumn("depth", F.lit(depth))
         known = level if known is None else known.unionByName(level)
-        new = new.join(e, new["ancestor"] == e["_c"]).select("node", F.col("_p").alias("ancestor"))
-        new = new.join(known, ["node", "ancestor"], "left_anti")
+        if depth == most:
+            break
+        new = new.join(F.broadcast(e) if few else e.hint("merge"), new["ancestor"] == e["_c"]).select("node", F.col("_p").alias("ancestor"))
+        new = new.join(known.hint("merge"), ["node", "ancestor"], "left_anti")
         depth += 1
     return known if known is not None else new.withColumn("depth", F.lit(0))
 

@@ -19,6 +19,12 @@ def reach(spark, d, keep="child % 10 = 0"):
     return G.closure(e, "child", "parent", e.where(keep).select("child") if keep else None)
 
 
+def below(spark, d, *terms):
+    """(node, ancestor, depth) of the given ancestors only, walked downwards: a row for each node that they reach."""
+    tops = spark.createDataFrame([(t,) for t in terms], "parent long")
+    return G.closure(ontology(spark, d), "parent", "child", tops).select(F.col("ancestor").alias("node"), F.col("node").alias("ancestor"), "depth")
+
+
 @query("G1_ancestors", f"WITH RECURSIVE {REACH} SELECT node, ancestor, depth FROM reach")
 def g1(spark, d):
     return reach(spark, d)

@@ -311,3 +311,28 @@ def test_a_cases_answers_are_shuffled_once(spark):
     for name in ("F38_log_likelihood", "F40_softmax", "I5_reversible_pruning", "I6_posterior_update"):
         plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_many_edges_are_never_broadcast_and_depth_is_bounded(spark, monkeypatch):
+    edges = spark.range(1, 400).selectExpr("id AS c", "id div 2 AS p").unionByName(spark.createDataFrame([(0, 5)], "c long, p long"))
+    up = {r["c"]: set() for r in edges.collect()}
+    for r in edges.collect():
+        up[r["c"]].add(r["p"])
+
+    def want(most):
+        out = {}
+        for n in up:
+            at, depth = up[n], 1
+            while at and depth <= most:
+                out |= {(n, x): depth for x in at if (n, x) not in out}
+                at, depth = {y for x in at for y in up.get(x, ()) if (n, y) not in out}, depth + 1
+        return out
+
+    plans = []
+    whole = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df))
+    monkeypatch.setattr(G, "BROADCAST_EDGES", 100, raising=False)
+    for most in (3, 1, None):
+        got = G.closure(edges, "c", "p", **({"most": most} if most else {}))
+        assert {(r["node"], r["ancestor"]): r["depth"] for r in got.collect()} == want(most or 99)
+    assert plans and not any("Broadcast" in x for x in plans)
