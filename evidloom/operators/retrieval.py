@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import cut
 from .topk import top_k
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 
 def postings(df: DataFrame, id_col: str, tokens: Column, name: str) -> DataFrame:
     """(name, t, n): how often each row has each token; null ids and null or empty tokens are left out."""
@@ -77,26 +84,108 @@ def gram_counts(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def _vectors(grams: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, g, w): hashes of grams in order and their tf-idf weights, of length one."""
+def _weighted(grams: DataFrame, idf: DataFrame) -> DataFrame:
     few = idf.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    each = grams.select("id", F.inline("v")).join(F.broadcast(idf) if few else idf, "g")
-    each = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("g", (F.col("c") * F.col("idf")).alias("w")))).alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return each.select("id", "v.g", F.transform("v", lambda x: x["w"] / length).alias("w"))
-
-
-def _cosines(asked: pa.Table, held: pa.Table) -> pa.Table:
-    """One query's vector against its preselected rows."""
-    score = np.zeros(held.num_rows)
-    if asked.num_rows and held.num_rows:
-        g, w = (asked[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("g", "w"))
-        many = [held[c].combine_chunks() for c in ("g", "w")]
-        other, weight = (c.flatten().to_numpy(zero_copy_only=False) for c in many)
-        row = np.repeat(np.arange(held.num_rows), many[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        at = np.minimum(np.searchsorted(g, other), len(g) - 1)
-        score = np.bincount(row, weights=np.where(g[at] == other, w[at] * weight, 0.0), minlength=held.num_rows)
-    return pa.Table.from_arrays([held["query_id"], held["id"], held["n"], pa.array(np.round(score, 6))], names=["query_id", "id", "n", "cosine"])
+    return grams.join(F.broadcast(idf) if few else idf, "g").withColumn("w", F.col("c") * F.col("idf"))
+
+
+#: Rows of a block (as a power of two) and queries of a group, which meet in one task.
+BLOCK_BITS, GROUP = 14, 20_000
+
+
+def _counted(texts: pa.Array, words: pa.Array | None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words (of all texts, if none are given), and (word, text, count) by number, in order of the words."""
+    parts = pc.split_pattern(texts, " ")
+    flat, row = parts.flatten(), np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+    words = pc.unique(flat.filter(pc.not_equal(flat, ""))) if words is None else words
+    at = pc.index_in(flat, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+    pair, count = np.unique(at[at >= 0].astype(np.int64) * len(texts) + row[at >= 0], return_counts=True)
+    return words, pair // max(1, len(texts)), pair % max(1, len(texts)), count
+
+
+def _overlaps(asked: pa.Array, held: pa.Array, hot: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The number of each asked text and its overlaps with all held ones; words of over `hot` rows are added as dense rows."""
+    words, of, query, times = _counted(asked, None)
+    _, word, row, count = _counted(held, words)
+    begin = np.searchsorted(word, np.arange(len(words) + 1))
+    dense = {}
+    for t in np.flatnonzero(np.diff(begin) > hot):
+        dense[t] = np.zeros(len(held), dtype=np.int64)
+        dense[t][row[begin[t] : begin[t + 1]]] = count[begin[t] : begin[t + 1]]
+    order = np.argsort(query, kind="stable")
+    bound = np.searchsorted(query[order], np.arange(len(asked) + 1))
+    for q in range(len(asked)):
+        n = np.zeros(len(held), dtype=np.int64)
+        for k in order[bound[q] : bound[q + 1]]:
+            t = of[k]
+            if t in dense:
+                n += times[k] * dense[t]
+            else:
+                n[row[begin[t] : begin[t + 1]]] += times[k] * count[begin[t] : begin[t + 1]]
+        yield q, n
+
+
+def _levels(select: int, hot: int) -> Callable:
+    """How many rows of a block have each overlap with a query, the largest overlaps that hold `select` rows."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        for q, n in _overlaps(asked["text"].combine_chunks(), held["text"].combine_chunks(), hot):
+            level, c = np.unique(n[n > 0], return_counts=True)
+            level, c = level[::-1], c[::-1]
+            keep = np.cumsum(c) - c < select
+            out.append((q, level[keep], c[keep]))
+        which = np.repeat([q for q, _, _ in out], [len(n) for _, n, _ in out]).astype(np.int64)
+        level, c = (np.concatenate([x[k] for x in out] or [np.zeros(0)]).astype(np.int64) for k in (1, 2))
+        return pa.Table.from_arrays([asked["query_id"].combine_chunks().take(pa.array(which)), asked["block"].combine_chunks().take(pa.array(which)), pa.array(level), pa.array(c)], names=["query_id", "block", "n", "c"])
+
+    return run
+
+
+def _grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, gram) of all runs of `size` characters; the number of a gram of up to 3 characters is its own, others are hashed."""
+    length = np.array([len(x) for x in texts], dtype=np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    code = np.zeros(max(0, len(points) - size + 1), dtype=np.uint64)
+    for k in range(size):
+        code = code * np.uint64(1 << 21 if size <= 3 else 0x9E3779B97F4A7C15) + points[k : k + len(code)]
+    row = np.repeat(np.arange(len(texts)), length)[: len(code)]
+    whole = np.arange(len(code)) + size <= np.cumsum(length)[row]
+    return row[whole], code[whole]
+
+
+def _nearest(k: int, size: int, hot: int, text: str) -> Callable:
+    """The k best by cosine of the rows of a block that a query takes: of each overlap in `takes` the first so many."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.take(pc.sort_indices(held["id"])).combine_chunks()
+        texts, keys, norm = held[text].combine_chunks(), held["key"].combine_chunks(), held["norm"].to_numpy()
+        asked = asked.combine_chunks()
+        takes, vectors = asked["takes"].to_pylist(), asked["v"].to_pylist()
+        names = sorted({x["g"] for v in vectors for x in v or ()})
+        code = _grams(names, size)[1]
+        by = np.argsort(code)
+        code, place = code[by], {names[x]: p for p, x in enumerate(by)}
+        row, gram = _grams([f" {x} " for x in texts.to_pylist()], size)
+        at = np.minimum(np.searchsorted(code, gram), max(0, len(code) - 1))
+        known = code[at] == gram if len(code) else np.zeros(len(gram), dtype=bool)
+        row, at = row[known], at[known]
+        begin = np.searchsorted(row, np.arange(len(texts) + 1))
+        out = []
+        for q, n in _overlaps(asked["text"].combine_chunks(), texts, hot):
+            mine = np.concatenate([np.flatnonzero(n == x["n"])[: x["take"]] for x in takes[q]])
+            weight = np.zeros(len(code))
+            weight[[place[x["g"]] for x in vectors[q] or ()]] = [x["w"] for x in vectors[q] or ()]
+            size_of = begin[mine + 1] - begin[mine]
+            entry = np.arange(size_of.sum()) + np.repeat(begin[mine] - np.cumsum(size_of) + size_of, size_of)
+            dot = np.bincount(np.repeat(np.arange(len(mine)), size_of), weights=weight[at[entry]], minlength=len(mine))
+            score = np.round(np.divide(dot, norm[mine], out=np.zeros(len(mine)), where=norm[mine] > 0), 6)
+            best = np.lexsort((mine, -n[mine], -score))[:k]
+            out.append((np.full(len(best), q), mine[best], n[mine[best]], score[best]))
+        which, found, n, score = (np.concatenate([x[j] for x in out] or [np.zeros(0, dtype=np.int64)]) for j in range(4))
+        return pa.Table.from_arrays([asked["query_id"].combine_chunks().take(pa.array(which)), keys.take(pa.array(found)), pa.array(n.astype(np.int64)), pa.array(score.astype(float))], names=["query_id", "id", "n", "cosine"])
+
+    return run
 
 
 def preselect_and_rerank(queries: DataFrame, rows: DataFrame, query_id: str, query_text: str, id_col: str, text: str, select: int = 3_000, k: int = 5, size: int = 3, hot: int = 4_000) -> DataFrame:
@@ -106,19 +195,41 @@ def preselect_and_rerank(queries: DataFrame, rows: DataFrame, query_id: str, que
     larger overlap, then the smaller id.  Ids name one text each.  Null and empty
     texts share nothing; queries that share no word with any row have no result;
     other columns are ignored.
+
+    Blocks of rows in the order of their ids meet groups of queries in a grid.  A
+    first pass counts the rows of each overlap in every block, which sets how many
+    of each a query takes there; a second finds them again and scores them in
+    place.  So no pair and no vector of a row is ever shuffled or written, only
+    texts, counts and the k best of a block; the work itself grows with the
+    words that queries and rows share.
     """
-    words = lambda c: F.split(F.col(c), " ")
-    # Numbers in the order of the ids stand for them, so that long ids are not repeated with every word.
-    rows = cut(rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text).alias("text")).orderBy("key").withColumn("id", F.monotonically_increasing_id()))
-    chosen = cut(most_shared(postings(queries, query_id, words(query_text), "query_id"), postings(rows, "id", words("text"), "id"), select, hot))
-    total = rows.count()
-    grams = gram_counts(rows, "id", "text", size)
+    same = id_col == text
+    held = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), *([] if same else [F.col(text).alias("text")]))
+    held, name = cut(held.orderBy("key").withColumn("id", F.monotonically_increasing_id())), "key" if same else "text"
+    total = held.count()
+    grams = gram_counts(held, "id", name, size)
     idf = cut(grams.select(F.explode("v.g").alias("g")).groupBy("g").agg((F.log(F.lit(1.0 + total) / (F.count("*") + 1)) + 1).alias("idf")))
-    asked = queries.join(chosen.select(F.col("query_id").alias(query_id)).distinct(), query_id, "left_semi")
-    asked = _vectors(gram_counts(asked, query_id, query_text, size), idf).withColumnRenamed("id", "query_id")
-    wanted = grams.join(chosen.select("id").distinct(), "id", "left_semi")
-    met = chosen.join(_vectors(wanted, idf), "id", "left")
-    kind = {f.name: f.dataType.simpleString() for f in chosen.schema}
-    scored = asked.groupBy("query_id").cogroup(met.groupBy("query_id")).applyInArrow(_cosines, f"query_id {kind['query_id']}, id long, n long, cosine double")
-    best = top_k(scored, ["query_id"], [F.desc("cosine"), F.desc("n"), F.asc("id")], k)
-    return best.join(rows.select("id", "key"), "id").select("query_id", F.col("key").alias("id"), "n", "cosine")
+    norms = _weighted(grams.select("id", F.inline("v")), idf).groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("text")).where("query_id is not null and text is not null")
+    asked = cut(asked.dropDuplicates(["query_id"]))
+    groups = -(-asked.count() // GROUP) or 1
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
+    full = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
+    places = F.when(F.length(full) >= size, F.sequence(F.lit(1), F.length(full) - size + 1)).otherwise(F.array().cast("array<int>"))
+    own = asked.select("query_id", F.explode(F.transform(places, lambda i: F.substring(full, i, F.lit(size)))).alias("gram")).groupBy("query_id", "gram").agg(F.count("*").alias("c"))
+    own = _weighted(own.withColumn("g", F.xxhash64("gram")), idf).groupBy("query_id").agg(F.collect_list(F.struct(F.col("gram").alias("g"), "w", "idf")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    own = own.select("query_id", F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("length") * x["idf"]).alias("w"))).alias("v"))
+
+    held = held.where(F.col(name).isNotNull()).withColumn("block", F.shiftright("id", BLOCK_BITS))
+    kind = {f.name: f.dataType.simpleString() for f in held.schema} | {"query_id": asked.schema["query_id"].dataType.simpleString()}
+    spread = lambda df: df.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    cells = lambda a, b: a.groupBy("group", "block").cogroup(b.groupBy("group", "block"))
+    every = asked.crossJoin(F.broadcast(held.select(F.shiftright("id", BLOCK_BITS).alias("block")).distinct()))  # a number for each of many rows
+    levels = cells(every, spread(held.select("block", F.col(name).alias("text")))).applyInArrow(_levels(select, hot), f"query_id {kind['query_id']}, block long, n long, c long")
+    before = F.sum("c").over(Window.partitionBy("query_id").orderBy(F.desc("n"), "block").rowsBetween(Window.unboundedPreceding, -1))
+    takes = levels.withColumn("take", F.least("c", F.lit(select) - F.coalesce(before, F.lit(0)))).where("take > 0")
+    takes = takes.groupBy("query_id", "block").agg(F.collect_list(F.struct("n", "take")).alias("takes"))
+    taking = takes.join(asked, "query_id").join(own, "query_id", "left")
+    scored = cells(taking, spread(held.join(norms, "id", "left"))).applyInArrow(_nearest(k, size, hot, name), f"query_id {kind['query_id']}, id {kind['key']}, n long, cosine double")
+    return top_k(scored, ["query_id"], [F.desc("cosine"), F.desc("n"), F.asc("id")], k)

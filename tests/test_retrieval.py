@@ -58,3 +58,18 @@ def test_rerank_equals_a_loop(spark):
     q, d = spark.createDataFrame(queries, "q long, s string").withColumn("n", F.lit(1)), spark.createDataFrame(rows, "i long, s string").withColumn("t", F.lit("x"))
     got = {tuple(r) for r in R.preselect_and_rerank(q, d, "q", "s", "i", "s", select=12, k=4, hot=10).collect()}
     assert got == want
+
+
+def test_no_pair_is_written_and_blocks_change_nothing(spark, monkeypatch):
+    """Every query shares a word with every row; only texts, counts and the best of a block may move."""
+    written = []
+    whole = R.cut
+    monkeypatch.setattr(R, "cut", lambda df: written.append(df.count()) or whole(df))
+    rows = spark.range(400).selectExpr("concat(id, ' the w', id % 7) AS s")
+    queries = spark.range(100).selectExpr("id AS q", "concat('the ', id % 9, ' w', id % 5) AS s")
+    best = lambda hot: {tuple(r) for r in R.preselect_and_rerank(queries, rows, "q", "s", "s", "s", select=300, k=5, hot=hot).collect()}
+    want = best(4_000)
+    assert len(want) == 500 and max(written) < 10_000
+    monkeypatch.setattr(R, "GROUP", 30)
+    monkeypatch.setattr(R, "BLOCK_BITS", 3)
+    assert best(2) == want
