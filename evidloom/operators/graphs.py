@@ -119,16 +119,22 @@ def leaf_verdict(status: Column, value: Column, unit: Column, op: Column, bound:
 def first_shortest_paths(edges: DataFrame, keep: str = "true", root: int = 0) -> DataFrame:
     """(node, path): the shortest way from each kept child to the root, the first by string order.
 
-    A round keeps one path for each (node, term) that no earlier round has met, so
+    Found downwards from the root: a node's first shortest path is its own name
+    before the first path of those parents that are one level nearer, so every
+    node has one path and meets it once.  A round joins only the newest level, so
     cycles end; nodes that never reach the root have no row.
     """
     text = lambda c: F.col(c).cast("string")
-    at = edges.where(keep).select(F.col("child").alias("node"), F.col("parent").alias("at"), F.concat_ws(">", text("child"), text("parent")).alias("path"))
-    at = cut(at.groupBy("node", "at").agg(F.min("path").alias("path")))
-    done, seen = at.where(F.col("at") == root).select("node", "path"), at.select("node", "at")
-    while not at.isEmpty():
-        rest = at.join(at.where(F.col("at") == root).select("node"), "node", "left_anti")
-        step = rest.join(edges, rest["at"] == edges["child"]).select("node", F.col("parent").alias("at"), F.concat_ws(">", "path", text("parent")).alias("path"))
-        at = cut(step.groupBy("node", "at").agg(F.min("path").alias("path")).join(seen, ["node", "at"], "left_anti"))
-        done, seen = done.unionByName(at.where(F.col("at") == root).select("node", "path")), seen.unionByName(at.select("node", "at"))
-    return done
+    e = cut(edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")).where("_c is not null and _p is not null").distinct())
+    new = e.where(F.col("_p") == root).select(F.col("_c").alias("node"), F.concat_ws(">", text("_c"), F.lit(root).cast("string")).alias("path"))
+    done = None
+    while True:
+        new = cut(new)
+        if new.isEmpty():
+            break
+        done = new if done is None else done.unionByName(new)
+        step = e.join(new, F.col("_p") == new["node"]).select("_c", F.concat_ws(">", text("_c"), "path").alias("path"))
+        step = step.join(done.select("node"), F.col("_c") == F.col("node"), "left_anti")
+        new = step.groupBy(F.col("_c").alias("node")).agg(F.min("path").alias("path"))
+    found = done if done is not None else new
+    return found.join(edges.where(keep).select(F.col("child").alias("node")).distinct(), "node", "left_semi") if keep != "true" else found

@@ -336,3 +336,18 @@ def test_many_edges_are_never_broadcast_and_depth_is_bounded(spark, monkeypatch)
         got = G.closure(edges, "c", "p", **({"most": most} if most else {}))
         assert {(r["node"], r["ancestor"]): r["depth"] for r in got.collect()} == want(most or 99)
     assert plans and not any("Broadcast" in x for x in plans)
+
+
+def test_a_shortest_path_is_written_once_for_each_node(spark, monkeypatch):
+    """Walking up would write every node once for each level above it."""
+    edges = spark.range(1, 500).selectExpr("id AS child", "explode(array_distinct(array(id div 2, id div 3))) AS parent")
+    written = []
+    whole = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: written.append(df.count()) or whole(df))
+    got = {r["node"]: r["path"] for r in G.first_shortest_paths(edges).collect()}
+    best = {0: (0, "0")}
+    for n in range(1, 500):
+        depth = 1 + min(best[p][0] for p in (n // 2, n // 3))
+        best[n] = depth, min(f"{n}>{best[p][1]}" for p in (n // 2, n // 3) if best[p][0] == depth - 1)
+    assert got == {n: p for n, (_, p) in best.items() if n}
+    assert sum(written) <= edges.count() + len(got)
