@@ -6,12 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def smoothed_likelihood(tokens: DataFrame, labels: DataFrame, case: str, label: str, code: str, value: str, alpha: float = 1.0) -> DataFrame:
+#: Answers up to which one number holds those of a case, a bit for each.
+ANSWERS = 63
+
+
+def answer_bits(answers: DataFrame, known: list[tuple], case: str, answer: list[str]) -> DataFrame:
+    """(case, bits): which of at most ANSWERS known answers a case gives; cases that give none are left out.
+
+    Every task ors its rows of a case before the shuffle, so a case moves as two numbers.
+    """
+    kinds = ", ".join(f"`{c}` {answers.schema[c].dataType.simpleString()}" for c in answer)
+    bits = answers.sparkSession.createDataFrame([(*k, 1 << n) for n, k in enumerate(known)], f"{kinds}, bits long")
+    return answers.join(F.broadcast(bits), answer).groupBy(case).agg(F.bit_or("bits").alias("bits"))  # ANSWERS rows at most
+
+
+def smoothed_likelihood(tokens: DataFrame, labels: DataFrame, case: str, label: str, code: str, value: str, alpha: float = 1.0, once: bool = False) -> DataFrame:
     """(code, value, label, p): (n + alpha) / (total + alpha * k) over the k values that a code has anywhere.
 
     Counting is one partial aggregate; only the small table of counts is made dense.
+    With `once`, a token that a case has several times counts once.
     """
-    counts = tokens.join(labels, case).groupBy(code, value, label).agg(F.count("*").alias("n"))
+    known = tokens.select(code, value).distinct().limit(ANSWERS + 1).collect() if once else []
+    if 0 < len(known) <= ANSWERS and not any(x is None for k in known for x in k):
+        has = answer_bits(tokens, known, case, [code, value]).join(labels, case)
+        sums = has.groupBy(label).agg(*[F.sum(F.getbit("bits", F.lit(k)).cast("long")).alias(f"_n{k}") for k in range(len(known))])
+        each = F.array(*[F.struct(F.lit(k[code]).alias(code), F.lit(k[value]).alias(value), F.col(f"_n{n}").alias("n")) for n, k in enumerate(known)])
+        counts = sums.select(label, F.inline(each)).where("n > 0")
+    else:
+        tokens = tokens.select(case, code, value).distinct() if once else tokens
+        counts = tokens.join(labels, case).groupBy(code, value, label).agg(F.count("*").alias("n"))
     space = counts.select(code, value).distinct().crossJoin(F.broadcast(labels.select(label).distinct()))  # answers x labels: dimensions
     dense = space.join(counts, [code, value, label], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = Window.partitionBy(code, label)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..registry import query
-from .fixtures import CASES, LIKELIHOOD, TOKENS, cases, likelihood, table, tokens
+from .fixtures import CASES, LIKELIHOOD, TOKENS, cases, evidence, likelihood, table, tokens
 
 
 @query("A1_group_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -143,7 +143,7 @@ def a20(spark, d):
 def a21(spark, d):
     from ..operators.simulation import case_posteriors
 
-    p = case_posteriors(tokens(spark, d), likelihood(spark, d), "case_id", ["code", "value"], "label")
+    p = case_posteriors(evidence(spark, d), likelihood(spark, d), "case_id", ["code", "value"], "label", once=True)
     c = cases(spark, d).select("case_id", F.col("label").alias("truth"))
     hit = lambda x: x["p"] - (x["label"] == F.col("truth")).cast("int")
     return p.join(c, "case_id").select("case_id", F.round(F.aggregate("post", F.lit(0.0), lambda acc, x: acc + hit(x) * hit(x)), 8).alias("brier"))

@@ -351,3 +351,23 @@ def test_a_shortest_path_is_written_once_for_each_node(spark, monkeypatch):
         best[n] = depth, min(f"{n}>{best[p][1]}" for p in (n // 2, n // 3) if best[p][0] == depth - 1)
     assert got == {n: p for n, (_, p) in best.items() if n}
     assert sum(written) <= edges.count() + len(got)
+
+
+def test_answers_that_count_once_move_as_one_number(spark, monkeypatch):
+    from evidloom.operators import aggregates, simulation
+
+    given = [(c, q, v) for c in range(40) for q, v in (("a", "xyz"[c % 3]), ("b", "xyz"[c % 2]), ("a", "xyz"[c * c % 3]))] * 3 + [(7, None, "x"), (8, "a", "new")]
+    asked = spark.createDataFrame(given, "case long, q string, v string")
+    labels = spark.createDataFrame([(c, f"l{c % 3}") for c in range(39)], "case long, label string")
+    like = aggregates.smoothed_likelihood(asked.dropna().distinct(), labels, "case", "label", "q", "v")
+    want = {(r["q"], r["v"], r["label"]): r["p"] for r in like.collect()}
+    assert {(r["q"], r["v"], r["label"]): r["p"] for r in aggregates.smoothed_likelihood(asked.dropna(), labels, "case", "label", "q", "v", once=True).collect()} == want
+    read = lambda df: {(r["case"], r["label"]): round(r["ll"], 9) for r in df.select("case", F.inline("scores")).collect()}
+    scores = read(simulation.case_scores(asked.distinct(), like, "case", ["q", "v"], "label"))
+    got = simulation.case_scores(asked, like, "case", ["q", "v"], "label", once=True)
+    assert read(got) == scores and len(scores) == 120
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_bit_or" in plan
+    for module in (simulation, aggregates):
+        monkeypatch.setattr(module, "ANSWERS", 2)
+    assert read(simulation.case_scores(asked, like, "case", ["q", "v"], "label", once=True)) == scores
