@@ -71,6 +71,19 @@ def test_candidates_grow_with_the_input_and_not_with_its_square(spark):
     assert large <= 15 * max(small, 20) and large < 3000
 
 
+def test_pairs_that_share_prefixes_leave_where_they_meet(spark):
+    """Few items, so that nearly all pairs share one of their rarest; the sketches leave those alone that are similar."""
+    rng = random.Random(3)
+    rows = [(i, [f"w{x}" for x in rng.sample(range(100), 30)]) for i in range(300)]
+    rows += [(1000 + i, [*v[:-2], "x"]) for i, v in rows[:20]]
+    one = J._distinct_sets(frame(spark, rows), "id", "items")
+    often = one.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("often"))
+    ordered = J._ordered(one, often)
+    found = {(r["a"], r["b"]) for r in J.candidates(ordered, ordered, 60, True).collect()}
+    right = {x[:2] for x in brute(rows, None, 60)}
+    assert len(right) >= 20 and right <= found and len(found) <= 10 * len(right)
+
+
 def all_windows(query, text):
     import difflib
 
