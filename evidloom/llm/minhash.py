@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from . import bytesops as bo
 from .components import components
-from .runtime import fits, salted_join, semi_by_id, shared
+from .runtime import fits, salted_join, semi_by_id, shared, trimmed
 
 _GOLD = 0x9E3779B97F4A7C15
+#: Bytes of text whose shingles are at work at a time.
+_CHUNK = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +93,7 @@ def superminhash(h: np.ndarray, group: np.ndarray, n_groups: int, slots: int) ->
 def _features(size: int, bands: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in bo.chunked(batch.column(1)):
+            for lo, hi, data, offsets in bo.chunked(batch.column(1), _CHUNK):
                 n = hi - lo
                 h, group = shingle_sets(data, offsets, size)
                 sig = superminhash(h, group, n, bands * depth).view(np.uint64).reshape(n, bands, depth)
@@ -113,7 +115,7 @@ def _features(size: int, bands: int, depth: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in bo.chunked(batch.column(1)):
+            for lo, hi, data, offsets in bo.chunked(batch.column(1), _CHUNK):
                 h, group = shingle_sets(data, offsets, size)
                 offs = bo.offsets_of(group, hi - lo)
                 blobs = [h[a:b].tobytes() for a, b in zip(offs, offs[1:], strict=False)]
@@ -161,7 +163,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    feats = shared(docs.mapInArrow(_features(size, bands, depth), f"{docs.schema['doc_id'].name} {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, bands array<long>"))
+    feats = shared(docs.mapInArrow(trimmed(_features(size, bands, depth)), f"{docs.schema['doc_id'].name} {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, bands array<long>"))
     some = feats.where("set_key is not null and doc_id is not null")
     # Equal sets are one class, named by their hash; only classes are compared.  An id may hold several.
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
@@ -175,12 +177,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     star = shared(salted_join(member, centre, "key", "_n", ["set_key"], total=total).where("set_key <> r").select(F.col("set_key").alias("x"), "r").distinct())
     wanted = star.select(F.col("x").alias("set_key")).union(star.select(F.col("r").alias("set_key"))).distinct()
     ids = classes.join(wanted, "set_key", "left_semi").select(F.col("rep").alias("doc_id"))
-    sets = semi_by_id(docs, ids).mapInArrow(_sets(size), "set_key binary, shingles binary").groupBy("set_key").agg(F.min("shingles").alias("shingles"))
+    sets = semi_by_id(docs, ids).mapInArrow(trimmed(_sets(size)), "set_key binary, shingles binary").groupBy("set_key").agg(F.min("shingles").alias("shingles"))
     sets = shared(sets)
     centres = sets.join(star.groupBy(F.col("r").alias("set_key")).agg(F.count("*").alias("_n")), "set_key").select(F.col("set_key").alias("r"), F.col("shingles").alias("r_set"), "_n")
     pairs = star.join(sets.select(F.col("set_key").alias("x"), F.col("shingles").alias("x_set")), "x")
     pairs = salted_join(pairs, centres, "r", "_n", ["x"])
-    seen = shared(pairs.select("x", "r", "x_set", "r_set").mapInArrow(_compare(percent), "x binary, r binary, n_x long, n_r long, n_both long, linked boolean, lost array<long>, extra array<long>"))
+    seen = shared(pairs.select("x", "r", "x_set", "r_set").mapInArrow(trimmed(_compare(percent)), "x binary, r binary, n_x long, n_r long, n_both long, linked boolean, lost array<long>, extra array<long>"))
     links = seen.where("linked").select(F.col("x").alias("a"), F.col("r").alias("b"))
     # The classes of one id belong together.
     several = shared(some.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("_high")).where("a <> _high").select("doc_id", "a"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import bytesops as bo
-from .runtime import partitions, shared
+from .runtime import partitions, shared, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -122,7 +122,7 @@ def distinct_units(texts: DataFrame, table: PieceTable) -> DataFrame:
         if held:
             yield flush(held)
 
-    return texts.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(trimmed(run), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def best_ids(unit: str, known: dict[str, tuple[int, float] | None], table: PieceTable) -> list[int]:
@@ -384,7 +384,7 @@ def _encode(rows: DataFrame, table: PieceTable, index) -> DataFrame:
                 text = [back[a:b][1:].decode() for a, b in zip(ends_[:-1].tolist(), ends_[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in others), bo.list_array(flat, total, pa.int32()), pa.array(text, pa.string())], names=[*(f.name for f in kept), "ids", "decoded"])
 
-    return rows.mapInArrow(run, StructType([*kept, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
+    return rows.mapInArrow(trimmed(run), StructType([*kept, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
 
 
 def decode_ids(spark: SparkSession, encoded: DataFrame, table: PieceTable, ids_col: str = "ids") -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +91,29 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, whose worker gives freed memory back when its task ends.
+
+    Spark keeps workers for later tasks, and each would hold on to its largest task's memory beside those at work.
+    """
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return held
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -35,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as bo
-from .runtime import partitions, salted_join, shared
+from .runtime import partitions, salted_join, shared, trimmed
 
 _HASH_SALT = np.uint64(0xA0761D6478BD642F)
 _HASH_ODD = np.uint64(0xE7037ED1A0B428DB)
-_FLUSH = 24 << 20
+#: Bytes of text that settle their snippets together, and whose anchors are found at a time.
+_FLUSH, _CHUNK = 12 << 20, 1 << 19
 
 
 def _load64(data: np.ndarray) -> np.ndarray:
@@ -233,10 +234,10 @@ def _ask(length: int, buckets: int, hot_in_chunk: int):
     """Chunks of documents -> what their earliest holders of each snippet ask, and what later ones lose."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        ids, tags, text = (np.concatenate([x[k] for x in held]) for k in range(3))
         base = np.cumsum([0] + [len(x[0]) for x in held])
-        who = np.concatenate([x[3] + b for x, b in zip(held, base, strict=False)])
-        h, digest, start, size = (np.concatenate([x[k] for x in held]) for k in range(4, 8))
+        who = np.concatenate([x[3] + np.int32(b) for x, b in zip(held, base, strict=False)])
+        ids, tags, text, h, digest, start, size = (np.concatenate([x[k] for x in held]) for k in (0, 1, 2, 4, 5, 6, 7))
+        held.clear()
         # Of copies in this chunk the smallest document asks for all.
         o = np.lexsort((ids, text))
         asks = np.zeros(len(ids), bool)
@@ -248,8 +249,7 @@ def _ask(length: int, buckets: int, hot_in_chunk: int):
         at = at[np.argsort(place[who[at]], kind="stable")]
         if not len(at):
             return
-        key = bo.mix(h[at] ^ _HASH_SALT) + digest[at]
-        at = at[np.argsort(key, kind="stable")]
+        at = at[np.argsort(bo.mix(h[at] ^ _HASH_SALT) + digest[at], kind="stable")]
         new = bo.first_of_runs(h[at], digest[at])
         low = ids[who[at]][np.flatnonzero(new)][np.cumsum(new) - 1]
         later = ids[who[at]] > low
@@ -282,12 +282,12 @@ def _ask(length: int, buckets: int, hot_in_chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for lo, hi, data, offsets in bo.chunked(batch.column(2)):
+            for lo, hi, data, offsets in bo.chunked(batch.column(2), _CHUNK):
                 h, first, end, who = anchors(data, offsets, length)
                 text = np.frombuffer(b"".join(hashlib.blake2b(data[a:b].tobytes(), digest_size=8).digest() for a, b in zip(offsets, offsets[1:], strict=False)), np.uint64)
                 digest = bo.span_hashes(data, first, end + length - 1)
                 ids, tags = (np.asarray(batch.column(k).slice(lo, hi - lo), dtype=np.int64) for k in range(2))
-                held.append((ids, tags, text, who, h, digest, first - offsets[who], end - first + length - 1))
+                held.append((ids, tags, text, who.astype(np.int32), h, digest, (first - offsets[who]).astype(np.int32), (end - first + length - 1).astype(np.int32)))
                 size += len(data)
                 if size >= _FLUSH:
                     yield from flush(held)
@@ -643,17 +643,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     first = shared(long_enough.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
     copies = salted_join(long_enough.select(*key, digest.alias("digest")), first, "digest", "n", ["doc_id", "tag"])
     copies = shared(copies.where("doc_id > first").select(*key).distinct())
-    asked = long_enough.select(*key, "text").mapInArrow(_ask(length, buckets, hot_in_chunk), _ASK).repartitionById(buckets, F.col("bucket"))
-    answered = asked.mapInArrow(lambda batches: _answers(batches, buckets, hot_in_bucket), _PACKED)
-    known = answered.repartitionById(buckets, F.col("place")).mapInArrow(_unpacked, _ANSWER)
+    asked = long_enough.select(*key, "text").mapInArrow(trimmed(_ask(length, buckets, hot_in_chunk)), _ASK).repartitionById(buckets, F.col("bucket"))
+    answered = asked.mapInArrow(trimmed(lambda batches: _answers(batches, buckets, hot_in_bucket)), _PACKED)
+    known = answered.repartitionById(buckets, F.col("place")).mapInArrow(trimmed(_unpacked), _ANSWER)
     # One exchange of the texts serves both joins, as both want the same of its columns.
     ask = named.join(known.hint("shuffle_hash"), key).join(copies.hint("shuffle_hash"), key, "left_anti")
-    cut = ask.mapInArrow(_cut(length, buckets), _CUT).repartitionById(buckets, F.col("bucket"))
-    lost = cut.mapInArrow(_match(length), "doc_id long, tag long, lo binary, hi binary")
+    cut = ask.mapInArrow(trimmed(_cut(length, buckets)), _CUT).repartitionById(buckets, F.col("bucket"))
+    lost = cut.mapInArrow(trimmed(_match(length)), "doc_id long, tag long, lo binary, hi binary")
     lost = lost.groupBy(*key).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     out = named.join(lost.hint("shuffle_hash"), key, "left").join(copies.withColumn("copy", F.lit(True)).hint("shuffle_hash"), key, "left").drop("tag")
     out = out.unionByName(base.where("doc_id is null"), allowMissingColumns=True)
     kept = ["_keep"] if keep else []
     schema = ", ".join(["doc_id long", *[f"_keep {base.schema['_keep'].dataType.simpleString()}" for _ in kept]])
-    out = out.select("doc_id", *kept, "text", "copy", "lo", "hi").mapInArrow(lambda batches: _apply(batches, whole_characters), f"{schema}, text binary, {_SPANS}, left_bytes binary")
+    out = out.select("doc_id", *kept, "text", "copy", "lo", "hi").mapInArrow(trimmed(lambda batches: _apply(batches, whole_characters)), f"{schema}, text binary, {_SPANS}, left_bytes binary")
     return out.select("doc_id", *[F.col("_keep")[c].alias(c) for c in keep], "text", "from_bytes", "to_bytes", "left_bytes")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as bo
+from .runtime import trimmed
 
 _LEAD = (np.arange(256) & 0xC0) != 0x80  # first byte of a code point
 _SYMBOL = np.zeros(256, bool)
@@ -99,4 +100,4 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 stats = statistics(data, offsets)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in others), *(pa.array(stats[c]) for c in COLUMNS)], names=[*(batch.schema.names[i] for i in others), *COLUMNS])
 
-    return base.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{c} long" for c in COLUMNS]))
+    return base.mapInArrow(trimmed(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{c} long" for c in COLUMNS]))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as bo
-from .runtime import shared
+from .runtime import shared, trimmed
 
 _PAIRS = 1 << 20  # candidate places that are held at once
 
@@ -213,7 +213,7 @@ def tiled_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage:
     few = table.select("seed").distinct().limit(seed_rows + 1).toArrow()["seed"].to_numpy()
     known = spark.sparkContext.broadcast(np.sort(few.astype(np.int64).view(np.uint64))) if len(few) <= seed_rows else None
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(_seeded(sizes, known), f"doc_id {kind}, row long, seed long, n int, at int, tokens binary")
+    found = docs.mapInArrow(trimmed(_seeded(sizes, known)), f"doc_id {kind}, row long, seed long, n int, at int, tokens binary")
     if known is None:
         found = found.join(table.select("seed", "n").distinct(), ["seed", "n"], "left_semi")
     found = shared(found)
@@ -225,7 +225,7 @@ def tiled_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage:
     places = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "tokens")).alias("places"))
     kind_i = items.schema["item_id"].dataType.simpleString()
     both = pair.join(places, ["doc_id", "row"]).join(items, ["item_id", "item"]).select("doc_id", "item_id", "text", "places")
-    return both.mapInArrow(_tile(least), f"doc_id {kind}, item_id {kind_i}, n_covered long, n_item long, n_tiles long, longest long")
+    return both.mapInArrow(trimmed(_tile(least)), f"doc_id {kind}, item_id {kind_i}, n_covered long, n_item long, n_tiles long, longest long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

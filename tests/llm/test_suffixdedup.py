@@ -97,3 +97,37 @@ def test_two_stage_order():
             a, b = raw[order[k - 1] :], raw[order[k] :]
             want = next((j for j in range(20) if a[j : j + 1] != b[j : j + 1] or j >= len(a)), 20)
             assert lcp[k] == want
+
+
+def test_a_chunk_takes_little_memory():
+    """Two workers of an executor ask at once, beside its JVM and other workers that wait."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from evidloom.llm import suffixdedup
+
+    raw = np.random.default_rng(1).integers(97, 123, 26 << 20, dtype=np.uint8).tobytes()
+    rows = [raw[k : k + 8192] for k in range(0, len(raw), 8192)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 500)), pa.array([0] * 500), pa.array(x, pa.binary())], names=["doc_id", "tag", "text"]) for k in range(0, 3000, 500) if len(x := rows[k : k + 500]) == 500]
+    tracemalloc.start()
+    try:
+        n = sum(len(x) for x in suffixdedup._ask(50, 8, 64)(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n and peak < 150e6
+
+
+def test_a_trimmed_task_gives_memory_back(monkeypatch):
+    from evidloom.llm import runtime
+
+    calls = []
+    monkeypatch.setattr(runtime, "_give_back", lambda: calls.append(1))
+    assert list(runtime.trimmed(lambda x: (2 * y for y in x))(iter([1, 2]))) == [2, 4] and calls == [1]
+    runtime.trimmed(lambda x: x)(iter([]))  # one that never starts
+    some = runtime.trimmed(lambda x: iter(x))(iter([1, 2]))
+    next(some)
+    some.close()
+    assert calls == [1, 1]
