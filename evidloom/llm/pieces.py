@@ -2,11 +2,12 @@
 
 Texts are cut into units at places that no piece can span; a corpus has far
 fewer distinct units than words.  The lattice of the distinct units is a table:
-every substring of bounded length is exploded and joined with the piece table,
-the edges are grouped by unit, and a higher-order aggregate folds Viterbi over
-them, from left to right; a unit of over LONGEST_UNIT bytes takes the same
-Viterbi in one linear pass instead.  Documents then take the pieces of their units:
-frequent units from a broadcast table of bounded size, all others by a join.
+every substring that may be a piece, by its head and length, is exploded and
+joined with the piece table, the edges are grouped by unit, and a higher-order
+aggregate folds Viterbi over them, scores from left to right and the path back;
+a unit of over LONGEST_UNIT bytes takes the same Viterbi in one linear pass
+instead.  Documents then take the pieces of their units: frequent units from a
+broadcast table of bounded size, all others by a join.
 
 Scores add up (the unigram rule), whatever model the table stems from.  Ties
 take the longer last piece.  Characters without a piece become byte pieces.
@@ -35,6 +36,8 @@ LONGEST_UNIT = 512
 BROADCAST_BYTES = 96 << 20
 #: Bytes of units, by index_bytes, that one task makes lattices of at a time: their edges are a few hundred times as much.
 LATTICE_BYTES = 1 << 19
+#: First characters of a substring by which the lengths of longer pieces are looked up.
+HEAD = 4
 _FLUSH, _CHUNK = 4 << 20, 1 << 19
 _UNKNOWN_PENALTY = 10.0
 
@@ -168,6 +171,15 @@ def _long_units(table: PieceTable):
     return run
 
 
+def head_lengths(table: PieceTable) -> dict[str, list[int]]:
+    """Lengths of the pieces of HEAD and more characters, by their first HEAD."""
+    out: dict[str, set[int]] = {}
+    for p in table.pieces:
+        if len(p) >= HEAD:
+            out.setdefault(p[:HEAD].replace(SPACE, " "), set()).add(len(p))
+    return {head: sorted(sizes) for head, sizes in out.items()}
+
+
 def encode_units(units: DataFrame, table: PieceTable, any_long: bool = True, size: int = 0) -> DataFrame:
     """(unit, ids): the best segmentation of each distinct unit; without `any_long` no unit has over LONGEST_UNIT bytes.
 
@@ -175,7 +187,6 @@ def encode_units(units: DataFrame, table: PieceTable, any_long: bool = True, siz
     """
     spark = units.sparkSession
     edges = spark.createDataFrame([(p.replace(SPACE, " "), i, float(s)) for p, i, s in zip(table.pieces, table.ids, table.scores, strict=True)], "piece string, id int, score double")
-    span, block = table.longest, 256
     # Every unit stays whole: those that are too long for a lattice in one row go through one pass in Python.
     if any_long:
         wide = F.octet_length("unit") > LONGEST_UNIT
@@ -183,25 +194,31 @@ def encode_units(units: DataFrame, table: PieceTable, any_long: bool = True, siz
         return encode_units(units.where(~wide), table, False, size).unionByName(long)
     # Dealt by unit once, so that the edges of a unit are made, joined and grouped where it is.
     units = units.select("unit").repartition(max(partitions(spark), -(-size // LATTICE_BYTES)), "unit")
-    # Bounded substrings of bounded blocks: (start, piece) pairs of each unit.
-    cut = units.select("unit", F.explode(F.sequence(F.lit(0), F.greatest(F.length("unit") - 1, F.lit(0)), F.lit(block))).alias("base"))
-    cut = cut.select("unit", "base", F.expr(f"substring(unit, base + 1, {block + span - 1})").alias("part"))
-    sub = F.expr(f"""flatten(transform(sequence(1, least(length(part), {block})), i ->
-        transform(sequence(1, least({span}, length(part) - i + 1)), k -> struct(base + i - 1 as start, base + i - 1 + k as end, substring(part, i, k) as piece))))""")
-    sub = cut.select("unit", F.explode(sub).alias("s")).select("unit", "s.start", "s.end", "s.piece")
+    # Substrings of each place: all of fewer than HEAD characters, longer ones only of lengths that pieces with the same head have.
+    heads = spark.createDataFrame(list(head_lengths(table).items()), "head string, lengths array<int>")
+    at = units.select("unit", F.explode(F.sequence(F.lit(0), F.greatest(F.length("unit") - 1, F.lit(0)))).alias("start"))
+    at = at.select("unit", "start", F.substring("unit", F.col("start") + 1, F.lit(table.longest)).alias("part"))
+    at = at.join(F.broadcast(heads), F.substring("part", 1, HEAD) == F.col("head"), "left")
+    few = F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), F.length("part")))
+    sub = at.select("unit", "start", "part", F.explode(F.concat(few, F.coalesce("lengths", F.array().cast("array<int>")))).alias("size")).where(F.col("size") <= F.length("part"))
+    sub = sub.select("unit", "start", (F.col("start") + F.col("size")).alias("end"), F.substring("part", F.lit(1), F.col("size")).alias("piece"))
     # The piece table is a parameter of fixed size; it is broadcast as it is.
     met = sub.join(F.broadcast(edges), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
     raw = F.hex(F.encode("piece", "UTF-8"))
     byte_ids = F.array(*[F.lit(i) for i in table.byte_ids])
     fallback = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda j: F.element_at(byte_ids, F.conv(F.substr(raw, j, F.lit(2)), 16, 10).cast("int") + 1))
-    met = met.select("unit", F.struct("end", "start", F.coalesce("score", F.lit(table.unknown_score)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids")).alias("e"))
+    score, ids = F.coalesce("score", F.lit(table.unknown_score)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids")
+    met = met.select("unit", F.struct("end", (F.col("end") - F.col("start")).alias("size"), "start", score, ids).alias("e"))
     grouped = met.groupBy("unit").agg(F.sort_array(F.collect_list("e")).alias("lattice"))
-    fold = F.expr("""aggregate(lattice, array(struct(0.0D as score, cast(array() as array<int>) as ids)), (acc, e) ->
-        CASE WHEN size(acc) = e.end THEN concat(acc, array(struct(acc[e.start].score + e.score as score, concat(acc[e.start].ids, e.ids) as ids)))
-             WHEN acc[e.start].score + e.score > acc[e.end].score
-             THEN concat(slice(acc, 1, e.end), array(struct(acc[e.start].score + e.score as score, concat(acc[e.start].ids, e.ids) as ids)))
-             ELSE acc END)""")
-    return grouped.select("unit", F.element_at(fold, -1)["ids"].alias("ids"))
+    # Forwards the best score of each place, numbers only; then backwards along the first edge, so the longest, that gives it.
+    fold = F.expr("""aggregate(lattice, array(0.0D), (acc, e) ->
+        CASE WHEN size(acc) = e.end THEN array_append(acc, acc[e.start] + e.score)
+             WHEN acc[e.start] + e.score > acc[e.end] THEN array_append(slice(acc, 1, e.end), acc[e.start] + e.score)
+             ELSE acc END,
+        best -> aggregate(reverse(lattice), struct(size(best) - 1 as at, cast(array() as array<int>) as ids), (path, e) ->
+             CASE WHEN e.end = path.at AND best[e.start] + e.score = best[e.end] THEN struct(e.start as at, concat(e.ids, path.ids) as ids)
+                  ELSE path END).ids)""")
+    return grouped.select("unit", fold.alias("ids"))
 
 
 Index = tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted hashes of units, offsets of their piece ids, and those ids

@@ -110,3 +110,34 @@ def test_long_runs_stay_whole(spark, table, bound):
     for r in out:
         assert r["decoded"] == texts[r["doc_id"]]
         assert list(r["ids"]) == want[r["doc_id"]], texts[r["doc_id"]][:60]
+
+
+def test_lattice_explodes_few_substrings(spark, table):
+    """All edges of the lattice need few more rows than there are edges, counted in Spark's own metrics."""
+    rng = random.Random(5)
+    units = sorted({" " + "".join(rng.choice(["th", "er", "ous", "en", "ing", "a", "gra", "ß"]) for _ in range(rng.randint(3, 7))) for _ in range(300)})
+    scores = {p: (i, s) for p, i, s in zip(table.pieces, table.ids, table.scores, strict=True)}
+    marked = [u.replace(" ", pieces.SPACE) for u in units]
+    edges = sum(1 for u in marked for a in range(len(u)) for b in range(a + 1, min(len(u), a + table.longest) + 1) if u[a:b] in scores or b == a + 1)
+    out = pieces.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), table, any_long=False).collect()
+    assert {r["unit"]: list(r["ids"]) for r in out} == {u: viterbi(u[1:], table, scores) for u in units}
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last().executionId()
+    values, nodes, made = store.executionMetrics(last), store.planGraph(last).allNodes(), []
+    for k in range(nodes.size()):
+        if nodes.apply(k).name() == "Generate":
+            metrics = nodes.apply(k).metrics()
+            made += [int(values.apply(metrics.apply(m).accumulatorId()).replace(",", "")) for m in range(metrics.size()) if metrics.apply(m).name() == "number of output rows"]
+    assert made and edges <= max(made) <= 2 * edges
+
+
+def test_ties_take_the_longer_last_piece(spark, table):
+    scores = {"a": -3.0, "b": -3.0, "c": -3.0, "ab": -4.0, "bc": -4.0, "abc": -7.0, "cab": -7.0, "bcabc": -11.0, "abcabc": -14.0}
+    small = pieces.PieceTable(list(scores), list(range(300, 300 + len(scores))), list(scores.values()), list(range(256)), 400)
+    by_piece = {p: (i, s) for p, i, s in zip(small.pieces, small.ids, small.scores, strict=True)}
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 14))) for _ in range(60)] + ["abc", "abcabc", "bcabc"]
+    out = pieces.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), small).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert list(r["ids"]) == viterbi(texts[r["doc_id"]], small, by_piece), texts[r["doc_id"]]
