@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import cut
 
 #: Answers up to which one number holds those of a case, a bit for each.
 ANSWERS = 63
@@ -139,3 +140,22 @@ def quartiles(df: DataFrame, value: str, keys: list[str], least: int = 30) -> Da
 def cuts_at_or_below(x: Column, cuts: Column) -> Column:
     """1 + how many of the array's cut points are <= x."""
     return F.size(F.filter(cuts, lambda c: c <= x)) + 1
+
+
+def mean_at_least(df: DataFrame, keys: list[str], value: str, bound: float, at: str, name: str) -> DataFrame:
+    """(keys, name): whether the mean of a group's doubles, added up in the order of `at`, is `bound` or more; false without values.
+
+    Sums in another order differ by rounding only, so they settle every group whose
+    mean is further from the bound than rounding reaches.  Only the rows of the
+    others are put in order, and added up by a window, which holds no whole group.
+    """
+    g = cut(df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.count(value).alias("_n"), F.avg(F.abs(value)).alias("_a")))
+    close = F.coalesce(F.abs(F.col("_m") - bound) <= F.col("_a") * (1e-12 + F.col("_n") * 5e-16), F.lit(False))
+    edge = g.where(close).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.where(F.col(value).isNotNull()).join(edge, same, "left_semi").withColumn("_sum", F.sum(value).over(w))
+    exact = rows.groupBy(*keys).agg((F.max_by("_sum", at) / F.count("*")).alias("_m"))
+    return g.where(~close).select(*keys, "_m").unionByName(exact).select(*keys, F.coalesce(F.col("_m") >= bound, F.lit(False)).alias(name))

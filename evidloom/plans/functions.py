@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.aggregates import mean_at_least
 from ..operators.topk import top_k
 from ..registry import query
 from .fixtures import table
@@ -279,9 +279,9 @@ def f35(spark, d):
 
 @query("F43_adoption_chain", """WITH s AS (SELECT l_suppkey, l_returnflag, avg(l_discount) AS m FROM lineitem GROUP BY ALL) SELECT l_suppkey, l_returnflag, min(CASE WHEN m >= 0.048 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY l_returnflag ROWS UNBOUNDED PRECEDING) = 1 AS adopted FROM s""")
 def f43(spark, d):
-    """Discounts are added up and compared as decimals: sums of doubles hang on the order of the rows, and means of exactly 0.048 occur."""
-    high = F.sum(F.col("l_discount").cast("decimal(38,10)")) >= F.count("l_discount").cast("decimal(20,0)") * F.lit(Decimal("0.048"))
-    s = table(spark, d, "lineitem", "l_suppkey", "l_returnflag", "l_discount").groupBy("l_suppkey", "l_returnflag").agg(F.coalesce(high, F.lit(False)).alias("high"))
+    """Means at the threshold occur, and there the side hangs on the order in which doubles are added: that of the table."""
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_discount", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
+    s = mean_at_least(li, ["l_suppkey", "l_returnflag"], "l_discount", 0.048, "at", "high")
     w = Window.partitionBy("l_suppkey").orderBy(F.asc_nulls_last("l_returnflag")).rowsBetween(Window.unboundedPreceding, 0)
     return s.select("l_suppkey", "l_returnflag", F.bool_and("high").over(w).alias("adopted"))
 

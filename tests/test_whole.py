@@ -87,3 +87,20 @@ def test_parts_of_equal_words_ask_once(spark, tmp_path, monkeypatch):
     got = {(r["query_id"], r["p_partkey"], r["n"]) for r in registry.QUERIES["T8_overlap_preselect"](spark, str(tmp_path)).collect()}
     assert got == {(i, k, 4) for i in range(300) for k in [k for k in range(i % 2, 14, 2) if k != i][:5]}
     assert max(ranked) <= len(rows)
+
+
+def test_a_mean_at_the_threshold_falls_where_the_sums_in_table_order_do(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng, x = random.Random(5), [0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.09, 0.078]  # a mean of 0.048
+    rows = [(k, flag, v) for k in range(60) for flag in ("A", "N", None) for v in x * (1 + k % 4)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_discount double").coalesce(1)
+    table.write.option("parquet.block.size", 4096).option("parquet.page.size", 1024).parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE["F43_adoption_chain"]).fetchall()
+    assert {r[2] for r in want} == {True, False}
+    assert {tuple(r) for r in registry.QUERIES["F43_adoption_chain"](spark, str(tmp_path)).collect()} == set(want)
