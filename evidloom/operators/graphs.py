@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, or a temporary one where a local session names none (one machine)."""
@@ -25,37 +34,155 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Edges up to which they may be sent to every task (16 bytes each).
+class Levels:
+    """Frames of one schema, each written once as Parquet in the checkpoint folder, and read as one table.
+
+    Parquet takes a fraction of a checkpoint's room, and the files of many levels
+    are packed into few tasks, where a union would bring those of every level.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The frame as it was written."""
+        path = f"{checkpoint_folder(df.sparkSession)}/levels-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        self._read = df.sparkSession.read.schema(df.schema)
+        return self._read.parquet(path)
+
+    def all(self) -> DataFrame:
+        return self._read.parquet(*self.paths)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    return Levels().add(df)
+
+
+#: Edges, or rows of a round, up to which they may be sent to every task (16 bytes each).
 BROADCAST_EDGES = 200_000
+#: Nodes of a block (as a power of two), its edges up to which one task takes them, and the (node, ancestor) cells that are marked at once.
+BLOCK_BITS, BLOCK_EDGES, CELLS = 11, 2_000_000, 1 << 22
+
+
+def _edges(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    return stored(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct())
 
 
 def closure(edges: DataFrame, child: str, parent: str, start: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(node, ancestor, depth): every ancestor with its smallest depth, at most `most` if given; from the nodes of `start` only if given.
 
-    Breadth-first: a round joins only the newest pairs with the edges and drops
-    those that are known, so it ends on graphs with cycles too.  Each level is
-    written once and never again; what is known is the union of the levels.
-    Edges are counted, as the size of the file they come from says little: only
-    few are broadcast, others and all known pairs are joined by shuffles.
+    Without `start`, the edges above each block of nodes are gathered, and pairs are
+    found inside the blocks when they are read, so none is shuffled or written.
+    Both ways end on graphs with cycles too.
     """
-    e = cut(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct())
-    few = e.count() <= BROADCAST_EDGES
-    new = e.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"))
+    e = _edges(edges, child, parent)
     if start is not None:
-        new = new.join(start.select(F.col(start.columns[0]).alias("node")).distinct(), "node", "left_semi")
-    depth, known = 1, None
+        return _walked(e, start, most)
+    return _pairs(e, *blocks_above(e, most), most)
+
+
+def _walked(e: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """The pairs of some nodes, breadth-first by joins: a round joins only the newest pairs with the edges and drops those that are known.
+
+    Each level is written once.  Edges are counted, as the size of their file says
+    little: only few rows are broadcast, others are joined by shuffles.
+    """
+    few, levels = e.count() <= BROADCAST_EDGES, Levels()
+    start = start.select(F.col(start.columns[0]).alias("_s")).distinct()
+    new = e.join(start, F.col("_c").eqNullSafe(F.col("_s")), "left_semi").select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"))
+    depth = 1
     while True:
-        new = cut(new.distinct())
-        if new.isEmpty():
-            break
-        level = new.withColumn("depth", F.lit(depth))
-        known = level if known is None else known.unionByName(level)
-        if depth == most:
+        new = levels.add(new.distinct().withColumn("depth", F.lit(depth)))
+        if depth == most or new.isEmpty():
+            return levels.all()
+        known = levels.all().select(F.col("node").alias("_n"), F.col("ancestor").alias("_a")).hint("merge")
+        new = new.join(F.broadcast(e) if few else e.hint("merge"), F.col("ancestor") == F.col("_c")).select("node", F.col("_p").alias("ancestor"))
+        new = new.join(known, F.col("node").eqNullSafe(F.col("_n")) & F.col("ancestor").eqNullSafe(F.col("_a")), "left_anti")
+        depth += 1
+
+
+def blocks_above(e: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """((block, _c, _p, first), large): the edges (_c, _p) above each block of nodes that follow each other in order.
+
+    `first` marks the edges of the block's own nodes; `large` names the blocks of
+    over BLOCK_EDGES edges, if there are any.  A round takes the edges of those
+    nodes that a block has reached last, so what moves is a row for each block and
+    node, where neighbours share most of their ancestors, and not one for each pair.
+    """
+    few, above, reached = e.count() <= BROADCAST_EDGES, Levels(), Levels()
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
+    new = reached.add(e.select(F.col("_c").alias("_n")).distinct().orderBy("_n").select(block.alias("block"), "_n"))
+    rows, depth = None, 1
+    while True:
+        small = rows is not None and rows <= BROADCAST_EDGES
+        on = F.col("_n").eqNullSafe(F.col("_c")) if depth == 1 else F.col("_n") == F.col("_c")
+        step = F.broadcast(new).join(e, on) if small else new.join(F.broadcast(e) if few else e.hint("merge"), on)
+        level = above.add(step.select("block", "_c", "_p", F.lit(depth == 1).alias("first")))
+        rows = level.count()
+        if rows == 0 or depth == most:
             break
-        new = new.join(F.broadcast(e) if few else e.hint("merge"), new["ancestor"] == e["_c"]).select("node", F.col("_p").alias("ancestor"))
-        new = new.join(known.hint("merge"), ["node", "ancestor"], "left_anti")
+        known, new = reached.all(), level.where("_p is not null").select("block", F.col("_p").alias("_n")).distinct()
+        known = F.broadcast(known.join(F.broadcast(new), ["block", "_n"], "left_semi")) if rows <= BROADCAST_EDGES else known.hint("merge")
+        new = reached.add(new.join(known, ["block", "_n"], "left_anti"))
         depth += 1
-    return known if known is not None else new.withColumn("depth", F.lit(0))
+    found = above.all()
+    large = cut(found.groupBy("block").count().where(F.col("count") > BLOCK_EDGES).select("block"))
+    return found, None if large.isEmpty() else large
+
+
+def _parted(above: DataFrame, large: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The blocks for tasks, and the nodes of those that are too large for one, whose pairs are walked."""
+    if large is None:
+        return above, None
+    return above.join(large, "block", "left_anti"), above.where("first").join(large, "block", "left_semi").select("_c").distinct()
+
+
+def _pairs(e: DataFrame, above: DataFrame, large: DataFrame | None, most: int | None = None) -> DataFrame:
+    above, rest = _parted(above, large)
+    kind = {f.name: f.dataType.simpleString() for f in e.schema}
+    found = above.groupBy("block").applyInArrow(_pairs_of(most), f"node {kind['_c']}, ancestor {kind['_p']}, depth int")
+    return found if rest is None else found.unionByName(_walked(e, rest, most))
+
+
+def _reached(rows: pa.Table, most: int | None = None) -> tuple[pa.Array, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The nodes of a block, and its pairs as (node, ancestor, depth) by their numbers, in parts of about CELLS cells."""
+    both = pa.chunked_array([*rows["_c"].chunks, *rows["_p"].chunks], rows["_c"].type).combine_chunks().dictionary_encode(null_encoding="encode")
+    names, code = both.dictionary, both.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    real = names.is_valid().to_numpy(zero_copy_only=False)
+    order = np.argsort(code[: len(rows)], kind="stable")
+    parent = code[len(rows) :][order]
+    begin = np.searchsorted(code[: len(rows)][order], np.arange(len(names) + 1))
+    own = np.unique(code[: len(rows)][rows["first"].to_numpy()])
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        take = max(1, CELLS // max(1, len(names)))
+        for k in range(0, len(own), take):
+            mine = own[k : k + take]
+            seen = np.zeros(len(mine) * len(names), dtype=bool)
+            row, at, out, depth = np.arange(len(mine)), mine, [], 1
+            while len(at) and (most is None or depth <= most):
+                times = begin[at + 1] - begin[at]
+                edge = np.arange(times.sum()) + np.repeat(begin[at] - np.cumsum(times) + times, times)
+                cell = np.unique(np.repeat(row, times) * len(names) + parent[edge])
+                cell = cell[~seen[cell]]
+                seen[cell] = True
+                row, at = cell // len(names), cell % len(names)
+                out.append((mine[row], at, np.full(len(at), depth, dtype=np.int32)))
+                row, at, depth = row[real[at]], at[real[at]], depth + 1
+            yield tuple(np.concatenate([x[j] for x in out]) for j in range(3))
+
+    return names, parts()
+
+
+def _pairs_of(most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, parts = _reached(pa.Table.from_batches(batches), most)
+        for node, ancestor, depth in parts:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(node)), names.take(pa.array(ancestor)), pa.array(depth)], names=["node", "ancestor", "depth"])
+
+    return run
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

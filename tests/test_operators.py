@@ -371,3 +371,39 @@ def test_answers_that_count_once_move_as_one_number(spark, monkeypatch):
     for module in (simulation, aggregates):
         monkeypatch.setattr(module, "ANSWERS", 2)
     assert read(simulation.case_scores(asked, like, "case", ["q", "v"], "label", once=True)) == scores
+
+
+def _above(rows):
+    """{(node, ancestor): depth} by a loop; null edges start and end walks, and no walk goes on from null."""
+    up = {}
+    for c, p in rows:
+        up.setdefault(c, set()).add(p)
+    out = {}
+    for n in up:
+        at, depth = up[n], 1
+        while at:
+            out |= {(n, x): depth for x in at}
+            at, depth = {y for x in at if x is not None for y in up.get(x, ()) if (n, y) not in out}, depth + 1
+    return out
+
+
+def test_pairs_of_a_closure_are_not_written(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    rows = [(n, n // k) for n in range(1, 300) for k in (2, 3)] + [(500, 501), (501, 502), (502, 500), (510, 500), (None, 7), (501, None)] + [(rng.randrange(600, 640), rng.randrange(600, 640)) for _ in range(60)]
+    want = _above(rows)
+    written = []
+    whole = G.Levels.add
+    monkeypatch.setattr(G.Levels, "add", lambda self, df: written.append((out := whole(self, df)).count()) or out)
+    get = lambda e: sorted(((r["node"], r["ancestor"], r["depth"]) for r in G.closure(e, "c", "p").collect()), key=str)
+    edges = spark.createDataFrame(rows, "c long, p long")
+    assert get(edges) == sorted(((*k, d) for k, d in want.items()), key=str)
+    assert sum(written) < len(want)
+    named = edges.selectExpr("concat('t', c) AS c", "concat('t', p) AS p")
+    name = lambda x: None if x is None else f"t{x}"
+    for bits, most, cells in ((3, 20, 50), (2, 2_000_000, 1), (11, 1, 1 << 22)):
+        monkeypatch.setattr(G, "BLOCK_BITS", bits)
+        monkeypatch.setattr(G, "BLOCK_EDGES", most)
+        monkeypatch.setattr(G, "CELLS", cells)
+        assert get(named) == sorted(((name(n), name(a), d) for (n, a), d in want.items()), key=str)
