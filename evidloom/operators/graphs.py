@@ -185,6 +185,36 @@ def _pairs_of(most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def specificity(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, specificity): the sum of 1 / n over a node's ancestors, where n nodes have that ancestor.
+
+    Pairs are counted and added up where they are found; only the counts move, to
+    the blocks that have their ancestor.
+    """
+    e = _edges(edges, child, parent)
+    above, large = blocks_above(e)
+    n = stored(_pairs(e, above, large).where("ancestor is not null").groupBy("ancestor").agg(F.count("*").alias("n"))).hint("merge")
+    above, rest = _parted(above, large)
+    counted = above.join(n, F.col("_p") == F.col("ancestor"), "left").select("block", "_c", "_p", "first", "n")
+    found = counted.groupBy("block").applyInArrow(_sums_of, f"node {e.schema['_c'].dataType.simpleString()}, specificity double")
+    if rest is None:
+        return found
+    return found.unionByName(_walked(e, rest).join(n, "ancestor").groupBy("node").agg(F.sum(1.0 / F.col("n")).alias("specificity")))
+
+
+def _sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(batches)
+    names, parts = _reached(rows)
+    part = np.zeros(len(names))
+    counted = rows.filter(rows["n"].is_valid())
+    at = pc.index_in(counted["_p"].combine_chunks(), value_set=names).to_numpy(zero_copy_only=False)
+    part[at] = 1.0 / counted["n"].to_numpy()
+    for node, ancestor, _ in parts:
+        node, ancestor = node[part[ancestor] > 0], ancestor[part[ancestor] > 0]
+        mine, place = np.unique(node, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(mine)), pa.array(np.bincount(place, weights=part[ancestor], minlength=len(mine)))], names=["node", "specificity"])
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, by alternating large-star and small-star rounds.
 

@@ -407,3 +407,24 @@ def test_pairs_of_a_closure_are_not_written(spark, monkeypatch):
         monkeypatch.setattr(G, "BLOCK_EDGES", most)
         monkeypatch.setattr(G, "CELLS", cells)
         assert get(named) == sorted(((name(n), name(a), d) for (n, a), d in want.items()), key=str)
+
+
+def test_specificity_moves_counts_and_no_pairs(spark, monkeypatch):
+    rows = [(n, n // k) for n in range(1, 400) for k in (2, 3)] + [(500, 501), (501, 500), (502, None)]
+    want = _above(rows)
+    n = {}
+    for _, a in want:
+        n[a] = n.get(a, 0) + 1
+    sums = {}
+    for x, a in want:
+        if a is not None:
+            sums[x] = sums.get(x, 0) + 1 / n[a]
+    written = []
+    whole = G.Levels.add
+    monkeypatch.setattr(G.Levels, "add", lambda self, df: written.append((out := whole(self, df)).count()) or out)
+    for bits, most in ((11, 2_000_000), (4, 60)):
+        monkeypatch.setattr(G, "BLOCK_BITS", bits)
+        monkeypatch.setattr(G, "BLOCK_EDGES", most)
+        got = {r["node"]: r["specificity"] for r in G.specificity(spark.createDataFrame(rows, "c long, p long"), "c", "p").collect()}
+        assert got.keys() == sums.keys() and all(abs(got[k] - v) < 1e-9 for k, v in sums.items())
+        assert most < 100 or sum(written) < len(want)
