@@ -215,6 +215,55 @@ def _sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([names.take(pa.array(mine)), pa.array(np.bincount(place, weights=part[ancestor], minlength=len(mine)))], names=["node", "specificity"])
 
 
+def carried_up(records: DataFrame, edges: DataFrame, key: str, node: str, child: str, parent: str) -> DataFrame:
+    """(key, up): for each record, the ancestors of its node in order, as one array; records of nodes without any are left out.
+
+    Records go to their node's block, so that an ancestor moves on as 8 bytes of an array and not as a row.
+    """
+    e = _edges(edges, child, parent)
+    above, large = blocks_above(e)
+    nodes = above.where("first").select("block", "_c").distinct().hint("merge")
+    asked = records.select(F.col(key).alias("key"), F.col(node).alias("_c"))
+    small, rest = _parted(above, large)
+    kinds = {f.name: f.dataType for f in asked.schema}
+    none = lambda kind: F.lit(None).cast(kind)
+    asked_in = asked.join(nodes, "_c").select("block", "_c", none(e.schema["_p"].dataType).alias("_p"), F.lit(False).alias("first"), "key", F.lit(True).alias("asks"))
+    if large is not None:
+        asked_in = asked_in.join(large, "block", "left_anti")
+    both = small.select("block", "_c", "_p", "first", none(kinds["key"]).alias("key"), F.lit(False).alias("asks")).unionByName(asked_in)
+    found = both.groupBy("block").applyInArrow(_arrays_of, f"key {kinds['key'].simpleString()}, up array<{e.schema['_p'].dataType.simpleString()}>").withColumnRenamed("key", key)
+    if rest is None:
+        return found
+    walked = _walked(e, rest).hint("merge")
+    return found.unionByName(asked.join(walked, F.col("_c") == F.col("node")).select(F.col("key").alias(key), F.array("ancestor").alias("up")))
+
+
+#: Ancestors in a batch of arrays, about.
+BATCH_VALUES = 1 << 20
+
+
+def _arrays_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(batches)
+    asked, rows = rows.filter(rows["asks"]), rows.filter(pc.invert(rows["asks"]))
+    names, parts = _reached(rows)
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+    who = pc.index_in(asked["_c"].combine_chunks(), value_set=names).to_numpy(zero_copy_only=False)
+    order = np.argsort(who, kind="stable")
+    who, keys = who[order], asked["key"].combine_chunks()
+    for node, ancestor, _ in parts:
+        by = np.lexsort((rank[ancestor], node))
+        node, ancestor = node[by], ancestor[by]
+        lo, hi = np.searchsorted(who, node[0]), np.searchsorted(who, node[-1], "right")
+        size = np.searchsorted(node, who[lo:hi], "right") - (first := np.searchsorted(node, who[lo:hi]))
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // BATCH_VALUES)) + 1
+        for a, b in zip([0, *cuts], [*cuts, hi - lo], strict=True):
+            offset = np.concatenate([[0], np.cumsum(size[a:b])])
+            value = np.arange(offset[-1]) + np.repeat(first[a:b] - offset[:-1], size[a:b])
+            up = pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), names.take(pa.array(ancestor[value])))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(order[lo + a : lo + b])), up], names=["key", "up"])
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, by alternating large-star and small-star rounds.
 

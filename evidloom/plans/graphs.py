@@ -81,12 +81,21 @@ def records(spark, d, keep="l_partkey % 10 = 0"):
 
 @query("G6_positive_propagation", f"""WITH RECURSIVE {REACH}, {RECORDS} SELECT DISTINCT r.patient, u.ancestor AS term FROM rec r JOIN reach u ON r.term = u.node WHERE r.flag = 'R' AND NOT EXISTS (SELECT 1 FROM rec x WHERE x.patient = r.patient AND x.term = u.ancestor)""")
 def g6(spark, d):
-    return propagated(records(spark, d), reach(spark, d))
+    return propagated(records(spark, d), ontology(spark, d))
 
 
-def propagated(r, ancestors):
-    up = r.where("flag = 'R'").join(ancestors, F.col("term") == F.col("node")).select("patient", F.col("ancestor").alias("term")).distinct()
-    return up.join(r.select("patient", "term"), ["patient", "term"], "left_anti")
+#: Records whose ancestors one task keeps apart by patient, about.
+TASK_RECORDS = 10_000
+
+
+def propagated(r, e):
+    """Terms above a patient's positive ones that the patient has no record of; both are dealt by patient, as arrays, and told apart there."""
+    r = G.stored(r)
+    up = G.carried_up(r.where("flag = 'R'"), e, "patient", "term", "child", "parent").withColumn("own", F.lit(False))
+    own = r.dropna(subset=["patient", "term"]).select("patient", F.array("term").alias("up"), F.lit(True).alias("own"))
+    parts = max(int(r.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-r.count() // TASK_RECORDS))
+    both = up.unionByName(own).repartition(parts, "patient").select("patient", F.explode("up").alias("term"), "own")
+    return both.groupBy("patient", "term").agg(F.bool_or("own").alias("own")).where("not own").select("patient", "term")
 
 
 @query("G7_leaf_condition", f"""WITH {OBSERVATIONS}, m AS (SELECT o.obs_id, o.status, e.value, CASE WHEN e.event_id % 4 = 0 THEN 'mg' WHEN e.event_id % 4 = 1 THEN NULL ELSE 'g' END AS unit FROM obs o JOIN events e ON o.obs_id = e.event_id)

@@ -428,3 +428,25 @@ def test_specificity_moves_counts_and_no_pairs(spark, monkeypatch):
         got = {r["node"]: r["specificity"] for r in G.specificity(spark.createDataFrame(rows, "c long, p long"), "c", "p").collect()}
         assert got.keys() == sums.keys() and all(abs(got[k] - v) < 1e-9 for k, v in sums.items())
         assert most < 100 or sum(written) < len(want)
+
+
+def test_ancestors_are_carried_up_as_arrays(spark, monkeypatch):
+    from evidloom.plans import graphs as plans
+
+    rows = [(n, n // k) for n in range(1, 300) for k in (2, 3)] + [(500, 501), (501, 500)]
+    want = _above(rows)
+    edges = spark.createDataFrame(rows, "child long, parent long").distinct()
+    rec = [(p, (p * 37 + k * k * 11) % 320, "RNA"[(p + k) % 3]) for p in range(40) for k in range(12)] + [(1, 500, "R"), (2, 501, "R"), (2, 500, "N"), (None, 8, "R"), (None, 4, "A")]
+    rec = list({(p, t): f for p, t, f in rec}.items())
+    has = {k for k, _ in rec if k[0] is not None}
+    up = {(p, a) for (p, t), f in rec if f == "R" for n, a in want if n == t and (p, a) not in has}
+    frame = spark.createDataFrame([(p, t, f) for (p, t), f in rec], "patient long, term long, flag string")
+    for bits, most, values in ((11, 2_000_000, 1 << 20), (4, 60, 7)):
+        monkeypatch.setattr(G, "BLOCK_BITS", bits)
+        monkeypatch.setattr(G, "BLOCK_EDGES", most)
+        monkeypatch.setattr(G, "BATCH_VALUES", values)
+        out = plans.propagated(frame, edges)
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(set(got)) and set(got) == up
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(patient" in plan and "hashpartitioning(patient#" in plan and ", term#" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
