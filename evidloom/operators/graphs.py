@@ -322,25 +322,33 @@ def leaf_verdict(status: Column, value: Column, unit: Column, op: Column, bound:
     return F.when(status == "NEGATIVE", False).when(status != "POSITIVE", None).when(op.isNull(), True).otherwise(measured)
 
 
+#: Rows of a round of paths up to which they may be sent to every task.
+BROADCAST_PATHS = 20_000
+
+
 def first_shortest_paths(edges: DataFrame, keep: str = "true", root: int = 0) -> DataFrame:
     """(node, path): the shortest way from each kept child to the root, the first by string order.
 
     Found downwards from the root: a node's first shortest path is its own name
     before the first path of those parents that are one level nearer, so every
     node has one path and meets it once.  A round joins only the newest level, so
-    cycles end; nodes that never reach the root have no row.
+    cycles end; nodes that never reach the root have no row.  Levels are read as
+    one table, so tasks grow with what was written and not with the rounds; the
+    driver is sent a level only while it is of few rows.
     """
     text = lambda c: F.col(c).cast("string")
-    e = cut(edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")).where("_c is not null and _p is not null").distinct())
+    e = _edges(edges.where("child is not null and parent is not null"), "child", "parent")
+    few, levels = e.count() <= BROADCAST_EDGES, Levels()
     new = e.where(F.col("_p") == root).select(F.col("_c").alias("node"), F.concat_ws(">", text("_c"), F.lit(root).cast("string")).alias("path"))
-    done = None
     while True:
-        new = cut(new)
-        if new.isEmpty():
+        new = levels.add(new)
+        rows = new.count()
+        if rows == 0:
             break
-        done = new if done is None else done.unionByName(new)
-        step = e.join(new, F.col("_p") == new["node"]).select("_c", F.concat_ws(">", text("_c"), "path").alias("path"))
-        step = step.join(done.select("node"), F.col("_c") == F.col("node"), "left_anti")
+        small = rows <= BROADCAST_PATHS
+        step = e.join(F.broadcast(new), F.col("_p") == F.col("node")) if small else (F.broadcast(e) if few else e.hint("merge")).join(new.hint("merge"), F.col("_p") == F.col("node"))
+        step = step.select("_c", F.concat_ws(">", text("_c"), "path").alias("path"))
+        step = step.join(levels.all().select("node").hint("merge"), F.col("_c") == F.col("node"), "left_anti")
         new = step.groupBy(F.col("_c").alias("node")).agg(F.min("path").alias("path"))
-    found = done if done is not None else new
+    found = levels.all()
     return found.join(edges.where(keep).select(F.col("child").alias("node")).distinct(), "node", "left_semi") if keep != "true" else found

@@ -450,3 +450,26 @@ def test_ancestors_are_carried_up_as_arrays(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == up
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(patient" in plan and "hashpartitioning(patient#" in plan and ", term#" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
+
+
+def test_levels_of_many_paths_are_not_sent_to_the_driver(spark, monkeypatch):
+    """Small files would make adaptive execution broadcast a level, which the driver has to hold."""
+    monkeypatch.setattr(G, "BROADCAST_PATHS", 50, raising=False)
+    monkeypatch.setattr(G, "BROADCAST_EDGES", 50)
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = max([x.executionId() for x in _each(store.executionsList())], default=-1)
+    edges = spark.range(1, 3000).selectExpr("id AS child", "explode(array_distinct(array(id div 2, id div 3))) AS parent")
+    assert G.first_shortest_paths(edges).count() == 2999
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    sent = []
+    for x in _each(store.executionsList()):
+        if x.executionId() > last:
+            values = store.executionMetrics(x.executionId())
+            for node in _each(store.planGraph(x.executionId()).allNodes()):
+                if node.name() == "BroadcastExchange":
+                    sent += [values.get(m.accumulatorId()).get() for m in _each(node.metrics()) if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    assert max([int(v.replace(",", "")) for v in sent], default=0) <= 50
+
+
+def _each(seq):
+    return [seq.apply(k) for k in range(seq.size())]
