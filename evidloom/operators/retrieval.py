@@ -125,14 +125,23 @@ def _overlaps(asked: pa.Array, held: pa.Array, hot: int) -> Iterator[tuple[int,
         yield q, n
 
 
+def _counts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The overlaps above 0, the largest first, and how many rows have each; few small numbers are counted without sorting."""
+    if n.max(initial=0) > 4 * len(n):
+        level, c = np.unique(n[n > 0], return_counts=True)
+        return level[::-1], c[::-1]
+    c = np.bincount(n)
+    level = np.flatnonzero(c[1:])[::-1] + 1
+    return level, c[level]
+
+
 def _levels(select: int, hot: int) -> Callable:
     """How many rows of a block have each overlap with a query, the largest overlaps that hold `select` rows."""
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         out = []
         for q, n in _overlaps(asked["text"].combine_chunks(), held["text"].combine_chunks(), hot):
-            level, c = np.unique(n[n > 0], return_counts=True)
-            level, c = level[::-1], c[::-1]
+            level, c = _counts(n)
             keep = np.cumsum(c) - c < select
             out.append((q, level[keep], c[keep]))
         which = np.repeat([q for q, _, _ in out], [len(n) for _, n, _ in out]).astype(np.int64)
@@ -196,7 +205,7 @@ def preselect_and_rerank(queries: DataFrame, rows: DataFrame, query_id: str, que
     texts share nothing; queries that share no word with any row have no result;
     other columns are ignored.
 
-    Blocks of rows in the order of their ids meet groups of queries in a grid.  A
+    Queries of equal texts ask once.  Blocks of rows in the order of their ids meet groups of queries in a grid.  A
     first pass counts the rows of each overlap in every block, which sets how many
     of each a query takes there; a second finds them again and scores them in
     place.  So no pair and no vector of a row is ever shuffled or written, only
@@ -212,7 +221,8 @@ def preselect_and_rerank(queries: DataFrame, rows: DataFrame, query_id: str, que
     norms = _weighted(grams.select("id", F.inline("v")), idf).groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("text")).where("query_id is not null and text is not null")
-    asked = cut(asked.dropDuplicates(["query_id"]))
+    every_query = cut(asked.dropDuplicates(["query_id"]))
+    asked = cut(every_query.select("text").distinct().select(F.monotonically_increasing_id().alias("query_id"), "text"))
     groups = -(-asked.count() // GROUP) or 1
     asked = asked.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
     full = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
@@ -232,4 +242,5 @@ def preselect_and_rerank(queries: DataFrame, rows: DataFrame, query_id: str, que
     takes = takes.groupBy("query_id", "block").agg(F.collect_list(F.struct("n", "take")).alias("takes"))
     taking = takes.join(asked, "query_id").join(own, "query_id", "left")
     scored = cells(taking, spread(held.join(norms, "id", "left"))).applyInArrow(_nearest(k, size, hot, name), f"query_id {kind['query_id']}, id {kind['key']}, n long, cosine double")
-    return top_k(scored, ["query_id"], [F.desc("cosine"), F.desc("n"), F.asc("id")], k)
+    best = top_k(scored, ["query_id"], [F.desc("cosine"), F.desc("n"), F.asc("id")], k)
+    return every_query.join(asked.withColumnRenamed("query_id", "_q"), "text").join(best.withColumnRenamed("query_id", "_q"), "_q").select("query_id", "id", "n", "cosine")

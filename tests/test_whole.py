@@ -104,3 +104,20 @@ def test_a_mean_at_the_threshold_falls_where_the_sums_in_table_order_do(spark, t
     want = con.execute(registry.ORACLE["F43_adoption_chain"]).fetchall()
     assert {r[2] for r in want} == {True, False}
     assert {tuple(r) for r in registry.QUERIES["F43_adoption_chain"](spark, str(tmp_path)).collect()} == set(want)
+
+
+def test_the_title_of_every_page_asks_and_equal_titles_once(spark, tmp_path, monkeypatch):
+    from evidloom.operators import retrieval
+
+    titles = ["red bolt", "Red bolt", "blue nut", "nothing here", ""]
+    pages = [(k, f"<p>x</p><h1>{titles[k % 5]}</h1>") for k in range(1, 60)] + [(60, "no title"), (61, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([("A red bolt. Blue nuts.\na blue nut",), ("the RED one!",), (None,)], "text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    asking = []
+    monkeypatch.setattr(retrieval, "cut", lambda df, cut=retrieval.cut: asking.append((df.columns, df.count())) or cut(df))
+    got = {}
+    for r in registry.QUERIES["T8_preselect_rerank"](spark, str(tmp_path)).collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["n"]))
+    want = {"red bolt": [("a red bolt", 2), ("the red one", 1)], "blue nut": [("a blue nut", 2), ("blue nuts", 1)]}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(want[titles[k % 5].lower()]) for k in range(1, 60) if k % 5 < 3}
+    assert min(n for columns, n in asking if "text" in columns) <= 4
