@@ -121,3 +121,14 @@ def test_the_title_of_every_page_asks_and_equal_titles_once(spark, tmp_path, mon
     want = {"red bolt": [("a red bolt", 2), ("the red one", 1)], "blue nut": [("a blue nut", 2), ("blue nuts", 1)]}
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(want[titles[k % 5].lower()]) for k in range(1, 60) if k % 5 < 3}
     assert min(n for columns, n in asking if "text" in columns) <= 4
+
+
+def test_the_product_is_written_in_short_runs(spark, tmp_path):
+    """Files must not grow with the width of the right table: its rows come in slices that repeat for one left row after the other."""
+    n, m = 40, 30_000
+    spark.range(n).selectExpr("id AS p_partkey", "concat_ws('', transform(sequence(1, 2000), k -> sha1(concat(id, '-', k)))) AS p_name", "'PROMO' AS p_type", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(m).selectExpr("xxhash64(id) AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    registry.QUERIES["C6_match_classes"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out.parquet")
+    out = spark.read.parquet(f"{tmp_path}/out.parquet")
+    assert out.count() == out.select("p_partkey", "s_suppkey").distinct().count() == n * m
+    assert sum(f.stat().st_size for f in (tmp_path / "out.parquet").glob("*.parquet")) < n * m
